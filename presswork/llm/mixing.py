@@ -7,8 +7,8 @@ drawn with the cube method: the probabilities move through the null space of
 the constraints (sum of words, number of documents) until they are 0 or 1, so
 both totals stay at their expectation, and only a small landing problem remains.
 
-The flight runs per (source, shard); each leaves two open units at most, which
-meet in fewer shards in the next round. The last round, one shard per source,
+The flight runs per (source, shard); each leaves a few open units, the smallest
+documents among them, which meet in fewer shards in the next round. The last round, one shard per source,
 also lands: the open units are rounded so that the words come nearest the target.
 """
 
@@ -62,6 +62,33 @@ def flight(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
     return np.array(q)
 
 
+def close_largest(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """As ``flight``, for a few units: each step moves the largest open unit, and all others a little so that both sums stay.
+
+    The direction is that unit's axis projected onto the null space of the constraints, so the smallest units stay open to the end.
+    """
+    p = p.astype(float).copy()
+    turn = 0
+    while True:
+        p = np.where(p < EPS, 0.0, np.where(p > 1 - EPS, 1.0, p))
+        left = np.flatnonzero((p > 0) & (p < 1))
+        if len(left) < 3:
+            return p
+        a = np.stack((np.ones(len(left)), size[left] / max(1.0, float(size[left].max()))))
+        k = int(np.argmax(size[left]))
+        u = -(np.linalg.pinv(a) @ a[:, k])
+        u[k] += 1
+        if np.abs(u).max() < 1e-7:  # that unit's size is like no other's: another one moves
+            u = np.linalg.svd(a)[2][-1]
+        u[np.abs(u) < 1e-12] = 0
+        rise, fall = u > 0, u < 0
+        q = p[left]
+        forth = min(((1 - q[rise]) / u[rise]).min(initial=np.inf), (-q[fall] / u[fall]).min(initial=np.inf))
+        back = min((q[rise] / u[rise]).min(initial=np.inf), ((q[fall] - 1) / u[fall]).min(initial=np.inf))
+        p[left] = np.clip(q + (forth if draws[left[turn % len(left)]] < back / (forth + back) else -back) * u, 0, 1)
+        turn += 1
+
+
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The open units (a few) rounded so that the sum of words comes nearest its expectation, then the number of documents."""
     p = p.copy()
@@ -105,14 +132,21 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
 _UNIT = ["doc_id", "source", "size", "source_size", "target", "whole", "draw", "p"]
 
 
+#: So many of a group's smallest documents move last: in a shard they stay open for the next round.
+SPARE_SHARD, SPARE_LAST = 8, 64
+
+
 def _fly(last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
         # Large documents move first, so that those left open, to be landed, are small. Order and directions
         # come from sizes and the ids' hashes: the same draw in every run.
         pdf = pdf.sort_values(["size", "draw", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
         size = pdf["size"].to_numpy()
-        p = flight(pdf["p"].to_numpy(), size, (pdf["draw"].to_numpy() * 32749) % 1)
-        pdf["p"] = land(p, size) if last else p
+        draws = (pdf["draw"].to_numpy() * 32749) % 1
+        most = max(0, len(pdf) - (SPARE_LAST if last else SPARE_SHARD))
+        p = pdf["p"].to_numpy().copy()
+        p[:most] = flight(p[:most], size[:most], draws[:most])
+        pdf["p"] = land(close_largest(p, size, draws), size) if last else p
         return pdf[_UNIT]
 
     return fly

@@ -1,3 +1,5 @@
-"""Queries and their SQL, by name."""
-QUERIES = {}
-ORACLES = {}
+"""What the driver's entry registers."""
+
+from presswork.plans.catalog import ORACLES, QUERIES, daily_report
+
+__all__ = ["ORACLES", "QUERIES", "daily_report"]

@@ -45,12 +45,11 @@ def gram_places(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), (np.concatenate(places) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def train_ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = 6, alpha: float = 1.0, beta: float = 1.0, l1_per_row: float = 1e-3, l2: float = 0.5, bias_alpha: float = 0.5, positive: float = 3.0) -> tuple[float, np.ndarray, np.ndarray]:
+def train_ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = 6, alpha: float = 1.0, beta: float = 1.0, l1: float = 20.0, l2: float = 0.5, bias_alpha: float = 0.5, positive: float = 5.0) -> tuple[float, np.ndarray, np.ndarray]:
     """(bias, places, weights) fitted to rows of (distinct places, label), in the order given.
 
-    The L1 term grows with the number of rows, as the gradients' sums do; toxic rows weigh ``positive`` times.
+    A place weighs nothing before its gradients sum to ``l1``, which takes several documents; toxic rows weigh ``positive`` times.
     """
-    l1 = l1_per_row * len(rows)
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias, bias_n = -2.0, 0.0
     for _ in range(epochs):

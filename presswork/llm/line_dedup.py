@@ -28,7 +28,7 @@ def _line_hash(line: Column, min_chars: int) -> Column:
     return F.when(F.char_length(key) >= min_chars, pair)
 
 
-def shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, salts: int = 16) -> DataFrame:
     """(row_id, row_hash, drop array<int>): the positions of the lines that each document loses.
 
     Only hashes are shuffled, and each document's hashes are made distinct before that.
@@ -40,7 +40,10 @@ def shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     lines = lines.select("row_id", "row_hash", "pos", "h.h1", "h.h2")
     per_doc = lines.groupBy("h1", "h2", "row_id").agg(F.lit(1).alias("one"))
     common = per_doc.groupBy("h1", "h2").agg(F.count("one").alias("n_docs"), F.max("row_id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
-    lost = lines.join(common, ["h1", "h2"]).filter("row_id <> keeper")
+    # A line in very many documents is one key: its rows are dealt over the salts, and the common hashes, few, stand once in each.
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("row_id", "row_hash"), F.lit(salts)).cast("int"))
+    spread = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    lost = salted.join(spread, ["h1", "h2", "salt"]).filter("row_id <> keeper")
     return lost.groupBy("row_id", "row_hash").agg(F.collect_set("pos").alias("drop"))
 
 

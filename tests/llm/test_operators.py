@@ -1,0 +1,473 @@
+"""Every training-data operator against a plain computation, and on awkward rows."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import io
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from presswork.llm import fingerprints, line_crf, line_dedup, mixing, packing, quality_rules, simhash, token_counts, token_files, tokens, toxicity
+from presswork.llm.common import ascii_lower, held_out
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+PROSE = "The quick brown fox is in the garden and it was not for him that they had come to the house by the river of the town"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, draw double"
+ODD = [
+    (1, None, None, None, None, 1, 0.1),
+    (2, "", "en", "a", 0, 1, 0.1),
+    (3, " \n\t ", "en", "a", 4, 1, 0.1),
+    (4, PROSE, "en", "b", 10, 1, 0.1),
+    (5, PROSE, "xx", "b", 10, 1, 0.1),
+    (None, PROSE + " again", "en", "c", 10, 1, 0.1),
+    (6, "\n".join([PROSE] * 40), "en", None, 10, 1, 0.1),
+    (7, " ".join(f"w{i}" for i in range(30_000)), "en", "b", 10, 1, 0.1),
+    (8, "Ünïcödé 漢字 <|endoftext|> ﬁ İ x\x1cy don't", "de", "d", 10, 1, 0.1),
+    (9, "short", "fr", "d", 10, 1, 0.1),
+    (9, "short", "fr", "d", 10, 1, 0.1),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, SCHEMA).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").cache()
+
+
+def texts_of(df):
+    return [(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()]
+
+
+# Common
+
+
+def test_ascii_lower_and_folds(spark):
+    rows = spark.createDataFrame([("ABCé",), ("É",), ("Plain",)], "t string").select(ascii_lower(F.col("t"))).collect()
+    assert [r[0] for r in rows] == ["abcé", "É", "plain"]
+    got = spark.range(50).select("id", held_out(F.col("id")).alias("h")).collect()
+    assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 3 == 1) for r in got)
+
+
+# 1 and 2
+
+
+def test_marginals_equal_enumeration():
+    gain, steps = [0.3, -1.2, 2.0, 0.1], [0.5, -0.4, -0.7, 0.9]
+    weights = {}
+    for n in range(16):
+        labels = [(n >> k) & 1 for k in range(4)]
+        score = sum(g for g, y in zip(gain, labels) if y) + sum(steps[2 * a + b] for a, b in zip(labels, labels[1:]))
+        weights[tuple(labels)] = np.exp(score)
+    total = sum(weights.values())
+    expected = [sum(w for y, w in weights.items() if y[k]) / total for k in range(4)]
+    assert np.allclose(line_crf.marginals(gain, steps), expected)
+
+
+def test_line_features_depend_on_neighbours():
+    alone, _, _ = line_crf.line_features(["Some words stand here."])
+    beside, _, _ = line_crf.line_features(["Some words stand here.\n$$$ ### $$$"])
+    own = line_crf.OWN
+    assert np.array_equal(alone[0, :own], beside[0, :own]) and not np.array_equal(alone[0], beside[0])
+
+
+def scored(op, docs, labels, odd, nothing):
+    model = op.fit(docs, labels)
+    rows = op.score(odd, model).collect()
+    assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
+    assert op.score(nothing, model).count() == 0
+    return model
+
+
+def test_quality_classifier(spark, odd, nothing):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = scored(line_crf, docs, labels, odd, nothing)
+    got = line_crf.score(docs, model).join(labels, "doc_id").filter("held_out").select("predicted", "quality").collect()
+    assert np.mean([r["predicted"] == r["quality"] for r in got]) > 0.93
+    empty = line_crf.fit(docs, labels.limit(0))
+    assert not empty.any()
+
+
+def test_toxicity(spark, odd, nothing):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = scored(toxicity, docs, labels, odd, nothing)
+    got = toxicity.score(docs, model).join(labels, "doc_id").filter("held_out").select("predicted", "toxic").collect()
+    assert np.mean([r["predicted"] == r["toxic"] for r in got]) > 0.93
+    assert len(model[1]) < 20_000
+    assert toxicity.fit(docs, labels.limit(0))[0] == -2.0
+
+
+def test_gram_places_do_not_depend_on_position():
+    one = set(toxicity.gram_places(["you are such"])[1].tolist())
+    doc, place = toxicity.gram_places(["zz", "well, You ARE such"])
+    assert one <= set(place[doc == 1].tolist())
+    assert len(toxicity.gram_places(["", "  "])[0]) == 0
+
+
+# 3
+
+
+def water_fill(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):
+    order = sorted((k for k in sizes if k is not None)) + [k for k in sizes if k is None]
+    weight = {k: weights[n % len(weights)] for n, k in enumerate(order)}
+    target, open_ = {}, set(order)
+    left = share * sum(sizes.values())
+    while open_:
+        unit = left / sum(weight[k] for k in open_)
+        over = [k for k in open_ if weight[k] * unit > cap * sizes[k]]
+        if not over:
+            return target | {k: weight[k] * unit for k in open_}
+        for k in over:
+            target[k] = cap * sizes[k]
+            left -= target[k]
+            open_.discard(k)
+    return target
+
+
+def test_mix_meets_targets(docs):
+    rows = mixing.mix(docs).collect()
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r["source"]] += r["size"]
+    text = dict(texts_of(docs))
+    assert all(r["size"] == len(WORD.findall(text[r["doc_id"]])) for r in rows)
+    targets, taken = water_fill(sizes), collections.Counter()
+    for r in rows:
+        assert abs(r["target"] - targets[r["source"]]) < 1e-6 and r["taken"] in (0, r["size"], 2 * r["size"])
+        taken[r["source"]] += r["taken"]
+    largest = max(r["size"] for r in rows)
+    assert all(abs(taken[k] - targets[k]) <= largest / 2 for k in targets)
+    again = mixing.mix(docs).collect()
+    assert sorted((r["doc_id"], r["taken"]) for r in rows) == sorted((r["doc_id"], r["taken"]) for r in again)
+
+
+def test_mix_in_shards_and_odd_rows(docs, odd, nothing):
+    one = mixing.mix(docs, shard_docs=40).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.max("size").alias("m")).collect()
+    assert all(abs(r["t"] - r["g"]) <= r["m"] / 2 for r in one)
+    rows = mixing.mix(odd).collect()
+    assert len(rows) == len(ODD) and sum(r["source"] is None for r in rows) == 2
+    assert mixing.mix(nothing).count() == 0
+    plan = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect()}
+    out = collections.Counter(r[0] for r in mixing.mixed_documents(docs).select("doc_id").collect())
+    assert all(out.get(k, 0) == n for k, n in plan.items())
+    assert mixing.mixed_documents(odd).columns == odd.columns
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.floats(0, 1), st.integers(0, 500)), min_size=1, max_size=40))
+def test_flight_keeps_both_sums(units):
+    p, size = np.array([u[0] for u in units]), np.array([u[1] for u in units])
+    draws = np.random.default_rng(1).random(len(p))
+    for move in (mixing.flight, mixing.close_largest):
+        q = move(p, size, draws)
+        assert ((q >= 0) & (q <= 1)).all() and ((q > 1e-9) & (q < 1 - 1e-9)).sum() <= 2
+        assert abs(q.sum() - p.sum()) < 1e-5 and abs((q * size).sum() - (p * size).sum()) < 1e-2
+
+
+# 4
+
+
+def plain_measures(text):
+    words = WORD.findall(text)
+    grams = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    count, hit = collections.Counter(grams), np.zeros(len(words), bool)
+    for i, g in enumerate(grams):
+        if count[g] > 1:
+            hit[i : i + 8] = True
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), int(hit.sum())
+
+
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_quality_measures(which, request):
+    df = request.getfixturevalue(which)
+    rows = quality_rules.judge(df).collect()
+    assert len(rows) == df.count()
+    for r in rows:
+        m = plain_measures(r["text"] or "")
+        assert m == (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"])
+        assert r["base_failed"] == (m[0] < 20 or 100 * m[4] > 30 * m[0])
+        assert not (r["base_failed"] and r["kept"])
+
+
+def test_quality_rules_keep_clean_and_drop_junk(spark, nothing):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality_rules.judge(docs).join(labels, "doc_id").filter("n_words >= 20").collect()
+    good, bad = [r["kept"] for r in got if r["quality"] == 1], [r["kept"] for r in got if r["quality"] == 0]
+    assert np.mean(good) > 0.99 and np.mean(bad) < 0.15
+    assert quality_rules.judge(nothing).count() == 0
+
+
+def test_divergence_is_jensen_shannon(spark):
+    p, q = np.array([3, 0, 5, 2.0]), [10, 20, 0, 30]
+    got = spark.createDataFrame([([3, 0, 5, 2],)], "h array<long>").select(quality_rules.divergence(F.col("h"), q)).first()[0]
+    a, b = p / p.sum(), np.array(q) / sum(q)
+    m = (a + b) / 2
+    kl = lambda x: sum(v * np.log2(v / w) for v, w in zip(x, m) if v > 0)
+    assert abs(got - np.sqrt((kl(a) + kl(b)) / 2)) < 1e-9
+
+
+# 5
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 2048), max_size=80), st.sampled_from(["norm", "dot"]), st.integers(1, 8))
+def test_best_fit_capacities(sizes, rule, most):
+    sizes = np.array(sorted(sizes, reverse=True), dtype=np.int64)
+    bins = packing.best_fit(sizes, 2048, most, 2048.0**2, rule)
+    for b in np.unique(bins):
+        inside = sizes[bins == b]
+        assert inside.sum() <= 2048 and len(inside) <= most and (inside.astype(float) ** 2).sum() <= 2048.0**2
+
+
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_packing_is_whole_and_tight(which, request):
+    df = request.getfixturevalue(which)
+    library = tokens.encoder("byte_bpe_50k.json").library
+    rows = packing.pack_documents(df, shard_pieces=64).collect()
+    by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r)
+        by_seq[r["sequence_id"]].append((r["offset"], r["length"]))
+    for doc_id, text in texts_of(df):
+        ids = np.array(library.encode(text, add_special_tokens=False).ids + [0], "<u4")
+        crcs = {(r["start"], r["length"]): r["ids_crc32"] for r in by_doc[doc_id]}
+        head = len(ids) % 2048 or 2048
+        bounds = [0, *range(head, len(ids) + 1, 2048)]
+        assert crcs == {(a, b - a): zlib.crc32(ids[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])}
+    for placed in by_seq.values():
+        at = 0
+        for offset, length in sorted(placed):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    if which == "docs":
+        assert len(by_seq) <= -(-sum(r["length"] for r in rows) // 2048) + 2
+
+
+def test_packing_nothing(nothing):
+    assert packing.pack_documents(nothing).count() == 0
+
+
+# 6 and 8
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@settings(max_examples=150, deadline=None)
+@given(text=st.text(max_size=60) | st.text(alphabet="aé'sTß 1\n\t.!#İ<|endoftx>  ", max_size=60))
+def test_encoder_equals_library(name, text):
+    enc = tokens.encoder(name)
+    assert enc.ids(text).tolist() == enc.library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_token_counts(which, request):
+    df = request.getfixturevalue(which)
+    library = tokens.encoder("word_bpe_49k.json").library
+    expected = sorted((d if d is not None else -1, len(t.encode()), n, n > 2048) for d, t in texts_of(df) for n in (len(library.encode(t, add_special_tokens=False).ids),))
+    for head_rows in (50, 100_000):
+        got = token_counts.count_tokens(df, head_rows=head_rows, head_fraction=0.5).collect()
+        assert sorted((r[0] if r[0] is not None else -1, r[1], r[2], r[3]) for r in got) == expected
+
+
+def test_token_counts_nothing(nothing):
+    assert token_counts.count_tokens(nothing).count() == 0
+
+
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_token_files_round_trip(which, request):
+    df = request.getfixturevalue(which)
+    library = tokens.encoder("word_bpe_49k.json").library
+    rows = token_files.round_trip(df, files=3).collect()
+    by_id = collections.defaultdict(list)
+    for doc_id, text in texts_of(df):
+        by_id[doc_id].append(np.array(library.encode(text, add_special_tokens=False).ids + [1], "<u4"))
+    at = 0
+    for r in sorted(rows, key=lambda r: r["start"]):
+        match = [ids for ids in by_id[r["doc_id"]] if len(ids) == r["n_tokens"] and zlib.crc32(ids.tobytes()) == r["ids_crc32"]]
+        assert match and r["start"] == at
+        at += r["n_tokens"]
+    assert len(rows) == df.count()
+    order = [r["doc_id"] for r in sorted(rows, key=lambda r: r["start"])]
+    assert order == sorted(order, key=lambda d: -1 if d is None else d)
+
+
+def test_token_files_nothing(nothing):
+    assert token_files.round_trip(nothing).count() == 0
+
+
+def test_reader_touches_only_what_is_asked_for():
+    ids = [np.arange(k, dtype="<u4") for k in (5, 0, 300)]
+    out = io.BytesIO()
+    token_files.write_frames(out, zip((7, 8, 9), ids))
+    raw = bytearray(out.getvalue())
+    reader = token_files.FrameReader(io.BytesIO(bytes(raw)), len(raw))
+    assert [reader.documents(n)[0].tolist() for n in (9, 7, 8)] == [ids[2].tolist(), ids[0].tolist(), []]
+    raw[int(reader.at[0]) + 12] ^= 1  # damage the first frame: the others can still be read
+    broken = token_files.FrameReader(io.BytesIO(bytes(raw)), len(raw))
+    assert broken.documents(9)[0].tolist() == ids[2].tolist()
+    with pytest.raises(Exception):
+        broken.documents(7)
+
+
+# 7
+
+
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_fingerprints(which, request):
+    df = request.getfixturevalue(which)
+    rows = fingerprints.fingerprint_pairs(df).collect()
+    assert len(rows) == df.count()
+    by_text = {}
+    texts = dict(texts_of(df))
+    if which == "docs":
+        ids = sorted(texts, reverse=True)
+        for r in rows:
+            text, after = texts[r["doc_id"]], texts[dict(zip(ids, ids[1:] + ids[:1]))[r["doc_id"]]]
+            half = len(text) // 2
+            mixed = text[: len(text) - half] + after[:half]
+            assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(mixed.encode()).hexdigest()
+            assert by_text.setdefault(text, r["fingerprint"]) == r["fingerprint"]
+            assert r["near_next"] == 1.0 or text != after
+        assert 0.4 < np.mean([r["near_edited"] for r in rows]) < 0.6 and np.mean([r["near_next"] for r in rows]) < 0.1
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)
+
+
+def test_fingerprints_of_one_and_of_none(spark, nothing):
+    one = fingerprints.fingerprint_pairs(spark.createDataFrame([(3, "abc")], "doc_id long, text string")).collect()
+    assert len(one) == 1 and one[0]["near_next"] == 1.0
+    assert fingerprints.fingerprint_pairs(nothing).count() == 0
+
+
+def test_syncmers_are_context_free():
+    text = " ".join(f"word{i * 7919 % 1000}" for i in range(400))
+    values, at = fingerprints.syncmers(text)
+    moved, at2 = fingerprints.syncmers("something else before " + text)
+    assert set(values.tolist()) <= set(moved.tolist())
+    k, s = 16, 6
+    inner = {p: fingerprints.syncmers(text[p : p + k], k, s)[0] for p in range(0, 200)}
+    assert {p for p, v in inner.items() if len(v)} == {int(p) for p in at if p < 200}
+
+
+# 9
+
+
+def plain_fingerprint(text):
+    words = WORD.findall(text.translate(LOWER))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    votes = [0] * 64
+    for s in shingles:
+        h = xxhash.xxh64_intdigest(s.encode(), 42)
+        for b in range(64):
+            votes[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * votes[b] > len(shingles))
+
+
+def plain_components(prints):
+    values = sorted(set(prints.values()))
+    root = {v: v for v in values}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i, a in enumerate(values):
+        for b in values[i + 1 :]:
+            if (a ^ b).bit_count() <= 4:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    least = {}
+    for d, v in prints.items():
+        least[find(v)] = min(d, least.get(find(v), d))
+    return {d: least[find(v)] for d, v in prints.items()}
+
+
+def test_simhash_equals_brute_force(spark, docs):
+    extra = spark.createDataFrame([(10_000 + i, PROSE * 6 + f" tail{i % 40} x{i % 3}", "en", "z", 1) for i in range(120)], "doc_id long, text string, lang string, source string, n_chars long")
+    both = docs.unionByName(extra)
+    prints = {d: plain_fingerprint(t) for d, t in texts_of(both)}
+    expected = plain_components(prints)
+    for parameters in ({}, {"tile_rows": 16, "chunk_rows": 24}, {"blocks": 6, "tile_rows": 16}):
+        rows = simhash.near_duplicates(both, **parameters).collect()
+        assert len(rows) == both.count()
+        assert all(r["fingerprint"] == format(prints[r["doc_id"]], "016x") for r in rows)
+        assert {r["doc_id"]: r["component_id"] for r in rows} == expected
+
+
+def test_simhash_odd_rows(odd, nothing):
+    rows = simhash.near_duplicates(odd).collect()
+    assert len(rows) == len(ODD)
+    groups = {r["doc_id"]: r["component_id"] for r in rows}
+    assert groups[1] == groups[2] == groups[3] == 1 and groups[5] == 4
+    assert simhash.near_duplicates(nothing).count() == 0
+    kept = simhash.keep_representatives(odd)
+    assert kept.columns == odd.columns and sorted(r[0] for r in kept.select("doc_id").collect() if r[0] is not None) == [1, 4, 6, 7, 8, 9]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.integers(0, 2**32))
+def test_tile_groups_equal_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**63, 30, dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (30, 6), dtype=np.uint64)
+    values = np.unique((base[:, None] ^ np.bitwise_xor.accumulate(flips, axis=1)).ravel())
+    got, to = simhash.tile_groups(values, None, 4, block=16)
+    prints = {int(v): int(v) for v in values}
+    assert {int(a): int(b) for a, b in zip(got, to)} == plain_components(prints)
+
+
+# 10
+
+
+def plain_line_dedup(rows):
+    split = [(d, t.split("\n")) for d, t in rows]
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+    where = collections.defaultdict(set)
+    for d, lines in split:
+        for line in lines:
+            where[key(line)].add(d)
+    low = lambda d: -(1 << 63) if d is None else d
+    bad = {k: max(map(low, ds)) for k, ds in where.items() if len(k) >= 40 and len(ds) >= 5}
+    out = []
+    for d, lines in split:
+        rest = [x for x in lines if bad.get(key(x), low(d)) == low(d)]
+        out.append((low(d), len(lines), len(lines) - len(rest), "\n".join(rest)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_line_dedup(which, request, spark):
+    df = request.getfixturevalue(which).select("doc_id", "text")
+    line = "  One line that Many documents share, long enough to count  "
+    more = spark.createDataFrame([(None if i == 0 else 500 + i, f"{line}\nown {i}\n{line.strip()}\n") for i in range(9)], "doc_id long, text string")
+    df = df.unionByName(more)
+    got = line_dedup.drop_shared_lines(df).collect()
+    assert sorted((-(1 << 63) if r["doc_id"] is None else r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got) == plain_line_dedup(texts_of(df))
+
+
+def test_line_dedup_nothing_and_columns(odd, nothing):
+    assert line_dedup.drop_shared_lines(nothing).count() == 0
+    assert line_dedup.drop_shared_lines(odd).columns == [*odd.columns, "n_lines", "n_dropped"]

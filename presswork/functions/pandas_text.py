@@ -9,25 +9,29 @@ from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
+STRING = StringType()
+SIZE = StructType().add("width", IntegerType()).add("height", IntegerType())
 
-@F.pandas_udf("string")
+
+@F.pandas_udf(STRING)
 def unescape(text: pd.Series) -> pd.Series:
     """All HTML entities decoded."""
     return text.map(html_unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(STRING)
 def casefolded(text: pd.Series) -> pd.Series:
     return text.str.casefold()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(STRING)
 def absolute_url(base: pd.Series, url: pd.Series) -> pd.Series:
     return pd.Series([urljoin(b or "", u or "") for b, u in zip(base, url)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(STRING)
 def decoded(raw: pd.Series) -> pd.Series:
     """UTF-8, else GB18030, else Latin-1."""
 
@@ -42,7 +46,7 @@ def decoded(raw: pd.Series) -> pd.Series:
     return raw.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(STRING)
 def blocked_reason(url: pd.Series) -> pd.Series:
     """Why an address must not be fetched ('' if it may): no host, local names, or addresses that are not public. Names are not resolved."""
 
@@ -101,6 +105,6 @@ def size_of(data: bytes | None) -> tuple[int, int] | None:
     return found if found and all(found) else None
 
 
-@F.pandas_udf("struct<width int, height int>")
+@F.pandas_udf(SIZE)
 def image_size(head: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([size_of(h) or (None, None) for h in head], columns=["width", "height"]).astype("Int32")

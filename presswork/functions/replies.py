@@ -72,7 +72,7 @@ def same_story(reply: Column) -> Column:
 
 def parse_usage(payload: Column) -> Column:
     """struct of token counts under the names that different services give them; the total is summed where it is missing."""
-    pick = lambda *paths: F.coalesce(*[F.greatest(F.get_json_object(payload, p).try_cast("long"), F.lit(0)) for p in paths], F.lit(0))
+    pick = lambda *paths: F.greatest(F.coalesce(*[F.get_json_object(payload, p).try_cast("long") for p in paths], F.lit(0)), F.lit(0))
     i, o = pick("$.input_tokens", "$.prompt_tokens"), pick("$.output_tokens", "$.completion_tokens")
     c = pick("$.input_tokens_details.cached_tokens", "$.prompt_tokens_details.cached_tokens", "$.cache_read_input_tokens")
     r = pick("$.output_tokens_details.reasoning_tokens", "$.completion_tokens_details.reasoning_tokens")

@@ -133,7 +133,11 @@ def references(measured: DataFrame, min_words: int = 60, max_classes: float = 0.
     return known
 
 
-def judge(docs: DataFrame, max_classes: float = 0.22, max_common: float = 0.36, min_chars: int = 300, min_words: int = 60) -> DataFrame:
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+VERDICT = (*MEASURES, "class_distance", "common_distance", "base_failed", "kept")
+
+
+def judge(docs: DataFrame, max_classes: float = 0.22, max_common: float = 0.36, min_chars: int = 300, min_words: int = 60, carry: list[str] | None = None) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance, common_distance, base_failed, kept.
 
     References are the corpus's own, one for each language of ``COMMON_WORDS``; a document's distances are those to the
@@ -141,14 +145,17 @@ def judge(docs: DataFrame, max_classes: float = 0.22, max_common: float = 0.36,
     base_failed; class_distance above ``max_classes`` from ``min_chars`` characters in words on; common_distance above
     ``max_common`` from ``min_words`` words on. Null and empty texts have no words and fail the base rules. Without
     references (no sound document of such a language) the base rules decide alone. Repeated rows are judged each.
+    ``carry`` names the columns of ``docs`` that the result keeps (default: all).
     """
-    measured = settled(measures(docs))
+    carried = docs.columns if carry is None else carry
+    measured = settled(measures(docs).select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carried, "lang"])], *MEASURES, "classes", "common"))
     known = references(measured)
     pairs = [F.struct((divergence(F.col("classes"), c) + divergence(F.col("common"), w)).alias("sum"), divergence(F.col("classes"), c).alias("classes"), divergence(F.col("common"), w).alias("common")) for c, w in known.values()]
     judged = measured.withColumn("base_failed", base_failed())
     if not pairs:
-        return judged.withColumns({"class_distance": F.lit(0.0), "common_distance": F.lit(0.0), "kept": ~F.col("base_failed")}).drop("classes", "common")
+        judged = judged.withColumns({"class_distance": F.lit(0.0), "common_distance": F.lit(0.0), "kept": ~F.col("base_failed")})
+        return judged.select(*carried, *VERDICT)
     nearest = F.array_min(F.array(*pairs))
     judged = judged.withColumn("__d", nearest).withColumns({"class_distance": F.col("__d.classes"), "common_distance": F.col("__d.common")})
     odd = ((F.col("word_chars") >= min_chars) & (F.col("class_distance") > max_classes)) | ((F.col("n_words") >= min_words) & (F.col("common_distance") > max_common))
-    return judged.withColumn("kept", ~F.col("base_failed") & ~odd).drop("classes", "common", "__d")
+    return judged.withColumn("kept", ~F.col("base_failed") & ~odd).select(*carried, *VERDICT)

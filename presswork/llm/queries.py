@@ -24,7 +24,7 @@ def op3_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(read_documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    judged = quality_rules.judge(read_documents(spark, sf_dir).select("doc_id", "text", "lang"), carry=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

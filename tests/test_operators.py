@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from presswork.operators import enrichment, ingest, lifecycle, reading, stories
 from presswork.operators.visibility import in_day, reportable
 from presswork.plans import catalog
+from presswork.plans import registry  # noqa: F401
 from presswork.plans.articles import NOW, articles, sources
 
 

@@ -44,3 +44,18 @@ def test_stages_on_odd_rows(spark, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             stage(spark, docs, "").write.parquet(str(tmp_path / f"{n}{name}"))
             docs = spark.read.parquet(str(tmp_path / f"{n}{name}"))
+
+
+def test_oracles(spark, sf):
+    import duckdb
+
+    from presswork.llm import oracles, queries
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    for name, sql in oracles.ORACLES.items():
+        df = queries.QUERIES[name](spark, sf)
+        found = db.execute(sql)
+        order = [d[0] for d in found.description]
+        assert sorted(order) == sorted(df.columns)
+        assert sorted(map(repr, (tuple(r[c] for c in order) for r in df.collect()))) == sorted(map(repr, found.fetchall()))

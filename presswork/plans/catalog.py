@@ -12,6 +12,7 @@ from presswork.functions import replies as R
 from presswork.functions import text as T
 from presswork.operators import analytics, enrichment, ingest, lifecycle, reading, rules, stories, usage
 from presswork.operators.visibility import latest_first, reportable, since, ts, visible, with_source
+from presswork.plans import long_sql
 from presswork.plans.articles import ARTICLES_SQL, NOW, articles, sources, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,7 +61,7 @@ def report_markdown(spark, sf):
     return reading.report_markdown(daily_report(spark, sf), "2024-01-15")
 
 
-@query()
+@query(long_sql.rss_items())
 def rss_items(spark, sf):
     return reading.rss_items(daily_report(spark, sf))
 
@@ -219,16 +220,19 @@ def brief_topn(spark, sf):
 SECTIONS = [{"name": "models", "top": 5, "where": {"categories": ["model"]}}, {"name": "tagged", "top": 8, "where": {"tags": ["t1", "u2"]}}, {"name": "words", "top": 4, "where": {"keywords": ["the"], "exclude": ["licen"]}}]
 
 
-@query("""WITH p AS (SELECT *, list_transform(string_split(tags, ','), lambda x: trim(x)) AS tl FROM rep WHERE published_at >= timestamp '2024-01-31' - INTERVAL 14 DAY AND published_at <= timestamp '2024-01-31' ORDER BY published_at DESC, id DESC LIMIT 400),
+SECTIONS_SQL = """WITH p AS (SELECT *, list_transform(string_split(tags, ','), lambda x: trim(x)) AS tl FROM rep WHERE published_at >= timestamp '2024-01-31' - INTERVAL 14 DAY AND published_at <= timestamp '2024-01-31' ORDER BY published_at DESC, id DESC LIMIT 400),
 u AS (SELECT 'models' AS section, 5 AS top, * FROM p WHERE category = 'model' UNION ALL SELECT 'tagged', 8, * FROM p WHERE list_has_any(tl, ['t1', 'u2'])
   UNION ALL SELECT 'words', 4, * FROM p WHERE contains(lower(title), 'the') AND NOT contains(lower(title), 'licen')),
 r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY starred DESC, coalesce(score, 0) DESC, published_at DESC, id DESC) AS rank FROM u)
-SELECT section, rank, id, title, score, starred FROM r WHERE rank <= top""")
+"""
+
+
+@query(SECTIONS_SQL + "SELECT section, rank, id, title, score, starred FROM r WHERE rank <= top")
 def brief_sections(spark, sf):
     return reading.brief_sections(articles(spark, sf), NOW, SECTIONS, days=14)
 
 
-@query()
+@query(SECTIONS_SQL + "SELECT section, string_agg(rank::varchar || '. ' || CASE WHEN starred = 1 THEN '★' ELSE '' END || title, chr(10) ORDER BY rank) AS text FROM r WHERE rank <= top GROUP BY section")
 def brief_text_render(spark, sf):
     return reading.brief_text(brief_sections(spark, sf))
 
@@ -325,7 +329,7 @@ def page_paragraphs(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.size(F.filter(plain, lambda n: n >= 24)).cast("long").alias("long_paragraphs"))
 
 
-@query()
+@query(long_sql.article_text(), raw=True)
 def page_article_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", H.article_text(F.col("html")).alias("text"))
 
@@ -430,7 +434,7 @@ def dup_pairs(spark, sf):
     return stories.title_pairs(articles(spark, sf).filter(visible() & (F.col("relevance") == 1)))
 
 
-@query()
+@query(long_sql.merge_candidates())
 def merge_candidates(spark, sf):
     return stories.ranked_pairs(stories.candidates(articles(spark, sf), NOW, days=30, newest=400))
 
@@ -469,12 +473,12 @@ def shared_openings(spark, sf):
     return stories.shared_openings(articles(spark, sf))
 
 
-@query()
+@query(long_sql.strip_openings())
 def strip_shared_openings(spark, sf):
     return stories.strip_shared_openings(articles(spark, sf)).filter("stripped > 0").select("id", "stripped", F.char_length("content_full").alias("chars"))
 
 
-@query()
+@query(long_sql.tail_trim())
 def tail_trim(spark, sf):
     promo = F.expr(r"case when id % 3 = 0 then concat(content_full, '\n\nSign up for our letter\n\nFollow us on the net') else content_full end")
     return articles(spark, sf).select("id", F.char_length(promo).alias("before"), F.char_length(T.trim_tail(promo)).alias("after"))
@@ -579,7 +583,7 @@ def chunk_plan(spark, sf):
     return articles(spark, sf).select("id", c.alias("c")).select("id", F.size("c").alias("chunks"), R.batches(F.transform("c", F.char_length)).alias("batch_of"))
 
 
-@query()
+@query(long_sql.enrichment())
 def enrichment_stub(spark, sf):
     return enrichment.judged(articles(spark, sf).filter("status = 'pending'"), lambda prompt: f"yes {len(prompt) % 101}" if len(prompt) % 3 else "no")
 

@@ -10,6 +10,7 @@ from presswork.functions import replies as R
 from presswork.functions import text as T
 from presswork.operators import audits, reading
 from presswork.operators.visibility import reportable
+from presswork.plans import long_sql
 from presswork.plans.articles import NOW, articles, sources, table
 from presswork.plans.catalog import RULE_TABLE_SQL, STORED_SQL, daily_report, query, rule_table, stored
 
@@ -147,7 +148,7 @@ def native_cleanup(spark, sf):
     return audits.drop_foreign_side(articles(spark, sf), "content_full", ["title"]).select("id", "title")
 
 
-@query()
+@query(long_sql.report_html())
 def report_html(spark, sf):
     return audits.report_html(daily_report(spark, sf), "2024-01-15")
 

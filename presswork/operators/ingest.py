@@ -57,24 +57,36 @@ def seed(new: DataFrame, known: DataFrame, key: str = "url") -> DataFrame:
 def title_duplicates(items: DataFrame, known: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(id, known_id) of items whose title equals a known title, or resembles it by more than ``threshold``.
 
-    A ratio above ``t`` needs equal parts of at least ``t`` of both, so titles are compared only with titles that
-    share one of their rarest words; each title's words are ranked by how many titles have them. The ratio of the
-    few candidates runs in Arrow batches.
+    The smallest id of each distinct known title stands for it, and an item gets the smallest such id but its own.
+    A ratio above ``t`` needs equal parts of at least ``t`` of both, so distinct titles are compared only when they
+    share one of the left one's three rarest words and their lengths allow the ratio. The ratio itself runs in Arrow batches.
     """
-    words = lambda df, key: df.select(F.col("id").alias(key), T.normalize_title(F.col("title")).alias(f"{key}_title")).filter(f"{key}_title <> ''").withColumn("word", F.explode(F.array_distinct(F.split(f"{key}_title", " "))))
-    left, right = words(items, "id"), words(known, "known_id")
+    titled = lambda df: df.select("id", T.normalize_title(F.col("title")).alias("t")).filter("t <> ''")
+    own = titled(items)
+    theirs = titled(known).groupBy("t").agg(F.min("id").alias("known_id"))
+    split = lambda df, name: df.select(F.col("t").alias(name), F.explode(F.array_distinct(F.split("t", " "))).alias("word"))
+    left, right = split(own.select("t").distinct(), "x"), split(theirs, "y")
     often = right.groupBy("word").agg(F.count("*").alias("n"))
-    ranked = left.join(often, "word").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("n", "word")))
-    rare = ranked.filter("rank <= 3").select("id", "id_title", "word")
-    near = F.abs(F.char_length("id_title") - F.char_length("known_id_title")) <= (1 - threshold) * (F.char_length("id_title") + F.char_length("known_id_title"))
-    pairs = rare.join(right, "word").filter(near & (F.col("id") != F.col("known_id"))).select("id", "id_title", "known_id", "known_id_title").distinct()
+    rank = F.row_number().over(Window.partitionBy("x").orderBy("n", "word"))
+    rare = left.join(often, "word").withColumn("r", rank).filter("r <= 3").select("x", "word")
+    near = F.abs(F.char_length("x") - F.char_length("y")) <= (1 - threshold) * (F.char_length("x") + F.char_length("y"))
+    pairs = rare.join(right, "word").filter(near & (F.col("x") != F.col("y"))).select("x", "y").distinct()
 
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keep = [x == y or SequenceMatcher(None, x, y).ratio() > threshold for x, y in zip(b["id_title"], b["known_id_title"])]
-            yield b.loc[keep, ["id", "known_id"]]
-
-    return pairs.mapInPandas(alike, "id long, known_id long")
+            matcher, keep, last = SequenceMatcher(None), [], None
+            for x, y in zip(b["x"], b["y"]):
+                if y != last:  # the matcher keeps what it has learnt of the second title
+                    matcher.set_seq2(y)
+                    last = y
+                matcher.set_seq1(x)
+                keep.append(matcher.real_quick_ratio() > threshold and matcher.quick_ratio() > threshold and matcher.ratio() > threshold)
+            yield b[keep]
+
+    alike_titles = pairs.sortWithinPartitions("y").mapInPandas(alike, "x string, y string")
+    same = own.select("id", F.col("t").alias("x")).join(theirs.select(F.col("t").alias("x"), "known_id"), "x").select("id", "known_id")
+    other = own.withColumnRenamed("t", "x").join(alike_titles, "x").join(theirs.withColumnRenamed("t", "y"), "y").select("id", "known_id")
+    return same.unionByName(other).filter("id <> known_id").groupBy("id").agg(F.min("known_id").alias("known_id"))
 
 
 def source_language(texts: DataFrame, sample: int = 8, threshold: float = 0.12) -> DataFrame:

@@ -15,18 +15,27 @@ def candidates(articles: DataFrame, now: str, days: int = 7, newest: int = 40) -
     return articles.filter(visible() & (F.col("relevance") == 1) & recent & ~F.lower("link").startswith("http://localhost")).orderBy(*latest_first()).limit(newest)
 
 
+def title_classes(articles: DataFrame) -> DataFrame:
+    """(id, class_id, words): articles whose titles have the same set of words form a class, named by its smallest id."""
+    sets = articles.select("id", F.sort_array(T.story_words(F.col("title"))).alias("words"))
+    least = sets.groupBy("words").agg(F.min("id").alias("class_id"))
+    return sets.join(least, "words").select("id", "class_id", "words")
+
+
 def title_pairs(articles: DataFrame, min_overlap: float = 0.25, min_words: int = 2) -> DataFrame:
-    """(a, b, shared, title_overlap) with a < b of all pairs whose titles share enough words.
+    """(a, b, shared, title_overlap) with a < b of all pairs of title classes that share enough words.
 
+    a and b are class ids, so many copies of one title are one row here; ``title_classes`` says who is in a class.
     Words are exploded and joined, so only titles with a common word meet. A pair needs ``min_words`` common words,
     so each title enters the join with all its words but the most frequent min_words - 1, which leaves the
     largest groups out. Overlaps are then computed on whole word sets.
     """
-    sets = articles.select("id", T.story_words(F.col("title")).alias("words")).withColumn("n", F.size("words")).filter(F.col("n") >= min_words)
-    words = sets.select("id", F.explode("words").alias("word"))
+    sets = articles.select("id", F.sort_array(T.story_words(F.col("title"))).alias("words")).groupBy("words").agg(F.min("id").alias("id"))
+    sets = sets.withColumn("n", F.size("words")).filter(F.col("n") >= min_words)
+    words = sets.select("id", "n", F.explode("words").alias("word"))
     often = words.groupBy("word").agg(F.count("*").alias("docs"))
     # Ordered from rare to frequent, a pair with k common words has its first common word among the first n - k + 1 of both.
-    ranked = words.join(often, "word").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("docs", "word"))).join(sets, "id")
+    ranked = words.join(often, "word").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("docs", "word")))
     head = ranked.filter(F.col("r") <= F.col("n") - min_words + 1).select("id", "word")
     left, right = head.select(F.col("id").alias("a"), "word"), head.select(F.col("id").alias("b"), "word")
     met = left.join(right, "word").filter("a < b").select("a", "b").distinct()
@@ -35,9 +44,18 @@ def title_pairs(articles: DataFrame, min_overlap: float = 0.25, min_words: int =
     return pairs.filter((F.col("shared") >= min_words) & (F.col("title_overlap") >= min_overlap)).select("a", "b", "shared", "title_overlap")
 
 
+def article_pairs(candidates: DataFrame, min_overlap: float = 0.25, min_words: int = 2) -> DataFrame:
+    """(a, b, title_overlap) of single articles, copies expanded: for the bounded frame of merge candidates only."""
+    members = title_classes(candidates).filter(F.size("words") >= min_words).select("id", "class_id")
+    x, y = members.select(F.col("id").alias("x"), F.col("class_id").alias("a")), members.select(F.col("id").alias("y"), F.col("class_id").alias("b"))
+    across = title_pairs(candidates, min_overlap, min_words).join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "title_overlap")
+    inside = x.join(y, F.col("a") == F.col("b")).filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("title_overlap"))
+    return across.unionByName(inside)
+
+
 def ranked_pairs(articles: DataFrame, top: int = 8, body_chars: int = 4000) -> DataFrame:
     """The most suspicious pairs: title overlap and a tenth of the bodies' overlap."""
-    pairs = title_pairs(articles.filter("duplicate_of is null"))
+    pairs = article_pairs(articles.filter("duplicate_of is null"))
     body = articles.select("id", T.story_words(F.substring(T.strip_html(F.col("content_full")), 1, body_chars)).alias("w"))
     scored = pairs.join(body.select(F.col("id").alias("a"), F.col("w").alias("x")), "a").join(body.select(F.col("id").alias("b"), F.col("w").alias("y")), "b")
     return scored.withColumn("score", F.col("title_overlap") + T.overlap(F.col("x"), F.col("y")) / 10).orderBy(F.desc("score"), "a", "b").limit(top).select("a", "b", "title_overlap", "score")

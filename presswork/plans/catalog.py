@@ -427,13 +427,22 @@ def star_rules_top8(spark, sf):
 STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
 
-@query(f"""WITH w AS (SELECT id, list_filter(list_distinct(regexp_extract_all(lower(title), '[a-z][a-z0-9'']{{3,}}')), lambda x: x NOT IN ({STOP})) AS ws FROM vis WHERE relevance = 1),
-e AS (SELECT id, unnest(ws) AS word FROM w WHERE len(ws) >= 2), p AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM e x JOIN e y ON x.word = y.word AND x.id < y.id GROUP BY 1, 2 HAVING count(*) >= 2)
-SELECT p.a, p.b, shared::int AS shared, shared / least(len(x.ws), len(y.ws)) AS title_overlap FROM p JOIN w x ON x.id = p.a JOIN w y ON y.id = p.b WHERE shared / least(len(x.ws), len(y.ws)) >= 0.25""")
+CLASSES_SQL = f"""WITH w AS (SELECT id, list_sort(list_filter(list_distinct(regexp_extract_all(lower(title), '[a-z][a-z0-9'']{{3,}}')), lambda x: x NOT IN ({STOP}))) AS ws FROM vis WHERE relevance = 1),
+k AS (SELECT min(id) AS id, ws FROM w GROUP BY ws)
+"""
+
+
+@query(CLASSES_SQL + """, e AS (SELECT id, unnest(ws) AS word FROM k WHERE len(ws) >= 2), p AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM e x JOIN e y ON x.word = y.word AND x.id < y.id GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT p.a, p.b, shared::int AS shared, shared / least(len(x.ws), len(y.ws)) AS title_overlap FROM p JOIN k x ON x.id = p.a JOIN k y ON y.id = p.b WHERE shared / least(len(x.ws), len(y.ws)) >= 0.25""")
 def dup_pairs(spark, sf):
     return stories.title_pairs(articles(spark, sf).filter(visible() & (F.col("relevance") == 1)))
 
 
+@query(CLASSES_SQL + "SELECT w.id, k.id AS class_id FROM w JOIN k ON w.ws = k.ws")
+def title_classes(spark, sf):
+    return stories.title_classes(articles(spark, sf).filter(visible() & (F.col("relevance") == 1))).select("id", "class_id")
+
+
 @query(long_sql.merge_candidates())
 def merge_candidates(spark, sf):
     return stories.ranked_pairs(stories.candidates(articles(spark, sf), NOW, days=30, newest=400))

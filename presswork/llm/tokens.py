@@ -21,7 +21,25 @@ from tokenizers import Tokenizer
 
 #: Letters and marks up to Latin Extended-B, general punctuation without odd spaces, currency signs:
 #: for these the pre-token expressions below and the library agree, and NFC changes nothing.
-_PLAIN = re.compile("[^\t-\r\x20-\x7e¡-¬®-įĲ-ɏ‐-‧‰-⁞₠-₿]")
+_PLAIN_RANGES = "\t-\r\x20-\x7e¡-¬®-įĲ-ɏ‐-‧‰-⁞₠-₿"
+_PLAIN = re.compile(f"[^{_PLAIN_RANGES}]")
+
+
+def _plain_class(name: str) -> str:
+    """The plain characters, and their lower-case forms, that are in a Unicode class, as the inside of a set for ``re``."""
+    plain = "".join(re.findall(f"[{_PLAIN_RANGES}]", "".join(map(chr, range(0x20C0)))))
+    return "".join(sorted(set(regex.findall(rf"\p{{{name}}}", plain + plain.lower()))))
+
+
+def plain_pattern(pattern: str) -> re.Pattern:
+    """A pre-token pattern for plain texts: its classes spelled out, and runs of letters tried first, which no
+    other alternative can begin with, as nearly every pre-token is one."""
+    letters, numbers = _plain_class("L"), _plain_class("N")
+    pattern = pattern.replace(r"\s", r" \t-\r ").replace(r"[^ \t-\r \p{L}\p{N}]", rf"[^ \t-\r {letters}{numbers}]")
+    pattern = pattern.replace(r"[\p{L}]", rf"[{letters}]").replace(r"[\p{N}]", rf"[{numbers}]").replace(r"\p{L}", rf"[{letters}]").replace(r"\p{N}", rf"[{numbers}]")
+    pattern = pattern.replace(r" \t-\r +", r"[ \t-\r ]+")
+    words = [p for p in pattern.split("|") if letters in p and "^" not in p]
+    return re.compile("|".join([*words, *[p for p in pattern.split("|") if p not in words]]))
 #: The pre-token patterns of the two public vocabularies, as their files state them.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Byte-level vocabularies write printable bytes as themselves and the others, in order, as the characters from 256 on.
@@ -58,7 +76,8 @@ class PieceEncoder:
             self.lower, pattern = False, _BYTE_LEVEL
         else:
             self.lower, pattern = None, "(?!)"  # unknown: the library makes all
-        self.find = regex.compile(pattern).findall
+        self.find = plain_pattern(pattern).findall
+        self._tokenize = self.library.model.tokenize
         self.known = _Known(self.piece_ids)
         self.cache = cache
 
@@ -73,7 +92,8 @@ class PieceEncoder:
 
     def piece_ids(self, piece: str) -> list[int]:
         """The library's ids of one pre-token."""
-        return [t.id for t in self.library.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_CHARS))]
+        written = piece.replace(" ", _BYTE_CHARS[32]) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return [t.id for t in self._tokenize(written)]
 
     def count_ids(self, text: str) -> int:
         """The number of ids of a text that has no pre-tokens here."""

@@ -152,7 +152,7 @@ def _fly(last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return fly
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, shard_docs: int = 8192, broadcast_sources: int = 50_000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, shard_docs: int = 1024, broadcast_sources: int = 50_000) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for every row of ``docs``.
 
     ``size`` is the number of ASCII-white-space-separated words (null text: 0); ``copies`` is how often
@@ -184,7 +184,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
             break
         flown = settled(flown)
         done.append(flown.filter("p = 0 or p = 1"))
-        units, shards, level = flown.filter("p > 0 and p < 1"), max(1, shards // 1024), level + 1
+        units, shards, level = flown.filter("p > 0 and p < 1"), max(1, shards // 128), level + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -183,9 +183,11 @@ def trim_tail(text: Column, max_chars: int = 400) -> Column:
     goes = lambda b: (b == "") | ((F.char_length(b) <= max_chars) & b.rlike(TAIL_PROMOTION))
 
     def cut(blocks: Column) -> Column:
-        # The place of the last block that stays; 0 when all would go.
-        last = F.array_max(F.transform(blocks, lambda b, i: F.when(goes(trimmed(b)), 0).otherwise(i + 1)))
-        return F.array_join(F.when(last == 0, blocks).otherwise(F.slice(blocks, 1, F.greatest(last, F.lit(1)))), "\n\n")
+        # From the end; behind the first block that stays no pattern is tried any more.
+        step = lambda acc, b: F.when(acc["stop"], acc).when(goes(trimmed(b)), F.struct((acc["n"] - 1).alias("n"), F.lit(False).alias("stop"))).otherwise(F.struct(acc["n"].alias("n"), F.lit(True).alias("stop")))
+        start = F.struct(F.size(blocks).alias("n"), F.lit(False).alias("stop"))
+        kept = lambda n: F.array_join(F.when(n == 0, blocks).otherwise(F.slice(blocks, 1, F.greatest(n, F.lit(1)))), "\n\n")
+        return F.element_at(F.transform(F.array(F.aggregate(F.reverse(blocks), start, step, lambda acc: acc["n"])), kept), 1)
 
     # A lambda variable stands for the blocks, so that they are made once.
     return trimmed(F.element_at(F.transform(F.array(F.split(trimmed(F.coalesce(text, F.lit(""))), r"\n\s*\n")), cut), 1))

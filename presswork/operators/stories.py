@@ -120,12 +120,19 @@ def shared_openings(articles: DataFrame, min_group: int = 3, min_chars: int = 20
 
 
 def strip_shared_openings(articles: DataFrame, passes: int = 4, min_group: int = 3, min_chars: int = 20) -> DataFrame:
-    """(id, content_full, stripped): shared openings are removed until none is left, ``passes`` times at most. A text is never emptied."""
-    rows = articles.select("id", "source_id", "content_full").withColumn("stripped", F.lit(0))
+    """(id, content_full, stripped): shared openings are removed until none is left, ``passes`` times at most. A text is never emptied.
+
+    The passes work on each article's first paragraphs alone; texts are looked at again once, at the end, where one is to be cut.
+    """
+    parts = F.split("content_full", "\n\n", passes * 4 + 2)
+    later = F.filter(F.transform(F.slice(parts, 2, passes * 4 + 1), T.trimmed), lambda p: p != "")
+    rows = articles.select("id", "source_id", F.concat(F.array(T.trimmed(F.get(parts, F.lit(0)))), F.transform(later, lambda p: T.trimmed(T.head_paragraph(p)))).alias("heads"), F.lit(0).alias("stripped"))
+    # A window rather than an aggregate joined back: every pass reads the one before once, so the plan grows in a line.
+    same = Window.partitionBy("source_id", "head")
     for _ in range(passes):
-        heads = shared_openings(rows, min_group, min_chars).select("source_id", "head", F.lit(True).alias("hit"))
-        keyed = rows.withColumn("head", T.trimmed(T.head_paragraph(F.col("content_full"))))
-        rest = T.without_head(F.col("content_full"))
-        hit = F.coalesce("hit", F.lit(False)) & rest.isNotNull()
-        rows = keyed.join(heads, ["source_id", "head"], "left").select("id", "source_id", F.when(hit, rest).otherwise(F.col("content_full")).alias("content_full"), F.when(hit, F.col("stripped") + 1).otherwise(F.col("stripped")).alias("stripped"))
-    return rows.select("id", "content_full", "stripped")
+        now = rows.withColumn("head", F.get("heads", F.col("stripped"))).withColumn("n", F.count("*").over(same))
+        hit = (F.char_length("head") >= min_chars) & (F.col("n") >= min_group) & (F.size("heads") > F.col("stripped") + 1)
+        rows = now.select("id", "source_id", "heads", (F.col("stripped") + F.coalesce(hit, F.lit(False)).cast("int")).alias("stripped"))
+    cut = articles.select("id", "content_full").join(rows.select("id", "stripped"), "id")
+    rest = F.aggregate(F.sequence(F.lit(1), F.col("stripped")), F.col("content_full"), lambda t, _: T.without_head(t))
+    return cut.select("id", F.when(F.col("stripped") > 0, rest).otherwise(F.col("content_full")).alias("content_full"), "stripped")

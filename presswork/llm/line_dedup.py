@@ -11,21 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import SPACE_CHARS, ascii_lower, id_key, text_of
+from presswork.llm.common import SPACE_CHARS, ascii_lower, id_key, settled, text_of
 
-def line_key(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(SPACE_CHARS)))
-
-
-def _line_hash(line: Column, min_chars: int) -> Column:
-    """128 bits of the line's key; null for keys shorter than ``min_chars``.
-
-    Both halves come from xxhash64 of the key, the second with a prefix, so that even
-    among 10^12 distinct lines two with one hash are not to be expected.
-    """
-    key = line_key(line)
-    pair = F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2"))
-    return F.when(F.char_length(key) >= min_chars, pair)
+def long_lines(text: Column, min_chars: int) -> Column:
+    """An array of (pos, key) of the lines whose trimmed form has ``min_chars`` code points; keys still have their case."""
+    keys = F.transform(F.split(text, "\n", -1), lambda line: F.btrim(line, F.lit(SPACE_CHARS)))
+    return F.filter(F.transform(keys, lambda k, i: F.struct(i.alias("pos"), k.alias("key"))), lambda x: F.char_length(x["key"]) >= min_chars)
 
 
 def shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, salts: int = 16) -> DataFrame:
@@ -34,10 +25,13 @@ def shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, salts:
     Only hashes are shuffled, and each document's hashes are made distinct before that.
     """
     row = [id_key().alias("row_id"), F.xxhash64(text_of()).alias("row_hash")]
-    lines = docs.select(*row, F.posexplode(F.split(text_of(), "\n", -1)).alias("pos", "line"))
-    # Spark computes the hash once per line: the filter's expression is the projected one.
-    lines = lines.select("row_id", "row_hash", "pos", _line_hash(F.col("line"), min_chars).alias("h")).filter("h is not null")
-    lines = lines.select("row_id", "row_hash", "pos", "h.h1", "h.h2")
+    found = docs.select(*row, F.explode(long_lines(text_of(), min_chars)).alias("x"))
+    # 128 bits of a key: both halves come from xxhash64, the second with a prefix, so that even among 10^12 distinct
+    # lines two with one hash are not to be expected.
+    key = ascii_lower(F.col("x.key"))
+    hashed = found.select("row_id", "row_hash", "x.pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2"))
+    # Numbers only, and settled: they are read twice, and made from the texts once.
+    lines = settled(hashed)
     per_doc = lines.groupBy("h1", "h2", "row_id").agg(F.lit(1).alias("one"))
     common = per_doc.groupBy("h1", "h2").agg(F.count("one").alias("n_docs"), F.max("row_id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
     # A line in very many documents is one key: its rows are dealt over the salts, and the common hashes, few, stand once in each.

@@ -3,7 +3,7 @@
 from presswork.llm.quality_rules import CLASSES, COMMON_WORDS, WORDS
 
 
-def _divergence_rules(max_classes: float = 0.22, max_common: float = 0.36, min_chars: int = 300, min_words: int = 60, trim_classes: float = 0.2, trim_common: float = 0.32) -> str:
+def _divergence_rules(max_classes: float = 0.22, max_common: float = 0.36, max_sum: float = 0.5, min_chars: int = 300, min_words: int = 60, trim_classes: float = 0.2, trim_common: float = 0.32) -> str:
     """The rules in long form: one row for each document and histogram bin. Bins without the document's own counts add their share of the reference."""
     counts = ", ".join("length(text) - length(regexp_replace(text, '{0}', '', 'g')) AS c_{1}".format(p.replace("'", "''"), n) for n, p in CLASSES.items())
     bins = " UNION ALL ".join(f"SELECT doc_id, 'c' AS kind, '{n}' AS bin, c_{n} AS n FROM m" for n in CLASSES)
@@ -40,7 +40,7 @@ sound AS (SELECT doc_id, lang FROM b WHERE NOT base_failed AND n_words >= 60 AND
 near AS (SELECT doc_id, arg_min(dc, dc + dw) AS dc, arg_min(dw, dc + dw) AS dw FROM d1 GROUP BY doc_id)
 SELECT b.doc_id, n_words, CAST(length(text) - c_space AS BIGINT) AS word_chars, CAST(c_symbol AS BIGINT) AS n_symbols,
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(length(text) - c_space >= {min_chars} AND dc > {max_classes}, false) AND NOT coalesce(n_words >= {min_words} AND dw > {max_common}, false) AS kept
+  NOT base_failed AND NOT coalesce(length(text) - c_space >= {min_chars} AND dc > {max_classes}, false) AND NOT coalesce(n_words >= {min_words} AND (dw > {max_common} OR dc + dw > {max_sum}), false) AS kept
 FROM b LEFT JOIN near ON near.doc_id = b.doc_id
 """
 

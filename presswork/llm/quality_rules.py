@@ -137,13 +137,13 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 VERDICT = (*MEASURES, "class_distance", "common_distance", "base_failed", "kept")
 
 
-def judge(docs: DataFrame, max_classes: float = 0.22, max_common: float = 0.36, min_chars: int = 300, min_words: int = 60, carry: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, max_classes: float = 0.22, max_common: float = 0.36, max_sum: float = 0.5, min_chars: int = 300, min_words: int = 60, carry: list[str] | None = None) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance, common_distance, base_failed, kept.
 
     References are the corpus's own, one for each language of ``COMMON_WORDS``; a document's distances are those to the
     language whose sum of distances is least, whatever its ``lang`` says (null and unknown languages too). Not kept:
     base_failed; class_distance above ``max_classes`` from ``min_chars`` characters in words on; common_distance above
-    ``max_common`` from ``min_words`` words on. Null and empty texts have no words and fail the base rules. Without
+    ``max_common``, or both distances together above ``max_sum``, from ``min_words`` words on. Null and empty texts have no words and fail the base rules. Without
     references (no sound document of such a language) the base rules decide alone. Repeated rows are judged each.
     ``carry`` names the columns of ``docs`` that the result keeps (default: all).
     """
@@ -157,5 +157,5 @@ def judge(docs: DataFrame, max_classes: float = 0.22, max_common: float = 0.36,
         return judged.select(*carried, *VERDICT)
     nearest = F.array_min(F.array(*pairs))
     judged = judged.withColumn("__d", nearest).withColumns({"class_distance": F.col("__d.classes"), "common_distance": F.col("__d.common")})
-    odd = ((F.col("word_chars") >= min_chars) & (F.col("class_distance") > max_classes)) | ((F.col("n_words") >= min_words) & (F.col("common_distance") > max_common))
+    odd = ((F.col("word_chars") >= min_chars) & (F.col("class_distance") > max_classes)) | ((F.col("n_words") >= min_words) & ((F.col("common_distance") > max_common) | (F.col("class_distance") + F.col("common_distance") > max_sum)))
     return judged.withColumn("kept", ~F.col("base_failed") & ~odd).select(*carried, *VERDICT)

@@ -45,10 +45,11 @@ def gram_places(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), (np.concatenate(places) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def train_ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = 6, alpha: float = 1.0, beta: float = 1.0, l1: float = 20.0, l2: float = 0.5, bias_alpha: float = 0.5, positive: float = 5.0) -> tuple[float, np.ndarray, np.ndarray]:
+def train_ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = 6, alpha: float = 1.0, beta: float = 1.0, l1: float = 20.0, l2: float = 0.5, bias_alpha: float = 0.5, positive: float = 2.0, threshold: float = 0.7) -> tuple[float, np.ndarray, np.ndarray]:
     """(bias, places, weights) fitted to rows of (distinct places, label), in the order given.
 
     A place weighs nothing before its gradients sum to ``l1``, which takes several documents; toxic rows weigh ``positive`` times.
+    At the end the bias is moved so that a score of ``threshold`` parts the rows best.
     """
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias, bias_n = -2.0, 0.0
@@ -62,9 +63,25 @@ def train_ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = 6, alpha: float
             n[at] = ns + g * g
             bias_n += g * g
             bias -= bias_alpha / (beta + np.sqrt(bias_n)) * g
-    at = np.flatnonzero(np.abs(z) > l1)
-    zs, ns = z[at], n[at]
-    return bias, at, -(zs - np.sign(zs) * l1) / ((beta + np.sqrt(ns)) / alpha + l2)
+    weights = np.where(np.abs(z) > l1, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2), 0.0)
+    cut = _best_cut(np.array([bias + weights[at].sum() for at, _ in rows]), np.array([y for _, y in rows]))
+    if cut is not None:
+        bias += np.log(threshold / (1 - threshold)) - cut
+    at = np.flatnonzero(weights)
+    return float(bias), at, weights[at]
+
+
+def _best_cut(total: np.ndarray, labels: np.ndarray) -> float | None:
+    """The log odds that part the rows with the greatest F1, in the middle between the rows beside it; None with one label only."""
+    order = np.argsort(-total, kind="stable")
+    hits = np.cumsum(labels[order] == 1)
+    if not len(hits) or hits[-1] in (0, len(hits)):
+        return None
+    ranks = np.arange(1, len(hits) + 1)
+    f1 = 2 * hits / (ranks + hits[-1])
+    f1[:-1][total[order][:-1] == total[order][1:]] = 0  # no cut between equals
+    k = int(np.argmax(f1))
+    return float((total[order][k] + total[order][min(k + 1, len(order) - 1)]) / 2)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, **parameters) -> tuple[float, np.ndarray, np.ndarray]:

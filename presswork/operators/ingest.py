@@ -20,8 +20,7 @@ def admit(items: DataFrame, now: str, max_age_days: int = 14, max_items: int = 5
 
     Items are (source_id, pos, published_at, content, ...). In this order: a time more than six hours ahead is set
     to now; a missing time is counted and let through; too old items go; too short ones go; of the rest each
-    source keeps its first ``max_items`` in feed order. The cap's window sorts one source's surviving items at a
-    time by (source, position): bounded by a feed's length.
+    source keeps its first ``max_items`` in feed order; positions are unique in a source.
     """
     clock = ts(now)
     future = F.coalesce(F.col("published_at") > clock + F.expr(FUTURE), F.lit(False))
@@ -32,8 +31,14 @@ def admit(items: DataFrame, now: str, max_age_days: int = 14, max_items: int = 5
     rows = rows.withColumn("outcome", F.when(stale, "stale").when(short, "no_content").otherwise("kept"))
     if max_items <= 0:
         return rows
-    place = F.row_number().over(Window.partitionBy("source_id", F.col("outcome") == "kept").orderBy("pos"))
-    return rows.withColumn("outcome", F.when((F.col("outcome") == "kept") & (place > max_items), "over_cap").otherwise(F.col("outcome")))
+    # The cap's last position of each source: the limit on ranks works before the shuffle, so a source with very many
+    # items sends its first ones only. The positions, one row a source, are then looked up.
+    rank = F.row_number().over(Window.partitionBy("source_id").orderBy("pos"))
+    first = rows.filter("outcome = 'kept'").select("source_id", "pos").withColumn("r", rank).filter(F.col("r") <= max_items)
+    last = first.groupBy("source_id").agg(F.max("pos").alias("__last")).withColumnRenamed("source_id", "__source")
+    capped = rows.join(last, F.col("source_id").eqNullSafe(F.col("__source")), "left")
+    over = (F.col("outcome") == "kept") & (F.col("pos") > F.col("__last"))
+    return capped.withColumn("outcome", F.when(over, "over_cap").otherwise(F.col("outcome"))).drop("__source", "__last")
 
 
 def run_stats(admitted: DataFrame) -> DataFrame:

@@ -169,4 +169,4 @@ def cards(articles: DataFrame, sources: DataFrame, now: str) -> DataFrame:
 
 def by_date(rows: DataFrame) -> DataFrame:
     """(id, date_key, items): each row with the number of rows of its day."""
-    return rows.withColumn("items", F.count("*").over(Window.partitionBy("date_key"))).select("id", "date_key", "items")
+    return rows.join(rows.groupBy("date_key").agg(F.count("*").alias("items")), "date_key").select("id", "date_key", "items")

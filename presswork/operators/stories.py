@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswork.functions import text as T
+from presswork.operators.settling import settled
 from presswork.operators.visibility import latest_first, ts, visible
 
 
@@ -127,12 +128,12 @@ def strip_shared_openings(articles: DataFrame, passes: int = 4, min_group: int =
     parts = F.split("content_full", "\n\n", passes * 4 + 2)
     later = F.filter(F.transform(F.slice(parts, 2, passes * 4 + 1), T.trimmed), lambda p: p != "")
     rows = articles.select("id", "source_id", F.concat(F.array(T.trimmed(F.get(parts, F.lit(0)))), F.transform(later, lambda p: T.trimmed(T.head_paragraph(p)))).alias("heads"), F.lit(0).alias("stripped"))
-    # A window rather than an aggregate joined back: every pass reads the one before once, so the plan grows in a line.
-    same = Window.partitionBy("source_id", "head")
     for _ in range(passes):
-        now = rows.withColumn("head", F.get("heads", F.col("stripped"))).withColumn("n", F.count("*").over(same))
-        hit = (F.char_length("head") >= min_chars) & (F.col("n") >= min_group) & (F.size("heads") > F.col("stripped") + 1)
-        rows = now.select("id", "source_id", "heads", (F.col("stripped") + F.coalesce(hit, F.lit(False)).cast("int")).alias("stripped"))
+        # Settled, as a pass reads the rows twice: to count the openings, on the map side first, and to look up the few shared ones.
+        now = settled(rows.withColumn("head", F.get("heads", F.col("stripped"))))
+        shared = now.filter(F.char_length("head") >= min_chars).groupBy("source_id", "head").agg(F.count("*").alias("n")).filter(F.col("n") >= min_group)
+        hit = F.col("n").isNotNull() & (F.size("heads") > F.col("stripped") + 1)
+        rows = now.join(shared, ["source_id", "head"], "left").select("id", "source_id", "heads", (F.col("stripped") + hit.cast("int")).alias("stripped"))
     cut = articles.select("id", "content_full").join(rows.select("id", "stripped"), "id")
     rest = F.aggregate(F.sequence(F.lit(1), F.col("stripped")), F.col("content_full"), lambda t, _: T.without_head(t))
     return cut.select("id", F.when(F.col("stripped") > 0, rest).otherwise(F.col("content_full")).alias("content_full"), "stripped")

@@ -8,22 +8,28 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswork.llm import line_dedup, mixing, packing, quality_rules, simhash
 from presswork.llm.common import checkpoint_dir, read_documents
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one, so that none clashes with an operator's own."""
+    return F.struct("*").alias("__row")
+
+
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep."""
-    return quality_rules.judge(docs).filter("kept").select(*docs.columns)
+    return quality_rules.judge(docs.select("text", "lang", whole_row(docs)), carry=["__row"]).filter("kept").select("__row.*")
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without the lines that many share; n_chars follows the text. A document that loses all its lines goes."""
-    out = line_dedup.drop_shared_lines(docs).filter((F.col("n_dropped") == 0) | (F.col("text") != ""))
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    out = line_dedup.drop_shared_lines(docs.select("doc_id", "text", whole_row(docs))).filter((F.col("n_dropped") == 0) | (F.col("text") != ""))
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return out.select(*[new.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

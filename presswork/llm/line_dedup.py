@@ -49,8 +49,9 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -
     Keys of at least ``min_chars`` code points found in at least ``min_docs`` distinct doc_ids
     lose all their lines except those in the largest doc_id (a null id is the smallest).
     A document may lose all its lines: its text is then empty. Repeated rows are kept, and each
-    loses its lines; other columns are kept as they are. An empty table gives an empty result.
+    loses its lines; other columns are kept as they are, but for those with a result's name, which are replaced. An empty table gives an empty result.
     """
+    docs = docs.drop("n_lines", "n_dropped")
     lost = shared_lines(docs, min_chars, min_docs).select(F.col("row_id").alias("__row_id"), F.col("row_hash").alias("__row_hash"), F.col("drop").alias("__drop"))
     keyed = docs.withColumns({"__id": id_key(), "__hash": F.xxhash64(text_of())})
     found = keyed.join(lost, (F.col("__id") == F.col("__row_id")) & (F.col("__hash") == F.col("__row_hash")), "left")

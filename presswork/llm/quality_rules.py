@@ -145,8 +145,9 @@ def judge(docs: DataFrame, max_classes: float = 0.22, max_common: float = 0.36,
     base_failed; class_distance above ``max_classes`` from ``min_chars`` characters in words on; common_distance above
     ``max_common``, or both distances together above ``max_sum``, from ``min_words`` words on. Null and empty texts have no words and fail the base rules. Without
     references (no sound document of such a language) the base rules decide alone. Repeated rows are judged each.
-    ``carry`` names the columns of ``docs`` that the result keeps (default: all).
+    ``carry`` names the columns of ``docs`` that the result keeps (default: all); columns with a result's name are replaced.
     """
+    docs = docs.drop(*VERDICT, "classes", "common")
     carried = docs.columns if carry is None else carry
     measured = settled(measures(docs).select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carried, "lang"])], *MEASURES, "classes", "common"))
     known = references(measured)

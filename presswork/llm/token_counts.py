@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import byte_slices, id_back, id_key, settled, text_of
+from presswork.llm.common import byte_slices, id_back, id_key, text_of
 from presswork.llm.tokens import encoder
 
 #: Distinct pre-tokens that a task gathers before it hands them on.

@@ -46,6 +46,17 @@ def test_stages_on_odd_rows(spark, tmp_path):
             docs = spark.read.parquet(str(tmp_path / f"{n}{name}"))
 
 
+def test_clashing_columns(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40).selectExpr("*", "'x' as kept", "1 as n_lines", "2 as size", "3 as target", "4 as fp", "5 as component_id", "6 as copies", "7 as n_words", "8 as classes")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        stage(spark, docs, sf).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == columns and docs.filter("kept <> 'x' or n_lines <> 1 or size <> 2 or classes <> 8").count() == 0
+
+
 def test_oracles(spark, sf):
     import duckdb
 

@@ -141,7 +141,7 @@ def linked_pairs(distinct: DataFrame, radius: int = 4, blocks: int = 5, tile_row
     """Edges (a, b) that join every two of the distinct fingerprints ``fp`` within the radius, directly or over others.
 
     ``blocks`` above radius + 1 means longer keys and so smaller tiles for very
-    many fingerprints: 5 keeps tiles at ``tile_rows`` up to 16 million, 6 up to 4 billion.
+    many fingerprints: 5 keeps tiles at ``tile_rows`` up to 8 million of them, 6 up to 2 billion.
     """
     total = distinct.count()
     narrow = (64 // blocks) * (blocks - radius)

@@ -237,7 +237,7 @@ def brief_text_render(spark, sf):
     return reading.brief_text(brief_sections(spark, sf))
 
 
-@query()
+@query(long_sql.story_cards())
 def story_cards(spark, sf):
     return reading.cards(articles(spark, sf), sources(spark, sf), NOW)
 

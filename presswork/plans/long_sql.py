@@ -111,3 +111,15 @@ def report_html() -> str:
 def enrichment() -> str:
     return """WITH p AS (SELECT id, length('Is this about news? ' || title || chr(10) || substr(content_full, 1, 4000)) AS n FROM a WHERE status = 'pending')
 SELECT id, (n % 3 <> 0)::int AS relevance, CASE WHEN n % 3 <> 0 THEN (n % 101)::int END AS score, 'processed' AS status FROM p"""
+
+
+def story_cards() -> str:
+    latin = "length(regexp_replace(substr(content_full, 1, 400), '[^A-Za-z]', '', 'g'))"
+    return f"""WITH c AS (SELECT *, {trimmed('content_full')} AS t, (epoch(timestamp '2024-01-31') - epoch(published_at))::bigint AS sec FROM rep)
+SELECT c.id, coalesce(nullif(title, ''), 'untitled') AS title, coalesce(s.name, 'unknown') AS source, split_part(split_part(link, '://', 2), '/', 1) AS host,
+  strftime(published_at, '%H:%M') AS time, strftime(published_at, '%Y-%m-%d') AS date_key,
+  CASE WHEN sec < 0 THEN '' WHEN sec < 60 THEN 'just now' WHEN sec < 3600 THEN (sec // 60)::varchar || ' min ago' WHEN sec < 86400 THEN (sec // 3600)::varchar || ' h ago'
+    WHEN sec < 604800 THEN (sec // 86400)::varchar || ' d ago' ELSE strftime(published_at, '%Y-%m-%d') END AS age,
+  CASE WHEN length(t) <= 120 THEN t ELSE regexp_replace(substr(t, 1, 120), '{BLANK}+$', '') || '…' END AS lead,
+  replace(tags, ', ', '|') AS tag_list, status <> 'processed' AND {latin} > 40 AS degraded, status = 'pending' AS pending
+FROM c LEFT JOIN s ON c.source_id = s.id"""

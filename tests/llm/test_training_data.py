@@ -39,7 +39,7 @@ ODD = [
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame(ODD, SCHEMA).cache()
+    return spark.createDataFrame(ODD, SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -49,7 +49,7 @@ def nothing(spark):
 
 @pytest.fixture(scope="module")
 def docs(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet").cache()
+    return spark.read.parquet(f"{sf}/documents.parquet")
 
 
 def texts_of(df):

@@ -119,7 +119,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_4
         own = f"{base}/.part-{part:06d}-{task.taskAttemptId()}"
         with store.open_output_stream(own) as out:
             _, counts = write_frames(out, documents(), level)
-        store.move(own, path)
+        # A repeated task finds the whole file of the one before it, with the same bytes: not every store renames over a file.
+        if store.get_file_info(path).type == fs.FileType.NotFound:
+            store.move(own, path)
+        else:
+            store.delete_file(own)
         yield pd.DataFrame({"part": [part], "path": [path], "n_docs": [len(counts)], "n_tokens": [sum(counts)]})
 
     return settled(ordered.mapInPandas(run, "part long, path string, n_docs long, n_tokens long"))

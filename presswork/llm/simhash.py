@@ -35,22 +35,27 @@ _SPLIT = {ord(c): " " for c in SPACE_CHARS}
 _FLUSH = 1 << 16
 
 
-def text_fingerprint(text: str | None, width: int = 4) -> int:
-    """SimHash of the text's word shingles, repeats included; 0 when it has no word."""
+def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """64-bit hashes of the text's shingles of ``width`` words, in order, repeats included; a shorter text is one shingle."""
     words = (text or "").translate(_LOWER | _SPLIT).split(" ")
     words = [w.encode("utf-8", "surrogatepass") for w in words if w]
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     spans = max(1, len(words) - width + 1)
     tops = ends[min(width, len(words)) - 1 :]
-    votes, seen = np.zeros(64, np.int64), 0
     digest = xxhash.xxh64_intdigest
     for at in range(0, spans, _FLUSH):
         pairs = zip(starts[at : min(spans, at + _FLUSH)].tolist(), tops[at : at + _FLUSH].tolist())
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in pairs], dtype="<u8")
+        yield np.array([digest(joined[a:b], SEED) for a, b in pairs], dtype="<u8")
+
+
+def text_fingerprint(text: str | None, width: int = 4) -> int:
+    """SimHash of the text's word shingles, repeats included; 0 when it has no word."""
+    votes, seen = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, width):
         votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         seen += len(hashes)
     bits = np.packbits(votes * 2 > seen, bitorder="little")

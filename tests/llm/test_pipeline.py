@@ -70,3 +70,37 @@ def test_oracles(spark, sf):
         order = [d[0] for d in found.description]
         assert sorted(order) == sorted(df.columns)
         assert sorted(map(repr, (tuple(r[c] for c in order) for r in df.collect()))) == sorted(map(repr, found.fetchall()))
+
+
+def test_near_copies_of_five_words(spark):
+    """Planted copies of similarity 0.8 to 0.95 go, those below stay; small chunks find the same."""
+    import random
+
+    import corpus_pipeline
+    from presswork.llm import shingle_dedup
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    draw, rows = random.Random(1), []
+    for n in range(40):
+        words = [f"w{draw.randrange(5000)}" for _ in range(400)]
+        for k, edits in enumerate((0, 3, 5, 8, 20, 30)):
+            copy = list(words)
+            for at in draw.sample(range(0, 390, 10), edits):
+                copy[at + 5] = f"new{draw.randrange(10**6)}"
+            rows.append((10 * n + k, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    by_base = [[10 * n + k for k in range(6)] for n in range(40)]
+    assert sum(0.8 <= alike(g[0], x) < 0.95 for g in by_base for x in g[1:]) >= 80
+    for g in by_base:
+        left = [x for x in g if x in kept]
+        assert g[0] in kept and all(alike(a, b) < 0.8 for a in left for b in left if a < b)
+        assert all(any(alike(x, y) >= 0.8 for y in g if y < x) for x in g if x not in kept)
+    assert kept >= {10 * n + 5 for n in range(40)}
+    small = shingle_dedup.keep_unlike(docs, chunk_rows=2)
+    assert {r["doc_id"] for r in small.collect()} == kept

@@ -8,7 +8,8 @@ weighted product of a piece and the capacities left instead.
 
 Packing runs per shard of pieces. Only sequences that are nearly full are
 closed; the pieces of the others meet in fewer shards in the next round, until
-one shard of bounded size is left.
+one shard of bounded size is left, or until shards of the greatest size no
+longer close half of the pieces: then all their sequences are final as they are.
 """
 
 from __future__ import annotations
@@ -113,9 +114,11 @@ def _placer(capacity: int, max_docs: int, cost: float, rule: str, full: float, l
 def pack(pieces: DataFrame, capacity: int = 2048, max_docs: int = 1024, max_cost: float | None = None, rule: str = "norm", shard_pieces: int = 8192, full: float = 0.995) -> DataFrame:
     """``pieces`` with sequence_id and offset: no sequence exceeds ``capacity`` tokens, ``max_docs`` pieces or ``max_cost``.
 
-    ``max_cost`` bounds the sum of squared piece lengths (default capacity squared, which the tokens imply).
+    ``max_cost`` bounds the sum of squared piece lengths (default capacity squared, which the tokens imply). Shards have ``shard_pieces`` pieces on average, at most four times as many
+    where pieces fit badly.
     A piece has 1 to ``capacity`` tokens. Offsets run gapless from 0 in each sequence.
     """
+    largest = 4 * shard_pieces
     cost = float(capacity) ** 2 if max_cost is None else float(max_cost)
     columns = _PACKED
     schema = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, closed boolean"
@@ -135,7 +138,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, max_docs: int = 1024, max_cost
         left = placed.filter("not closed").select(*columns[:6])
         before, n_left, level = n_left, left.count(), level + 1
         if n_left > 0.5 * before:  # few sequences come near full at this shard size: fewer, larger shards
-            shard_pieces *= 2
+            if shard_pieces >= largest and n_left > shard_pieces:
+                done.append(placed.filter("not closed").select(*columns))
+                break
+            shard_pieces = min(largest, 2 * shard_pieces)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -265,6 +265,24 @@ def test_packing_is_whole_and_tight(which, request):
         assert len(by_seq) <= -(-sum(r["length"] for r in rows) // 2048) + 2
 
 
+def placed_sizes(spark, lengths, **parameters):
+    """(pieces of each shard, number of sequences) of single-piece documents."""
+    pieces = spark.createDataFrame([(i, i, 0, 0, n, 0) for i, n in enumerate(lengths)], "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.pack(pieces, **parameters).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(len(lengths)))
+    sums = collections.Counter()
+    for r in rows:
+        sums[r["sequence_id"]] += r["length"]
+    assert max(sums.values()) <= 2048
+    return collections.Counter(r["sequence_id"] >> 24 for r in rows), len(sums)
+
+
+def test_packing_keeps_pieces_that_never_pair_distributed(spark):
+    lengths = [1030 + i % 900 for i in range(1500)] + [400] * 100
+    shards, sequences = placed_sizes(spark, lengths, shard_pieces=32)
+    assert max(shards.values()) <= 256 and sequences == 1500
+
+
 def test_packing_nothing(nothing):
     assert packing.pack_documents(nothing).count() == 0
 

@@ -111,13 +111,15 @@ def _placer(capacity: int, max_docs: int, cost: float, rule: str, full: float, l
     return place
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, max_docs: int = 1024, max_cost: float | None = None, rule: str = "norm", shard_pieces: int = 8192, full: float = 0.995) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, max_docs: int | None = None, max_cost: float | None = None, rule: str = "norm", shard_pieces: int = 8192, full: float = 0.995) -> DataFrame:
     """``pieces`` with sequence_id and offset: no sequence exceeds ``capacity`` tokens, ``max_docs`` pieces or ``max_cost``.
 
-    ``max_cost`` bounds the sum of squared piece lengths (default capacity squared, which the tokens imply). Shards have ``shard_pieces`` pieces on average, at most four times as many
+    ``max_docs`` defaults to the capacity and ``max_cost``, the bound of the sum of squared piece lengths, to its
+    square; both are implied by the tokens. Shards have ``shard_pieces`` pieces on average, at most four times as many
     where pieces fit badly.
     A piece has 1 to ``capacity`` tokens. Offsets run gapless from 0 in each sequence.
     """
+    max_docs = capacity if max_docs is None else max_docs
     largest = 4 * shard_pieces
     cost = float(capacity) ** 2 if max_cost is None else float(max_cost)
     columns = _PACKED

@@ -283,6 +283,14 @@ def test_packing_keeps_pieces_that_never_pair_distributed(spark):
     assert max(shards.values()) <= 256 and sequences == 1500
 
 
+def test_packing_one_token_pieces_fill_sequences(spark, nothing):
+    empty = spark.range(12_000).selectExpr("id as doc_id", "if(id % 2 = 0, null, '') as text")
+    rows = packing.pack_documents(empty, shard_pieces=3000).groupBy("sequence_id").count().collect()
+    assert sum(r["count"] for r in rows) == 12_000 and len(rows) == 6
+    tight = packing.pack_documents(empty.limit(100), max_docs=10).groupBy("sequence_id").count().collect()
+    assert len(tight) == 10
+
+
 def test_packing_nothing(nothing):
     assert packing.pack_documents(nothing).count() == 0
 

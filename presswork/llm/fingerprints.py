@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,10 +68,10 @@ def fingerprint(text: str, size: int = 64, k: int = 16, s: int = 6) -> np.ndarra
 
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int = 64) -> float:
-    """The part (0 to 1) that two texts have in common, by anchors that agree in value and in relative position.
+    """The part (0 to 1) that two texts have in common, by anchors that agree in value and in order of position.
 
-    Of the ``size`` smallest values of both together, those in both with the same shift between their
-    places as most others have, as a share J; the result is 2J / (1 + J), which for two texts of equal
+    Of the ``size`` smallest values of both together, those in both that follow each other in both texts
+    (the longest such chain, so that insertions and deletions lose only the anchors they touch), as a share J; the result is 2J / (1 + J), which for two texts of equal
     length is the share of each that is in the other.
     """
     values = np.union1d(a["value"], b["value"])[:size]
@@ -78,8 +79,12 @@ def likeness(a: np.ndarray, b: np.ndarray, size: int = 64) -> float:
     inside = both <= values[-1]
     if not inside.any():
         return 0.0
-    shift = a["at"][ia[inside]].astype(np.int64) - b["at"][ib[inside]].astype(np.int64)
-    j = int(np.unique(shift, return_counts=True)[1].max()) / len(values)
+    order = np.argsort(a["at"][ia[inside]])
+    chain: list[int] = []
+    for at in b["at"][ib[inside]][order].tolist():
+        i = bisect_left(chain, at)
+        chain[i : i + 1] = [at]
+    j = len(chain) / len(values)
     return 2 * j / (1 + j)
 
 

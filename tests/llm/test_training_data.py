@@ -385,6 +385,23 @@ def test_fingerprints_of_one_and_of_none(spark, nothing):
     assert fingerprints.fingerprint_pairs(nothing).count() == 0
 
 
+def test_likeness_survives_insertions_and_deletions(spark):
+    rng = np.random.default_rng(5)
+    words = [f"word{n}" for n in rng.integers(0, 3000, 1132)]
+    print_of = lambda w: fingerprints.fingerprint(" ".join(w))
+    for n, least in ((1, 0.97), (3, 0.93), (9, 0.85)):
+        more, less = list(words), list(words)
+        for at in sorted(rng.choice(1100, n, replace=False).tolist(), reverse=True):
+            more.insert(at, "inserted")
+            del less[at]
+        assert fingerprints.likeness(print_of(words), print_of(more)) >= least
+        assert fingerprints.likeness(print_of(less), print_of(words)) >= least
+        pair = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(more))], "doc_id long, text string")
+        assert all(r["near_next"] >= least for r in fingerprints.fingerprint_pairs(pair).collect())
+    swapped = fingerprints.likeness(print_of(words), print_of(words[566:] + words[:566]))
+    assert 0.4 < swapped < 0.85
+
+
 def test_syncmers_are_context_free():
     text = " ".join(f"word{i * 7919 % 1000}" for i in range(400))
     values, at = fingerprints.syncmers(text)

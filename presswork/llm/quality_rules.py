@@ -61,7 +61,8 @@ def repeated_words(words: Column, width: int = 8) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the histograms ``classes`` and ``common``."""
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the histograms ``classes`` and ``common``,
+    and ``foreign``: at least half of the characters in words are letters of another script than Latin."""
     text = text_of()
     trimmed = F.btrim(text, F.lit(SPACE_CHARS))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE + "+"))
@@ -81,6 +82,8 @@ def measures(docs: DataFrame) -> DataFrame:
     other = F.col("__chars") - sum(known[1:], known[0])
     per_word = [F.char_length("__w.codes") - F.char_length(F.replace("__w.codes", F.lit(CODES[w]), F.lit(""))) for w in WORDS]
     common = F.array(*[n.cast("long") for n in per_word], (F.col("__w.n_words") - F.char_length("__w.codes")).cast("long"))
+    # Texts of one byte a character, nearly, are not searched.
+    letters = F.when(2 * F.octet_length(text) > 3 * F.col("__chars"), F.regexp_count(text, F.lit(r"[\p{L}\p{M}&&[^\p{IsLatin}]]"))).otherwise(0)
     return out.select(
         *docs.columns,
         F.col("__w.n_words").alias("n_words"),
@@ -90,6 +93,7 @@ def measures(docs: DataFrame) -> DataFrame:
         F.col("__w.n_repeat_words").alias("n_repeat_words"),
         F.array(*known, other).alias("classes"),
         common.alias("common"),
+        ((F.col("__chars") > F.col("__space")) & (2 * letters >= F.col("__chars") - F.col("__space"))).alias("foreign"),
     )
 
 
@@ -134,6 +138,16 @@ def references(measured: DataFrame, min_words: int = 60, max_classes: float = 0.
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Labels that name no language.
+NO_LANGUAGE = ("", "und", "unk", "unknown", "xx")
+
+
+def without_reference(known: list[str]) -> Column:
+    """Whether a document's language has no reference: its ``lang`` names another one, or its script is not Latin."""
+    code = F.lower(F.regexp_extract(F.coalesce(F.col("lang"), F.lit("")), "^[A-Za-z]*", 0))
+    return F.col("foreign") | ~code.isin(*known, *NO_LANGUAGE)
+
+
 VERDICT = (*MEASURES, "class_distance", "common_distance", "base_failed", "kept")
 
 
@@ -141,15 +155,17 @@ def judge(docs: DataFrame, max_classes: float = 0.22, max_common: float = 0.36,
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance, common_distance, base_failed, kept.
 
     References are the corpus's own, one for each language of ``COMMON_WORDS``; a document's distances are those to the
-    language whose sum of distances is least, whatever its ``lang`` says (null and unknown languages too). Not kept:
+    language whose sum of distances is least (null and unknown languages too). Where its language has no reference (``lang``
+    names another language, or half of the characters in words are letters of another script), the base rules decide alone,
+    as distances to other languages say nothing about it. Not kept:
     base_failed; class_distance above ``max_classes`` from ``min_chars`` characters in words on; common_distance above
     ``max_common``, or both distances together above ``max_sum``, from ``min_words`` words on. Null and empty texts have no words and fail the base rules. Without
     references (no sound document of such a language) the base rules decide alone. Repeated rows are judged each.
     ``carry`` names the columns of ``docs`` that the result keeps (default: all); columns with a result's name are replaced.
     """
-    docs = docs.drop(*VERDICT, "classes", "common")
+    docs = docs.drop(*VERDICT, "classes", "common", "foreign")
     carried = docs.columns if carry is None else carry
-    measured = settled(measures(docs).select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carried, "lang"])], *MEASURES, "classes", "common"))
+    measured = settled(measures(docs).select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carried, "lang"])], *MEASURES, "classes", "common", "foreign"))
     known = references(measured)
     pairs = [F.struct((divergence(F.col("classes"), c) + divergence(F.col("common"), w)).alias("sum"), divergence(F.col("classes"), c).alias("classes"), divergence(F.col("common"), w).alias("common")) for c, w in known.values()]
     judged = measured.withColumn("base_failed", base_failed())
@@ -159,4 +175,5 @@ def judge(docs: DataFrame, max_classes: float = 0.22, max_common: float = 0.36,
     nearest = F.array_min(F.array(*pairs))
     judged = judged.withColumn("__d", nearest).withColumns({"class_distance": F.col("__d.classes"), "common_distance": F.col("__d.common")})
     odd = ((F.col("word_chars") >= min_chars) & (F.col("class_distance") > max_classes)) | ((F.col("n_words") >= min_words) & ((F.col("common_distance") > max_common) | (F.col("class_distance") + F.col("common_distance") > max_sum)))
+    odd = odd & ~without_reference(list(known))
     return judged.withColumn("kept", ~F.col("base_failed") & ~odd).select(*carried, *VERDICT)

@@ -218,6 +218,18 @@ def test_quality_rules_keep_clean_and_drop_junk(spark, nothing):
     assert quality_rules.judge(nothing).count() == 0
 
 
+def test_quality_rules_leave_languages_without_reference_to_the_base_rules(spark, docs):
+    rng = np.random.default_rng(3)
+    draw = lambda letters, n: " ".join("".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(n))
+    russian, chinese, polish = draw("абвгдежзиклмнопрст", 150), draw("的一是不了人我在有他这中大来上国", 150), draw("aąbcćdeęłnopśtuwyzż", 150)
+    junk = " ".join("".join(rng.choice(list("#*$%&|<>!XQZ"), 6)) for _ in range(150))
+    rows = [(-1, russian, "ru"), (-2, russian, None), (-3, chinese, "zh"), (-4, chinese, "en"), (-5, polish, "pl-PL"), (-6, junk, "en"), (-7, junk, None), (-8, "слово " * 200, "ru"), (-9, junk, "en-US"), (-10, junk, "und")]
+    extra = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    both = docs.select("doc_id", "text", "lang").unionByName(extra)
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(both).filter("doc_id < 0").collect()}
+    assert {i for i, k in kept.items() if k} == {-1, -2, -3, -4, -5}
+
+
 def test_divergence_is_jensen_shannon(spark):
     p, q = np.array([3, 0, 5, 2.0]), [10, 20, 0, 30]
     got = spark.createDataFrame([([3, 0, 5, 2],)], "h array<long>").select(quality_rules.divergence(F.col("h"), q)).first()[0]

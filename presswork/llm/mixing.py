@@ -7,9 +7,10 @@ drawn with the cube method: the probabilities move through the null space of
 the constraints (sum of words, number of documents) until they are 0 or 1, so
 both totals stay at their expectation, and only a small landing problem remains.
 
-The flight runs per (source, shard); each leaves a few open units, the smallest
-documents among them, which meet in fewer shards in the next round. The last round, one shard per source,
-also lands: the open units are rounded so that the words come nearest the target.
+The flight runs per (source, shard); each leaves a few open units, small
+documents of unlike sizes, which meet in fewer shards in the next round. The last round, one shard per source,
+also lands: of all selections of its open units (18 at most) the one is taken whose words come nearest the
+target, and then swaps of two documents bring them nearer still where any does.
 """
 
 from __future__ import annotations
@@ -62,44 +63,54 @@ def flight(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
     return np.array(q)
 
 
-def close_largest(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """As ``flight``, for a few units: each step moves the largest open unit, and all others a little so that both sums stay.
+def spread_spares(n_units: int, n_spares: int) -> np.ndarray:
+    """Places of the units that move last, in an order of falling size: the smallest one and others evenly spread over the lower half.
 
-    The direction is that unit's axis projected onto the null space of the constraints, so the smallest units stay open to the end.
+    Small and unlike sizes let their sums come near any number of words.
     """
-    p = p.astype(float).copy()
-    turn = 0
-    while True:
-        p = np.where(p < EPS, 0.0, np.where(p > 1 - EPS, 1.0, p))
-        left = np.flatnonzero((p > 0) & (p < 1))
-        if len(left) < 3:
-            return p
-        a = np.stack((np.ones(len(left)), size[left] / max(1.0, float(size[left].max()))))
-        k = int(np.argmax(size[left]))
-        u = -(np.linalg.pinv(a) @ a[:, k])
-        u[k] += 1
-        if np.abs(u).max() < 1e-7:  # that unit's size is like no other's: another one moves
-            u = np.linalg.svd(a)[2][-1]
-        u[np.abs(u) < 1e-12] = 0
-        rise, fall = u > 0, u < 0
-        q = p[left]
-        forth = min(((1 - q[rise]) / u[rise]).min(initial=np.inf), (-q[fall] / u[fall]).min(initial=np.inf))
-        back = min((q[rise] / u[rise]).min(initial=np.inf), ((q[fall] - 1) / u[fall]).min(initial=np.inf))
-        p[left] = np.clip(q + (forth if draws[left[turn % len(left)]] < back / (forth + back) else -back) * u, 0, 1)
-        turn += 1
+    return np.unique(np.linspace(n_units - 1, min(n_units // 2, max(0, n_units - n_spares)), n_spares).astype(int))
 
 
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The open units (a few) rounded so that the sum of words comes nearest its expectation, then the number of documents."""
+    """The open units (a few) rounded so that the sum of words comes nearest its expectation, then the number of documents.
+
+    All selections of the open units are looked at.
+    """
     p = p.copy()
     left = np.flatnonzero((p > EPS) & (p < 1 - EPS))
     if len(left):
         words, units = float((p[left] * size[left]).sum()), float(p[left].sum())
-        options = [np.array([(n >> i) & 1 for i in range(len(left))], float) for n in range(1 << len(left))]
-        p[left] = min(options, key=lambda o: (abs((o * size[left]).sum() - words), abs(o.sum() - units)))
+        sums, counts = np.zeros(1), np.zeros(1)
+        for s in size[left].tolist():
+            sums, counts = np.concatenate((sums, sums + s)), np.concatenate((counts, counts + 1))
+        # Words are whole, so errors that differ by less than a word's rounding count as equal, and documents decide.
+        off = np.abs(sums - words)
+        near = np.flatnonzero(off <= off.min() + 1e-6)
+        best = int(near[np.argmin(np.abs(counts[near] - units))])
+        p[left] = (best >> np.arange(len(left))) & 1
     return np.round(p)
 
 
+def swap(p: np.ndarray, size: np.ndarray, error: float, swaps: int = 64) -> np.ndarray:
+    """While it brings the words nearer (``error``: taken less wanted), the best swap of a taken for an untaken unit; the number of documents stays."""
+    p = p.copy()
+    for _ in range(swaps):
+        taken, free = np.flatnonzero(p == 1), np.flatnonzero(p == 0)
+        if abs(error) < 1 or not len(taken) or not len(free):
+            break
+        free = free[np.argsort(size[free], kind="stable")]
+        wanted = size[taken] - error
+        at = np.searchsorted(size[free], wanted)
+        sides = np.stack((np.clip(at - 1, 0, len(free) - 1), np.clip(at, 0, len(free) - 1)))
+        off = np.abs(size[free][sides] - wanted)
+        side, k = np.unravel_index(int(np.argmin(off)), off.shape)
+        new = error - size[taken[k]] + size[free[sides[side, k]]]
+        if abs(new) >= abs(error) - 1e-9:
+            break
+        p[taken[k]], p[free[sides[side, k]]], error = 0, 1, new
+    return p
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """(source, source_size, target): ``sizes`` is (source, source_size), one row a source.
 
@@ -132,8 +143,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
 _UNIT = ["doc_id", "source", "size", "source_size", "target", "whole", "draw", "p"]
 
 
-#: So many of a group's smallest documents move last: in a shard they stay open for the next round.
-SPARE_SHARD, SPARE_LAST = 8, 64
+#: So many of a group's documents move last: in a shard they stay open for the next round, in the end all selections of them are tried.
+SPARE_SHARD, SPARE_LAST = 10, 16
 
 
 def _fly(last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -143,10 +154,15 @@ def _fly(last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
         pdf = pdf.sort_values(["size", "draw", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
         size = pdf["size"].to_numpy()
         draws = (pdf["draw"].to_numpy() * 32749) % 1
-        most = max(0, len(pdf) - (SPARE_LAST if last else SPARE_SHARD))
-        p = pdf["p"].to_numpy().copy()
-        p[:most] = flight(p[:most], size[:most], draws[:most])
-        pdf["p"] = land(close_largest(p, size, draws), size) if last else p
+        first = pdf["p"].to_numpy()
+        moving = np.ones(len(pdf), bool)
+        moving[spread_spares(len(pdf), SPARE_LAST if last else SPARE_SHARD)] = False
+        p = first.copy()
+        p[moving] = flight(p[moving], size[moving], draws[moving])
+        if last:
+            p = land(p, size)
+            p = swap(p, size, float(((p - first) * size).sum()))
+        pdf["p"] = p
         return pdf[_UNIT]
 
     return fly

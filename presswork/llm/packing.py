@@ -51,7 +51,12 @@ def token_pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
     return keyed.mapInPandas(run, schema)
 
 
-def best_fit(sizes: np.ndarray, capacity: int, max_docs: int, max_cost: float, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 1e-4, 1e-3)) -> np.ndarray:
+#: How much tokens, documents and attention cost count in choosing a sequence. Where only tokens bind, as with the default
+#: capacities, the other two only break ties; with a binding number of documents or cost, like weights save sequences.
+WEIGHTS = (1.0, 1e-4, 1e-3)
+
+
+def best_fit(sizes: np.ndarray, capacity: int, max_docs: int, max_cost: float, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> np.ndarray:
     """The bin of each size; ``sizes`` must come largest first.
 
     A piece that alone exceeds the cost gets a bin of its own. Bins that can't take the smallest piece any more are closed.
@@ -91,13 +96,13 @@ def best_fit(sizes: np.ndarray, capacity: int, max_docs: int, max_cost: float, r
 _PACKED = ["doc_id", "row", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
-def _placer(capacity: int, max_docs: int, cost: float, rule: str, full: float, last: bool, level: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+def _placer(capacity: int, max_docs: int, cost: float, rule: str, weights: tuple[float, float, float], full: float, last: bool, level: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     """Packs one shard; ``closed`` tells whether a piece's sequence is final."""
 
     def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "row"], ascending=[False, True, True, True], ignore_index=True)
         size = pdf["length"].to_numpy()
-        bins = best_fit(size, capacity, max_docs, cost, rule)
+        bins = best_fit(size, capacity, max_docs, cost, rule, weights)
         pdf["closed"] = last | (np.bincount(bins, weights=size)[bins] >= full * capacity)
         order = np.argsort(bins, kind="stable")
         begin = np.cumsum(size[order]) - size[order]
@@ -111,7 +116,7 @@ def _placer(capacity: int, max_docs: int, cost: float, rule: str, full: float, l
     return place
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, max_docs: int | None = None, max_cost: float | None = None, rule: str = "norm", shard_pieces: int = 8192, full: float = 0.995) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, max_docs: int | None = None, max_cost: float | None = None, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS, shard_pieces: int = 8192, full: float = 0.995) -> DataFrame:
     """``pieces`` with sequence_id and offset: no sequence exceeds ``capacity`` tokens, ``max_docs`` pieces or ``max_cost``.
 
     ``max_docs`` defaults to the capacity and ``max_cost``, the bound of the sum of squared piece lengths, to its
@@ -131,7 +136,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, max_docs: int | None = None, m
         shards = max(1, math.ceil(n_left / shard_pieces))
         last = shards == 1
 
-        placed = left.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "row", F.lit(level)), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(_placer(capacity, max_docs, cost, rule, full, last, level), schema)
+        placed = left.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "row", F.lit(level)), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(_placer(capacity, max_docs, cost, rule, weights, full, last, level), schema)
         if last:
             done.append(placed.select(*columns))
             break

@@ -344,6 +344,50 @@ def test_packing_keeps_pieces_that_never_pair_distributed(spark):
     assert max(shards.values()) <= 256 and sequences == 1500
 
 
+def test_packing_many_pieces_that_never_pair(spark):
+    shards, sequences = placed_sizes(spark, [1500] * 10_000, shard_pieces=64)
+    assert max(shards.values()) <= 2 * 4 * 64 and sequences == 10_000
+
+
+def fewest_bins(sizes, capacity, most):
+    """The least number of bins of a small set, by trying every bin for every piece."""
+    best = len(sizes)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(sizes):
+            best = len(bins)
+            return
+        for i, (total, n) in enumerate(bins):
+            if total + sizes[k] <= capacity and n < most and bins.index((total, n)) == i:
+                place(k + 1, [*bins[:i], (total + sizes[k], n + 1), *bins[i + 1 :]])
+        place(k + 1, [*bins, (sizes[k], 1)])
+
+    place(0, [])
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 100), min_size=1, max_size=8), st.integers(1, 8))
+def test_best_fit_is_near_the_fewest(sizes, most):
+    sizes = np.array(sorted(sizes, reverse=True))
+    made = packing.best_fit(sizes, 100, most, 1e4).max() + 1
+    assert made <= 1.7 * fewest_bins(sizes.tolist(), 100, most)
+    if most >= len(sizes):
+        assert made <= 11 * fewest_bins(sizes.tolist(), 100, most) / 9 + 1
+
+
+def test_vector_rule_saves_sequences_where_a_second_capacity_binds():
+    def made(sizes, most, cost, weights):
+        return packing.best_fit(np.array(sizes), 100, most, cost, "norm", weights).max() + 1
+
+    assert [made([73, 35, 28, 26, 14, 10], 3, 1e4, w) for w in ((1, 0, 0), (1, 1, 0))] == [3, 2]
+    assert [made([92, 89, 62, 29, 11, 8, 3, 1, 1], 4, 1e4, w) for w in ((1, 0, 0), (1, 1, 0))] == [4, 3]
+    assert [made([75, 39, 37, 26, 26, 24, 24, 17, 16, 15, 13, 12, 12, 10, 9, 6], 100, 3000, w) for w in ((1, 0, 0), (1, 0, 1))] == [5, 4]
+
+
 def test_packing_one_token_pieces_fill_sequences(spark, nothing):
     empty = spark.range(12_000).selectExpr("id as doc_id", "if(id % 2 = 0, null, '') as text")
     rows = packing.pack_documents(empty, shard_pieces=3000).groupBy("sequence_id").count().collect()

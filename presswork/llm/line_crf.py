@@ -4,7 +4,7 @@ Every line is good or bad. A line's features describe it and its neighbours;
 the chain's transitions tie neighbouring lines together. Forward-backward gives
 each line's probability of being good, and their mean weighted by line length
 is the document's score. Labels are known for documents only, so in fitting all
-lines of a document carry its label.
+lines of a document carry its label; chains are never cut, in fitting or scoring.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ FEATURES = OWN + 2 * (OWN - 1)
 MODEL = FEATURES + 4
 
 
-def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, lengths, number of lines of each text) of all lines of the texts."""
+def own_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of the line itself, lengths, number of lines of each text) of all lines of the texts."""
     lines = [t.split("\n") for t in texts]
     counts = np.array([len(x) for x in lines])
     data = np.frombuffer("\n".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
@@ -63,31 +63,61 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
                 own[at, 15] = 1
             own[at, 16] = n < 4
             at += 1
-    before, after = np.zeros((total, OWN - 1)), np.zeros((total, OWN - 1))
+    return own, length, counts
+
+
+def with_neighbours(own: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+    """Each line's own features and those of the lines before and after it in its text (``counts``: lines of each text; default: one text)."""
+    counts = np.array([len(own)]) if counts is None else counts
+    before, after = np.zeros((len(own), OWN - 1)), np.zeros((len(own), OWN - 1))
     before[1:], after[:-1] = own[:-1, 1:], own[1:, 1:]
     first = np.concatenate(([0], np.cumsum(counts)[:-1]))
     before[first], after[first + counts - 1] = 0, 0
-    return np.hstack((own, before, after)), length, counts
+    return np.hstack((own, before, after))
 
 
-def marginals(gain: list[float], steps: list[float]) -> list[float]:
-    """The probability of "good" for each line: gain is the log odds of a line by itself, steps the log weights bad-bad, bad-good, good-bad, good-good."""
+def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, lengths, number of lines of each text) of all lines of the texts."""
+    own, length, counts = own_features(texts)
+    return with_neighbours(own, counts), length, counts
+
+
+def chain(gain: list[float], steps: list[float]) -> tuple[list[float], list[float], float]:
+    """Forward-backward over one document's lines: (probability of "good" for each line, expected numbers of the
+    four kinds of steps, log of the sum over all labellings).
+
+    gain is the log odds of a line by itself, steps the log weights of bad-bad, bad-good, good-bad, good-good. Both
+    passes keep their two values summing to 1, so chains may be of any length.
+    """
     bb, bg, gb, gg = (math.exp(x) for x in steps)
     odds = [math.exp(min(30.0, max(-30.0, x))) for x in gain]
-    forward, f = [], None
+    forward, f, log = [], None, 0.0
     for o in odds:  # f: probability of good given the lines so far
         good, bad = (o, 1.0) if f is None else (o * (f * gg + (1 - f) * bg), f * gb + (1 - f) * bb)
         f = good / (good + bad)
+        log += math.log(good + bad)
         forward.append(f)
-    out, good, bad = [0.0] * len(odds), 1.0, 1.0
+    out, kinds, good, bad = [0.0] * len(odds), [0.0] * 4, 1.0, 1.0
     for k in range(len(odds) - 1, -1, -1):
-        g, b = forward[k] * good, (1 - forward[k]) * bad
-        out[k] = g / (g + b) if g + b > 0 else forward[k]
-        g, b = odds[k] * good, bad
-        good, bad = gg * g + gb * b, bg * g + bb * b
+        f = forward[k]
+        g, b = f * good, (1 - f) * bad
+        out[k] = g / (g + b)
+        up_good, up_bad = odds[k] * good, bad
+        if k:
+            e = forward[k - 1]
+            each = (1 - e) * bb * up_bad, (1 - e) * bg * up_good, e * gb * up_bad, e * gg * up_good
+            total = sum(each)
+            for n in range(4):
+                kinds[n] += each[n] / total
+        good, bad = gg * up_good + gb * up_bad, bg * up_good + bb * up_bad
         scale = good + bad
         good, bad = good / scale, bad / scale
-    return out
+    return out, kinds, log
+
+
+def marginals(gain: list[float], steps: list[float]) -> list[float]:
+    """The probability of "good" for each line."""
+    return chain(gain, steps)[0]
 
 
 def document_scores(texts: list[str], model: np.ndarray) -> list[float]:
@@ -102,58 +132,47 @@ def document_scores(texts: list[str], model: np.ndarray) -> list[float]:
     return [min(1.0, max(0.0, s)) for s in out]
 
 
-def train_crf(chains: list[np.ndarray], labels: list[int], steps: int = 300, rate: float = 0.05, l2: float = 1e-3, longest: int = 48) -> np.ndarray:
-    """Weights that make the labels likeliest, by gradient steps with moments over all chains at once.
+def loss_and_gradient(own: np.ndarray, label: int, model: np.ndarray) -> tuple[float, np.ndarray]:
+    """A whole document's negative log likelihood per line, all its lines having the label, and the gradient by the model."""
+    x, n = with_neighbours(own), len(own)
+    gain = np.clip(x @ model[:FEATURES], -30, 30)
+    p, kinds, log = chain(gain.tolist(), model[FEATURES:].tolist())
+    seen = np.zeros(4)
+    seen[3 * label] = n - 1
+    loss = log - label * float(gain.sum()) - float(seen @ model[FEATURES:])
+    return loss / n, np.concatenate((x.T @ (np.array(p) - label), np.array(kinds) - seen)) / n
 
-    Chains longer than ``longest`` lines are cut for fitting only.
+
+def train_crf(rows: list[tuple[np.ndarray, int]], epochs: int = 8, rate: float = 0.4, l2: float = 1e-4) -> np.ndarray:
+    """Weights that make the labels of the documents' lines likeliest; ``rows`` are (own line features, label), in the order given.
+
+    Stochastic gradient steps, one whole document each, with a rate for each coordinate (by its summed squared
+    gradients). Both labels weigh alike in sum, and so do documents of any number of lines. The weights are the
+    mean of those of the last half of the steps. With one label only, all weights are zero.
     """
-    cut = [(c[i : i + longest], y) for c, y in zip(chains, labels) for i in range(0, len(c), longest)]
-    if not cut or len({y for _, y in cut}) < 2:
+    good = sum(y for _, y in rows)
+    if good in (0, len(rows)):
         return np.zeros(MODEL)
-    n, t = len(cut), max(len(c) for c, _ in cut)
-    x = np.zeros((n, t, FEATURES))
-    mask = np.zeros((n, t))
-    y = np.array([v for _, v in cut])
-    for k, (c, _) in enumerate(cut):
-        x[k, : len(c)], mask[k, : len(c)] = c, 1
-    # Both labels, and every document however long, weigh alike.
-    weight = np.array([1 / max(1, -(-len(c) // longest)) for c in chains for _ in range(0, len(c), longest)])
-    weight *= np.where(y == 1, 0.5 / max(weight[y == 1].sum(), 1e-9), 0.5 / max(weight[y == 0].sum(), 1e-9))
-    model, m, v = np.zeros(MODEL), np.zeros(MODEL), np.zeros(MODEL)
-    for step in range(1, steps + 1):
-        gain = np.clip(x @ model[:FEATURES], -30, 30)
-        trans = model[FEATURES:].reshape(2, 2)
-        node = np.stack((np.zeros_like(gain), gain), 2)
-        f, b = np.zeros((n, t, 2)), np.zeros((n, t, 2))
-        f[:, 0] = node[:, 0]
-        for k in range(1, t):
-            new = node[:, k] + np.logaddexp(f[:, k - 1, 0, None] + trans[0], f[:, k - 1, 1, None] + trans[1])
-            f[:, k] = np.where(mask[:, k, None] > 0, new, f[:, k - 1])
-        for k in range(t - 2, -1, -1):
-            up = node[:, k + 1] + b[:, k + 1]
-            new = np.logaddexp(trans[:, 0] + up[:, 0, None], trans[:, 1] + up[:, 1, None])
-            b[:, k] = np.where(mask[:, k + 1, None] > 0, new, 0)
-        norm = np.logaddexp(f[:, -1, 0], f[:, -1, 1])
-        p = np.exp(np.minimum(0, f + b - norm[:, None, None])) * mask[:, :, None]
-        off = (y[:, None] * mask - p[:, :, 1]) * weight[:, None]
-        grad = np.concatenate((np.einsum("nt,ntf->f", off, x), np.zeros(4)))
-        both = mask[:, 1:]
-        for i in range(2):
-            for j in range(2):
-                e = np.exp(np.minimum(0, f[:, :-1, i] + trans[i, j] + node[:, 1:, j] + b[:, 1:, j] - norm[:, None])) * both
-                grad[FEATURES + 2 * i + j] = (((y == i) & (i == j))[:, None] * both * weight[:, None] - e * weight[:, None]).sum()
-        grad -= l2 * model
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        model = model + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        model[FEATURES:] = np.clip(model[FEATURES:], -2, 2)
-    return model
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_lines: int = 96, **parameters) -> np.ndarray:
+    weight = {1: 0.5 * len(rows) / good, 0: 0.5 * len(rows) / (len(rows) - good)}
+    model, squares, mean, met = np.zeros(MODEL), np.full(MODEL, 1e-8), np.zeros(MODEL), 0
+    for epoch in range(epochs):
+        for own, y in rows:
+            g = weight[y] * loss_and_gradient(own, y, model)[1] + l2 * model
+            squares += g * g
+            model = model - rate * g / np.sqrt(squares)
+            model[FEATURES:] = np.clip(model[FEATURES:], -2, 2)
+            if 2 * epoch >= epochs:
+                met += 1
+                mean += (model - mean) / met
+    return mean if met else model
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, **parameters) -> np.ndarray:
     """The model learnt from at most ``max_rows`` labelled documents outside the held-out fold, those of the smallest hashes of doc_id.
 
-    Of a document in the sample, ``max_lines`` evenly spread lines serve at most (in fitting only; features are made
-    from the whole text). Null labels don't count; an id with several labels takes the greatest.
+    Every document of the sample serves with all its lines, as one chain. One task streams them, in the order of
+    the hashes (rows of one id: fewer lines first, then by their features); only the weights reach the driver.
+    Null labels don't count; an id with several labels takes the greatest.
     """
     chosen = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.max("quality").cast("int").alias("y")).withColumn("turn", F.xxhash64("doc_id")).orderBy("turn").limit(max_rows)
@@ -161,18 +180,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_lines: int
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = []
-            for text in b["text"].tolist():
-                f = line_features([text])[0]
-                if len(f) > max_lines:
-                    f = f[np.linspace(0, len(f) - 1, max_lines).astype(int)]
-                found.append(f.astype("<f4").tobytes())
-            yield pd.DataFrame({"turn": b["turn"], "y": b["y"], "f": found})
-
-    # The collected sample is bounded by max_rows * max_lines * FEATURES numbers.
-    sample = rows.mapInPandas(features, "turn long, y int, f binary").toPandas().sort_values(["turn", "f"])
-    chains = [np.frombuffer(bytes(f), "<f4").reshape(-1, FEATURES) for f in sample["f"]]
-    return train_crf(chains, sample["y"].tolist(), **parameters)
+            yield pd.DataFrame({"turn": b["turn"], "y": b["y"], "f": [own_features([t])[0].astype("<f4").tobytes() for t in b["text"].tolist()]})
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = sorted((turn, y, len(f), f) for b in batches for turn, y, f in zip(b["turn"].tolist(), b["y"].tolist(), b["f"].tolist()))
+        model = train_crf([(np.frombuffer(f, "<f4").reshape(-1, OWN), y) for _, y, _, f in found], **parameters)
+        yield pd.DataFrame({"at": np.arange(MODEL), "weight": model})
+
+    learnt = rows.mapInPandas(features, "turn long, y int, f binary").repartition(1).mapInPandas(learn, "at long, weight double").toPandas()
+    return learnt.sort_values("at")["weight"].to_numpy() if len(learnt) else np.zeros(MODEL)
 
 
 def score(docs: DataFrame, model: np.ndarray) -> DataFrame:

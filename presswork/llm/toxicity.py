@@ -88,7 +88,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, **parameters
     """(bias, places, weights) learnt from at most ``max_rows`` labelled documents outside the held-out fold.
 
     The rows are those of the smallest hashes of doc_id, so a larger bound only adds rows. One task
-    streams them, in that order; ids with a null label don't count and an id that has several takes the greatest.
+    streams them, in that order (rows of one id: fewer places first, then by their bytes); ids with a null label don't
+    count and an id that has several takes the greatest.
     """
     chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")).withColumn("turn", F.xxhash64("doc_id")).orderBy("turn").limit(max_rows)
@@ -100,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, **parameters
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [r for b in batches for r in zip(b["turn"].tolist(), b["y"].tolist(), b["at"])]
-        rows.sort(key=lambda r: (r[0], r[1], len(r[2]), bytes(r[2][:64])))
+        rows.sort(key=lambda r: (r[0], r[1], len(r[2]), np.asarray(r[2]).tobytes()))
         bias, at, weight = train_ftrl([(r[2], r[1]) for r in rows], **parameters)
         yield pd.DataFrame({"at": np.concatenate(([-1], at)), "weight": np.concatenate(([bias], weight))})
 

@@ -81,6 +81,44 @@ def test_marginals_equal_enumeration():
     assert np.allclose(line_crf.marginals(gain, steps), expected)
 
 
+def test_steps_and_norm_equal_enumeration():
+    gain, steps = [0.3, -1.2, 2.0, 0.1], [0.5, -0.4, -0.7, 0.9]
+    total, kinds = 0.0, np.zeros(4)
+    for n in range(16):
+        labels = [(n >> k) & 1 for k in range(4)]
+        pairs = [2 * a + b for a, b in zip(labels, labels[1:])]
+        w = np.exp(sum(g for g, y in zip(gain, labels) if y) + sum(steps[k] for k in pairs))
+        total += w
+        kinds += w * np.bincount(pairs, minlength=4)
+    _, got, log = line_crf.chain(gain, steps)
+    # The running values are scaled to sum to 1, so the log of all labellings is that of the scales.
+    assert np.allclose(got, kinds / total) and np.isclose(log, np.log(total))
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_gradient_equals_finite_differences(label):
+    own = line_crf.own_features(["Some words stand here.\n$$$ ### $$$\n\nSOME 12 words, words!\n" + PROSE])[0]
+    model = np.random.default_rng(4).normal(0, 0.5, line_crf.MODEL)
+    _, grad = line_crf.loss_and_gradient(own, label, model)
+    for k in range(line_crf.MODEL):
+        step = np.zeros(line_crf.MODEL)
+        step[k] = 1e-5
+        up, down = (line_crf.loss_and_gradient(own, label, model + d)[0] for d in (step, -step))
+        assert abs((up - down) / 2e-5 - grad[k]) < 1e-6
+
+
+def test_fitting_sees_every_line_of_a_chain(spark):
+    """A document of 5,000 lines reaches the training as one chain."""
+    text = "\n".join(f"line {i} of many" for i in range(5000))
+    docs = spark.createDataFrame([(i, text if i % 2 else "$$$\n###") for i in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    model = line_crf.fit(docs, labels, epochs=1)
+    rows = [(line_crf.own_features([r["text"]])[0].astype("<f4"), r["doc_id"] % 2, r["h"], r["k"]) for r in docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("h"), F.xxhash64("doc_id").alias("k")).collect()]
+    plain = line_crf.train_crf([(f, y) for f, y, h, _ in sorted(rows, key=lambda r: r[3]) if not h], epochs=1)
+    assert np.allclose(model, plain)
+    assert min(r["score"] for r in line_crf.score(docs, model).filter("doc_id % 2 = 1").collect()) > 0.5
+
+
 def test_line_features_depend_on_neighbours():
     alone, _, _ = line_crf.line_features(["Some words stand here."])
     beside, _, _ = line_crf.line_features(["Some words stand here.\n$$$ ### $$$"])
@@ -116,6 +154,47 @@ def test_toxicity(spark, odd, nothing):
     assert toxicity.fit(docs, labels.limit(0))[0] == -2.0
 
 
+def plain_ftrl(rows, epochs, alpha, beta, l1, l2, bias_alpha, positive):
+    """FTRL-proximal with dictionaries, coordinate by coordinate."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    bias, bias_n = -2.0, 0.0
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(epochs):
+        for places, y in rows:
+            w = {i: weight(i) for i in places}
+            g = (1 / (1 + np.exp(-(bias + sum(w.values())))) - y) * (positive if y else 1)
+            for i in places:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+            bias_n += g * g
+            bias -= bias_alpha / (beta + bias_n**0.5) * g
+    return bias, {i: weight(i) for i in z if weight(i)}
+
+
+def test_ftrl_equals_plain_loop():
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(300):
+        y = int(rng.random() < 0.3)
+        rows.append((np.unique(np.concatenate((rng.integers(0, 400, 15), 1000 + y * 50 + rng.integers(0, 40, 3)))), y))
+    settings_ = dict(epochs=3, alpha=0.7, beta=1.0, l1=2.0, l2=0.5, bias_alpha=0.5, positive=2.0)
+    bias, weights = plain_ftrl([(r.tolist(), y) for r, y in rows], **settings_)
+    got_bias, at, w = toxicity.train_ftrl(rows, **settings_)
+    assert weights and np.allclose([weights[i] for i in at.tolist()], w) and len(weights) == len(at)
+    # The bias is moved at the end so that the threshold parts the rows best: the move is one and the same for all rows.
+    totals = np.array([bias + sum(weights.get(i, 0) for i in r.tolist()) for r, _ in rows])
+    cut = got_bias - bias
+    labels = np.array([y for _, y in rows])
+    best = max(2 * (labels & (totals >= c)).sum() / ((totals >= c).sum() + labels.sum()) for c in totals)
+    chosen = totals + cut >= np.log(0.7 / 0.3)
+    assert np.isclose(2 * (labels & chosen).sum() / (chosen.sum() + labels.sum()), best)
+
+
 def test_gram_places_do_not_depend_on_position():
     one = set(toxicity.gram_places(["you are such"])[1].tolist())
     doc, place = toxicity.gram_places(["zz", "well, You ARE such"])

@@ -167,12 +167,12 @@ def judge(docs: DataFrame, max_classes: float = 0.22, max_common: float = 0.36,
     carried = docs.columns if carry is None else carry
     measured = settled(measures(docs).select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carried, "lang"])], *MEASURES, "classes", "common", "foreign"))
     known = references(measured)
-    pairs = [F.struct((divergence(F.col("classes"), c) + divergence(F.col("common"), w)).alias("sum"), divergence(F.col("classes"), c).alias("classes"), divergence(F.col("common"), w).alias("common")) for c, w in known.values()]
+    pairs = [F.struct(divergence(F.col("classes"), c).alias("classes"), divergence(F.col("common"), w).alias("common")) for c, w in known.values()]
     judged = measured.withColumn("base_failed", base_failed())
     if not pairs:
         judged = judged.withColumns({"class_distance": F.lit(0.0), "common_distance": F.lit(0.0), "kept": ~F.col("base_failed")})
         return judged.select(*carried, *VERDICT)
-    nearest = F.array_min(F.array(*pairs))
+    nearest = F.array_min(F.transform(F.array(*pairs), lambda d: F.struct((d["classes"] + d["common"]).alias("sum"), d["classes"].alias("classes"), d["common"].alias("common"))))
     judged = judged.withColumn("__d", nearest).withColumns({"class_distance": F.col("__d.classes"), "common_distance": F.col("__d.common")})
     odd = ((F.col("word_chars") >= min_chars) & (F.col("class_distance") > max_classes)) | ((F.col("n_words") >= min_words) & ((F.col("common_distance") > max_common) | (F.col("class_distance") + F.col("common_distance") > max_sum)))
     odd = odd & ~without_reference(list(known))

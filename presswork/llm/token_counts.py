@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import byte_slices, id_back, id_key, text_of
+from presswork.llm.common import byte_slices, id_back, id_key, settled, text_of
 from presswork.llm.tokens import encoder
 
 #: Distinct pre-tokens that a task gathers before it hands them on.
@@ -52,24 +52,12 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
     """(doc_id, n_bytes, n_tokens, over_limit) of every row of ``docs``.
 
     Counts are those of the tokenizers library for the whole text without added special tokens; null and
-    empty texts have 0. Texts with special strings, or with characters that the library alone can cut into
-    pre-tokens, are counted by the library whole. Rows of one doc_id are counted each for itself; a null
+    empty texts have 0. Only texts with special strings are counted by the library whole. Rows of one doc_id are counted each for itself; a null
     id stays null. ``head_rows`` bounds the broadcast table, ``head_fraction`` the part of rows it is chosen from.
     """
     rows = docs.select(id_key().alias("doc_id"), text_of().alias("text"))
     head = docs.sparkSession.sparkContext.broadcast(_head(docs, tokenizer, head_rows, head_fraction))
 
-    def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The distinct pre-tokens outside the head, made distinct in the task as far as memory goes."""
-        enc, known, seen = encoder(tokenizer), head.value, set()
-        for b in batches:
-            for text in b["text"].tolist():
-                seen.update(enc.pieces(text) or ())
-            if len(seen) > _FLUSH:
-                yield pd.DataFrame({"piece": [p for p in seen if p not in known]}, dtype=object)
-                seen.clear()
-        yield pd.DataFrame({"piece": [p for p in seen if p not in known]}, dtype=object)
-
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """For each document a row without piece (bytes and the head's sum), and its rare pre-tokens with their frequencies."""
         enc, known = encoder(tokenizer), head.value
@@ -97,11 +85,14 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
         for b in batches:
             yield pd.DataFrame({"piece": b["piece"], "size": [len(enc.piece_ids(p)) for p in b["piece"]]}).astype({"size": "int64"})
 
-    vocabulary = rows.select("text").mapInPandas(rare, "piece string").distinct().mapInPandas(count, "piece string, size long")
-    # The row number in its partition keeps rows of one doc_id apart.
+    # The row number in its partition keeps rows of one doc_id apart. Texts are cut into pre-tokens once: what comes of it is
+    # settled, and read for the vocabulary and for the join.
     keyed = rows.withColumn("row", F.monotonically_increasing_id())
-    counts = keyed.mapInPandas(frequencies, "doc_id long, row long, piece string, n long, n_bytes long")
-    joined = counts.join(vocabulary, "piece", "left")
-    tokens = F.col("n") * F.coalesce("size", F.lit(1))
-    total = joined.groupBy("doc_id", "row").agg(F.sum(tokens).alias("n_tokens"), F.max("n_bytes").alias("n_bytes"))
+    counts = settled(keyed.mapInPandas(frequencies, "doc_id long, row long, piece string, n long, n_bytes long"))
+    rare = counts.filter("piece is not null")
+    vocabulary = rare.select("piece").distinct().mapInPandas(count, "piece string, size long")
+    # The rows without piece, one a document, have no part in the join: as null keys they would all meet in one task.
+    own = counts.filter("piece is null").select("doc_id", "row", F.col("n").alias("tokens"), "n_bytes")
+    joined = rare.join(vocabulary, "piece").select("doc_id", "row", (F.col("n") * F.col("size")).alias("tokens"), F.lit(None).cast("long").alias("n_bytes"))
+    total = own.unionByName(joined).groupBy("doc_id", "row").agg(F.sum("tokens").alias("n_tokens"), F.max("n_bytes").alias("n_bytes"))
     return total.select(id_back().alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

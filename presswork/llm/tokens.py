@@ -3,8 +3,9 @@
 Byte-pair tokenizers never merge across pre-tokens, so a text's ids are its
 pre-tokens' ids in a row. ``PieceEncoder`` finds pre-tokens with one regular
 expression and remembers their ids; the tokenizers library makes the ids of
-each pre-token that is new, and of every text for which the expression might
-read Unicode in another way than the library does.
+each pre-token that is new. Texts for which the expression might read Unicode in
+another way than the library does are cut by the library's own pre-tokenizer;
+only texts with special strings are encoded by it whole.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 #: Byte-level vocabularies write printable bytes as themselves and the others, in order, as the characters from 256 on.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
 _BYTE_CHARS = {b: chr(256 + n) for n, b in enumerate(_HIDDEN)}
+_CHAR_BYTES = {256 + n: chr(b) for n, b in enumerate(_HIDDEN)}
 
 
 class _Known(dict):
@@ -82,10 +84,13 @@ class PieceEncoder:
         self.cache = cache
 
     def pieces(self, text: str) -> list[str] | None:
-        """The text's pre-tokens; None where only the library can tell."""
-        if self.lower is None or _PLAIN.search(text) or self.special.search(text):
+        """The text's pre-tokens; None where they don't make its ids: for special strings and unknown kinds of vocabularies."""
+        if self.lower is None or self.special.search(text):
             return None
-        return self.find(text.lower() if self.lower else text)
+        if not _PLAIN.search(text):
+            return self.find(text.lower() if self.lower else text)
+        normal = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
+        return [p.translate(_CHAR_BYTES).encode("latin-1").decode() for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def _library_ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")

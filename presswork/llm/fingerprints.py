@@ -98,32 +98,58 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """(part, doc_id, text, own): the documents dealt into ranges of doc_id, so that in the order of descending
-    doc_id every row's successor follows it in its part. ``own`` is false for the first document of the next
+class Ranges:
+    """Parts of the order (descending doc_id, ascending hash of the text), found from quantiles of the ids.
+
+    An id that holds several quantiles (all null ids, say) has as many parts of its own, which divide the hashes evenly.
+    """
+
+    def __init__(self, quantiles: list[int]) -> None:
+        self.ids, self.own = np.unique(np.array(quantiles, np.int64), return_counts=True)
+        self.own[self.own == 1] = 0
+        # Parts of the ids up to and including each bound: those of the bound itself, then those below it.
+        parts = np.append(self.own + 1, 1)
+        self.before = np.concatenate((np.cumsum(parts[::-1])[::-1][1:], [0]))
+
+    def part(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.ids, ids, side="left")
+        own = np.append(self.own, 0)[at]
+        hit = (own > 0) & (np.append(self.ids, 0)[at] == ids)
+        within = np.minimum((hashes / 2.0**64 + 0.5) * own, np.maximum(own - 1, 0)).astype(np.int64)
+        return self.before[at] + np.where(hit, within, own)
+
+
+def with_next(docs: DataFrame, ranges: int | None = None, part_bytes: int = 16 << 20) -> DataFrame:
+    """(part, doc_id, text, guest): the documents dealt into ranges of (doc_id, hash of the text), so that in the order of
+    descending doc_id every row's successor follows it in its part. A row with ``guest`` 1 is the first document of the next
     part, which stands at the end of each part as well; for the last part it is the first document of all.
 
-    Only ids are looked at to find the ranges' bounds and first rows; there is one such row for each range.
+    The number of ranges follows the bytes of the texts (``part_bytes`` each, 200,000 ranges at most), so that a task
+    does not grow with the corpus. Bounds and first rows come from ids and hashes only, one of them for each range.
     """
     spark = docs.sparkSession
     rows = docs.select(id_key().alias("doc_id"), text_of().alias("text"))
-    n = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(id_key().alias("doc_id"))
-    cuts = sorted(set(ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n).alias("c")).first()["c"] or []))
+    keys = settled(rows.select("doc_id", F.xxhash64("text").alias("hash"), F.octet_length("text").cast("long").alias("bytes")))
+    least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges or min(200_000, max(least, -(-(keys.agg(F.sum("bytes")).first()[0] or 0) // part_bytes)))
+    found = keys.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n).alias("c")).first()["c"]
+    bounds = Ranges(found or [])
 
-    def part(ids: pd.Series) -> pd.Series:
-        return pd.Series(len(cuts) - np.searchsorted(cuts, ids.to_numpy(), side="left"))
+    def part(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(bounds.part(ids.to_numpy(), hashes.to_numpy()))
 
     part_of = F.pandas_udf(part, "long")
-    # The first row of each part: the largest id, and of rows with that id the one that the sort below puts first.
-    firsts = settled(ids.select(part_of("doc_id").alias("part"), "doc_id").groupBy("part").agg(F.max("doc_id").alias("first_id")))
+    # The first row of each part: the largest id (its complement is least), and of that id's rows the least hash.
+    firsts = settled(keys.select(part_of("doc_id", "hash").alias("part"), F.struct(F.bitwise_not("doc_id").alias("i"), F.col("hash").alias("h")).alias("k")).groupBy("part").agg(F.min("k").alias("k")))
     order = Window.orderBy("part")
-    before = firsts.select("first_id", F.coalesce(F.lag("part").over(order), F.max("part").over(Window.partitionBy())).alias("to"))
-    head = rows.join(F.broadcast(before), F.col("doc_id") == F.col("first_id")).groupBy("to", "doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("f"))
-    own = rows.select(part_of("doc_id").alias("part"), "doc_id", "text", F.lit(0).alias("guest"))
-    guests = head.select(F.col("to").alias("part"), "doc_id", F.col("f.text").alias("text"), F.lit(1).alias("guest"))
+    before = firsts.select(F.bitwise_not("k.i").alias("first_id"), F.col("k.h").alias("first_hash"), F.coalesce(F.lag("part").over(order), F.max("part").over(Window.partitionBy())).alias("to"))
+    keyed = rows.withColumn("hash", F.xxhash64("text"))
+    # Rows of equal id and hash are equal: any of them is the guest.
+    head = keyed.join(F.broadcast(before), (F.col("doc_id") == F.col("first_id")) & (F.col("hash") == F.col("first_hash"))).groupBy("to").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("hash").alias("hash"))
+    own = keyed.select(part_of("doc_id", "hash").alias("part"), "doc_id", "text", "hash", F.lit(0).alias("guest"))
+    guests = head.select(F.col("to").alias("part"), "doc_id", "text", "hash", F.lit(1).alias("guest"))
     both = own.unionByName(guests)
-    return both.repartition(F.col("part")).sortWithinPartitions("part", "guest", F.col("doc_id").desc(), F.xxhash64("text"))
+    return both.repartition(max(1, n // 4), F.col("part")).sortWithinPartitions("part", "guest", F.col("doc_id").desc(), "hash")
 
 
 def fingerprint_pairs(docs: DataFrame, size: int = 64, k: int = 16, s: int = 6) -> DataFrame:

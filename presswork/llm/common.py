@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; where none is set (tests), a temporary one is set."""
+    """The shared folder of the session. Where none is set, a temporary one is, but only with a local master (tests)."""
     sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
@@ -24,6 +25,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(shared)
         return shared
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="presswork-"))
     return sc.getCheckpointDir()
 
@@ -75,6 +78,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, parts: int = 1000) -> DataFrame:
+    """The inner join of ``left`` with ``right``, which has one row for each ``key`` and the number of its left rows in column ``n``.
+
+    Keys with more than a ``parts``-th of all left rows, at most ``parts`` of them and so broadcast, are dealt over salts in
+    proportion, in which their right row is repeated: no task gets more than about that part of the rows by one key. ``n`` goes.
+    """
+    total = right.agg(F.sum("n")).first()[0] or 0
+    most = max(1, -(-total // parts))
+    salts = right.select(key, F.ceil(F.col("n") / most).cast("int").alias("__salts")).filter("__salts > 1")
+    dealt = left.join(F.broadcast(salts), key, "left").withColumn("__salt", F.when(F.col("__salts").isNull(), 0).otherwise(F.monotonically_increasing_id() % F.col("__salts")).cast("int"))
+    repeated = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / most).cast("int") - 1))))
+    return dealt.drop("__salts").join(repeated.drop("n"), [key, "__salt"]).drop("__salt")
+
+
 def byte_slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of items whose sizes sum to about ``limit`` at most (one item at least)."""
     start = total = 0

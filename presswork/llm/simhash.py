@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import SPACE_CHARS, id_back, id_key, settled, text_of
+from presswork.llm.common import SPACE_CHARS, id_back, id_key, settled, spread_join, text_of
 
 SEED = 42
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -142,13 +142,25 @@ def _tile_keys(fp: Column, blocks: int, radius: int, bits: int) -> Column:
     return F.array(*keys)
 
 
-def linked_pairs(distinct: DataFrame, radius: int = 4, blocks: int = 5, tile_rows: int = 2048, chunk_rows: int = 8192) -> DataFrame:
+def block_count(total: int, radius: int, tile_rows: int) -> int:
+    """The fewest blocks whose keys are long enough to keep tiles of ``total`` fingerprints at ``tile_rows``.
+
+    For radius 4 and 2048 rows: 5 blocks up to 8 million fingerprints, 6 up to 2 billion, 7 up to 275 billion.
+    """
+    blocks = radius + 1
+    while blocks < 2 * radius + 2 and tile_rows << (64 // blocks) * (blocks - radius) < total:
+        blocks += 1
+    return blocks
+
+
+def linked_pairs(distinct: DataFrame, radius: int = 4, blocks: int | None = None, tile_rows: int = 2048, chunk_rows: int = 8192) -> DataFrame:
     """Edges (a, b) that join every two of the distinct fingerprints ``fp`` within the radius, directly or over others.
 
-    ``blocks`` above radius + 1 means longer keys and so smaller tiles for very
-    many fingerprints: 5 keeps tiles at ``tile_rows`` up to 8 million of them, 6 up to 2 billion.
+    ``blocks`` above radius + 1 means longer keys, and so smaller tiles for very many fingerprints, but more of them
+    for each; by default it follows the number of fingerprints. Any number loses nothing.
     """
     total = distinct.count()
+    blocks = blocks or block_count(total, radius, tile_rows)
     narrow = (64 // blocks) * (blocks - radius)
     bits = min(narrow, max(0, int(math.log2(max(1, total / tile_rows)))))
     tiles = distinct.select("fp", F.explode(_tile_keys(F.col("fp"), blocks, radius, bits)).alias("tile")).select(
@@ -199,7 +211,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, blocks: int = 5, tile_rows: int = 2048, chunk_rows: int = 8192) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, blocks: int | None = None, tile_rows: int = 2048, chunk_rows: int = 8192) -> DataFrame:
     """(doc_id, fp, fingerprint, component_id) for every row of ``docs``.
 
     component_id is the smallest doc_id of the group. Null texts count as empty;
@@ -209,12 +221,17 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, blocks: in
     as they occur; an empty table gives an empty result; other columns are ignored.
     """
     prints = settled(fingerprints(docs, width))
-    by_fp = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    by_fp = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
     roots = components(linked_pairs(by_fp.select("fp"), radius, blocks, tile_rows, chunk_rows))
-    grouped = by_fp.join(roots, by_fp.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    label = grouped.join(least, "root").select("fp", "component_id")
-    return prints.join(label, "fp").select("doc_id", "fp", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+    # Members of a component but for its root. A component may hold a third of all fingerprints, and a fingerprint a third of
+    # all documents: both joins back are dealt over salts.
+    members = settled(by_fp.select(F.col("fp").alias("node"), "least_id").join(roots, "node"))
+    top = by_fp.select(F.col("fp").alias("root"), "least_id").join(roots.select("root").distinct(), "root")
+    least = settled(members.select("root", "least_id", F.lit(1).alias("one")).unionByName(top.withColumn("one", F.lit(0))).groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("one").alias("n")))
+    linked = spread_join(members.select("node", "root"), least, "root").select(F.col("node").alias("fp"), "component_id")
+    linked = linked.unionByName(least.select(F.col("root").alias("fp"), "component_id")).withColumn("linked", F.lit(True))
+    label = settled(by_fp.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least_id")).alias("component_id"), "n"))
+    return spread_join(prints, label, "fp").select("doc_id", "fp", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame, **parameters) -> DataFrame:

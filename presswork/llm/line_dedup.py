@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from presswork.llm.common import SPACE_CHARS, ascii_lower, id_key, settled, text_of
 
+
 def long_lines(text: Column, min_chars: int) -> Column:
     """An array of (pos, key) of the lines whose trimmed form has ``min_chars`` code points; keys still have their case."""
     keys = F.transform(F.split(text, "\n", -1), lambda line: F.btrim(line, F.lit(SPACE_CHARS)))
@@ -41,6 +42,18 @@ def shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, salts:
     return lost.groupBy("row_id", "row_hash").agg(F.collect_set("pos").alias("drop"))
 
 
+def without(lines: Column, places: Column) -> Column:
+    """``lines`` without those at ``places`` (distinct): the runs between the sorted places are joined, so each line is looked at once."""
+
+    def cut(x: Column) -> Column:
+        starts = F.concat(F.array(F.lit(-1)), x["drop"])
+        ends = F.concat(x["drop"], F.array(F.size(x["lines"])))
+        runs = lambda s: F.transform(s["starts"], lambda a, i: F.slice(x["lines"], a + 2, F.get(s["ends"], i) - a - 1))
+        return F.flatten(F.element_at(F.transform(F.array(F.struct(starts.alias("starts"), ends.alias("ends"))), runs), 1))
+
+    return F.element_at(F.transform(F.array(F.struct(lines.alias("lines"), F.sort_array(places).alias("drop"))), cut), 1)
+
+
 def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``docs`` with text as it remains, and n_lines, n_dropped (long).
 
@@ -56,7 +69,7 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -
     keyed = docs.withColumns({"__id": id_key(), "__hash": F.xxhash64(text_of())})
     found = keyed.join(lost, (F.col("__id") == F.col("__row_id")) & (F.col("__hash") == F.col("__row_hash")), "left")
     lines = F.split(text_of(), "\n", -1)
-    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__drop", i)), "\n")
+    rest = F.array_join(without(lines, F.col("__drop")), "\n")
     return found.select(
         *[F.when(F.col("__drop").isNull(), text_of()).otherwise(rest).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
         F.size(lines).cast("long").alias("n_lines"),

@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from presswork.llm import fingerprints, line_crf, line_dedup, mixing, packing, quality_rules, simhash, token_counts, token_files, tokens, toxicity
-from presswork.llm.common import ascii_lower, held_out
+from presswork.llm.common import ascii_lower, held_out, spread_join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -500,6 +500,25 @@ def test_token_counts(which, request):
         assert sorted((r[0] if r[0] is not None else -1, r[1], r[2], r[3]) for r in got) == expected
 
 
+def test_token_counts_of_other_scripts_use_pre_tokens():
+    """Characters outside Latin are no reason to encode a text whole; special strings are."""
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc = tokens.encoder(name)
+        for text in ("Привет, мир 漢字かな 한국어", "caf\u00e9 cafe\u0301 \u2122 \u00a0x 😀 İ ﬁ", "a\u3000b\u2028c\x85d"):
+            pieces = enc.pieces(text)
+            assert pieces and sum(len(enc.piece_ids(p)) for p in pieces) == len(enc.library.encode(text, add_special_tokens=False).ids)
+        assert enc.pieces("a <|endoftext|> b") is None
+
+
+def test_token_counts_put_no_null_keys_into_the_join(spark):
+    """Rows without rare pre-tokens (a third are empty texts) are not joined: no task of the join holds them all."""
+    df = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, '', concat('word', id, ' the ', 'w', id % 50)) as text")
+    plan = token_counts.count_tokens(df, head_rows=10)
+    joined = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in joined and "isnotnull(piece" in joined
+    assert plan.filter("n_tokens = 0").count() == 1000
+
+
 def test_token_counts_nothing(nothing):
     assert token_counts.count_tokens(nothing).count() == 0
 
@@ -563,6 +582,74 @@ def test_fingerprints(which, request):
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)
 
 
+def plain_syncmers(text, k=16, s=6):
+    """Closed syncmers by looking at every k-mer by itself: its inner s-mers' hashes, the least at an edge."""
+    from presswork.llm.common import _BASE, mixed
+
+    def spell(part):
+        total = 0
+        for n, c in enumerate(part):
+            total = (total + (ord(c) + 1) * pow(_BASE, n, 1 << 64)) % (1 << 64)
+        return total
+
+    one = lambda x: int(mixed(np.array([x], np.uint64))[0])
+    out = {}
+    for at in range(len(text) - k + 1):
+        inner = [one(spell(text[at + j : at + j + s])) for j in range(k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.setdefault(one(one(spell(text[at : at + k]))) >> 32, at)
+    return sorted(out.items())[:64]
+
+
+def plain_likeness(a, b):
+    """The longest common subsequence, in both orders of position, of the anchors among the smallest 64 of both."""
+    least = sorted({v for v, _ in a} | {v for v, _ in b})[:64]
+    left, right = ([v for v, at in sorted(x, key=lambda p: p[1]) if v in set(least) & {v for v, _ in a} & {v for v, _ in b}] for x in (a, b))
+    table = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+    for i, x in enumerate(left):
+        for j, y in enumerate(right):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    j = table[-1][-1] / len(least)
+    return 2 * j / (1 + j)
+
+
+def test_fingerprints_equal_brute_force(spark):
+    import base64
+
+    rng = np.random.default_rng(6)
+    base = " ".join(f"w{n}" for n in rng.integers(0, 90, 120))
+    rows = [(n, t) for n, t in enumerate([base, base[:200] + " more " + base[200:], base[300:] + base[:300], "漢字 " * 20 + base[:80], PROSE, PROSE + " " + PROSE, base[:90]])]
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    read = lambda x: [(int(v), int(p)) for v, p in np.frombuffer(base64.b64decode(x), fingerprints._ANCHOR)]
+    texts = dict(rows)
+    for n, text in rows:
+        after = texts[n - 1] if n else texts[len(rows) - 1]
+        half = len(text) // 2
+        other = text[: len(text) - half] + after[:half]
+        prints = [plain_syncmers(t) for t in (text, other, after)]
+        assert read(got[n]["fingerprint"]) == prints[0] and read(got[n]["edited_fingerprint"]) == prints[1]
+        assert np.isclose(got[n]["near_edited"], plain_likeness(prints[0], prints[1])) and np.isclose(got[n]["near_next"], plain_likeness(prints[0], prints[2]))
+
+
+def test_fingerprints_of_a_hot_id(spark):
+    """Null ids hold most rows: order, successors and values are the plain ones, and no part holds them all."""
+    texts = [f"text number {n} of the rows without an id, which are many, {'and longer ' * (n % 5)}" for n in range(900)]
+    rows = [(None if n % 3 else n, t) for n, t in enumerate(texts)] + [(None, texts[1])] * 3 + [(4, "again"), (4, None), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = collections.Counter(r["part"] for r in fingerprints.with_next(df, ranges=40).select("part").collect())
+    assert max(parts.values()) <= 4 * len(rows) / 40
+    hashed = df.selectExpr("doc_id", "coalesce(text, '') as text", "xxhash64(coalesce(text, '')) as h").collect()
+    order = sorted(hashed, key=lambda r: (-(r["doc_id"] if r["doc_id"] is not None else -1), r["h"]))
+    expected = []
+    for r, after in zip(order, order[1:] + order[:1]):
+        half = len(r["text"]) // 2
+        mixed = r["text"][: len(r["text"]) - half] + after["text"][:half]
+        a, b = fingerprints.fingerprint(r["text"]), fingerprints.fingerprint(after["text"])
+        expected.append((r["doc_id"] if r["doc_id"] is not None else -1, hashlib.sha256(mixed.encode()).hexdigest(), fingerprints.text_form(a), round(fingerprints.likeness(a, b), 9)))
+    got = fingerprints.fingerprint_pairs(df).collect()
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["edited_sha256"], r["fingerprint"], round(r["near_next"], 9)) for r in got) == sorted(expected)
+
+
 def test_fingerprints_of_one_and_of_none(spark, nothing):
     one = fingerprints.fingerprint_pairs(spark.createDataFrame([(3, "abc")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
@@ -644,6 +731,28 @@ def test_simhash_equals_brute_force(spark, docs):
         assert {r["doc_id"]: r["component_id"] for r in rows} == expected
 
 
+def test_block_count_follows_the_number_of_fingerprints():
+    assert [simhash.block_count(n, 4, 2048) for n in (0, 8_000_000, 9_000_000, 2 * 10**9, 3 * 10**9, 10**11)] == [5, 5, 6, 6, 7, 7]
+
+
+def test_spread_join_deals_hot_keys(spark):
+    """A key with most of the rows, which are all alike, is dealt over tasks; every row is joined once."""
+    left = spark.range(6000).selectExpr("if(id % 3 = 0, id, 7) as k", "if(id % 3 = 0, id, 1) as v").repartition(8)
+    right = left.groupBy("k").agg(F.count("*").alias("n"), (F.max("k") * 10).alias("label"))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for c, v in zip(old, ("false", "-1", "16")):
+            spark.conf.set(c, v)
+        out = spread_join(left, right, "k", parts=100)
+        rows = out.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert len(rows) == 6000 and all(r["label"] == 10 * r["k"] for r in rows) and set(out.columns) == {"k", "v", "label"}
+    per_task = collections.Counter(r["task"] for r in rows)
+    assert max(per_task.values()) <= 2.5 * 6000 / 16
+
+
 def test_simhash_odd_rows(odd, nothing):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
@@ -695,6 +804,16 @@ def test_line_dedup(which, request, spark):
     assert sorted((-(1 << 63) if r["doc_id"] is None else r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got) == plain_line_dedup(texts_of(df))
 
 
+def test_line_dedup_of_very_many_lines(spark):
+    """A text of 100,000 lines that loses every other one: what is dropped is walked along with the lines, not searched for."""
+    shared = [f"a line of forty characters and more, number {i}" for i in range(50_000)]
+    long = "\n".join(x for i, s in enumerate(shared) for x in (s, f"own {i}"))
+    rows = [(1, long)] + [(2 + k, "\n".join(shared)) for k in range(4)]
+    got = {r["doc_id"]: r for r in line_dedup.drop_shared_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["n_dropped"] == 50_000 and got[1]["text"] == "\n".join(f"own {i}" for i in range(50_000))
+    assert got[5]["text"] == rows[4][1] and got[2]["text"] == ""
+
+
 def test_line_dedup_nothing_and_columns(odd, nothing):
     assert line_dedup.drop_shared_lines(nothing).count() == 0
     assert line_dedup.drop_shared_lines(odd).columns == [*odd.columns, "n_lines", "n_dropped"]

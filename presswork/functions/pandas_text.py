@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import ipaddress
 import struct
+from collections.abc import Iterator
 from html import unescape as html_unescape
 from urllib.parse import urljoin, urlsplit
 
@@ -46,40 +48,66 @@ def decoded(raw: pd.Series) -> pd.Series:
     return raw.map(one, na_action="ignore")
 
 
-@F.pandas_udf(STRING)
-def blocked_reason(url: pd.Series) -> pd.Series:
+def blocked_address(value: str | None) -> str:
     """Why an address must not be fetched ('' if it may): no host, local names, or addresses that are not public. Names are not resolved."""
+    try:
+        host = urlsplit(value or "").hostname or ""
+    except ValueError:
+        return "malformed"
+    if not host:
+        return "no host"
+    if host == "localhost" or host.endswith((".localhost", ".internal", ".local")):
+        return "local name"
+    try:
+        ip = ipaddress.ip_address(host)
+    except ValueError:
+        return ""
+    return "" if ip.is_global else "not public"
+
 
-    def one(value: str | None) -> str:
-        try:
-            host = urlsplit(value or "").hostname or ""
-        except ValueError:
-            return "malformed"
-        if not host:
-            return "no host"
-        if host == "localhost" or host.endswith((".localhost", ".internal", ".local")):
-            return "local name"
-        try:
-            ip = ipaddress.ip_address(host)
-        except ValueError:
-            return ""
-        return "" if ip.is_global else "not public"
-
-    return url.map(one)
-
-
-def _jpeg(data: bytes) -> tuple[int, int] | None:
-    at = 2
-    while at + 9 <= len(data):
-        if data[at] != 0xFF:
-            at += 1
-        elif data[at + 1] in (0x01, 0xFF) or 0xD0 <= data[at + 1] <= 0xD9:
-            at += 2
-        elif 0xC0 <= data[at + 1] <= 0xCF and data[at + 1] not in (0xC4, 0xC8, 0xCC):  # a frame header
-            height, width = struct.unpack_from(">HH", data, at + 5)
-            return width, height
-        else:
-            at += 2 + max(2, struct.unpack_from(">H", data, at + 2)[0])
+@F.pandas_udf(STRING)
+def blocked_reason(url: pd.Series) -> pd.Series:
+    return url.map(blocked_address)
+
+
+def _segments(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(code, payload) of a JPEG file's marker segments up to its image data.
+
+    A marker is a byte 255 and its code; any number of bytes 255 may stand before it to fill up. The payload follows with its
+    length in front, which counts its own two bytes.
+    """
+    stream = io.BytesIO(data)
+    stream.seek(2)
+    while True:
+        if stream.read(1) != b"\xff":
+            return
+        code = stream.read(1)
+        while code == b"\xff":
+            code = stream.read(1)
+        if code in (b"", b"\xda", b"\xd9"):  # the scan begins, or the file ends
+            return
+        head = stream.read(2)
+        if len(head) < 2:
+            return
+        yield code[0], stream.read(int.from_bytes(head, "big") - 2)
+
+
+#: The codes of the JPEG segments that state a frame's size: SOF0 to SOF15 without the three that define tables.
+FRAMES = {*range(192, 208)} - {196, 200, 204}
+#: Width and height in each format: the signature and its place, then the two numbers' struct format, their place and the bits that count.
+HEADS = (
+    (b"\x89PNG\r\n\x1a\n", 0, ">II", 16, 0xFFFFFFFF),
+    (b"GIF8", 0, "<HH", 6, 0xFFFF),
+    (b"VP8 ", 12, "<HH", 26, 0x3FFF),
+)
+
+
+def _packed_size(data: bytes) -> tuple[int, int] | None:
+    """WebP's lossless and extended kinds: sizes less one in a row of bits, 14 of each behind a byte, or 24 of each behind four."""
+    for kind, at, bits in ((b"VP8L", 21, 14), (b"VP8X", 24, 24)):
+        if data[12:16] == kind and len(data) >= at - (-bits // 4):
+            both = int.from_bytes(data[at : at + 6], "little")
+            return both % (1 << bits) + 1, (both >> bits) % (1 << bits) + 1
     return None
 
 
@@ -87,21 +115,15 @@ def size_of(data: bytes | None) -> tuple[int, int] | None:
     """(width, height) from the head of a PNG, GIF, JPEG or WebP file; None for anything else."""
     data = data or b""
     found = None
-    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
-        found = struct.unpack_from(">II", data, 16)
-    elif data[:4] == b"GIF8" and len(data) >= 10:
-        found = struct.unpack_from("<HH", data, 6)
-    elif data[:2] == b"\xff\xd8":
-        found = _jpeg(data)
-    elif data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 30:
-        kind = data[12:16]
-        if kind == b"VP8X":
-            found = tuple(1 + int.from_bytes(data[k : k + 3], "little") for k in (24, 27))
-        elif kind == b"VP8 " and data[23:26] == b"\x9d\x01\x2a":
-            found = tuple(n & 0x3FFF for n in struct.unpack_from("<HH", data, 26))
-        elif kind == b"VP8L" and data[20] == 0x2F:
-            bits = struct.unpack_from("<I", data, 21)[0]
-            found = ((bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1)
+    if data.startswith(b"\xff\xd8"):
+        frame = next((x for code, x in _segments(data) if code in FRAMES and len(x) >= 5), None)
+        found = (int.from_bytes(frame[3:5], "big"), int.from_bytes(frame[1:3], "big")) if frame else None
+    else:
+        for signature, place, form, at, mask in HEADS:
+            if data[place : place + len(signature)] == signature and len(data) >= at + struct.calcsize(form):
+                found = tuple(n & mask for n in struct.unpack_from(form, data, at))
+        if data.startswith(b"RIFF") and data[8:12] == b"WEBP":
+            found = found or _packed_size(data)
     return found if found and all(found) else None
 
 

@@ -11,12 +11,18 @@ from pyspark.sql import functions as F
 
 HAN = r"[一-鿿]"
 LATIN = "[A-Za-z]"
-#: White space as the text functions see it: ASCII and the no-break space.
-BLANK = r"[\s ]"
+#: White space as the text functions see it: all of Unicode's, as texts in Chinese use the wide space.
+BLANK_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANK = f"[{BLANK_CHARS}]"
+
+
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: a lambda variable stands for it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANK_CHARS))
 
 
 def collapsed(text: Column) -> Column:
@@ -67,9 +73,13 @@ def comma_tags(raw: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), ","), trimmed), lambda t: t != "")
 
 
+#: What Markdown puts before a line.
+LINE_MARKS = r"(?m)^\s*(?:#{1,6}\s+|[-*+]\s+|\d+[.)]\s*)"
+
+
 def strip_markdown(text: Column) -> Column:
     """Without line marks (headings, bullets, numbers) and bold marks, on one line."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?m)^\s*(?:#{1,6}\s+|[-*+]\s+|\d+[.)]\s*)", "")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), LINE_MARKS, "")
     return collapsed(F.regexp_replace(t, r"\*\*|__", ""))
 
 
@@ -148,8 +158,10 @@ def translation_usable(source: Column, translated: Column) -> Column:
 
 
 def chinese_usable(text: Column, strict: bool = True) -> Column:
-    ratio = chinese_ratio(text)
-    return (ratio >= 0.4) & ~has_untranslated_sentence(text) if strict else ratio >= 0.3
+    """Chinese enough to be read: strictly 0.4 of the letters and no sentence in another language, else 0.3 of the letters."""
+    t = trimmed(F.coalesce(text, F.lit("")))
+    ratio = chinese_ratio(t)
+    return (ratio >= 0.4) & ~has_untranslated_sentence(t) if strict else ratio >= 0.3
 
 
 #: What is left of a post that has no body.
@@ -157,8 +169,14 @@ BOILERPLATE = r"(?i)(?:submitted\s+by|\[link\]|\[comments\]|comments|level\s*\d+
 
 
 def is_real_body(text: Column, min_chars: int = 30) -> Column:
-    t = trimmed(F.coalesce(text, F.lit("")))
-    return (F.char_length(t) >= min_chars) & (F.char_length(trimmed(F.regexp_replace(t, BOILERPLATE, " "))) >= min_chars)
+    def judge(t: Column) -> Column:
+        # A beginning of the text suffices in nearly all cases: what is left of it is left of the whole. Its last three words
+        # don't count, as a phrase that goes on behind them may take them with it.
+        left = lambda x: F.char_length(trimmed(F.regexp_replace(x, BOILERPLATE, " "))) >= min_chars
+        head = F.regexp_replace(F.substring(t, 1, 400), r"(?:\S+\s+){0,2}\S*$", "")
+        return F.when(F.char_length(t) < min_chars, False).when((F.char_length(t) > 400) & left(head), True).otherwise(left(t))
+
+    return bound(trimmed(F.coalesce(text, F.lit(""))), judge)
 
 
 #: Phrases of paragraphs that are navigation or rights notices.
@@ -193,8 +211,8 @@ def trim_tail(text: Column, max_chars: int = 400) -> Column:
     return trimmed(F.element_at(F.transform(F.array(F.split(trimmed(F.coalesce(text, F.lit(""))), r"\n\s*\n")), cut), 1))
 
 
-def brief_digest(text: Column, limit: int = 108) -> Column:
-    """Whole sentences up to ``limit`` characters, the first one if none fits; only beyond twice ``limit`` cut at a clause."""
+def brief_digest(text: Column, limit: int = 108, longest: int = 216) -> Column:
+    """Whole sentences up to ``limit`` characters, the first one if none fits; only what is longer than ``longest`` is cut, at its last clause."""
     clean = collapsed(F.coalesce(text, F.lit("")))
     pieces = F.filter(F.transform(F.split(clean, r"(?<=[。！？.!?])"), trimmed), lambda p: p != "")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("used"), F.lit(False).alias("full"))
@@ -204,25 +222,70 @@ def brief_digest(text: Column, limit: int = 108) -> Column:
         used = F.when(fits, acc["used"] + F.char_length(p)).otherwise(acc["used"])
         return F.struct(F.when(fits, F.concat(acc["out"], p)).otherwise(acc["out"]).alias("out"), used.alias("used"), (acc["full"] | ~fits | (used >= limit - 20)).alias("full"))
 
-    taken = F.aggregate(pieces, start, take, lambda acc: acc["out"])
-    whole = first_nonempty(taken, F.get(pieces, F.lit(0)), clean)
-    cut = F.regexp_extract(whole, r"(?s)^(.{20,}[，、；：,;:])", 1)
-    short = trimmed(F.when((F.char_length(whole) > 2 * limit) & (cut != ""), cut).otherwise(whole))
-    return F.when(short == "", "").when(short.rlike(r"[。！？.!?]$"), short).otherwise(F.concat(short, F.lit("。")))
+    def finish(whole: Column) -> Column:
+        cut = F.regexp_extract(whole, r"(?s)^(.{20,}[，、；：,;:])", 1)
+        short = trimmed(F.when((F.char_length(whole) > longest) & (cut != ""), cut).otherwise(whole))
+        return bound(short, lambda t: F.when((t == "") | t.rlike(r"[。！？.!?]$"), t).otherwise(F.concat(t, F.lit("。"))))
+
+    return bound(pieces, lambda p: bound(first_nonempty(F.aggregate(p, start, take, lambda acc: acc["out"]), F.get(p, F.lit(0))), finish))
+
+
+def fallback_body(title: Column, *bodies: Column) -> Column:
+    """The first of the bodies, without markup, that says something; else the title. What is shown where no model has answered."""
+    texts = [bound(strip_html(b), lambda t: F.when(is_real_body(t), t)) for b in bodies]
+    return F.coalesce(*texts, title, F.lit(""))
+
+
+def fallback_digest(title: Column, *bodies: Column, chars: int = 200) -> Column:
+    return truncate(fallback_body(title, *bodies), chars)
+
+
+def _brief_of(material: Column, more: Column, least: int, limit: int) -> Column:
+    """A brief from one column that is mostly Chinese, with a sentence of ``more`` where it is short; null where it isn't Chinese."""
+    ends = r"[。！？.!?]$"
+
+    def joined(x: Column) -> Column:
+        tail = F.regexp_replace(x["extra"], "[，、；：,;: ]+$", "")
+        apart = F.when(x["brief"].rlike(ends), "").otherwise("。")
+        merged = F.when(tail.rlike(ends), F.concat(x["brief"], tail)).otherwise(F.concat(x["brief"], apart, tail, F.lit("。")))
+        useful = chinese_usable(x["extra"], strict=False) & ~F.contains(x["brief"], x["extra"]) & (tail != "")
+        return F.when((F.char_length(x["brief"]) < least) & useful & (F.char_length(merged) <= limit + 20), merged).otherwise(x["brief"])
+
+    both = F.struct(brief_digest(material, limit).alias("brief"), brief_digest(more, limit).alias("extra"))
+    return F.when(chinese_usable(material, strict=False), bound(both, joined))
+
+
+def brief_text(title: Column, title_zh: Column, brief_zh: Column, digest_zh: Column, digest: Column, reason: Column, summary: Column, *bodies: Column, placeholder: str | None = None, least: int = 70, limit: int = 108) -> Column:
+    """A paragraph in whole Chinese sentences: the stored brief, else the first usable of the digests, the reason and the summary,
+    else the beginning of a body, else the title. '' where there is none, or ``placeholder`` with the title for ``{title}``."""
+    stored = trimmed(F.coalesce(brief_zh, F.lit("")))
+    ladder = [_brief_of(m, summary if m is reason else reason, least, limit) for m in (digest_zh, digest, reason, summary)]
+    excerpts = [bound(strip_markdown(b), lambda t: F.when(chinese_usable(t, strict=False), F.substring(t, 1, 400))) for b in bodies]
+    body = bound(brief_digest(F.coalesce(*excerpts, F.lit("")), 2 * limit), lambda b: F.when(F.char_length(b) >= 30, b))
+    name = trimmed(first_nonempty(title_zh, title))
+    said = F.when(chinese_ratio(name) >= 0.4, brief_digest(name, limit))
+    rest = F.lit("") if placeholder is None else F.when(name == "", "").otherwise(F.replace(F.lit(placeholder), F.lit("{title}"), name))
+    return F.when(chinese_usable(stored), stored).otherwise(F.coalesce(*ladder, body, said, rest))
 
 
 #: Words that say nothing about a story.
 STOPWORDS = (
-    "about above after again against also among because been before being between both could does doing down during each from further have having here "
-    "into itself more most only other over same should some such than that their them then there these they this those through under until "
-    "very were what when where which while with would your said says say new now will can may might via using used use"
-).split()
+    "about", "above", "after", "again", "against", "also", "among", "because", "been", "before", "being", "between", "both", "could", "does",
+    "doing", "down", "during", "each", "from", "further", "have", "having", "here", "into", "itself", "more", "most", "only", "other", "over",
+    "same", "should", "some", "such", "than", "that", "their", "them", "then", "there", "these", "they", "this", "those", "through", "under",
+    "until", "very", "were", "what", "when", "where", "which", "while", "with", "would", "your", "said", "says", "say", "new", "now", "will", "can",
+    "may", "might", "via", "using", "used", "use",
+)
+
+
+#: A Latin word of a story, and the characters of Chinese, Japanese and compatibility forms.
+STORY_WORD, CJK = r"[a-z][a-z0-9']{3,}", r"[぀-ヿ㐀-䶿一-鿿豈-﫿]"
 
 
 def story_words(text: Column) -> Column:
     """Latin words of four characters or more without stop words; where there is CJK, also every pair of neighbouring characters."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    latin = F.array_except(F.array_distinct(F.regexp_extract_all(low, F.lit(r"[a-z][a-z0-9']{3,}"), F.lit(0))), F.array(*map(F.lit, STOPWORDS)))
+    latin = F.array_except(F.array_distinct(F.regexp_extract_all(low, F.lit(STORY_WORD), F.lit(0))), F.array(*map(F.lit, STOPWORDS)))
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(low) - 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(2)))
     return F.when(low.rlike(r"[぀-ヿ㐀-䶿一-鿿豈-﫿]"), F.array_union(latin, pairs)).otherwise(latin)
 

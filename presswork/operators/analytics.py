@@ -23,8 +23,9 @@ def kpis(rows: DataFrame) -> DataFrame:
         F.count_if(F.col("starred") == 1).alias("starred"),
         F.countDistinct(F.to_date("published_at")).alias("active_days"),
         F.count_if(F.col("status") == "processed").alias("processed"),
+        F.count_if((T.trimmed(F.coalesce("content_zh", F.lit(""))) != "") | ~T.looks_english(F.col("content_full"))).alias("translated"),
         F.coalesce(F.bround(F.avg("score"), 1), F.lit(0.0)).alias("avg_score"),
-    ).withColumns({"processed_pct": share(F.col("processed"), F.col("total")), "per_day": F.when(F.col("active_days") > 0, F.bround(F.col("total") / F.col("active_days"), 1)).otherwise(0.0)})
+    ).withColumns({"processed_pct": share(F.col("processed"), F.col("total")), "translated_pct": share(F.col("translated"), F.col("total")), "per_day": F.when(F.col("active_days") > 0, F.bround(F.col("total") / F.col("active_days"), 1)).otherwise(0.0)})
 
 
 def calendar(now: str, days: int) -> DataFrame:
@@ -112,23 +113,31 @@ def source_stats(articles: DataFrame) -> DataFrame:
 
 
 def facets(rows: DataFrame) -> DataFrame:
-    """(facet, name, count): categories by frequency and the 30 most frequent comma tags, 20 a row at most."""
+    """(facet, name, count): categories by frequency, the 30 most frequent comma tags, 20 a row at most, and the first 60 topics."""
+    from presswork.operators.reading import topic_list
+
     tags = rows.select(F.explode(F.slice(T.comma_tags(F.col("tags")), 1, 20)).alias("name")).groupBy("name").agg(F.count("*").alias("count"))
     tags = tags.orderBy(F.desc("count"), "name").limit(30)
+    topics = rows.select(F.explode(topic_list(F.col("topics"))).alias("name")).groupBy("name").agg(F.count("*").alias("count")).orderBy("name").limit(60)
     cats = rows.filter("category is not null and category <> ''").groupBy(F.col("category").alias("name")).agg(F.count("*").alias("count"))
-    return cats.select(F.lit("category").alias("facet"), "name", "count").unionByName(tags.select(F.lit("tag").alias("facet"), "name", "count"))
+    named = lambda df, facet: df.select(F.lit(facet).alias("facet"), "name", "count")
+    return named(cats, "category").unionByName(named(tags, "tag")).unionByName(named(topics, "topic"))
 
 
 def counts_by_day(rows: DataFrame, dates: list[str]) -> DataFrame:
-    """One row for each date asked for, in one aggregate."""
-    from pyspark.sql import SparkSession
+    """One row for each date asked for, in one aggregate over the rows of these days only."""
+    from presswork.operators.visibility import in_day
 
-    asked = SparkSession.getActiveSession().createDataFrame([(d,) for d in dates], "date string")
-    counts = rows.groupBy(F.date_format("published_at", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("n"))
-    return F.broadcast(asked).join(counts, "date", "left").select("date", F.coalesce("n", F.lit(0)).alias("count"))
+    asked = rows.sparkSession.createDataFrame([(d,) for d in dates], "date string")
+    wanted = F.lit(False)
+    for d in dates:
+        wanted = wanted | in_day(d)
+    counts = rows.filter(wanted).groupBy(F.date_format("published_at", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("n"))
+    return asked.join(F.broadcast(counts), "date", "left").select("date", F.coalesce("n", F.lit(0)).alias("count"))  # one row for each date at most
 
 
-def status_counters(articles: DataFrame, today: str) -> DataFrame:
+def status_counters(articles: DataFrame, today: str, max_attempts: int = 6) -> DataFrame:
+    """One row of counts; exhausted are the failed rows whose attempts are used up."""
     day = F.to_date("published_at") == F.lit(today).cast("date")
     return articles.agg(
         F.count("*").alias("articles"),
@@ -139,5 +148,5 @@ def status_counters(articles: DataFrame, today: str) -> DataFrame:
         F.count_if(F.col("deleted_at").cast("date") == F.lit(today).cast("date")).alias("deleted_today"),
         F.count_if(F.col("starred") == 1).alias("starred"),
         F.count_if(F.coalesce("content_full", F.lit("")) != "").alias("with_text"),
-        F.count_if((F.col("status") == "failed") & (F.col("id") % 6 == 5)).alias("exhausted"),
+        F.count_if((F.col("status") == "failed") & (F.col("process_attempts") >= max_attempts)).alias("exhausted"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from presswork.functions import text as T
 from presswork.operators.analytics import calendar
-from presswork.operators.visibility import latest_first, reportable, ts
+from presswork.operators.visibility import in_day, latest_first, reportable, ts
 
 
 def half_translated(body: Column, translated: Column, min_words: int = 20) -> Column:
@@ -85,6 +85,60 @@ def switch_sources(sources: DataFrame, ids: list[int], now: str, reason: str = "
     )
 
 
+def rename_sources(sources: DataFrame, names: dict[int, str], longest: int = 200) -> DataFrame:
+    """New names for sources that are there; blank and too long ones change nothing."""
+    out = F.col("name")
+    for i, name in names.items():
+        if 0 < len(name.strip()) <= longest:
+            out = F.when((F.col("id") == i) & (F.col("deleted") == 0), name.strip()).otherwise(out)
+    return sources.withColumn("name", out)
+
+
+def drop_sources(sources: DataFrame, ids: list[int]) -> DataFrame:
+    """Marked as deleted and switched off; the rows stay, so that articles keep their source's name."""
+    hit = F.col("id").isin(ids) & (F.col("deleted") == 0)
+    return sources.withColumns({"deleted": F.when(hit, 1).otherwise(F.col("deleted")), "enabled": F.when(hit, 0).otherwise(F.col("enabled"))})
+
+
+def restore_sources(sources: DataFrame, ids: list[int]) -> DataFrame:
+    hit = F.col("id").isin(ids) & (F.col("deleted") == 1)
+    return sources.withColumns({"deleted": F.when(hit, 0).otherwise(F.col("deleted")), "enabled": F.when(hit, 1).otherwise(F.col("enabled"))})
+
+
+def clean_source(name: Column, url: Column, lang: Column, longest_name: int = 200, longest_url: int = 1000) -> Column:
+    """struct(name, url, lang, error) of what a user enters: an empty name is the address's host, an unknown language ``auto``;
+    error says why the address or the name is not taken ('' if it is)."""
+    u = T.trimmed(F.coalesce(url, F.lit("")))
+    n = T.first_nonempty(T.trimmed(F.coalesce(name, F.lit(""))), T.url_host(u))
+    error = F.when(u == "", "no address").when(F.char_length(u) > longest_url, "address too long").when(~u.rlike("^https?://"), "not http").when(F.char_length(n) > longest_name, "name too long").otherwise("")
+    return F.struct(n.alias("name"), u.alias("url"), F.when(lang.isin("zh", "en"), lang).otherwise("auto").alias("lang"), error.alias("error"))
+
+
+def clean_choice(value: Column, allowed: list[str], default: str) -> Column:
+    """Tabs, kinds and node types: what is none of the choices is the default."""
+    v = T.trimmed(F.coalesce(value, F.lit("")))
+    return F.when(v.isin(allowed), v).otherwise(default)
+
+
+def clean_page(value: Column) -> Column:
+    """A page number of 1 or more; 1 for anything else."""
+    return F.greatest(F.coalesce(T.trimmed(value).try_cast("int"), F.lit(1)), F.lit(1))
+
+
+def clean_keyword(value: Column, longest: int = 100) -> Column:
+    return F.substring(T.trimmed(F.coalesce(value, F.lit(""))), 1, longest)
+
+
+def anchor_outcome(kept: Column, too_small: Column, failed: Column) -> Column:
+    """What a round over an article's images comes to: saved if any is kept; retry if none is and calls failed, but for small
+    ones; else empty, which is final."""
+    return F.when(kept > 0, "saved").when((failed > 0) & (too_small == 0), "retry").otherwise("empty")
+
+
+def newest_issues(issues: DataFrame, newest: int = 14) -> DataFrame:
+    return issues.orderBy(F.desc("date")).limit(newest)
+
+
 def create_rules(rules: DataFrame, new: DataFrame) -> DataFrame:
     """``new`` (keyword, kind) rules that are not there yet, keywords trimmed and case-blind, enabled and without hits."""
     clean = new.select(T.trimmed(F.col("keyword")).alias("keyword"), "kind").filter("keyword <> ''").withColumn("k", F.lower("keyword"))
@@ -104,9 +158,9 @@ def empty_hint(articles: DataFrame, now: str, days: int) -> DataFrame:
     return n.select("n", F.when(F.col("n") == 0, "no articles in the window").otherwise("no article matched").alias("hint"))
 
 
-def pipeline_note(articles: DataFrame) -> DataFrame:
-    """One line on what waits and what failed."""
-    c = articles.filter("deleted_at is null").agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "failed").alias("failed"))
+def pipeline_note(articles: DataFrame, date: str | None = None) -> DataFrame:
+    """One line on what waits and what failed, of all articles or of a day."""
+    c = (articles.filter(in_day(date)) if date else articles).filter("deleted_at is null").agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "failed").alias("failed"))
     note = F.when((F.col("pending") == 0) & (F.col("failed") == 0), "all processed").otherwise(F.concat(F.col("pending").cast("string"), F.lit(" pending, "), F.col("failed").cast("string"), F.lit(" failed")))
     return c.select("pending", "failed", note.alias("note"))
 
@@ -124,6 +178,21 @@ def weather_advice(temperature: Column, rain: Column, wind: Column, code: Column
     return F.struct(clothing.alias("clothing"), F.coalesce(rain >= 50, F.lit(False)).alias("umbrella"), gale.alias("wind"), F.coalesce(code.isin(95, 96, 99), F.lit(False)).alias("storm"))
 
 
+def weather_text(rows: DataFrame) -> DataFrame:
+    """(city, text) of weather rows (city, sky, low, high, rain, wind, code); a city without a forecast is said to have none."""
+    advice = rows.withColumn("a", weather_advice(F.col("high"), F.col("rain"), F.col("wind"), F.col("code")))
+    told = F.concat_ws(
+        ", ",
+        F.concat(F.col("city"), F.lit(": "), F.coalesce("sky", F.lit("?"))),
+        F.concat(F.bround("low", 0).cast("int").cast("string"), F.lit(" to "), F.bround("high", 0).cast("int").cast("string"), F.lit(" °C")),
+        F.concat(F.lit("dress for "), F.col("a.clothing"), F.lit(" weather")),
+        F.when(F.col("a.umbrella"), "take an umbrella"),
+        F.col("a.wind"),
+        F.when(F.col("a.storm"), "thunderstorms"),
+    )
+    return advice.select("city", F.when(F.col("high").isNull(), F.concat(F.col("city"), F.lit(": no forecast"))).otherwise(told).alias("text"))
+
+
 def reason_of(reason: Column, lead: Column) -> Column:
     """'' where the reason only repeats the lead."""
     return F.when(T.trimmed(F.coalesce(reason, F.lit(""))) == T.trimmed(F.coalesce(lead, F.lit(""))), "").otherwise(F.coalesce(reason, F.lit("")))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswork.functions import text as T
+from presswork.operators.rules import first_match
 from presswork.operators.visibility import ts
 
 FUTURE = "INTERVAL 6 HOURS"
@@ -47,6 +49,34 @@ def run_stats(admitted: DataFrame) -> DataFrame:
     return admitted.groupBy("source_id").agg(F.count("*").alias("fetched"), *map(count, ("kept", "stale", "no_content", "over_cap")), F.count_if("no_date").alias("no_date"), F.count_if("future").alias("future"))
 
 
+def settle_kept(admitted: DataFrame, known: DataFrame, block: list[tuple[int, str]] = (), window: int = 500) -> DataFrame:
+    """``admitted`` (id, link, title, content, outcome, ...) with what becomes of the kept items: new, bad_link, duplicated or blocked.
+
+    Duplicated are links that are known or were kept before in the run (the smallest id counts as the first), and titles
+    like one of the ``window`` newest known ones. Both are found on one row a link or an item, so no link is a hot key.
+    """
+    kept = admitted.filter("outcome = 'kept'").withColumn("link", F.substring(T.safe_link(F.col("link")), 1, 1000))
+    usable = kept.filter((F.col("link") != "") & (T.trimmed(F.coalesce("title", F.lit(""))) != ""))
+    first = usable.groupBy("link").agg(F.min("id").alias("id")).join(known.select("link").distinct(), "link", "left_anti").select("id")
+    if window > 0:
+        first = first.join(title_duplicates(usable.select("id", "title"), known, window=window).select("id"), "id", "left_anti")
+    marks = usable.select(F.col("id").alias("__id"), F.lit(True).alias("__usable")).join(first.select(F.col("id").alias("__id"), F.lit(True).alias("__first")), "__id", "left")
+    rows = admitted.join(marks, F.col("id") == F.col("__id"), "left")
+    blocked = first_match(F.concat_ws("\n", "title", T.strip_html(F.col("content"))), list(block)).isNotNull()
+    fate = F.when(F.col("__usable").isNull(), "bad_link").when(F.col("__first").isNull(), "duplicated").when(blocked, "blocked").otherwise("new")
+    return rows.withColumn("outcome", F.when(F.col("outcome") == "kept", fate).otherwise(F.col("outcome"))).drop("__id", "__usable", "__first")
+
+
+OUTCOMES = ("new", "duplicated", "blocked", "bad_link", "stale", "no_content", "over_cap")
+
+
+def run_report(settled_items: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source_id, status, fetched, one column for each outcome): every source of the run; those without items are empty."""
+    counts = settled_items.groupBy("source_id").agg(F.count("*").alias("fetched"), *[F.count_if(F.col("outcome") == name).alias(name) for name in OUTCOMES])
+    rows = sources.select(F.col("id").alias("source_id")).join(counts, "source_id", "left").fillna(0, ["fetched", *OUTCOMES])
+    return rows.select("source_id", F.when(F.col("fetched") == 0, "empty").otherwise("ok").alias("status"), "fetched", *OUTCOMES)
+
+
 def new_by_link(items: DataFrame, known: DataFrame) -> DataFrame:
     """Items with a safe link that is not known yet, the first of each link; titles and links are cut to their columns' lengths."""
     rows = items.withColumn("link", F.substring(T.safe_link(F.col("link")), 1, 1000)).filter("link <> ''").withColumn("title", F.substring("title", 1, 500))
@@ -59,39 +89,59 @@ def seed(new: DataFrame, known: DataFrame, key: str = "url") -> DataFrame:
     return known.unionByName(new.dropDuplicates([key]).join(known.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
-def title_duplicates(items: DataFrame, known: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """(id, known_id) of items whose title equals a known title, or resembles it by more than ``threshold``.
+def _profiles(titles: list[str], bins: int = 64) -> np.ndarray:
+    """How often each of ``bins`` classes of characters occurs in each title. The smaller counts of two titles, summed, are
+    at least the number of characters that they can have in common."""
+    lengths = [len(t) for t in titles]
+    points = np.frombuffer("".join(titles).encode("utf-32-le", "surrogatepass"), "<u4")
+    places = np.repeat(np.arange(len(titles)), lengths) * bins + (points * np.uint32(2654435761) >> np.uint32(26)) % bins
+    return np.bincount(places, minlength=len(titles) * bins).reshape(len(titles), bins).astype(np.int32)
+
 
-    The smallest id of each distinct known title stands for it, and an item gets the smallest such id but its own.
-    A ratio above ``t`` needs equal parts of at least ``t`` of both, so distinct titles are compared only when they
-    share one of the left one's three rarest words and their lengths allow the ratio. The ratio itself runs in Arrow batches.
+def title_duplicates(items: DataFrame, known: DataFrame, threshold: float = 0.9, window: int = 500) -> DataFrame:
+    """(id, known_id) of items whose title equals one of the ``window`` newest known titles (by id), or resembles one by more than ``threshold``.
+
+    Titles are compared as ``normalize_title`` gives them, so that the ratio is one of characters in any script; known_id is
+    the smallest such id but the item's own. The window is the bound of what goes to the executors: every item is held
+    against all of it where it is read, without a shuffle. Lengths and counts of characters bound the ratio from above, so
+    only pairs that may exceed it are compared in full, and none is lost.
     """
-    titled = lambda df: df.select("id", T.normalize_title(F.col("title")).alias("t")).filter("t <> ''")
-    own = titled(items)
-    theirs = titled(known).groupBy("t").agg(F.min("id").alias("known_id"))
-    split = lambda df, name: df.select(F.col("t").alias(name), F.explode(F.array_distinct(F.split("t", " "))).alias("word"))
-    left, right = split(own.select("t").distinct(), "x"), split(theirs, "y")
-    often = right.groupBy("word").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("x").orderBy("n", "word"))
-    rare = left.join(often, "word").withColumn("r", rank).filter("r <= 3").select("x", "word")
-    near = F.abs(F.char_length("x") - F.char_length("y")) <= (1 - threshold) * (F.char_length("x") + F.char_length("y"))
-    pairs = rare.join(right, "word").filter(near & (F.col("x") != F.col("y"))).select("x", "y").distinct()
+    newest = known.orderBy(F.desc("id")).limit(window).select("id", T.normalize_title(F.col("title")).alias("t")).filter("t <> ''").collect()
+    ids_of: dict[str, list[int]] = {}
+    for r in sorted(newest, key=lambda r: r["id"]):
+        ids_of.setdefault(r["t"], []).append(r["id"])
+    sent = items.sparkSession.sparkContext.broadcast({t: ids[:2] for t, ids in ids_of.items()})  # the second serves the first itself
 
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        titles = list(sent.value)
+        theirs, lengths = _profiles(titles), np.array([len(t) for t in titles])
+        matchers = [SequenceMatcher(None, "", t) for t in titles]
+        found: dict[str, list[int]] = {}
+
+        def like(title: str) -> list[int]:
+            if not titles:
+                return []
+            most = np.minimum(_profiles([title]), theirs).sum(1)
+            out = [k for k in np.flatnonzero(2 * most > threshold * (lengths + len(title))).tolist() if titles[k] == title or _ratio(matchers[k], title) > threshold]
+            return sorted(i for k in out for i in sent.value[titles[k]])
+
         for b in batches:
-            matcher, keep, last = SequenceMatcher(None), [], None
-            for x, y in zip(b["x"], b["y"]):
-                if y != last:  # the matcher keeps what it has learnt of the second title
-                    matcher.set_seq2(y)
-                    last = y
-                matcher.set_seq1(x)
-                keep.append(matcher.real_quick_ratio() > threshold and matcher.quick_ratio() > threshold and matcher.ratio() > threshold)
-            yield b[keep]
-
-    alike_titles = pairs.sortWithinPartitions("y").mapInPandas(alike, "x string, y string")
-    same = own.select("id", F.col("t").alias("x")).join(theirs.select(F.col("t").alias("x"), "known_id"), "x").select("id", "known_id")
-    other = own.withColumnRenamed("t", "x").join(alike_titles, "x").join(theirs.withColumnRenamed("t", "y"), "y").select("id", "known_id")
-    return same.unionByName(other).filter("id <> known_id").groupBy("id").agg(F.min("known_id").alias("known_id"))
+            rows = []
+            for i, t in zip(b["id"].tolist(), b["t"].tolist()):
+                if t not in found:
+                    if len(found) > 100_000:
+                        found.clear()
+                    found[t] = like(t)
+                rows += [(i, k) for k in found[t] if k != i][:1]
+            yield pd.DataFrame(rows, columns=["id", "known_id"])
+
+    own = items.select(F.col("id").cast("long").alias("id"), T.normalize_title(F.col("title")).alias("t")).filter("t <> ''")
+    return own.mapInPandas(alike, "id long, known_id long")
+
+
+def _ratio(matcher: SequenceMatcher, title: str) -> float:
+    matcher.set_seq1(title)
+    return matcher.ratio()
 
 
 def source_language(texts: DataFrame, sample: int = 8, threshold: float = 0.12) -> DataFrame:

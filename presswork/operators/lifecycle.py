@@ -51,6 +51,26 @@ def retry_queue(articles: DataFrame, now: str, max_attempts: int = 6, backoff_mi
     return failed.filter(F.col("process_last_at").isNull() | (F.col("process_last_at") <= ts(now) - F.expr(f"INTERVAL {backoff_minutes} MINUTE")))
 
 
+def requeue(articles: DataFrame, now: str, **parameters) -> DataFrame:
+    """``articles`` with the rows of ``retry_queue`` pending again; the queue is bounded, so it goes to every task."""
+    again = retry_queue(articles, now, **parameters).select("id", F.lit(True).alias("__again"))
+    return articles.join(F.broadcast(again), "id", "left").withColumn("status", F.when(F.col("__again"), "pending").otherwise(F.col("status"))).drop("__again")
+
+
+def retry_stats(articles: DataFrame, now: str, max_attempts: int = 6, newest: int = 200) -> DataFrame:
+    """One row: candidates looked at, those put back, and failed rows whose attempts are used up."""
+    failed = articles.filter(F.col("status") == "failed")
+    looked = failed.filter(F.col("process_attempts") < max_attempts).select("id").limit(newest).agg(F.count("*").alias("candidates"))
+    back = retry_queue(articles, now, max_attempts, newest=newest).agg(F.count("*").alias("requeued"))
+    spent = failed.agg(F.count_if(F.col("process_attempts") >= max_attempts).alias("exhausted"))
+    return looked.crossJoin(back).crossJoin(spent)  # one row each
+
+
+def retain_reports(reports: DataFrame, now: str, days: int) -> DataFrame:
+    """Reports of the last ``days`` and of today; dates are text, year first."""
+    return reports.filter(F.col("date") >= F.date_format(ts(now) - F.expr(f"INTERVAL {days} DAY"), "yyyy-MM-dd"))
+
+
 def work_queue(articles: DataFrame, batch: int = 20) -> DataFrame:
     """Pending rows by attempts, then newest first."""
     return articles.filter((F.col("status") == "pending") & F.col("deleted_at").isNull()).orderBy("process_attempts", *latest_first()).limit(batch)

@@ -9,19 +9,37 @@ from presswork.functions import text as T
 from presswork.operators.visibility import between, in_day, latest_first, reportable, ts, with_source
 
 
-def report_items(articles: DataFrame, sources: DataFrame, date: str, until: str | None = None) -> DataFrame:
-    """(rank, title, source, tags, link, published_at, degraded) of a day, newest first. A day's rows are few, so one rank order is fine."""
-    day = with_source(articles.filter(reportable() & in_day(date, until)), sources)
-    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*latest_first()))
-    return day.select(rank.alias("rank"), "title", "source", F.array_join(T.split_tags(F.col("tags")), ", ").alias("tags"), "link", "published_at", (F.col("status") == "failed").alias("degraded"))
+def ranked_in_day(day: DataFrame) -> DataFrame:
+    """``day`` (rows of one day) with ``rank``, newest first. Rows are ranked in their minute and moved by the number of rows
+    in later minutes, of which a day has 1,440 at most; so no task ranks a whole day."""
+    minute = (F.hour("published_at") * 60 + F.minute("published_at")).alias("__minute")
+    counts = day.groupBy(minute).agg(F.count("*").alias("n"))
+    later = counts.select("__minute", (F.sum("n").over(Window.orderBy(F.desc("__minute"))) - F.col("n")).alias("__later"))
+    own = F.row_number().over(Window.partitionBy("__minute").orderBy(*latest_first()))
+    return day.withColumn("__minute", minute).withColumn("rank", own).join(F.broadcast(later), "__minute").withColumn("rank", F.col("rank") + F.col("__later")).drop("__minute", "__later")
 
 
-def report_markdown(items: DataFrame, date: str) -> DataFrame:
-    """(date, article_count, content_md): the day as a numbered list."""
-    line = F.concat(F.col("rank").cast("string"), F.lit(". ["), F.col("title"), F.lit("]("), F.col("link"), F.lit(") — "), F.col("source"))
-    lines = F.sort_array(F.collect_list(F.struct("rank", line.alias("line"))))
-    body = F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
-    return items.agg(F.count("*").alias("article_count"), body.alias("body")).select(F.lit(date).alias("date"), "article_count", F.concat(F.lit(f"# {date}\n\n"), "body").alias("content_md"))
+def shown_title(unknown: str = "") -> Column:
+    """The Chinese title where there is one, else the original."""
+    return T.first_nonempty(F.col("title_zh"), F.col("title"), F.lit(unknown))
+
+
+def report_items(articles: DataFrame, sources: DataFrame, date: str, until: str | None = None, no_summary: str = "(no summary)", no_tags: str = "(no tags)") -> DataFrame:
+    """(rank, title, source, summary, tags, link, published_at, degraded) of a day, newest first."""
+    day = with_source(ranked_in_day(articles.filter(reportable() & in_day(date, until))), sources)
+    summary = T.first_nonempty(T.strip_markdown(F.col("summary")), F.lit(no_summary))
+    tags = T.first_nonempty(F.array_join(T.split_tags(F.col("tags")), ", "), F.lit(no_tags))
+    return day.select("rank", shown_title().alias("title"), "source", summary.alias("summary"), tags.alias("tags"), "link", "published_at", (F.col("status") == "failed").alias("degraded"))
+
+
+def report_markdown(items: DataFrame, date: str, note: str = " (degraded)", empty: str = "no articles") -> DataFrame:
+    """(date, article_count, content_md): a heading and four lines for each article; one document, so one row."""
+    summary = F.concat("summary", F.when(F.col("degraded"), note).otherwise(""))
+    entry = F.concat_ws("\n", F.concat(F.lit("## "), F.col("rank").cast("string"), F.lit(". "), "title"), F.concat(F.lit("- source: "), "source"), F.concat(F.lit("- summary: "), summary), F.concat(F.lit("- tags: "), "tags"), F.concat(F.lit("- link: "), "link"))
+    entries = F.sort_array(F.collect_list(F.struct("rank", entry.alias("entry"))))
+    body = F.array_join(F.transform(entries, lambda x: x["entry"]), "\n\n")
+    whole = items.agg(F.count("*").alias("article_count"), body.alias("body"))
+    return whole.select(F.lit(date).alias("date"), "article_count", F.concat(F.lit(f"# {date}\n\n"), T.first_nonempty(F.col("body"), F.lit(empty))).alias("content_md"))
 
 
 def escape_xml(text: Column) -> Column:
@@ -31,14 +49,14 @@ def escape_xml(text: Column) -> Column:
 
 
 def rss_items(items: DataFrame, zone: str = "+0800") -> DataFrame:
-    """(rank, xml): one RSS item for each article, its description cut to 600 characters."""
+    """(rank, xml): one RSS item for each article; its description is the summary, cut to 600 characters."""
     date = F.concat(F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(f" {zone}"))
-    xml = F.concat(F.lit("<item><title>"), escape_xml(F.col("title")), F.lit("</title><link>"), escape_xml(F.col("link")), F.lit("</link><description>"), escape_xml(T.truncate(F.col("title"), 600)), F.lit("</description><pubDate>"), date, F.lit("</pubDate></item>"))
+    xml = F.concat(F.lit("<item><title>"), escape_xml(F.col("title")), F.lit("</title><link>"), escape_xml(F.col("link")), F.lit('</link><guid isPermaLink="false">'), escape_xml(F.col("link")), F.lit("</guid><description>"), escape_xml(F.substring("summary", 1, 600)), F.lit("</description><pubDate>"), date, F.lit("</pubDate></item>"))
     return items.select("rank", xml.alias("xml"))
 
 
-META = ("title", "category", "tags")
-FULL = (*META, "content_full")
+META = ("title", "title_zh", "summary", "digest", "digest_zh", "reason", "topics")
+FULL = (*META, "content_full", "content_zh")
 
 
 def matches(term: str, scope: str = "meta") -> Column:
@@ -51,24 +69,37 @@ def matches(term: str, scope: str = "meta") -> Column:
 
 
 def search(articles: DataFrame, term: str, scope: str = "meta", category: str | None = None, tag: str | None = None, limit: int = 50) -> DataFrame:
-    """The newest ``limit`` (1 to 500) hits; category and tag filter what the limit has left."""
-    hits = articles.filter(reportable() & matches(term, scope)).orderBy(*latest_first()).limit(max(1, min(500, limit)))
+    """The newest ``limit`` (1 to 500) hits; category and tag filter what the limit has left. A blank term finds nothing."""
+    hits = articles.filter(reportable() & (matches(term.strip(), scope) if term.strip() else F.lit(False))).orderBy(*latest_first()).limit(max(1, min(500, limit)))
     if category:
         hits = hits.filter(F.col("category") == category)
     if tag:
-        hits = hits.filter(F.exists(T.comma_tags(F.col("tags")), lambda t: F.lower(t) == tag.lower()))
+        hits = hits.filter(F.exists(T.comma_tags(F.col("tags")), lambda t: F.lower(t) == tag.strip().lower()))
     return hits
 
 
-def search_facets(articles: DataFrame, term: str, scope: str = "meta", tag: str | None = None) -> DataFrame:
-    """(category, count) of all hits, and their number as ``_all``."""
-    hits = articles.filter(reportable() & matches(term, scope))
+def search_facets(articles: DataFrame, term: str, scope: str = "meta", category: str | None = None, tag: str | None = None) -> DataFrame:
+    """(category, count) of all hits under the list's own filters, and their number as ``_all``."""
+    hits = articles.filter(reportable() & (matches(term.strip(), scope) if term.strip() else F.lit(False)))
+    if category:
+        hits = hits.filter(F.col("category") == category)
     if tag:
-        hits = hits.filter(F.exists(T.comma_tags(F.col("tags")), lambda t: F.lower(t) == tag.lower()))
+        hits = hits.filter(F.exists(T.comma_tags(F.col("tags")), lambda t: F.lower(t) == tag.strip().lower()))
     rolled = hits.rollup("category").agg(F.count("*").alias("count"), F.grouping("category").alias("whole"))
     return rolled.filter("whole = 1 or (category is not null and category <> '')").select(F.when(F.col("whole") == 1, "_all").otherwise(F.col("category")).alias("category"), "count")
 
 
+def listed(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """The newest ``limit`` rows behind ``offset``; a limit of 0 gives none."""
+    return rows.orderBy(*latest_first()).offset(max(0, offset)).limit(max(0, limit))
+
+
+def by_id(rows: DataFrame, number: int, size: int) -> DataFrame:
+    """One page of a management list: the newest ids first; numbers beyond the ends are clamped."""
+    pages = max(1, -(-rows.count() // size))
+    return rows.orderBy(F.desc("id")).offset((min(max(1, number), pages) - 1) * size).limit(size)
+
+
 def page(rows: DataFrame, number: int, size: int) -> DataFrame:
     """One page in canonical order; numbers beyond the ends are clamped."""
     total = rows.count()
@@ -102,12 +133,22 @@ def homepage_date(articles: DataFrame, now: str, days: int = 14) -> DataFrame:
     return window.agg(F.max(F.to_date("published_at")).alias("d")).select(F.date_format(F.coalesce("d", today), "yyyy-MM-dd").alias("date"))
 
 
-def brief_filter(categories: list[str] = (), tags: list[str] = (), keywords: list[str] = (), exclude: list[str] = (), starred_only: bool = False) -> Column:
-    """All conditions that are set must hold, each by any of its values."""
-    low = F.lower(F.col("title"))
+def topic_list(topics: Column) -> Column:
+    """The topics of a stored JSON list; none where it is no list."""
+    return F.coalesce(F.filter(F.transform(F.from_json(topics, "array<string>"), T.trimmed), lambda t: F.coalesce(t != "", F.lit(False))), F.array().cast("array<string>"))
+
+
+HAYSTACK = ("title", "title_zh", "summary", "digest", "digest_zh", "brief_zh", "reason")
+
+
+def brief_filter(categories: list[str] = (), topics: list[str] = (), tags: list[str] = (), keywords: list[str] = (), exclude: list[str] = (), starred_only: bool = False) -> Column:
+    """All conditions that are set must hold, each by any of its values. Keywords are looked for in titles, summary, digests, brief and reason."""
+    low = F.lower(F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in HAYSTACK]))
     test = F.lit(True)
     if categories:
         test = test & F.coalesce(F.col("category").isin(*categories), F.lit(False))
+    if topics:
+        test = test & F.arrays_overlap(topic_list(F.col("topics")), F.array(*map(F.lit, topics)))
     if tags:
         test = test & F.arrays_overlap(T.comma_tags(F.col("tags")), F.array(*map(F.lit, tags)))
     for words, wanted in ((keywords, True), (exclude, False)):
@@ -133,40 +174,104 @@ def brief(articles: DataFrame, now: str, days: int = 3, top: int = 10, sort: str
     return pool.filter(brief_filter(**conditions)).orderBy(*brief_order(sort)).limit(top)
 
 
+BRIEF_COLUMNS = ("title", "title_zh", "brief_zh", "digest_zh", "digest", "reason", "summary", "content_zh", "content_full")
+
+
+def brief_of_row(placeholder: str | None = None) -> Column:
+    return T.brief_text(*map(F.col, BRIEF_COLUMNS), placeholder=placeholder)
+
+
+def brief_items(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """What a brief shows of its rows, after their TOP-N; a row without readable text goes, so there may be fewer."""
+    shown = with_source(rows, sources).withColumn("brief", brief_of_row()).filter("brief <> ''")
+    return shown.withColumns({"title": T.trimmed(shown_title()), "category": F.coalesce("category", F.lit("")), "published": F.coalesce(F.date_format("published_at", "yyyy-MM-dd HH:mm"), F.lit(""))})
+
+
 def brief_sections(articles: DataFrame, now: str, sections: list[dict], days: int = 3, newest: int = 400) -> DataFrame:
-    """(section, rank, id, ...): every section's TOP-N in one job. An article may stand in several sections."""
+    """(no, section, rank, ...): every section's TOP-N in one job. An article may stand in several sections."""
     pool = articles.filter(reportable() & between(now, days)).orderBy(*latest_first()).limit(newest)
     wanted = F.array_compact(F.array(*[F.when(brief_filter(**s.get("where", {})), F.struct(F.lit(n).alias("no"), F.lit(s["name"]).alias("section"), F.lit(s["top"]).alias("top"))) for n, s in enumerate(sections)]))
     rows = pool.withColumn("s", F.explode(wanted))
     rank = F.row_number().over(Window.partitionBy("s.no").orderBy(*brief_order()))
-    return rows.withColumn("rank", rank).filter("rank <= s.top").select("s.section", "rank", "id", "title", "score", "starred")
+    return rows.withColumn("rank", rank).filter("rank <= s.top").select("s.no", "s.section", "rank", *articles.columns)
+
+
+def numbered(items: DataFrame) -> DataFrame:
+    """``items`` of sections with ``place``, their number among those that are left of their section."""
+    return items.withColumn("place", F.row_number().over(Window.partitionBy("no").orderBy("rank")))
+
+
+def _joined(items: DataFrame, entry: Column, title: str) -> DataFrame:
+    """(text): one document of all sections in order; their names stand above them where there are several. A brief is bounded by its TOP-N."""
+    entries = F.sort_array(F.collect_list(F.struct("place", entry.alias("entry"))))
+    each = items.groupBy("no", "section").agg(F.array_join(F.transform(entries, lambda x: x["entry"]), "\n\n").alias("body"))
+    sections = F.sort_array(F.collect_list(F.struct("no", "section", "body")))
+    name = lambda x: F.when(F.size("all") > 1, F.concat(F.lit("## "), x["section"], F.lit("\n\n"))).otherwise("")
+    text = F.concat(F.lit(f"# {title}\n\n" if title else ""), F.array_join(F.transform("all", lambda x: F.concat(name(x), x["body"])), "\n\n"), F.lit("\n"))
+    return each.agg(sections.alias("all")).select(text.alias("text"))
+
+
+def _mark() -> Column:
+    return F.when(F.col("starred") == 1, "★ ").otherwise("")
 
 
-def brief_text(rows: DataFrame) -> DataFrame:
-    """(section, text): each section as numbered lines, a star before starred ones."""
-    line = F.concat(F.col("rank").cast("string"), F.lit(". "), F.when(F.col("starred") == 1, "★").otherwise(""), F.col("title"))
-    lines = F.sort_array(F.collect_list(F.struct("rank", line.alias("line"))))
-    return rows.groupBy("section").agg(lines.alias("l")).select("section", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+def brief_text(items: DataFrame, title: str = "") -> DataFrame:
+    """(text): the numbered items with a star before starred ones, their briefs, and a line of source, category and time."""
+    head = F.concat(F.col("place").cast("string"), F.lit(". "), _mark(), "title")
+    meta = F.concat(F.lit("—— "), F.concat_ws(" · ", "source", F.nullif("category", F.lit("")), F.nullif("published", F.lit(""))))
+    return _joined(numbered(items), F.concat_ws("\n", head, "brief", meta), title)
+
+
+def brief_markdown(items: DataFrame, title: str = "") -> DataFrame:
+    """(text): the same as Markdown, each item under a heading of its own."""
+    head = F.concat(F.lit("### "), F.col("place").cast("string"), F.lit(". "), _mark(), "title")
+    meta = F.concat(F.lit("- "), F.concat_ws(" · ", "source", F.nullif("category", F.lit("")), F.nullif("published", F.lit("")), "link"))
+    return _joined(numbered(items), F.concat_ws("\n\n", head, "brief", meta), title)
 
 
 def cards(articles: DataFrame, sources: DataFrame, now: str) -> DataFrame:
-    """What a list shows of each visible article."""
+    """What a list shows of each visible article.
+
+    A card is degraded where readers see English although a translation is due: not processed and an English lead, or
+    processed without a Chinese body and an English one.
+    """
+    from presswork.operators.audits import reason_of
+
     rows = with_source(articles.filter(reportable()), sources)
+    rows = rows.withColumns({"__zh": T.strip_markdown(F.col("digest_zh")), "__digest": T.strip_markdown(T.first_nonempty(F.col("digest_zh"), F.col("digest")))})
+    untranslated = (F.col("status") == "processed") & (T.trimmed(F.coalesce("content_zh", F.lit(""))) == "") & T.looks_english(F.col("content_full"))
+    unprocessed = (F.col("status") != "processed") & T.looks_english(T.first_nonempty(F.col("digest"), F.col("summary")))
     return rows.select(
         "id",
-        T.first_nonempty(F.col("title"), F.lit("untitled")).alias("title"),
+        shown_title("untitled").alias("title"),
+        F.coalesce("title_zh", F.lit("")).alias("title_zh"),
         "source",
         T.url_host(F.col("link")).alias("host"),
         F.date_format("published_at", "HH:mm").alias("time"),
         F.date_format("published_at", "yyyy-MM-dd").alias("date_key"),
         T.relative_time(F.col("published_at"), ts(now)).alias("age"),
+        T.first_nonempty(F.col("__digest"), T.strip_markdown(F.col("summary"))).alias("digest"),
+        F.col("__zh").alias("digest_zh"),
+        reason_of(T.strip_markdown(F.col("reason")), T.first_nonempty(F.col("__zh"), F.col("__digest"))).alias("reason"),
         T.truncate(F.col("content_full"), 120).alias("lead"),
+        F.array_join(topic_list(F.col("topics")), "|").alias("topic_list"),
         F.array_join(T.split_tags(F.col("tags")), "|").alias("tag_list"),
-        ((F.col("status") != "processed") & T.looks_english(F.col("content_full"))).alias("degraded"),
-        (F.col("status") == "pending").alias("pending"),
+        (F.coalesce(untranslated, F.lit(False)) | F.coalesce(unprocessed, F.lit(False))).alias("degraded"),
+        ((F.col("status") == "failed") & (T.trimmed(F.coalesce("digest_zh", F.lit(""))) == "")).alias("pending"),
+        F.coalesce("process_attempts", F.lit(0)).alias("attempts"),
+        (F.col("starred") == 1).alias("starred"),
     )
 
 
+API_FIELDS = ("id", "source_id", "title", "link", "published_at", "summary", "digest", "reason", "score", "category", "topics", "title_zh", "digest_zh", "content_zh", "tags", "relevance", "status")
+
+
+def api_articles(articles: DataFrame) -> DataFrame:
+    """The reportable rows with the fields that the interface gives out; those that ``articles`` lacks are null."""
+    return articles.filter(reportable()).select(*[F.col(c) if c in articles.columns else F.lit(None).cast("string").alias(c) for c in (*API_FIELDS, "title_en", "digest_en")])
+
+
 def by_date(rows: DataFrame) -> DataFrame:
-    """(id, date_key, items): each row with the number of rows of its day."""
-    return rows.join(rows.groupBy("date_key").agg(F.count("*").alias("items")), "date_key").select("id", "date_key", "items")
+    """``rows`` with the number of rows of their day, the newest day first and the newest row in it."""
+    counts = rows.groupBy("date_key").agg(F.count("*").alias("items"))
+    return rows.join(counts, "date_key").orderBy(F.desc("date_key"), *latest_first()).select("id", "date_key", "items")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from presswork.operators.visibility import ts
+
 
 def rule_pattern(keyword: Column) -> Column:
     """A case-blind regular expression: Latin keywords between non-alphanumerics, others anywhere."""
@@ -29,14 +31,47 @@ def first_match(text: Column, rules: list[tuple[int, str]]) -> Column:
     return out
 
 
+def load_rules(rules: DataFrame, kind: str, most: int = 10_000) -> list[tuple[int, str]]:
+    """The enabled rules of a kind in the order of their ids. Rules are configuration: more than ``most`` are an error, not data."""
+    rows = rules.filter((F.col("enabled") == 1) & (F.col("kind") == kind)).select("id", "keyword").orderBy("id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules of kind {kind}")
+    return [(r["id"], r["keyword"]) for r in rows]
+
+
+SEARCHED = ("title", "title_zh", "title_en", "summary", "digest", "digest_zh", "content_full", "content_zh")
+
+
 def apply_rules(articles: DataFrame, block: list[tuple[int, str]], star: list[tuple[int, str]]) -> DataFrame:
-    """``articles`` with ``blocked_by`` and ``starred_by``. Deleted and starred rows are left alone; a blocked one is not starred."""
-    text = F.concat_ws("\n", "title", F.substring("content_full", 1, 2000))
-    open_ = F.col("deleted_at").isNull() & (F.col("starred") == 0)
+    """``articles`` with ``blocked_by`` and ``starred_by``: the first rule of each list that is in any text of the article, in
+    either language. Deleted and starred rows are left alone, and so are rows without a body; a blocked one is not starred."""
+    text = F.concat_ws("\n", *[F.nullif(F.col(c), F.lit("")) for c in SEARCHED if c in articles.columns])
+    open_ = F.col("deleted_at").isNull() & (F.col("starred") == 0) & F.col("content_full").isNotNull()
     blocked = articles.withColumn("blocked_by", F.when(open_, first_match(text, block)))
     return blocked.withColumn("starred_by", F.when(open_ & F.col("blocked_by").isNull(), first_match(text, star)))
 
 
+def carried_out(applied: DataFrame, block: list[tuple[int, str]], now: str, prefix: str = "blocked: ") -> DataFrame:
+    """What the rules do to the articles: blocked ones go to the trash with the keyword as their reason, others get their star."""
+    keyword = F.lit(None).cast("string")
+    for rule_id, word in block:
+        keyword = F.when(F.col("blocked_by") == rule_id, word).otherwise(keyword)
+    old = F.col("degraded_reason") if "degraded_reason" in applied.columns else F.lit(None).cast("string")
+    hit = F.col("blocked_by").isNotNull()
+    effects = {
+        "deleted_at": F.when(hit, ts(now)).otherwise(F.col("deleted_at")),
+        "degraded_reason": F.when(hit, F.substring(F.concat(F.lit(prefix), keyword), 1, 300)).otherwise(old),
+        "starred": F.when(F.col("starred_by").isNotNull(), 1).otherwise(F.col("starred")),
+    }
+    return applied.withColumns(effects).drop("blocked_by", "starred_by")
+
+
+def counted(rules: DataFrame, applied: DataFrame) -> DataFrame:
+    """``rules`` with the hits of this run added to theirs."""
+    run = hit_counts(applied).select(F.col("rule_id").alias("id"), F.col("hits").alias("__new"))
+    return rules.join(F.broadcast(run), "id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)) + F.coalesce("__new", F.lit(0))).drop("__new")  # one row a rule that matched
+
+
 def hit_counts(applied: DataFrame) -> DataFrame:
     """(rule_id, hits) of the rules that matched at all."""
     ids = F.explode(F.array_compact(F.array("blocked_by", "starred_by"))).alias("rule_id")
@@ -48,5 +83,26 @@ def rule_stats(rules: DataFrame) -> DataFrame:
     return rules.groupBy("kind").agg(F.count("*").alias("rules"), F.count_if(F.col("enabled") == 1).alias("enabled"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))
 
 
+def rule_totals(rules: DataFrame, articles: DataFrame) -> DataFrame:
+    """One row: rules of either kind, all hits, articles in the trash, and starred ones that are not."""
+    counts = rules.agg(F.count_if(F.col("kind") == "block").alias("block_rules"), F.count_if(F.col("kind") == "star").alias("star_rules"), F.coalesce(F.sum("hits"), F.lit(0)).alias("total_hits"))
+    marked = articles.agg(F.count("deleted_at").alias("blocked_articles"), F.count_if((F.col("starred") == 1) & F.col("deleted_at").isNull()).alias("starred_articles"))
+    return counts.crossJoin(marked)  # one row each
+
+
+def rule_lists(rules: DataFrame) -> DataFrame:
+    """All rules with their place in the list of their kind: most hits first, then the newest."""
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("hits"), F.desc("id")))
+    return rules.withColumn("place", place)
+
+
 def top_rules(rules: DataFrame, kind: str = "star", top: int = 8) -> DataFrame:
     return rules.filter((F.col("kind") == kind) & (F.col("enabled") == 1)).orderBy(F.desc("hits"), F.desc("id")).limit(top)
+
+
+def toggle_rules(rules: DataFrame, ids: list[int]) -> DataFrame:
+    return rules.withColumn("enabled", F.when(F.col("id").isin(ids), 1 - F.col("enabled")).otherwise(F.col("enabled")))
+
+
+def delete_rules(rules: DataFrame, ids: list[int]) -> DataFrame:
+    return rules.filter(~F.col("id").isin(ids))

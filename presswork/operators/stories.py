@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.functions import text as T
@@ -16,40 +16,42 @@ def candidates(articles: DataFrame, now: str, days: int = 7, newest: int = 40) -
     return articles.filter(visible() & (F.col("relevance") == 1) & recent & ~F.lower("link").startswith("http://localhost")).orderBy(*latest_first()).limit(newest)
 
 
+def story_title() -> Column:
+    """The title by which stories are compared: the Chinese one where there is one."""
+    return T.first_nonempty(F.col("title_zh"), F.col("title"))
+
+
 def title_classes(articles: DataFrame) -> DataFrame:
     """(id, class_id, words): articles whose titles have the same set of words form a class, named by its smallest id."""
-    sets = articles.select("id", F.sort_array(T.story_words(F.col("title"))).alias("words"))
+    sets = articles.select("id", F.sort_array(T.story_words(story_title())).alias("words"))
     least = sets.groupBy("words").agg(F.min("id").alias("class_id"))
     return sets.join(least, "words").select("id", "class_id", "words")
 
 
-def title_pairs(articles: DataFrame, min_overlap: float = 0.25, min_words: int = 2) -> DataFrame:
-    """(a, b, shared, title_overlap) with a < b of all pairs of title classes that share enough words.
+def title_pairs(articles: DataFrame, min_overlap: float = 0.25) -> DataFrame:
+    """(a, b, shared, title_overlap) with a < b of all pairs of title classes that share two words or more, and ``min_overlap`` of the smaller title's.
 
-    a and b are class ids, so many copies of one title are one row here; ``title_classes`` says who is in a class.
-    Words are exploded and joined, so only titles with a common word meet. A pair needs ``min_words`` common words,
-    so each title enters the join with all its words but the most frequent min_words - 1, which leaves the
-    largest groups out. Overlaps are then computed on whole word sets.
+    a and b are class ids, so many copies of one title are one row here; ``title_classes`` says who is in a class. Titles meet
+    under every two words that they have in common, not under single ones, so that a common word brings no pairs together that
+    don't count. Two titles with k common words meet k (k - 1) / 2 times, which tells k without looking at the words again.
     """
-    sets = articles.select("id", F.sort_array(T.story_words(F.col("title"))).alias("words")).groupBy("words").agg(F.min("id").alias("id"))
-    sets = sets.withColumn("n", F.size("words")).filter(F.col("n") >= min_words)
-    words = sets.select("id", "n", F.explode("words").alias("word"))
-    often = words.groupBy("word").agg(F.count("*").alias("docs"))
-    # Ordered from rare to frequent, a pair with k common words has its first common word among the first n - k + 1 of both.
-    ranked = words.join(often, "word").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("docs", "word")))
-    head = ranked.filter(F.col("r") <= F.col("n") - min_words + 1).select("id", "word")
-    left, right = head.select(F.col("id").alias("a"), "word"), head.select(F.col("id").alias("b"), "word")
-    met = left.join(right, "word").filter("a < b").select("a", "b").distinct()
-    wa, wb = sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), sets.select(F.col("id").alias("b"), F.col("words").alias("wb"))
-    pairs = met.join(wa, "a").join(wb, "b").withColumns({"shared": F.size(F.array_intersect("wa", "wb")), "title_overlap": T.overlap(F.col("wa"), F.col("wb"))})
-    return pairs.filter((F.col("shared") >= min_words) & (F.col("title_overlap") >= min_overlap)).select("a", "b", "shared", "title_overlap")
-
-
-def article_pairs(candidates: DataFrame, min_overlap: float = 0.25, min_words: int = 2) -> DataFrame:
-    """(a, b, title_overlap) of single articles, copies expanded: for the bounded frame of merge candidates only."""
-    members = title_classes(candidates).filter(F.size("words") >= min_words).select("id", "class_id")
+    sets = articles.select("id", F.sort_array(T.story_words(story_title())).alias("words")).groupBy("words").agg(F.min("id").alias("id"))
+    twos = F.flatten(F.transform("words", lambda w, i: F.transform(F.slice("words", i + 2, F.size("words")), lambda v: F.concat(w, F.lit(" "), v))))
+    keyed = sets.select("id", F.size("words").alias("n"), F.explode(twos).alias("two"))
+    left, right = keyed.select("two", F.col("id").alias("a"), F.col("n").alias("na")), keyed.select("two", F.col("id").alias("b"), F.col("n").alias("nb"))
+    met = left.join(right, "two").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("met"), F.min(F.least("na", "nb")).alias("least"))
+    shared = F.round((1 + F.sqrt(1 + 8 * F.col("met"))) / 2).cast("int")
+    pairs = met.withColumn("shared", shared).withColumn("title_overlap", F.col("shared") / F.col("least"))
+    return pairs.filter(F.col("title_overlap") >= min_overlap).select("a", "b", "shared", "title_overlap")
+
+
+def article_pairs(candidates: DataFrame, min_overlap: float = 0.25, most: int = 1000) -> DataFrame:
+    """(a, b, title_overlap) of single articles, copies expanded: for merge candidates, of which there may be ``most``."""
+    if candidates.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} candidates: pairs of single articles are for bounded frames, title_pairs for others")
+    members = title_classes(candidates).filter(F.size("words") >= 2).select("id", "class_id")
     x, y = members.select(F.col("id").alias("x"), F.col("class_id").alias("a")), members.select(F.col("id").alias("y"), F.col("class_id").alias("b"))
-    across = title_pairs(candidates, min_overlap, min_words).join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "title_overlap")
+    across = title_pairs(candidates, min_overlap).join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "title_overlap")
     inside = x.join(y, F.col("a") == F.col("b")).filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("title_overlap"))
     return across.unionByName(inside)
 
@@ -66,15 +68,16 @@ def merge(articles: DataFrame, same_story, top: int = 8) -> DataFrame:
     """(id, duplicate_of) of the articles that a merge links to their primary.
 
     ``same_story(a, b)`` judges a pair of ids. At most ``top`` pairs come to the driver, in order; a pair with an
-    article that is linked already is passed over. The primary has the longer body, then is the earlier one.
+    article that is linked already is passed over. The primary is the one with a Chinese body, then with the longer body, then the earlier one.
     """
-    rows = articles.select("id", F.char_length(F.coalesce("content_full", F.lit(""))).alias("n"), F.unix_micros(F.col("published_at").cast("timestamp")).alias("at"))
+    body = F.struct((T.trimmed(F.coalesce("content_zh", F.lit(""))) != "").alias("zh"), F.char_length(F.coalesce("content_full", F.lit(""))).alias("chars"))
+    rows = articles.select("id", body.alias("n"), F.unix_micros(F.col("published_at").cast("timestamp")).alias("at"))
     pairs = ranked_pairs(articles, top).join(rows.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ta")), "a").join(rows.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("tb")), "b")
     linked: dict[int, int] = {}
     for p in sorted(pairs.collect(), key=lambda r: (-r["score"], r["a"], r["b"])):
         if p["a"] in linked or p["b"] in linked or not same_story(p["a"], p["b"]):
             continue
-        first = (p["na"], -p["ta"]) >= (p["nb"], -p["tb"])
+        first = (*p["na"], -p["ta"]) >= (*p["nb"], -p["tb"])
         keep, lose = (p["a"], p["b"]) if first else (p["b"], p["a"])
         if lose not in linked.values():
             linked[lose] = keep
@@ -121,19 +124,22 @@ def shared_openings(articles: DataFrame, min_group: int = 3, min_chars: int = 20
 
 
 def strip_shared_openings(articles: DataFrame, passes: int = 4, min_group: int = 3, min_chars: int = 20) -> DataFrame:
-    """(id, content_full, stripped): shared openings are removed until none is left, ``passes`` times at most. A text is never emptied.
+    """(id, content_full, stripped[, body_images]): shared openings are removed until none is left, ``passes`` times at most. A text is never emptied.
 
     The passes work on each article's first paragraphs alone; texts are looked at again once, at the end, where one is to be cut.
+    Image anchors {i, url}, where ``articles`` has them, move up by the paragraphs that went; those before the text stay there.
     """
-    parts = F.split("content_full", "\n\n", passes * 4 + 2)
-    later = F.filter(F.transform(F.slice(parts, 2, passes * 4 + 1), T.trimmed), lambda p: p != "")
-    rows = articles.select("id", "source_id", F.concat(F.array(T.trimmed(F.get(parts, F.lit(0)))), F.transform(later, lambda p: T.trimmed(T.head_paragraph(p)))).alias("heads"), F.lit(0).alias("stripped"))
+    parts = F.split("content_full", "\n\n")
+    later = F.slice(F.filter(F.transform(F.slice(parts, 2, F.size(parts)), T.trimmed), lambda p: p != ""), 1, passes)
+    rows = articles.select("id", "source_id", F.concat(F.array(T.trimmed(F.get(parts, F.lit(0)))), later).alias("heads"), F.lit(0).alias("stripped"))
     for _ in range(passes):
         # Settled, as a pass reads the rows twice: to count the openings, on the map side first, and to look up the few shared ones.
         now = settled(rows.withColumn("head", F.get("heads", F.col("stripped"))))
         shared = now.filter(F.char_length("head") >= min_chars).groupBy("source_id", "head").agg(F.count("*").alias("n")).filter(F.col("n") >= min_group)
         hit = F.col("n").isNotNull() & (F.size("heads") > F.col("stripped") + 1)
         rows = now.join(shared, ["source_id", "head"], "left").select("id", "source_id", "heads", (F.col("stripped") + hit.cast("int")).alias("stripped"))
-    cut = articles.select("id", "content_full").join(rows.select("id", "stripped"), "id")
+    anchors = ["body_images"] if "body_images" in articles.columns else []
+    cut = articles.select("id", "content_full", *anchors).join(rows.select("id", "stripped"), "id")
     rest = F.aggregate(F.sequence(F.lit(1), F.col("stripped")), F.col("content_full"), lambda t, _: T.without_head(t))
-    return cut.select("id", F.when(F.col("stripped") > 0, rest).otherwise(F.col("content_full")).alias("content_full"), "stripped")
+    moved = F.transform("body_images", lambda a: F.struct(F.greatest(a["i"] - F.col("stripped"), F.lit(0)).alias("i"), a["url"].alias("url"))) if anchors else None
+    return cut.select("id", F.when(F.col("stripped") > 0, rest).otherwise(F.col("content_full")).alias("content_full"), "stripped", *([moved.alias("body_images")] if anchors else []))

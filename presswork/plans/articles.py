@@ -13,6 +13,21 @@ NOW = "2024-01-31 00:00:00"
 CATEGORIES = ("primary", "model", "product", "industry", "paper", "tutorial")
 
 
+#: The columns that a model writes (translations, digests, reasons, topics), derived from a row's id and text so that every
+#: branch of what reads them has rows. One text of SQL serves both engines: {id} and {text} stand for the document's columns.
+DERIVED = {
+    "title_zh": "case {id} % 4 when 0 then translate(concat('', ({id} * 7919) % 1000003 + 1000000), '0123456789', '模型新产品发布研究用') when 1 then '' end",
+    "summary": "case {id} % 5 when 1 then concat('**要点**：第', {id}, '条消息说明了一件事，读者可以在这里了解它的经过和影响。') when 2 then '短讯。' when 3 then substr({text}, 1, 200) when 4 then '' end",
+    "digest": "case {id} % 6 when 0 then concat('这一条是第', {id}, '篇文章的导读，它说清了事情的来龙去脉，也说了接下来会怎样，读者看完就知道要不要点开，也知道下一步可以去哪里找更多的材料，更不会白费时间。') when 1 then '导读很短。' when 2 then substr({text}, 1, 90) when 3 then '' end",
+    "digest_zh": "case {id} % 7 when 0 then concat('中文导读：编号', {id}, '的文章讲了三件事。第一件在昨天发生！第二件还在继续。') when 1 then concat('中文 ', substr({text}, 1, 60)) when 2 then '' end",
+    "reason": "case {id} % 8 when 0 then concat('值得读：它给出了编号', {id}, '的数据。') when 1 then '导读很短。' when 2 then '' when 3 then concat('中文导读：编号', {id}, '的文章讲了三件事。第一件在昨天发生！第二件还在继续。') when 4 then substr({text}, 1, 40) end",
+    "brief_zh": "case {id} % 9 when 0 then concat('早报：第', {id}, '条，这是一段完整的中文话。') when 1 then substr({text}, 1, 80) when 2 then concat('前一句是中文而且足够长。', substr({text}, 1, 40)) end",
+    "topics": "case {id} % 3 when 0 then concat('[\"主题', {id} % 5, '\", \"topic', {id} % 4, '\"]') when 1 then '[]' end",
+    "content_zh": "case {id} % 5 when 0 then concat('中文正文。', repeat(concat('这是第', {id}, '篇文章里的一句话，它在说一件事情。'), cast(1 + {id} % 4 as int))) when 1 then ' ' end",
+    "process_attempts": "cast({id} % 8 as int)",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,6 +54,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("case when doc_id % 23 = 22 then doc_id - 1 end").alias("duplicate_of"),
         F.when(F.expr("doc_id % 17 = 16"), published).alias("deleted_at"),
         "lang",
+        *[F.expr(sql.format(id="doc_id", text="text")).alias(name) for name, sql in DERIVED.items()],
     )
 
 
@@ -48,7 +64,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same frames in DuckDB's SQL, as the beginning of every query's oracle.
-ARTICLES_SQL = """WITH a AS (
+ARTICLES_SQL = f"""WITH a AS (
   SELECT d.doc_id AS id, cast(substr(d.source, 4) AS int) AS source_id,
     substr(split_part(d.text, chr(10), 1), 1, 120) AS title,
     concat('https://', d.source, '.example.com/', cast(d.doc_id AS varchar)) AS link,
@@ -62,7 +78,7 @@ ARTICLES_SQL = """WITH a AS (
     CASE WHEN d.doc_id % 5 = 0 THEN 1 ELSE 0 END AS starred,
     CASE WHEN d.doc_id % 23 = 22 THEN d.doc_id - 1 END AS duplicate_of,
     CASE WHEN d.doc_id % 17 = 16 THEN timestamp '2024-01-01 00:00:00' + to_seconds((d.doc_id * 7919) % 2592000) END AS deleted_at,
-    d.lang
+    d.lang, {", ".join(sql.format(id="d.doc_id", text="d.text") + " AS " + name for name, sql in DERIVED.items())}
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 s AS (SELECT DISTINCT cast(substr(source, 4) AS int) AS id, source AS name FROM documents),
 vis AS (SELECT * FROM a WHERE duplicate_of IS NULL AND deleted_at IS NULL),

@@ -46,17 +46,12 @@ def window(spark: SparkSession, sf: str) -> DataFrame:
 # Reports and analytics
 
 
-@query("""SELECT row_number() OVER (ORDER BY published_at DESC, r.id DESC) AS rank, title, coalesce(s.name, 'unknown') AS source,
-  tags, link, published_at, status = 'failed' AS degraded
-FROM rep r LEFT JOIN s ON r.source_id = s.id WHERE published_at >= timestamp '2024-01-15' AND published_at < timestamp '2024-01-16'""")
+@query(long_sql.daily_report())
 def daily_report(spark, sf):
     return reading.report_items(articles(spark, sf), sources(spark, sf), "2024-01-15")
 
 
-@query("""WITH d AS (SELECT row_number() OVER (ORDER BY published_at DESC, r.id DESC) AS rank, title, link, s.name AS source FROM rep r LEFT JOIN s ON r.source_id = s.id
-  WHERE published_at >= timestamp '2024-01-15' AND published_at < timestamp '2024-01-16')
-SELECT '2024-01-15' AS date, count(*) AS article_count, '# 2024-01-15' || chr(10) || chr(10) ||
-  coalesce(string_agg(concat(rank, '. [', title, '](', link, ') — ', source), chr(10) ORDER BY rank), '') AS content_md FROM d""")
+@query(long_sql.report_markdown())
 def report_markdown(spark, sf):
     return reading.report_markdown(daily_report(spark, sf), "2024-01-15")
 
@@ -66,8 +61,11 @@ def rss_items(spark, sf):
     return reading.rss_items(daily_report(spark, sf))
 
 
-@query("""SELECT count(*) AS total, count_if(starred = 1) AS starred, count(DISTINCT cast(published_at AS date)) AS active_days,
-  count_if(status = 'processed') AS processed, coalesce(round_even(avg(score), 1), 0.0) AS avg_score,
+TRANSLATED = f"""count_if({long_sql.trimmed("coalesce(content_zh, '')")} <> '' OR NOT {long_sql.english('content_full')})"""
+
+
+@query(f"""SELECT count(*) AS total, count_if(starred = 1) AS starred, count(DISTINCT cast(published_at AS date)) AS active_days,
+  count_if(status = 'processed') AS processed, {TRANSLATED} AS translated, round_even({TRANSLATED} / count(*) * 100, 1) AS translated_pct, coalesce(round_even(avg(score), 1), 0.0) AS avg_score,
   round_even(count_if(status = 'processed') / count(*) * 100, 1) AS processed_pct,
   round_even(count(*) / count(DISTINCT cast(published_at AS date)), 1) AS per_day FROM win""")
 def kpi_summary(spark, sf):
@@ -147,7 +145,8 @@ def source_rows(spark, sf):
 
 
 @query(f"""SELECT 'category' AS facet, category AS name, count(*) AS count FROM rep WHERE category <> '' GROUP BY category
-UNION ALL (SELECT 'tag', name, count(*) AS count FROM (SELECT {TAGS} AS name FROM rep) GROUP BY name ORDER BY count DESC, name LIMIT 30)""")
+UNION ALL (SELECT 'tag', name, count(*) AS count FROM (SELECT {TAGS} AS name FROM rep) GROUP BY name ORDER BY count DESC, name LIMIT 30)
+UNION ALL (SELECT 'topic', name, count(*) AS count FROM (SELECT trim(unnest({long_sql.topics('topics')})) AS name FROM rep) WHERE name <> '' GROUP BY name ORDER BY name LIMIT 60)""")
 def facet_options(spark, sf):
     return analytics.facets(articles(spark, sf).filter(reportable()))
 
@@ -161,7 +160,7 @@ def counts_by_day(spark, sf):
 @query("""SELECT count(*) AS articles, count_if(published_at::date = date '2024-01-15') AS today, count_if(published_at::date = date '2024-01-15' AND relevance = 1) AS today_relevant,
   count_if(published_at::date = date '2024-01-15' AND status = 'pending') AS today_pending, count_if(deleted_at IS NOT NULL) AS deleted,
   count_if(deleted_at::date = date '2024-01-15') AS deleted_today, count_if(starred = 1) AS starred, count_if(content_full <> '') AS with_text,
-  count_if(status = 'failed' AND id % 6 = 5) AS exhausted FROM a""")
+  count_if(status = 'failed' AND process_attempts >= 6) AS exhausted FROM a""")
 def status_counters(spark, sf):
     return analytics.status_counters(articles(spark, sf), "2024-01-15")
 
@@ -169,29 +168,57 @@ def status_counters(spark, sf):
 # Lists, search, briefs
 
 
-@query("""SELECT id, title, score FROM rep WHERE title ILIKE '%tion%' OR category ILIKE '%tion%' OR tags ILIKE '%tion%' ORDER BY published_at DESC, id DESC LIMIT 50""")
+def found_in(term: str, full: bool = False) -> str:
+    """SQL: the term is in any of the searched columns, whatever its case."""
+    return "(" + " OR ".join(f"contains(lower(coalesce({c}, '')), {long_sql.quoted(term.lower())})" for c in (reading.FULL if full else reading.META)) + ")"
+
+
+@query(f"""SELECT id, title, score FROM rep WHERE {found_in("tion")} ORDER BY published_at DESC, id DESC LIMIT 50""")
 def search_meta(spark, sf):
     return reading.search(articles(spark, sf), "tion").select("id", "title", "score")
 
 
-@query("""WITH h AS (SELECT * FROM rep WHERE title ILIKE '%license%' OR category ILIKE '%license%' OR tags ILIKE '%license%' OR content_full ILIKE '%license%' ORDER BY published_at DESC, id DESC LIMIT 100)
+@query(f"""SELECT id, title, score FROM rep WHERE {found_in("模型")} ORDER BY published_at DESC, id DESC LIMIT 40""")
+def search_translations(spark, sf):
+    return reading.search(articles(spark, sf), " 模型 ", limit=40).select("id", "title", "score")
+
+
+@query(f"""WITH h AS (SELECT * FROM rep WHERE {found_in("license", True)} ORDER BY published_at DESC, id DESC LIMIT 100)
 SELECT id, title, score FROM h WHERE category = 'model'""")
 def search_full(spark, sf):
     return reading.search(articles(spark, sf), "license", "full", category="model", limit=100).select("id", "title", "score")
 
 
-@query("""SELECT id FROM rep WHERE contains(title, '_') OR contains(title, '100%') ORDER BY published_at DESC, id DESC LIMIT 50""")
+@query(r"""WITH w AS (SELECT id, CASE id % 5 WHEN 0 THEN 'up 100% a_b' WHEN 1 THEN 'up 1000 aXb' WHEN 2 THEN 'back\slash' END AS r FROM rep)
+SELECT id, '100%' AS term FROM w WHERE contains(r, '100%') UNION ALL SELECT id, 'a_b' FROM w WHERE contains(r, 'a_b') UNION ALL SELECT id, 'backslash' FROM w WHERE contains(r, 'k\s')""")
 def search_literal_wildcards(spark, sf):
-    a = articles(spark, sf)
-    return a.filter(reportable() & (reading.matches("_") & ~F.contains("tags", F.lit("_")) | F.contains("title", F.lit("100%")))).orderBy(*latest_first()).limit(50).select("id")
+    """No column of the tables has a wildcard of LIKE, so the reasons get some; the same words without them must not be found."""
+    reason = F.when(F.col("id") % 5 == 0, "up 100% a_b").when(F.col("id") % 5 == 1, "up 1000 aXb").when(F.col("id") % 5 == 2, "back\\slash")
+    rows = articles(spark, sf).filter(reportable()).withColumn("reason", reason)
+    hits = [rows.filter(reading.matches(term)).select("id", F.lit(name).alias("term")) for term, name in (("100%", "100%"), ("A_b", "a_b"), ("k\\S", "backslash"))]
+    return hits[0].unionByName(hits[1]).unionByName(hits[2])
 
 
-@query("""WITH h AS (SELECT * FROM rep WHERE title ILIKE '%th%' OR category ILIKE '%th%' OR tags ILIKE '%th%')
+@query(f"""WITH h AS (SELECT * FROM rep WHERE {found_in("th")})
 SELECT category, count(*) AS count FROM h WHERE category <> '' GROUP BY category UNION ALL SELECT '_all', count(*) FROM h""")
 def search_facets(spark, sf):
     return reading.search_facets(articles(spark, sf), "th")
 
 
+@query(f"""WITH h AS (SELECT * FROM rep WHERE {found_in("the", True)} AND category = 'paper' AND list_contains(list_transform(string_split(tags, ','), lambda x: trim(x)), 't3'))
+SELECT category, count(*) AS count FROM h GROUP BY category UNION ALL SELECT '_all', count(*) FROM h""")
+def search_facets_filtered(spark, sf):
+    return reading.search_facets(articles(spark, sf), "the", "full", category="paper", tag="T3")
+
+
+@query("""SELECT 'three' AS list, id FROM (SELECT id FROM rep ORDER BY published_at DESC, id DESC LIMIT 3 OFFSET 2)""")
+def limited_lists(spark, sf):
+    """A limit of 0 and a blank term give no rows, other limits as many as there are."""
+    rows = articles(spark, sf).filter(reportable())
+    some = lambda limit, offset, name: reading.listed(rows, limit, offset).select(F.lit(name).alias("list"), "id")
+    return some(0, 0, "none").unionByName(some(3, 2, "three")).unionByName(reading.search(rows, "  ").select(F.lit("blank").alias("list"), "id"))
+
+
 @query("""SELECT id, title FROM rep ORDER BY published_at DESC, id DESC LIMIT 20 OFFSET 20""")
 def paginate_filtered(spark, sf):
     return reading.page(articles(spark, sf).filter(reportable()), 2, 20).select("id", "title")
@@ -211,30 +238,81 @@ def homepage_date(spark, sf):
 
 
 @query("""WITH p AS (SELECT * FROM rep WHERE published_at >= timestamp '2024-01-31' - INTERVAL 7 DAY AND published_at <= timestamp '2024-01-31' ORDER BY published_at DESC, id DESC LIMIT 400)
-SELECT id, title, score, starred FROM p WHERE category IN ('model', 'paper', 'product') AND NOT contains(lower(title), 'zz')
+SELECT id, title, score, starred FROM p WHERE category IN ('model', 'paper', 'product') AND NOT contains(lower(concat_ws(' ', title, title_zh, summary, digest, digest_zh, brief_zh, reason)), '短讯')
 ORDER BY starred DESC, coalesce(score, 0) DESC, published_at DESC, id DESC LIMIT 10""")
 def brief_topn(spark, sf):
-    return reading.brief(articles(spark, sf), NOW, days=7, categories=["model", "paper", "product"], exclude=["zz"]).select("id", "title", "score", "starred")
+    return reading.brief(articles(spark, sf), NOW, days=7, categories=["model", "paper", "product"], exclude=["短讯"]).select("id", "title", "score", "starred")
 
 
-SECTIONS = [{"name": "models", "top": 5, "where": {"categories": ["model"]}}, {"name": "tagged", "top": 8, "where": {"tags": ["t1", "u2"]}}, {"name": "words", "top": 4, "where": {"keywords": ["the"], "exclude": ["licen"]}}]
+SECTIONS = [
+    {"name": "models", "top": 5, "where": {"categories": ["model"]}},
+    {"name": "tagged", "top": 8, "where": {"tags": ["t1", "u2"]}},
+    {"name": "words", "top": 4, "where": {"keywords": ["THE"], "exclude": ["licen"]}},
+    {"name": "topics", "top": 6, "where": {"topics": ["主题2", "topic1"], "keywords": ["消息", "the"]}},
+]
+WORDS_SQL = "lower(concat_ws(' ', nullif(title, ''), nullif(title_zh, ''), nullif(summary, ''), nullif(digest, ''), nullif(digest_zh, ''), nullif(brief_zh, ''), nullif(reason, '')))"
 
 
-SECTIONS_SQL = """WITH p AS (SELECT *, list_transform(string_split(tags, ','), lambda x: trim(x)) AS tl FROM rep WHERE published_at >= timestamp '2024-01-31' - INTERVAL 14 DAY AND published_at <= timestamp '2024-01-31' ORDER BY published_at DESC, id DESC LIMIT 400),
-u AS (SELECT 'models' AS section, 5 AS top, * FROM p WHERE category = 'model' UNION ALL SELECT 'tagged', 8, * FROM p WHERE list_has_any(tl, ['t1', 'u2'])
-  UNION ALL SELECT 'words', 4, * FROM p WHERE contains(lower(title), 'the') AND NOT contains(lower(title), 'licen')),
+SECTIONS_SQL = f"""WITH p AS (SELECT *, list_transform(string_split(tags, ','), lambda x: trim(x)) AS tl, {WORDS_SQL} AS words FROM rep WHERE published_at >= timestamp '2024-01-31' - INTERVAL 14 DAY AND published_at <= timestamp '2024-01-31' ORDER BY published_at DESC, id DESC LIMIT 400),
+u AS (SELECT 0 AS no, 'models' AS section, 5 AS top, * FROM p WHERE category = 'model' UNION ALL SELECT 1, 'tagged', 8, * FROM p WHERE list_has_any(tl, ['t1', 'u2'])
+  UNION ALL SELECT 2, 'words', 4, * FROM p WHERE contains(words, 'the') AND NOT contains(words, 'licen')
+  UNION ALL SELECT 3, 'topics', 6, * FROM p WHERE list_has_any({long_sql.topics('topics')}, ['主题2', 'topic1']) AND (contains(words, '消息') OR contains(words, 'the'))),
 r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY starred DESC, coalesce(score, 0) DESC, published_at DESC, id DESC) AS rank FROM u)
 """
 
 
 @query(SECTIONS_SQL + "SELECT section, rank, id, title, score, starred FROM r WHERE rank <= top")
 def brief_sections(spark, sf):
-    return reading.brief_sections(articles(spark, sf), NOW, SECTIONS, days=14)
+    return reading.brief_sections(articles(spark, sf), NOW, SECTIONS, days=14).select("section", "rank", "id", "title", "score", "starred")
+
+
+ITEMS_SQL = (
+    SECTIONS_SQL
+    + ", shown AS (SELECT DISTINCT id, title, title_zh, brief_zh, digest_zh, digest, reason, summary, content_zh, content_full FROM r WHERE rank <= top), "
+    + long_sql.brief_texts("shown")
+    + f""", i AS (SELECT r.no, r.section, r.rank, r.id, {long_sql.trimmed(long_sql.filled('r.title_zh', 'r.title'))} AS title, said.brief, coalesce(s.name, 'unknown') AS source, coalesce(r.category, '') AS category, r.starred, r.link,
+  strftime(r.published_at, '%Y-%m-%d %H:%M') AS published, row_number() OVER (PARTITION BY r.no ORDER BY r.rank) AS place FROM r JOIN said ON said.id = r.id LEFT JOIN s ON s.id = r.source_id WHERE r.rank <= r.top AND said.brief <> '')
+"""
+)
+
+
+def section_items(spark, sf) -> DataFrame:
+    return reading.brief_items(reading.brief_sections(articles(spark, sf), NOW, SECTIONS, days=14), sources(spark, sf))
+
+
+@query(ITEMS_SQL + "SELECT section, rank, id, title, brief, source, category, starred, link, published FROM i")
+def brief_items(spark, sf):
+    return section_items(spark, sf).select("section", "rank", "id", "title", "brief", "source", "category", "starred", "link", "published")
 
 
-@query(SECTIONS_SQL + "SELECT section, string_agg(rank::varchar || '. ' || CASE WHEN starred = 1 THEN '★' ELSE '' END || title, chr(10) ORDER BY rank) AS text FROM r WHERE rank <= top GROUP BY section")
+def _document(entry: str) -> str:
+    return f", e AS (SELECT no, section, string_agg({entry}, chr(10) || chr(10) ORDER BY place) AS body FROM i GROUP BY no, section) SELECT '# Today' || chr(10) || chr(10) || string_agg(CASE WHEN (SELECT count(*) FROM e) > 1 THEN '## ' || section || chr(10) || chr(10) ELSE '' END || body, chr(10) || chr(10) ORDER BY no) || chr(10) AS text FROM e"
+
+
+HEAD = "place::varchar || '. ' || CASE WHEN starred = 1 THEN '★ ' ELSE '' END || title"
+
+
+@query(ITEMS_SQL + _document(f"concat_ws(chr(10), {HEAD}, brief, '—— ' || concat_ws(' · ', source, nullif(category, ''), published))"))
 def brief_text_render(spark, sf):
-    return reading.brief_text(brief_sections(spark, sf))
+    return reading.brief_text(section_items(spark, sf), "Today")
+
+
+@query(ITEMS_SQL + _document(f"concat_ws(chr(10) || chr(10), '### ' || {HEAD}, brief, '- ' || concat_ws(' · ', source, nullif(category, ''), published, link))"))
+def brief_markdown_render(spark, sf):
+    return reading.brief_markdown(section_items(spark, sf), "Today")
+
+
+@query("WITH " + long_sql.brief_texts("a") + " SELECT id, brief FROM said")
+def brief_texts(spark, sf):
+    """The ladder of briefs over all articles, so that every rung has rows."""
+    return articles(spark, sf).select("id", reading.brief_of_row().alias("brief"))
+
+
+@query(f"""WITH t AS (SELECT id, title, {long_sql.strip_html("content_full")} AS t FROM a), b AS (SELECT id, CASE WHEN length(t) >= 30 AND length({long_sql.trimmed("regexp_replace(t, " + long_sql.quoted(T.BOILERPLATE) + ", ' ', 'g')")}) >= 30 THEN t ELSE title END AS t FROM t),
+c AS (SELECT id, {long_sql.trimmed("t")} AS t FROM b)
+SELECT id, CASE WHEN length(t) <= 90 THEN t ELSE regexp_replace(substr(t, 1, 90), '{long_sql.BLANK}+$', '') || '…' END AS digest FROM c""")
+def fallback_digests(spark, sf):
+    return articles(spark, sf).select("id", T.fallback_digest(F.col("title"), F.col("content_full"), chars=90).alias("digest"))
 
 
 @query(long_sql.story_cards())
@@ -311,11 +389,13 @@ def untranslated_sentences(spark, sf):
     return articles(spark, sf).select("id", T.has_untranslated_sentence(F.col("content_full")).alias("untranslated"))
 
 
-@query("""SELECT n, CASE WHEN n < 1000 THEN n::varchar WHEN n < 1000000 THEN regexp_replace(regexp_replace(printf('%.1f', (n + 50) // 100 / 10.0), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') || 'K' ELSE regexp_replace(regexp_replace(printf('%.2f', (n + 5000) // 10000 / 100.0), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') || 'M' END AS short
-FROM (SELECT o_orderkey * 1237 AS n FROM orders WHERE o_orderkey < 2000)""", raw=True)
+@query(r"""WITH o AS (SELECT o_orderkey, o_orderkey * CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1237 ELSE 1000003 END AS n FROM orders)
+SELECT o_orderkey, n, CASE WHEN n < 1000 THEN n::varchar WHEN n < 1000000 THEN regexp_replace(regexp_replace(printf('%.1f', (n + 50) // 100 / 10.0), '(\.\d*?)0+$', '\1'), '\.$', '') || 'K'
+  WHEN n < 1000000000 THEN regexp_replace(regexp_replace(printf('%.2f', (n + 5000) // 10000 / 100.0), '(\.\d*?)0+$', '\1'), '\.$', '') || 'M'
+  ELSE regexp_replace(regexp_replace(printf('%.2f', (n + 5000000) // 10000000 / 100.0), '(\.\d*?)0+$', '\1'), '\.$', '') || 'B' END AS short FROM o""", raw=True)
 def compact_numbers(spark, sf):
-    n = (F.col("o_orderkey") * 1237).alias("n")
-    return table(spark, sf, "orders").filter("o_orderkey < 2000").select(n).select("n", T.compact_number(F.col("n")).alias("short"))
+    n = F.expr("o_orderkey * case o_orderkey % 3 when 0 then 1 when 1 then 1237 else 1000003 end").alias("n")
+    return table(spark, sf, "orders").select("o_orderkey", n).select("o_orderkey", "n", T.compact_number(F.col("n")).alias("short"))
 
 
 # Pages
@@ -334,10 +414,10 @@ def page_article_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", H.article_text(F.col("html")).alias("text"))
 
 
-@query()
+@query(long_sql.page_images(), raw=True)
 def page_images(spark, sf):
     marked = F.concat("html", F.lit("<img class='a' data-src='/p/"), "page_id", F.lit(".jpg'><img srcset='/s.png 100w, /l.png 800w'><img src='/logo.png'>"))
-    return table(spark, sf, "pages").select("page_id", H.images(marked).alias("images"))
+    return table(spark, sf, "pages").select("page_id", F.array_join(H.images(marked), " ").alias("images"))
 
 
 # Ingest and rules
@@ -367,30 +447,67 @@ def ingest_stats(spark, sf):
 
 
 @query("""WITH f AS (SELECT id, title, CASE WHEN id % 3 = 0 THEN 'https://x.example.com/' || (id // 9)::varchar ELSE link END AS link FROM a),
-k AS (SELECT link FROM a WHERE id < 300), g AS (SELECT link, min(id) AS id FROM f GROUP BY link) SELECT g.link, g.id FROM g WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.link = g.link)""")
+k AS (SELECT link FROM a WHERE published_at < timestamp '2024-01-10'), g AS (SELECT link, min(id) AS id FROM f GROUP BY link) SELECT g.link, g.id FROM g WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.link = g.link)""")
 def exact_dedup(spark, sf):
     a = articles(spark, sf)
     items = a.select("id", "title", F.col("id").alias("pos"), F.expr("case when id % 3 = 0 then concat('https://x.example.com/', cast(id div 9 as string)) else link end").alias("link"))
-    return ingest.new_by_link(items, a.filter("id < 300").select("link")).select("link", "id")
+    return ingest.new_by_link(items, a.filter(F.col("published_at") < ts("2024-01-10")).select("link")).select("link", "id")
 
 
 @query()
 def title_fuzzy_dedup(spark, sf):
+    """All articles against the 500 newest titles. SQL has no such ratio; a test compares with all pairs of rows."""
     a = articles(spark, sf).select("id", "title")
     return ingest.title_duplicates(a, a)
 
 
+RUN_LINK = "CASE WHEN id % 11 = 0 THEN 'ftp://x' WHEN id % 3 = 0 THEN 'https://x.example.com/' || (id // 9)::varchar ELSE link END AS link"
+RUN_SQL = ADMIT_SQL.rstrip() + f""", i AS (SELECT id, title, content_full, {RUN_LINK} FROM a),
+u AS (SELECT i.id, i.link FROM i JOIN r ON r.id = i.id WHERE r.outcome = 'kept' AND regexp_matches(i.link, '(?i)^https?:') AND trim(i.title) <> ''),
+known AS (SELECT link FROM a WHERE published_at < timestamp '2024-01-20'),
+fr AS (SELECT min(id) AS id FROM u WHERE link NOT IN (SELECT link FROM known) GROUP BY link),
+st AS (SELECT r.id, r.source_id, CASE WHEN outcome <> 'kept' THEN outcome WHEN u.id IS NULL THEN 'bad_link' WHEN fr.id IS NULL THEN 'duplicated' WHEN regexp_matches(i.title || chr(10) || i.content_full, '(?i)(^|[^A-Za-z0-9])license($|[^A-Za-z0-9])') THEN 'blocked' ELSE 'new' END AS outcome
+  FROM r JOIN i ON i.id = r.id LEFT JOIN u ON u.id = r.id LEFT JOIN fr ON fr.id = r.id)
+"""
+
+
+def settled_run(spark, sf) -> DataFrame:
+    a = articles(spark, sf)
+    links = F.expr("case when id % 11 = 0 then 'ftp://x' when id % 3 = 0 then concat('https://x.example.com/', cast(id div 9 as string)) else link end")
+    admitted = ingest.admit(feed_items(spark, sf).withColumn("link", links), NOW, max_items=10)
+    return ingest.settle_kept(admitted, a.filter(F.col("published_at") < ts("2024-01-20")).select("id", "link", "title"), [(1, "license")], window=0)
+
+
+@query(RUN_SQL + "SELECT id, outcome FROM st")
+def run_outcomes(spark, sf):
+    """Without the comparison of titles, which SQL has no ratio for."""
+    return settled_run(spark, sf).select("id", "outcome")
+
+
+@query(RUN_SQL + """SELECT q.id AS source_id, CASE WHEN count(st.id) = 0 THEN 'empty' ELSE 'ok' END AS status, count(st.id) AS fetched, coalesce(count_if(outcome = 'new'), 0) AS new, coalesce(count_if(outcome = 'duplicated'), 0) AS duplicated, coalesce(count_if(outcome = 'blocked'), 0) AS blocked,
+  coalesce(count_if(outcome = 'bad_link'), 0) AS bad_link, coalesce(count_if(outcome = 'stale'), 0) AS stale, 0::bigint AS no_content, coalesce(count_if(outcome = 'over_cap'), 0) AS over_cap FROM (SELECT id FROM s UNION ALL SELECT 9999) q LEFT JOIN st ON st.source_id = q.id GROUP BY q.id""")
+def run_report(spark, sf):
+    extra = spark.createDataFrame([(9999, "silent")], "id int, name string")
+    return ingest.run_report(settled_run(spark, sf), sources(spark, sf).unionByName(extra))
+
+
 @query("""SELECT id, url FROM (SELECT id, name AS url FROM s WHERE id < 10 UNION ALL SELECT id + 100, name FROM s WHERE id >= 5 AND name NOT IN (SELECT name FROM s WHERE id < 10))""")
 def seed_sources(spark, sf):
     s = sources(spark, sf).select("id", F.col("name").alias("url"))
     return ingest.seed(s.filter("id >= 5").withColumn("id", F.col("id") + 100), s.filter("id < 10"))
 
 
-BLOCK, STAR = [(1, "license"), (2, "moron")], [(10, "the"), (11, "tion"), (12, "and")]
-RULES_SQL = """WITH x AS (SELECT id, deleted_at IS NULL AND starred = 0 AS open, title || chr(10) || substr(content_full, 1, 2000) AS t FROM a),
-y AS (SELECT id, open, CASE WHEN open THEN CASE WHEN regexp_matches(t, '(?i)(^|[^A-Za-z0-9])license($|[^A-Za-z0-9])') THEN 1 WHEN regexp_matches(t, '(?i)(^|[^A-Za-z0-9])moron($|[^A-Za-z0-9])') THEN 2 END END AS blocked_by, t FROM x),
-z AS (SELECT id, blocked_by, CASE WHEN open AND blocked_by IS NULL THEN CASE WHEN regexp_matches(t, '(?i)(^|[^A-Za-z0-9])the($|[^A-Za-z0-9])') THEN 10
-  WHEN regexp_matches(t, '(?i)(^|[^A-Za-z0-9])tion($|[^A-Za-z0-9])') THEN 11 WHEN regexp_matches(t, '(?i)(^|[^A-Za-z0-9])and($|[^A-Za-z0-9])') THEN 12 END END AS starred_by FROM y)
+BLOCK, STAR = [(1, "license"), (2, "moron"), (3, "第1")], [(10, "the"), (11, "tion"), (12, "and"), (13, "三件事")]
+
+
+def _first_rule(rules_: list[tuple[int, str]]) -> str:
+    latin = lambda w: f"'(?i)(^|[^A-Za-z0-9]){w}($|[^A-Za-z0-9])'" if w.isascii() else f"'(?i){w}'"
+    return "CASE " + " ".join(f"WHEN regexp_matches(t, {latin(w)}) THEN {n}" for n, w in rules_) + " END"
+
+
+RULES_SQL = f"""WITH x AS (SELECT *, deleted_at IS NULL AND starred = 0 AND content_full IS NOT NULL AS open, concat_ws(chr(10), {", ".join(f"nullif({c}, '')" for c in rules.SEARCHED if c != "title_en")}) AS t FROM a),
+y AS (SELECT *, CASE WHEN open THEN {_first_rule(BLOCK)} END AS blocked_by FROM x),
+z AS (SELECT *, CASE WHEN open AND blocked_by IS NULL THEN {_first_rule(STAR)} END AS starred_by FROM y)
 """
 
 
@@ -399,6 +516,13 @@ def keyword_rules(spark, sf):
     return rules.apply_rules(articles(spark, sf), BLOCK, STAR).select("id", "blocked_by", "starred_by")
 
 
+@query(RULES_SQL + """SELECT id, CASE WHEN blocked_by IS NOT NULL THEN timestamp '2024-01-31' ELSE deleted_at END AS deleted_at, CASE blocked_by WHEN 1 THEN 'blocked: license' WHEN 2 THEN 'blocked: moron' WHEN 3 THEN 'blocked: 第1' END AS degraded_reason,
+  CASE WHEN starred_by IS NOT NULL THEN 1 ELSE starred END AS starred FROM z""")
+def rule_effects(spark, sf):
+    applied = rules.apply_rules(articles(spark, sf), BLOCK, STAR)
+    return rules.carried_out(applied, BLOCK, NOW).select("id", "deleted_at", "degraded_reason", "starred")
+
+
 @query(RULES_SQL + "SELECT r AS rule_id, count(*) AS hits FROM (SELECT unnest([blocked_by, starred_by]) AS r FROM z) WHERE r IS NOT NULL GROUP BY r")
 def rule_hits(spark, sf):
     return rules.hit_counts(rules.apply_rules(articles(spark, sf), BLOCK, STAR))
@@ -416,6 +540,33 @@ def rule_stats(spark, sf):
     return rules.rule_stats(rule_table(spark, sf))
 
 
+@query(RULES_SQL + """, r AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 <> 0 THEN s_suppkey * 17 % 101 END AS hits FROM supplier), h AS (SELECT r AS id, count(*) AS n FROM (SELECT unnest([blocked_by, starred_by]) AS r FROM z) WHERE r IS NOT NULL GROUP BY r)
+SELECT r.id, coalesce(r.hits, 0) + coalesce(h.n, 0) AS hits FROM r LEFT JOIN h ON h.id = r.id""")
+def rule_hits_added(spark, sf):
+    return rules.counted(rule_table(spark, sf), rules.apply_rules(articles(spark, sf), BLOCK, STAR)).select("id", "hits")
+
+
+@query("SELECT s_suppkey AS id, s_name AS keyword FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 4 <> 0", raw=True)
+def loaded_rules(spark, sf):
+    return spark.createDataFrame(rules.load_rules(rule_table(spark, sf), "star"), "id long, keyword string")
+
+
+@query(RULE_TABLE_SQL.rstrip() + """, m AS (SELECT count_if(deleted_at IS NOT NULL) AS blocked_articles, count_if(starred = 1 AND deleted_at IS NULL) AS starred_articles FROM a)
+SELECT (SELECT count_if(kind = 'block') FROM r) AS block_rules, (SELECT count_if(kind = 'star') FROM r) AS star_rules, (SELECT coalesce(sum(hits), 0)::bigint FROM r) AS total_hits, blocked_articles, starred_articles FROM m""")
+def rule_totals(spark, sf):
+    return rules.rule_totals(rule_table(spark, sf), articles(spark, sf))
+
+
+@query(RULE_TABLE_SQL + "SELECT id, kind, row_number() OVER (PARTITION BY kind ORDER BY hits DESC NULLS LAST, id DESC) AS place FROM r", raw=True)
+def rule_lists(spark, sf):
+    return rules.rule_lists(rule_table(spark, sf)).select("id", "kind", "place")
+
+
+@query(RULE_TABLE_SQL + "SELECT id, CASE WHEN id IN (1, 4, 5) THEN 1 - enabled ELSE enabled END AS enabled FROM r WHERE id NOT IN (2, 3)", raw=True)
+def managed_rules(spark, sf):
+    return rules.delete_rules(rules.toggle_rules(rule_table(spark, sf), [1, 4, 5]), [2, 3]).select("id", "enabled")
+
+
 @query(RULE_TABLE_SQL + "SELECT id, keyword, hits FROM r WHERE kind = 'star' AND enabled = 1 ORDER BY hits DESC NULLS LAST, id DESC LIMIT 8", raw=True)
 def star_rules_top8(spark, sf):
     return rules.top_rules(rule_table(spark, sf)).select("id", "keyword", "hits")
@@ -424,10 +575,7 @@ def star_rules_top8(spark, sf):
 # Stories
 
 
-STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
-
-
-CLASSES_SQL = f"""WITH w AS (SELECT id, list_sort(list_filter(list_distinct(regexp_extract_all(lower(title), '[a-z][a-z0-9'']{{3,}}')), lambda x: x NOT IN ({STOP}))) AS ws FROM vis WHERE relevance = 1),
+CLASSES_SQL = f"""WITH w AS (SELECT id, {long_sql.story_words(long_sql.STORY_TITLE)} AS ws FROM vis WHERE relevance = 1),
 k AS (SELECT min(id) AS id, ws FROM w GROUP BY ws)
 """
 
@@ -445,12 +593,13 @@ def title_classes(spark, sf):
 
 @query(long_sql.merge_candidates())
 def merge_candidates(spark, sf):
-    return stories.ranked_pairs(stories.candidates(articles(spark, sf), NOW, days=30, newest=400))
+    return stories.ranked_pairs(stories.candidates(articles(spark, sf), NOW, days=30))
 
 
 @query()
 def merge_stories(spark, sf):
-    return stories.merge(stories.candidates(articles(spark, sf), NOW, days=30, newest=400), lambda a, b: True)
+    """Which article keeps a story depends on the pairs before it, so SQL can't say it; a test replays the rule in Python."""
+    return stories.merge(stories.candidates(articles(spark, sf), NOW, days=30), lambda a, b: True)
 
 
 @query("""SELECT c.id, CASE WHEN p.id IS NULL OR coalesce(p.relevance <> 1, false) THEN NULL ELSE c.duplicate_of END AS duplicate_of, p.id IS NULL OR coalesce(p.relevance <> 1, false) AS repaired
@@ -515,6 +664,33 @@ def retry_queue(spark, sf):
     return lifecycle.retry_queue(stored(spark, sf), NOW).select("id", "process_attempts")
 
 
+RETRY_SQL = STORED_SQL.rstrip() + """, n AS (SELECT * FROM st WHERE status = 'failed' AND process_attempts < 6 ORDER BY published_at DESC, id DESC LIMIT 200),
+q AS (SELECT id FROM n WHERE process_last_at IS NULL OR process_last_at <= timestamp '2024-01-31' - INTERVAL 30 MINUTE)
+"""
+
+
+@query(RETRY_SQL + "SELECT id, CASE WHEN id IN (SELECT id FROM q) THEN 'pending' ELSE status END AS status FROM st")
+def requeued(spark, sf):
+    return lifecycle.requeue(stored(spark, sf), NOW).select("id", "status")
+
+
+@query(RETRY_SQL + "SELECT (SELECT count(*) FROM n) AS candidates, (SELECT count(*) FROM q) AS requeued, count_if(status = 'failed' AND process_attempts >= 6) AS exhausted FROM st")
+def retry_stats(spark, sf):
+    return lifecycle.retry_stats(stored(spark, sf), NOW)
+
+
+@query("SELECT strftime(published_at, '%Y-%m-%d') AS date, count(*) AS article_count FROM rep WHERE strftime(published_at, '%Y-%m-%d') >= '2024-01-21' GROUP BY 1")
+def report_retention(spark, sf):
+    reports = articles(spark, sf).filter(reportable()).groupBy(F.date_format("published_at", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("article_count"))
+    return lifecycle.retain_reports(reports, NOW, 10)
+
+
+@query("SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE deleted_at END AS deleted_at FROM a")
+def restored(spark, sf):
+    a = articles(spark, sf)
+    return lifecycle.restore(a, a.filter("id % 4 = 0").select("id")).select("id", "deleted_at")
+
+
 @query(STORED_SQL + "SELECT id, process_attempts FROM st WHERE status = 'pending' AND deleted_at IS NULL ORDER BY process_attempts, published_at DESC, id DESC LIMIT 20")
 def work_queue(spark, sf):
     return lifecycle.work_queue(stored(spark, sf)).select("id", "process_attempts")
@@ -581,15 +757,19 @@ def parse_relevance_cases(spark, sf):
     return rows.select("reply", "p.relevant", "p.score")
 
 
-@query("""SELECT id, CAST(ceil(len(string_split(content_full, chr(10) || chr(10))) / 1.0) AS BIGINT) AS paragraphs FROM a""")
+@query(rf"""WITH x AS (SELECT id, content_full || CASE WHEN id % 2 = 0 THEN chr(10) || '  ' || chr(10) || chr(10) || ' end ' ELSE chr(10) || chr(10) || ' ' END AS t FROM a)
+SELECT id, len(list_filter(string_split_regex(t, '\n\s*\n'), lambda v: {long_sql.trimmed('v')} <> '')) AS paragraphs FROM x""")
 def paragraph_counts(spark, sf):
-    return articles(spark, sf).select("id", F.size(F.split("content_full", "\n\n")).cast("long").alias("paragraphs"))
+    """With blank blocks at the ends, which don't count."""
+    t = F.concat("content_full", F.when(F.col("id") % 2 == 0, "\n  \n\n end ").otherwise("\n\n "))
+    return articles(spark, sf).select("id", F.size(T.paragraphs(t)).cast("long").alias("paragraphs"))
 
 
-@query()
+@query(long_sql.chunk_plan())
 def chunk_plan(spark, sf):
     c = R.chunks(T.paragraphs(F.col("content_full")))
-    return articles(spark, sf).select("id", c.alias("c")).select("id", F.size("c").alias("chunks"), R.batches(F.transform("c", F.char_length)).alias("batch_of"))
+    planned = articles(spark, sf).select("id", c.alias("c"))
+    return planned.select("id", F.size("c").cast("long").alias("chunks"), F.array_join(R.batches(F.transform("c", F.char_length)).cast("array<string>"), " ").alias("batch_of"))
 
 
 @query(long_sql.enrichment())

@@ -106,10 +106,11 @@ def orphan_images(spark, sf):
     return audits.orphans(a.select("name"), used, "media")
 
 
-@query("SELECT id, 0 AS turn FROM a WHERE id % 3 = 0 UNION ALL SELECT id, 1 FROM a WHERE id % 2 = 0 AND id % 3 <> 0")
+@query("SELECT id, CASE WHEN score IS NULL THEN 1 ELSE 0 END AS turn FROM a")
 def ordered_union(spark, sf):
-    a = articles(spark, sf).select("id")
-    return audits.ordered_union(a.filter("id % 3 = 0"), a.filter("id % 2 = 0"))
+    """The scored articles, then all others."""
+    a = articles(spark, sf)
+    return audits.ordered_union(a.filter("score is not null").select("id"), a.select("id"))
 
 
 @query("SELECT id, CASE WHEN id % 2 = 0 THEN '' ELSE tags END AS reason FROM a")
@@ -128,19 +129,27 @@ def newest_per_source(spark, sf):
     return audits.newest_per_group(articles(spark, sf).filter(reportable()), "source_id").select("id", "source_id", "title")
 
 
-@query("""SELECT id, title, link, category, tags, score, starred, status, strftime(published_at, '%Y-%m-%d %H:%M') AS published, lang FROM rep""")
+@query(f"SELECT {', '.join(reading.API_FIELDS)}, NULL::varchar AS title_en, NULL::varchar AS digest_en FROM rep")
 def api_articles(spark, sf):
-    return articles(spark, sf).filter(reportable()).select("id", "title", "link", "category", "tags", "score", "starred", "status", F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published"), "lang")
+    return reading.api_articles(articles(spark, sf))
 
 
-@query("""SELECT field, count(*) AS n FROM (SELECT 'title' AS field WHERE false) GROUP BY field""", raw=True)
+SHORT = "CASE WHEN id % 3 = 0 THEN '苹果宣布新模型。全端侧运行。图文同处理。公司下月供开发者。价格未公布。' WHEN id % 3 = 1 THEN '苹果公司宣布了一款新的模型，该模型完全在设备端运行，并且能够同时处理图像和文本的内容。' END"
+
+
+@query(f"""SELECT field, count(*) AS n FROM (SELECT 'title_zh' AS field, title_zh AS x FROM a UNION ALL SELECT 'digest', digest FROM a UNION ALL SELECT 'short', {SHORT} FROM a) WHERE {long_sql.telegraphic('x')} GROUP BY field""")
 def telegraphic_audit(spark, sf):
-    return audits.telegraphic_fields(articles(spark, sf), ["title", "content_full", "tags"])
+    """With a field that is telegraphic in a third of the rows and prose in another third."""
+    return audits.telegraphic_fields(articles(spark, sf).withColumn("short", F.expr(SHORT)), ["title_zh", "digest", "short"])
+
 
+HALF = "CASE id % 3 WHEN 0 THEN concat(repeat('这是译文', 20), substr(content_full, 1, 60)) WHEN 1 THEN content_full ELSE repeat('全是中文的译文。', 9) END"
 
-@query("""SELECT id, length(regexp_replace(substr(content_full, 1, 400), '[^A-Za-z]', '', 'g')) > 40 AND len(regexp_extract_all(content_full, '[A-Za-z]{2,}')) > 20 AS half FROM a""")
+
+@query(f"SELECT id, {long_sql.english('content_full')} AND len(regexp_extract_all(z, '[A-Za-z]{{2,}}')) > 20 AND len(regexp_extract_all(z, '[A-Za-z]{{2,}}')) > length(regexp_replace(z, '[^一-鿿]', '', 'g')) AS half FROM (SELECT *, {HALF} AS z FROM a)")
 def half_translated_audit(spark, sf):
-    return articles(spark, sf).select("id", audits.half_translated(F.col("content_full"), F.col("content_full")).alias("half"))
+    """Translations of three kinds: mostly Chinese, not translated at all, all Chinese."""
+    return articles(spark, sf).select("id", audits.half_translated(F.col("content_full"), F.expr(HALF)).alias("half"))
 
 
 @query("""SELECT id, CASE WHEN length(content_full) >= 400 AND NOT length(regexp_replace(substr(content_full, 1, 400), '[^A-Za-z]', '', 'g')) > 40 THEN NULL ELSE title END AS title FROM a""")
@@ -153,24 +162,45 @@ def report_html(spark, sf):
     return audits.report_html(daily_report(spark, sf), "2024-01-15")
 
 
-@query()
+@query(long_sql.page_contents(), raw=True)
 def page_contents(spark, sf):
     blocks = H.block_texts(H.without_furniture(F.col("html")), 2)
-    return table(spark, sf, "pages").select("page_id", H.contents(blocks).alias("contents"))
+    return table(spark, sf, "pages").select("page_id", F.array_join(H.contents(blocks), "|").alias("contents"))
 
 
-@query("SELECT conv_id, turn, trim(split_part(text, chr(10), 1)) AS first_line FROM conversations WHERE role = 'assistant'", raw=True)
+@query(f"SELECT conv_id, turn, ls[1] AS first_line, len(ls) AS n_lines FROM (SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda x: {long_sql.trimmed('x')}), lambda x: x <> '') AS ls FROM conversations WHERE role = 'assistant')", raw=True)
 def reply_first_lines(spark, sf):
-    rows = table(spark, sf, "conversations").filter("role = 'assistant'")
-    return rows.select("conv_id", "turn", F.btrim(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(" ")).alias("first_line"))
+    rows = table(spark, sf, "conversations").filter("role = 'assistant'").select("conv_id", "turn", R.lines_of(F.col("text")).alias("ls"))
+    return rows.select("conv_id", "turn", F.get("ls", F.lit(0)).alias("first_line"), F.size("ls").cast("long").alias("n_lines"))
 
 
-@query()
+@query(long_sql.reply_halves(), raw=True)
 def reply_halves(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", R.halves(F.col("text")).alias("halves"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(R.halves(F.col("text")), " | ").alias("halves"))
+
+
+@query(SOURCE_SQL + "SELECT id, CASE WHEN id IN (2, 5) AND deleted = 0 THEN 'New name' ELSE name END AS name, CASE WHEN id IN (3, 6) THEN 1 WHEN id IN (8, 9) THEN 0 ELSE deleted END AS deleted, CASE WHEN id IN (3, 6) AND deleted = 0 THEN 0 WHEN id = 8 AND deleted = 1 THEN 1 ELSE enabled END AS enabled FROM src", raw=True)
+def managed_sources(spark, sf):
+    named = audits.rename_sources(source_table(spark, sf), {2: " New name ", 5: "New name", 4: " ", 7: "x" * 300})
+    return audits.restore_sources(audits.drop_sources(named, [3, 6]), [8, 9]).select("id", "name", "deleted", "enabled")
+
+
+@query("SELECT count_if(status = 'pending') AS pending, count_if(status = 'failed') AS failed, count_if(status = 'pending')::varchar || ' pending, ' || count_if(status = 'failed')::varchar || ' failed' AS note FROM a WHERE deleted_at IS NULL AND published_at::date = date '2024-01-15'")
+def day_note(spark, sf):
+    return audits.pipeline_note(articles(spark, sf), "2024-01-15")
+
+
+@query("SELECT id, title FROM a ORDER BY id DESC LIMIT 15 OFFSET 15")
+def second_page_by_id(spark, sf):
+    return reading.by_id(articles(spark, sf), 2, 15).select("id", "title")
+
+
+@query("SELECT strftime(published_at, '%Y-%m-%d') AS date, count(*) AS n FROM rep GROUP BY 1 ORDER BY 1 DESC LIMIT 14")
+def newest_issues(spark, sf):
+    return audits.newest_issues(articles(spark, sf).filter(reportable()).groupBy(F.date_format("published_at", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("n")))
 
 
-@query("SELECT r.id, title, s.name AS source, status = 'failed' AS degraded FROM rep r JOIN s ON r.source_id = s.id WHERE published_at >= timestamp '2024-01-15' AND published_at < timestamp '2024-01-15 12:00:00'")
+@query(f"SELECT r.id, {long_sql.filled('title_zh', 'title')} AS title, s.name AS source, status = 'failed' AS degraded FROM rep r JOIN s ON r.source_id = s.id WHERE published_at >= timestamp '2024-01-15' AND published_at < timestamp '2024-01-15 12:00:00'")
 def rolling_report(spark, sf):
     a, s = articles(spark, sf), sources(spark, sf)
     items = reading.report_items(a, s, "2024-01-15", "2024-01-15 12:00:00")

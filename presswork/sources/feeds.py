@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from presswork.functions.pandas_text import blocked_address, decoded, image_size
+
 ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "link", "pubDate", "description", "content:encoded")])
 ENTRY = T.StructType([*[T.StructField(n, T.StringType()) for n in ("title", "published", "updated", "summary", "content")], T.StructField("link", T.ArrayType(T.StructType([T.StructField("_href", T.StringType())])))])
 USAGE = "at timestamp_ntz, kind string, model string, ok boolean, ms long, input_tokens long, output_tokens long, cached_tokens long, reasoning_tokens long, total_tokens long, error string, seq long"
@@ -63,18 +67,73 @@ def safe_image_name(name: Column) -> Column:
     return name.rlike(r"^[0-9a-f]{40}\.(?:png|gif|jpg|webp|img)$")
 
 
-def fetched(rows: DataFrame, fetch: Callable[[str], bytes | None], url: str = "url") -> DataFrame:
-    """``rows`` with ``body``: what the injected ``fetch`` returns for the address, null where it fails. One call a row, on the executors."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("body", T.BinaryType())])
-
-    def one(address: str) -> bytes | None:
-        try:
-            return fetch(address)
-        except Exception:  # noqa: BLE001 - an address that fails is data, not an error of the job
-            return None
+class NotFetched(Exception):
+    """Raised by a ``fetch`` for an address that must not be tried again."""
+
+
+def fetched(rows: DataFrame, fetch: Callable[[str], bytes | None], url: str = "url", retries: int = 0, pause: float = 1.0, most_bytes: int | None = None, blocked: bool = True) -> DataFrame:
+    """``rows`` with ``body``, ``tries`` and ``error``: what the injected ``fetch`` returns for the address, on the executors.
+
+    An address is tried ``retries`` times more, with a pause that doubles up to four times ``pause``. The body is null where all
+    tries fail, and where it has more than ``most_bytes``; addresses of local networks are not tried at all (``blocked``).
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField("body", T.BinaryType()), T.StructField("tries", T.IntegerType()), T.StructField("error", T.StringType())])
+
+    def one(address: str | None) -> tuple[bytes | None, int, str | None]:
+        why = blocked_address(address) if blocked else ""
+        if why:
+            return None, 0, why
+        error = None
+        for n in range(retries + 1):
+            try:
+                body = fetch(address)
+            except NotFetched as e:
+                return None, n + 1, str(e)[:200]
+            except Exception as e:  # noqa: BLE001 - an address that fails is data, not an error of the job
+                error = f"{type(e).__name__}: {e}"[:200]
+                if pause and n < retries:
+                    time.sleep(pause * min(2**n, 4))
+                continue
+            if body is not None and most_bytes is not None and len(body) > most_bytes:
+                return None, n + 1, "too large"
+            return body, n + 1, None
+        return None, retries + 1, error
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(body=[one(u) for u in b[url]])
+            done = [one(u) for u in b[url]]
+            yield b.assign(body=[d[0] for d in done], tries=[d[1] for d in done], error=[d[2] for d in done])
 
     return rows.mapInPandas(run, schema)
+
+
+def fetched_pages(rows: DataFrame, fetch: Callable[[str], bytes | None], url: str = "url", most_bytes: int = 1_500_000, **how) -> DataFrame:
+    """``rows`` with ``html``: pages up to 1.5 MB, decoded as UTF-8, GB18030 or Latin-1."""
+    return fetched(rows, fetch, url, most_bytes=most_bytes, **how).withColumn("html", decoded(F.col("body"))).drop("body")
+
+
+def fetched_images(rows: DataFrame, fetch: Callable[[str], bytes | None], url: str = "url", most_bytes: int = 8_000_000, min_width: int = 200, min_height: int = 120, **how) -> DataFrame:
+    """``rows`` with body, width, height, name and ``outcome``: kept, too_small or failed (what is no image counts as failed)."""
+    got = fetched(rows, fetch, url, most_bytes=most_bytes, **how).withColumn("s", image_size(F.col("body")))
+    outcome = F.when(F.col("s.width").isNull(), "failed").when((F.col("s.width") < min_width) | (F.col("s.height") < min_height), "too_small").otherwise("kept")
+    return got.select(*[c for c in got.columns if c != "s"], F.col("s.width").alias("width"), F.col("s.height").alias("height"), outcome.alias("outcome")).withColumn("name", F.when(F.col("outcome") == "kept", image_name(F.col(url), F.col("body"))))
+
+
+def stored_images(images: DataFrame, path: str) -> None:
+    """Keeps the images of ``fetched_images`` under their names as a table of files; names that are there already are left alone."""
+    spark = images.sparkSession
+    kept = images.filter("outcome = 'kept'").select("name", "body").dropDuplicates(["name"])
+    try:
+        kept = kept.join(spark.read.parquet(path).select("name"), "name", "left_anti")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    kept.write.mode("append").parquet(path)
+
+
+def localized(anchors: DataFrame, images: DataFrame) -> DataFrame:
+    """(id, anchors, kept, too_small, failed): the anchors (id, i, url) whose image was kept, in order, with its local address."""
+    rows = anchors.join(images.select("url", "outcome", "name"), "url", "left").withColumn("outcome", F.coalesce("outcome", F.lit("failed")))
+    kept = F.when(F.col("outcome") == "kept", F.struct("i", "url", F.concat(F.lit("/img/"), "name").alias("local")))
+    counts = [F.count_if(F.col("outcome") == n).alias(n) for n in ("kept", "too_small", "failed")]
+    return rows.groupBy("id").agg(F.sort_array(F.collect_list(kept)).alias("anchors"), *counts)

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswork.functions import text as T
+from presswork.operators.ingest import title_duplicates
+from presswork.operators.settling import settled
 from presswork.operators.visibility import ts
 
 
@@ -16,11 +19,18 @@ def stream_of(spark: SparkSession, path: str, schema, files_per_batch: int = 16)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def admitted(items: DataFrame, now: str, max_age_days: int = 14, at: str = "published_at") -> DataFrame:
-    """Times more than six hours ahead are set to now before any watermark sees them; items older than ``max_age_days`` go."""
+def marked(items: DataFrame, now: str, max_age_days: int = 14, at: str = "published_at") -> DataFrame:
+    """``items`` with ``outcome`` (kept or stale): times more than six hours ahead are set to now before any watermark sees them,
+    and items older than ``max_age_days`` are stale. Nothing vanishes, so a sink can count what is not kept."""
     clock = ts(now)
     clamped = items.withColumn(at, F.when(F.col(at) > clock + F.expr("INTERVAL 6 HOURS"), clock).otherwise(F.col(at)))
-    return clamped.filter(F.col(at).isNull() | (F.col(at) >= clock - F.expr(f"INTERVAL {max_age_days} DAY")))
+    stale = F.coalesce(F.col(at) < clock - F.expr(f"INTERVAL {max_age_days} DAY"), F.lit(False))
+    return clamped.withColumn("outcome", F.when(stale, "stale").otherwise("kept"))
+
+
+def admitted(items: DataFrame, now: str, max_age_days: int = 14, at: str = "published_at") -> DataFrame:
+    """The kept rows of ``marked``."""
+    return marked(items, now, max_age_days, at).filter("outcome = 'kept'").drop("outcome")
 
 
 def first_by_link(items: DataFrame, lateness: str = "14 days", at: str = "published_at") -> DataFrame:
@@ -60,6 +70,35 @@ def recent_titles(items: DataFrame, keep: int = 500) -> DataFrame:
     return rows.groupBy("source_id").applyInPandasWithState(run, "source_id int, id long, title string, repeated boolean", "known array<string>", "append", "NoTimeout")
 
 
+def insert_unlike(path: str, window: int = 500, threshold: float = 0.9) -> Callable[[DataFrame, int], None]:
+    """A sink for items (id, link, title, ...) that keeps ingest's rules over its table: no link twice, and no title like one of
+    the ``window`` newest of the whole table, in any source, or like an earlier one of its batch.
+
+    A batch that runs twice finds its own rows in the table and adds nothing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = table_of(spark, path, batch.schema)
+        first = batch.groupBy("link").agg(F.min("id").alias("id")).join(known.select("link"), "link", "left_anti").select("id")
+        new = settled(batch.join(first, "id", "left_semi"))
+        like = title_duplicates(new.select("id", "title"), known.select("id", "title"), threshold, window).select("id")
+        own = title_duplicates(new.select("id", "title"), new.select("id", "title"), threshold, window).filter("known_id < id").select("id")
+        new.join(like.union(own).distinct(), "id", "left_anti").write.mode("append").parquet(path)
+
+    return write
+
+
+def table_of(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table at ``path``, empty where there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def run_available(rows: DataFrame, sink: Callable[[DataFrame, int], None] | str, checkpoint: str, mode: str = "append") -> None:
     """Runs the stream over all there is: into a memory table by name, or through ``foreachBatch``. The checkpoint makes a rerun go on where it stopped."""
     writer = rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
@@ -74,13 +113,17 @@ def insert_new(path: str) -> Callable[[DataFrame, int], None]:
     """A sink that appends the links its table doesn't have, so a batch that runs twice is stored once."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(path).select("link")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = spark.createDataFrame([], "link string")
+        known = table_of(batch.sparkSession, path, "link string").select("link")
         batch.dropDuplicates(["link"]).join(known, "link", "left_anti").write.mode("append").parquet(path)
 
     return write
+
+
+def count_outcomes(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps (batch, outcome, n): what every batch of ``marked`` items came to. A batch that runs twice replaces its counts."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        counts = batch.groupBy("outcome").agg(F.count("*").alias("n")).withColumn("batch", F.lit(number))
+        counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    return write

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presswork.operators.settling import shared_folder
 from presswork.plans.articles import articles, table
 from presswork.streaming import ingest
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A folder that all executors share: below the session's checkpoint folder; a temporary one where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/streams/{uuid4().hex}"
+    """A folder that all executors share, below the session's checkpoint folder."""
+    return f"{shared_folder(spark)}/streams/{uuid4().hex}"
 
 
 def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,7 +133,7 @@ def junk_image(url: Column, css_class: Column, css_id: Column, width: Column) ->
     tail = F.regexp_extract(F.regexp_replace(url, "[?#].*$", ""), "([^/]*)/*$", 1)
     stem = F.lower(F.regexp_replace(tail, r"\.[^.]*$", ""))
     small = F.coalesce(width.try_cast("int") < 300, F.lit(False))
-    return (F.coalesce(url, F.lit("")) == "") | url.rlike("(?i)^data:") | F.arrays_overlap(tokens, F.array(*map(F.lit, ICON_TOKENS))) | stem.isin(ICON_STEMS) | small
+    return (F.coalesce(url, F.lit("")) == "") | url.rlike("(?i)^data:") | F.arrays_overlap(tokens, F.array(*map(F.lit, ICON_TOKENS))) | stem.isin(*ICON_STEMS) | small
 
 
 def image_address(tag: Column) -> Column:

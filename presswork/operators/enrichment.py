@@ -19,7 +19,9 @@ class FormatError(Exception):
     """A reply that the same model would give again: only another model is worth a try."""
 
 
-CALLS = "array<struct<model:int,ok:boolean,ms:long,prompt_chars:int,reply_chars:int,error:string>>"
+CALL = T.StructType()
+for _name, _kind in (("model", T.IntegerType()), ("ok", T.BooleanType()), ("ms", T.LongType()), ("prompt_chars", T.IntegerType()), ("reply_chars", T.IntegerType()), ("error", T.StringType())):
+    CALL.add(_name, _kind)
 Model = Callable[[str], str]
 
 
@@ -53,7 +55,7 @@ def ask(rows: DataFrame, prompt: str, model: Model | list[Model], reply: str = "
     models = model if isinstance(model, list) else [model]
     schema = T.StructType([*rows.schema.fields, T.StructField(reply, T.StringType())])
     if calls:
-        schema = schema.add(calls, CALLS)
+        schema = schema.add(calls, T.ArrayType(CALL))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

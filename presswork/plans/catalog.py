@@ -334,11 +334,6 @@ def lang_profile(spark, sf):
     return articles(spark, sf).select("id", T.latin_letters(body, 400).cast("long").alias("latin"), T.looks_english(body).alias("english"))
 
 
-@query("""SELECT source_id, 'en' AS lang FROM a WHERE source_id IS NOT NULL GROUP BY source_id""")
-def source_language(spark, sf):
-    return ingest.source_language(articles(spark, sf).filter("source_id is not null"))
-
-
 @query("""SELECT id, trim(regexp_replace(lower(title), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS title_key FROM a""")
 def normalize_title(spark, sf):
     return articles(spark, sf).select("id", T.normalize_title(F.col("title")).alias("title_key"))

@@ -71,11 +71,11 @@ class NotFetched(Exception):
     """Raised by a ``fetch`` for an address that must not be tried again."""
 
 
-def fetched(rows: DataFrame, fetch: Callable[[str], bytes | None], url: str = "url", retries: int = 0, pause: float = 1.0, most_bytes: int | None = None, blocked: bool = True) -> DataFrame:
+def fetched(rows: DataFrame, fetch: Callable[[str], bytes | None], url: str = "url", retries: int = 0, pause: float = 1.0, most_bytes: int | None = None, blocked: bool = False) -> DataFrame:
     """``rows`` with ``body``, ``tries`` and ``error``: what the injected ``fetch`` returns for the address, on the executors.
 
     An address is tried ``retries`` times more, with a pause that doubles up to four times ``pause``. The body is null where all
-    tries fail, and where it has more than ``most_bytes``; addresses of local networks are not tried at all (``blocked``).
+    tries fail, and where it has more than ``most_bytes``; with ``blocked`` addresses of local networks are not tried at all.
     """
     schema = T.StructType([*rows.schema.fields, T.StructField("body", T.BinaryType()), T.StructField("tries", T.IntegerType()), T.StructField("error", T.StringType())])
 

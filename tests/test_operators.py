@@ -99,6 +99,23 @@ def test_admission_order(spark):
     assert got == {1: "kept", 2: "no_content", 3: "stale", 4: "kept", 5: "over_cap"}
 
 
+def test_settled_items(spark):
+    """Order of what becomes of kept items: bad links, duplicates by link in the run and in the table, by title, then blocked ones."""
+    rows = [(1, "https://a/1", "One title of a story here", "x"), (2, "https://a/1", "Two", "x"), (3, "ftp://a", "Three", "x"), (4, "https://a/4", " ", "x"), (5, "https://k", "Five", "x"), (6, "https://a/6", "One known title of a story", "x"), (7, "https://a/7", "Bad word", "x"), (8, "https://a/8", "Stale", "x")]
+    items = spark.createDataFrame(rows, "id long, link string, title string, content string").withColumn("outcome", F.when(F.col("id") == 8, "stale").otherwise("kept")).withColumn("source_id", F.col("id") % 2)
+    known = spark.createDataFrame([(90, "https://k", "Known"), (91, "https://m", "One known title of a story!")], "id long, link string, title string")
+    got = ingest.settle_kept(items, known, [(1, "word")])
+    assert {r["id"]: r["outcome"] for r in got.collect()} == {1: "new", 2: "duplicated", 3: "bad_link", 4: "bad_link", 5: "duplicated", 6: "duplicated", 7: "blocked", 8: "stale"}
+    assert ingest.settle_kept(items.limit(0), known).count() == 0
+
+
+def test_day_is_ranked_by_minutes(spark, sf):
+    rows = spark.range(5000).selectExpr("id", "timestamp_ntz'2024-01-15 00:00:00' + make_dt_interval(0, 0, 0, (id * 37) % 86400) as published_at")
+    got = [r["id"] for r in reading.ranked_in_day(rows).orderBy("rank").collect()]
+    assert got == [r["id"] for r in rows.orderBy(F.desc("published_at"), F.desc("id")).collect()]
+    assert reading.ranked_in_day(rows.limit(0)).count() == 0
+
+
 def test_page_window_and_clamp(spark, sf):
     assert reading.page_window(5, 10) == [1, None, 3, 4, 5, 6, 7, None, 10]
     rows = articles(spark, sf).filter(reportable())

@@ -40,3 +40,23 @@ def test_sessions(spark, sf, tmp_path):
     stream = ingest.sessions(spark.readStream.schema(events.schema).parquet(f"{sf}/events.parquet*"))
     ingest.run_available(stream, "user_sessions", str(tmp_path / "state"), "complete")
     assert spark.table("user_sessions").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_stale_items_are_counted(spark, tmp_path):
+    rows = [(1, "2024-01-30 00:00:00"), (2, "2023-01-01 00:00:00"), (3, None), (4, "2024-03-01 00:00:00")]
+    spark.createDataFrame(rows, "id long, t string").select("id", F.col("t").cast("timestamp_ntz").alias("published_at")).write.parquet(str(tmp_path / "in"))
+    stream = lambda: ingest.marked(ingest.stream_of(spark, str(tmp_path / "in"), "id long, published_at timestamp_ntz"), NOW)
+    for state in ("a", "b"):  # a batch that runs again replaces its counts
+        ingest.run_available(stream(), ingest.count_outcomes(str(tmp_path / "counts")), str(tmp_path / state))
+    assert {r["outcome"]: r["n"] for r in spark.read.parquet(str(tmp_path / "counts")).collect()} == {"kept": 3, "stale": 1}
+
+
+def test_titles_like_recent_ones_of_any_source_are_left_out(spark, tmp_path):
+    first = [(1, "l1", "Apple announces the new neural engine for laptops", 1), (2, "l2", "中文标题没有空格所以只有一个词", 1)]
+    second = [(3, "l3", "Apple announces a new neural engine for laptops", 2), (4, "l4", "中文标题没有空格所以只有一个词啊", 3), (5, "l1", "Quite another title", 2), (6, "l6", "Something new", 2), (7, "l7", "Something new!", 3)]
+    schema = "id long, link string, title string, source_id int"
+    for n, part in enumerate((first, second)):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        ingest.run_available(stream, ingest.insert_unlike(str(tmp_path / "out")), str(tmp_path / "state"))
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 6]

@@ -152,6 +152,13 @@ def backfill_queue(articles: DataFrame, missing: Column, batch: int = 50) -> Dat
     return articles.filter(reportable() & missing).orderBy("process_attempts", *latest_first()).limit(batch)
 
 
+def trimmed_tails(articles: DataFrame, newest: int = 500) -> DataFrame:
+    """(id, content_full) of those of the ``newest`` rows with a body whose end is promotion, without it."""
+    rows = articles.filter(F.coalesce("content_full", F.lit("")) != "").orderBy(*latest_first()).limit(newest)
+    cut = rows.select("id", "content_full", T.trim_tail(F.col("content_full")).alias("cut"))
+    return cut.filter((F.col("cut") != "") & (F.col("cut") != T.trimmed(F.col("content_full")))).select("id", F.col("cut").alias("content_full"))
+
+
 def empty_hint(articles: DataFrame, now: str, days: int) -> DataFrame:
     """Why a section is empty: nothing in the window, or nothing that matched."""
     n = articles.filter(reportable() & (F.col("published_at") >= ts(now) - F.expr(f"INTERVAL {days} DAY"))).agg(F.count("*").alias("n"))
@@ -207,7 +214,8 @@ def report_html(items: DataFrame, date: str) -> DataFrame:
     """(date, content_html): the day's list with all text escaped."""
     from presswork.operators.reading import escape_xml
 
-    line = F.concat(F.lit('<li><a href="'), escape_xml(F.col("link")), F.lit('">'), escape_xml(F.col("title")), F.lit("</a> "), escape_xml(F.col("source")), F.lit("</li>"))
+    told = F.concat(F.lit("<p>"), escape_xml(F.col("summary")), F.lit("</p><p>"), escape_xml(F.col("tags")), F.lit("</p>"))
+    line = F.concat(F.lit('<li><a href="'), escape_xml(F.col("link")), F.lit('">'), escape_xml(F.col("title")), F.lit("</a> "), escape_xml(F.col("source")), told, F.lit("</li>"))
     lines = F.sort_array(F.collect_list(F.struct("rank", line.alias("line"))))
     return items.agg(F.array_join(F.transform(lines, lambda x: x["line"]), "").alias("body")).select(F.lit(date).alias("date"), F.concat(F.lit(f"<h1>{date}</h1><ol>"), "body", F.lit("</ol>")).alias("content_html"))
 

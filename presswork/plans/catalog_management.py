@@ -190,6 +190,12 @@ def day_note(spark, sf):
     return audits.pipeline_note(articles(spark, sf), "2024-01-15")
 
 
+@query(long_sql.trimmed_tails())
+def trimmed_tails(spark, sf):
+    promo = F.concat("content_full", F.when(F.col("id") % 3 == 0, "\n\nSign up for our letter").otherwise(""))
+    return audits.trimmed_tails(articles(spark, sf).withColumn("content_full", promo))
+
+
 @query("SELECT id, title FROM a ORDER BY id DESC LIMIT 15 OFFSET 15")
 def second_page_by_id(spark, sf):
     return reading.by_id(articles(spark, sf), 2, 15).select("id", "title")

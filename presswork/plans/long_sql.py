@@ -85,6 +85,12 @@ q AS (SELECT id, t, string_split_regex({trimmed('t')}, '\\n\\s*\\n') AS blocks F
 SELECT id, length(t) AS before, length({trim_tail('t')}) AS after FROM q"""
 
 
+def trimmed_tails() -> str:
+    return f"""WITH n AS (SELECT id, content_full || CASE WHEN id % 3 = 0 THEN chr(10) || chr(10) || 'Sign up for our letter' ELSE '' END AS t FROM a WHERE content_full <> '' ORDER BY published_at DESC, id DESC LIMIT 500),
+q AS (SELECT id, t, string_split_regex({trimmed('t')}, '\\n\\s*\\n') AS blocks FROM n), c AS (SELECT id, t, {trim_tail('t')} AS cut FROM q)
+SELECT id, cut AS content_full FROM c WHERE cut <> '' AND cut <> {trimmed('t')}"""
+
+
 def strip_openings(passes: int = 4) -> str:
     steps = ["WITH r0 AS (SELECT id, source_id, content_full AS t, 0 AS stripped FROM a)"]
     for k in range(passes):
@@ -257,7 +263,7 @@ def rss_items() -> str:
 
 
 def report_html() -> str:
-    return f"""WITH d AS ({DAY}) SELECT '2024-01-15' AS date, '<h1>2024-01-15</h1><ol>' || coalesce(string_agg('<li><a href="' || {escaped('link')} || '">' || {escaped('title')} || '</a> ' || {escaped('source')} || '</li>', '' ORDER BY rank), '') || '</ol>' AS content_html FROM d"""
+    return f"""WITH d AS ({DAY}) SELECT '2024-01-15' AS date, '<h1>2024-01-15</h1><ol>' || coalesce(string_agg('<li><a href="' || {escaped('link')} || '">' || {escaped('title')} || '</a> ' || {escaped('source')} || '<p>' || {escaped('summary')} || '</p><p>' || {escaped('tags')} || '</p></li>', '' ORDER BY rank), '') || '</ol>' AS content_html FROM d"""
 
 
 def enrichment() -> str:

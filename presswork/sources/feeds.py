@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from presswork.functions.html import document
 from presswork.functions.pandas_text import blocked_address, decoded, image_size
 
 ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "link", "pubDate", "description", "content:encoded")])
@@ -112,6 +113,14 @@ def fetched_pages(rows: DataFrame, fetch: Callable[[str], bytes | None], url: st
     return fetched(rows, fetch, url, most_bytes=most_bytes, **how).withColumn("html", decoded(F.col("body"))).drop("body")
 
 
+def refilled(queue: DataFrame, fetch: Callable[[str], bytes | None], **how) -> DataFrame:
+    """(id, content_full, body_images, outcome) of queued rows (id, link): filled; empty where the page has no article, which is
+    final; retry where it could not be fetched."""
+    pages = fetched_pages(queue.select("id", "link"), fetch, "link", **how).withColumn("d", document(F.col("html")))
+    outcome = F.when(F.col("html").isNull(), "retry").when(F.col("d.text") == "", "empty").otherwise("filled")
+    return pages.select("id", F.nullif(F.col("d.text"), F.lit("")).alias("content_full"), F.col("d.anchors").alias("body_images"), outcome.alias("outcome"))
+
+
 def fetched_images(rows: DataFrame, fetch: Callable[[str], bytes | None], url: str = "url", most_bytes: int = 8_000_000, min_width: int = 200, min_height: int = 120, **how) -> DataFrame:
     """``rows`` with body, width, height, name and ``outcome``: kept, too_small or failed (what is no image counts as failed)."""
     got = fetched(rows, fetch, url, most_bytes=most_bytes, **how).withColumn("s", image_size(F.col("body")))

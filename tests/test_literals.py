@@ -434,6 +434,38 @@ def test_images_are_measured_kept_and_placed(spark, tmp_path):
     assert got[8]["anchors"] == [] and got[8]["failed"] == 1
 
 
+def test_refilled_bodies(spark):
+    pages = {"https://a.b/1": page(f"<p>{P1}</p><img src='/x.jpg'><p>{P2}</p><p>{P3}</p>").encode(), "https://a.b/2": b"<html><p>nothing here</p></html>"}
+    queue = spark.createDataFrame([(1, "https://a.b/1"), (2, "https://a.b/2"), (3, "https://a.b/3")], "id long, link string")
+    got = {r["id"]: r for r in feeds.refilled(queue, lambda u: pages[u], pause=0).collect()}
+    assert [got[n]["outcome"] for n in (1, 2, 3)] == ["filled", "empty", "retry"] and [tuple(a) for a in got[1]["body_images"]] == [(1, "/x.jpg")] and got[2]["content_full"] is None
+
+
+def test_forecasts_are_asked_for_once_an_hour(spark, tmp_path):
+    from presswork.sources import weather
+
+    log = tmp_path / "calls"
+
+    def fetch(url):
+        with open(log, "a") as f:
+            f.write(url + "\n")
+        if "nowhere" in url:
+            return b'{"results": []}'
+        if url.startswith("https://geo"):
+            return b'{"results": [{"name": "Town", "latitude": 1.5, "longitude": 2.5}]}'
+        return b'{"current": {"temperature_2m": 20.5, "weather_code": 95, "wind_speed_10m": 40}, "daily": {"temperature_2m_max": [25], "temperature_2m_min": [15], "precipitation_probability_max": [60]}}'
+
+    cities = spark.createDataFrame([(" A ",), ("A",), ("nowhere",), ("",)], "city string").coalesce(1)
+    ask = lambda now: {r["city"]: r for r in weather.forecasts(cities, fetch, "https://geo", "https://sky", now, str(tmp_path / "cache")).collect()}
+    got = ask("2024-01-31 10:05:00")
+    assert set(got) == {"A", "nowhere"} and (got["A"]["resolved"], got["A"]["now"], got["A"]["rain"], got["A"]["code"]) == ("Town", 20.5, 60.0, 95) and got["nowhere"]["now"] is None
+    first = sum("name=A" in line for line in log.read_text().splitlines())
+    assert ask("2024-01-31 10:59:00")["A"]["now"] == 20.5 and sum("name=A" in line for line in log.read_text().splitlines()) == first
+    ask("2024-01-31 11:00:00")
+    assert sum("name=A" in line for line in log.read_text().splitlines()) > first
+    assert weather.forecasts(cities, lambda u: b"[]", "https://geo", "https://sky", "2024-01-31 10:00:00").filter("now is null").count() == 2
+
+
 # Files
 
 

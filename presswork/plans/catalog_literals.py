@@ -16,11 +16,11 @@ TEXTS = [
     None,
     "",
     " 　 ",
-    "苹果宣布新模型。全端侧运行。图文同处理。公司下月供开发者。价格未公布。",
-    "苹果公司宣布了一款新的模型，该模型完全在设备端运行，并且能够同时处理图像和文本的内容。",
-    "Only $30 more than the wireless charging version, which is what the reviewers said about it.",
-    "前一句是中文而且足够长。Only $30 more than the wireless charging version!",
-    "微软发布 Surface Laptop Ultra 与 Windows 11 的更新，用户可以在下周开始下载和安装。",
+    "厂商推出平台。本地处理数据。语音识别准确。团队明年开放测试。费用尚无消息。",
+    "这家公司介绍了它的新平台，数据可以在本地处理，识别的结果也比以前更准确，所以用户会愿意在明年试用。",
+    "Just 40 cents above the older edition, as two of the reviewers put it in their notes.",
+    "前一句是中文而且足够长。Just 40 cents above the older edition of it!",
+    "工具 Visual Studio Code 与 Blender Studio 的更新已经发布，用户可以在下周开始下载和安装。",
     "Café — Déjà_Vu!! 新的标题 2024",
     "短标题 with few letters",
     "中文 " * 300,

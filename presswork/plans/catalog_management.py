@@ -134,7 +134,7 @@ def api_articles(spark, sf):
     return reading.api_articles(articles(spark, sf))
 
 
-SHORT = "CASE WHEN id % 3 = 0 THEN '苹果宣布新模型。全端侧运行。图文同处理。公司下月供开发者。价格未公布。' WHEN id % 3 = 1 THEN '苹果公司宣布了一款新的模型，该模型完全在设备端运行，并且能够同时处理图像和文本的内容。' END"
+SHORT = "CASE WHEN id % 3 = 0 THEN '厂商推出平台。本地处理数据。语音识别准确。团队明年开放测试。费用尚无消息。' WHEN id % 3 = 1 THEN '这家公司介绍了它的新平台，数据可以在本地处理，识别的结果也比以前更准确，所以用户会愿意在明年试用。' END"
 
 
 @query(f"""SELECT field, count(*) AS n FROM (SELECT 'title_zh' AS field, title_zh AS x FROM a UNION ALL SELECT 'digest', digest FROM a UNION ALL SELECT 'short', {SHORT} FROM a) WHERE {long_sql.telegraphic('x')} GROUP BY field""")

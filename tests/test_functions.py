@@ -37,10 +37,10 @@ def one(spark, value, body, kind="string"):
         (T.is_chinese, "abc 中", True),
         (T.chinese_ratio, "中文ab", 0.5),
         (T.chinese_ratio, "123", 0.0),
-        (T.has_untranslated_sentence, "这是中文句子而且很长。Only $30 more than the other version!", True),
+        (T.has_untranslated_sentence, "这是中文句子而且很长。Just 40 cents above the older edition of it!", True),
         (T.has_untranslated_sentence, "这是中文句子而且很长很长。", False),
-        (T.looks_telegraphic, "苹果宣布新模型。全端侧运行。图文同处理。公司下月供开发者。价格未公布。", True),
-        (T.looks_telegraphic, "苹果公司宣布了一款新的模型，该模型完全在设备端运行，并且能够同时处理图像和文本的内容。", False),
+        (T.looks_telegraphic, "厂商推出平台。本地处理数据。语音识别准确。团队明年开放测试。费用尚无消息。", True),
+        (T.looks_telegraphic, "这家公司介绍了它的新平台，数据可以在本地处理，识别的结果也比以前更准确，所以用户会愿意在明年试用。", False),
         (T.is_real_body, "submitted by /u/someone [link] [comments]", False),
         (T.is_real_body, "A body that is long enough to be read.", True),
         (T.is_junk, "Please SUBSCRIBE today", True),

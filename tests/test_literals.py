@@ -40,7 +40,7 @@ SHORT = "新款电脑发布了。"
     [
         # title, title_zh, brief_zh, digest_zh, digest, reason, summary, content_zh, content_full
         (("T", "", "这是写好的早报，一句完整的话。", LONG, "", "", "", "", ""), "这是写好的早报，一句完整的话。"),
-        (("T", "", "前半句中文。Only $30 more than the other version!", LONG, "", "", "", "", ""), LONG),
+        (("T", "", "前半句中文。Just 40 cents above the older edition of it!", LONG, "", "", "", "", ""), LONG),
         (("T", "", None, SHORT, "", "价格没有变化，所以值得一读。", "", "", ""), SHORT + "价格没有变化，所以值得一读。"),
         (("T", "", None, SHORT, "", SHORT, "", "", ""), SHORT),
         (("T", "", None, None, "An English digest only.", SHORT, "摘要里另有一句话", "", ""), SHORT + "摘要里另有一句话。"),

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,6 +93,38 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, parts: int = 1000)
     return dealt.drop("__salts").join(repeated.drop("n"), [key, "__salt"]).drop("__salt")
 
 
+def member_test(ids: DataFrame, col: str = "doc_id", bits: int = 27) -> Callable[[Column], Column]:
+    """A test of a column of ids that is true for all of ``ids`` and for few others.
+
+    It is a bitmap of ``2**bits`` hashed ids (16 MB, whatever the number of ids), built by an aggregate. What it lets pass too
+    much is settled by an exact join behind it; it spares that join the rows that surely have no partner, texts included.
+    """
+
+    def place(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c.cast("long")), F.lit(1 << bits)) + 1
+
+    rows = ids.select(place(F.col(col)).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+    whole = np.zeros((1 << bits) // 8, np.uint8)
+    for r in rows.collect():
+        part = np.frombuffer(bytes(r["m"]), np.uint8)
+        whole[(r["b"] - 1) * len(part) :][: len(part)] = part
+    sent = ids.sparkSession.sparkContext.broadcast(whole)
+
+    def test(places: pd.Series) -> pd.Series:
+        v = places.to_numpy() - 1
+        return pd.Series((sent.value[v >> 3] >> (v & 7).astype(np.uint8)) & 1 == 1)
+
+    found = F.pandas_udf(test, "boolean")
+    return lambda c: found(place(c))
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose id is in ``gone``; null ids stay. Only rows that may be in it are shuffled."""
+    gone = settled(gone.select(col).distinct())
+    maybe = F.coalesce(member_test(gone, col)(F.col(col)), F.lit(False))
+    return docs.filter(~maybe).unionByName(docs.filter(maybe).join(gone, col, "left_anti").select(*docs.columns))
+
+
 def byte_slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of items whose sizes sum to about ``limit`` at most (one item at least)."""
     start = total = 0

@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import mixed, settled, text_of
-from presswork.llm.simhash import SEED, components, shingle_hashes
+from presswork.llm.common import id_back, id_key, member_test, mixed, settled, text_of, without_ids
+from presswork.llm.simhash import SEED, components, fingerprint_of, groups_of, shingle_hashes
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -65,17 +65,32 @@ def linked_sets(sets: list[np.ndarray], side: np.ndarray | None, similarity: flo
     return group
 
 
-def links(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = 24, rows: int = 4, chunk_rows: int = 512) -> DataFrame:
-    """Edges (a, b) of doc_ids that join all candidates of at least the similarity; ids must be distinct and not null."""
+def signatures(docs: DataFrame, width: int = 5, bands: int = 24, rows: int = 4) -> DataFrame:
+    """(doc_id, fp, bands) of every row: the SimHash fingerprint and the bands' keys, from one pass over the words. Texts without a word have no bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for doc_id, text in zip(b["doc_id"].tolist(), b["text"].tolist()):
-                hashes = shingle_set(text, width)
-                if len(hashes):
-                    out.append((doc_id, band_keys(hashes, bands, rows).view(np.int64), hashes.tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "bands", "hashes"])
+            fp, keys = np.zeros(len(b), np.uint64), []
+            for n, text in enumerate(b["text"].tolist()):
+                parts = list(shingle_hashes(text, width))
+                fp[n] = fingerprint_of(parts)
+                keys.append(band_keys(np.unique(np.concatenate(parts)), bands, rows).view(np.int64) if parts else [])
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64), "bands": keys})
+
+    found = docs.select(id_key().alias("doc_id"), text_of().alias("text")).mapInPandas(run, "doc_id long, fp long, bands array<long>")
+    return found.withColumn("doc_id", id_back())
+
+
+def links(docs: DataFrame, banded: DataFrame, similarity: float = 0.8, width: int = 5, chunk_rows: int = 512) -> DataFrame:
+    """Edges (a, b) of doc_ids that join all of ``banded`` (doc_id, bands) that share a band and have at least the similarity.
+
+    ids are distinct and not null; ``docs`` (doc_id, text) has their texts. Only documents that share a band with another one
+    are read again for their shingle sets.
+    """
+
+    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "hashes": [shingle_set(t, width).tobytes() for t in b["text"].tolist()]})
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         side = None if key[1] == key[2] else pdf["own"].to_numpy() == key[1]
@@ -84,19 +99,44 @@ def links(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int =
         moved = ids != to
         return pd.DataFrame({"a": ids[moved], "b": to[moved]})
 
-    sets = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(run, "doc_id long, bands array<long>, hashes binary"))
-    banded = sets.select("doc_id", F.explode("bands").alias("bucket"))
-    found = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("who")).filter("n > 1")
+    buckets = banded.select("doc_id", F.explode("bands").alias("bucket"))
+    found = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("who")).filter("n > 1")
     # Buckets with the same documents are compared once.
     once = found.groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / chunk_rows).cast("int").alias("chunks"))
-    members = banded.join(once, "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-    dealt = members.select("bucket", "doc_id", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    members = settled(buckets.join(once, "bucket"))
+    wanted = member_test(members)
+    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter(wanted(F.col("doc_id"))).mapInPandas(sets_of, "doc_id long, hashes binary")
+    own = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
+    dealt = own.select("bucket", "doc_id", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     dealt = dealt.select("bucket", "doc_id", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    return dealt.join(sets.select("doc_id", "hashes"), "doc_id").groupBy("bucket", "lo", "hi").applyInPandas(compare, "a long, b long")
+    return dealt.join(sets, "doc_id").groupBy("bucket", "lo", "hi").applyInPandas(compare, "a long, b long")
 
 
-def keep_unlike(docs: DataFrame, **parameters) -> DataFrame:
+def keep_unlike(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = 24, rows: int = 4, chunk_rows: int = 512) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest id. Rows without an id stay; ids must be distinct."""
-    grouped = components(links(docs.filter("doc_id is not null").select("doc_id", "text"), **parameters))
-    gone = grouped.filter("node <> root").select(F.col("node").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    banded = settled(signatures(docs.filter("doc_id is not null"), width, bands, rows).select("doc_id", "bands"))
+    grouped = components(links(docs.filter("doc_id is not null"), banded, similarity, width, chunk_rows))
+    return without_ids(docs, grouped.filter("node <> root").select(F.col("node").alias("doc_id")))
+
+
+def one_row_an_id(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each id; rows without an id stay. Where no id is repeated, that is ``docs`` itself."""
+    with_id = docs.filter("doc_id is not null")
+    if not with_id.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        return docs
+    return settled(with_id.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")))
+
+
+def keep_one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = 24, rows: int = 4, radius: int = 4, chunk_rows: int = 512) -> DataFrame:
+    """``docs`` with one document of each group: SimHash groups first, then, of their representatives, one of each group of
+    at least the Jaccard similarity, always the smallest id. Rows without an id stay; of a repeated id one row does.
+
+    Texts are read for the signatures, for the shingle sets of candidates, and for the result, and shuffled for what may go only.
+    """
+    docs = one_row_an_id(docs)
+    marks = settled(signatures(docs, width, bands, rows))
+    groups = settled(groups_of(marks.select("doc_id", "fp"), radius).filter("doc_id is not null").select("doc_id", "component_id"))
+    first = marks.join(groups.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select("doc_id", "bands")
+    near = components(links(docs.filter("doc_id is not null"), settled(first), similarity, width, chunk_rows))
+    gone = groups.filter("doc_id <> component_id").select("doc_id").unionByName(near.filter("node <> root").select(F.col("node").alias("doc_id")))
+    return without_ids(docs, gone)

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import SPACE_CHARS, id_back, id_key, settled, spread_join, text_of
+from presswork.llm.common import SPACE_CHARS, id_back, id_key, settled, spread_join, text_of, without_ids
 
 SEED = 42
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -54,8 +54,13 @@ def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
 
 def text_fingerprint(text: str | None, width: int = 4) -> int:
     """SimHash of the text's word shingles, repeats included; 0 when it has no word."""
+    return fingerprint_of(shingle_hashes(text, width))
+
+
+def fingerprint_of(parts: Iterable[np.ndarray]) -> int:
+    """The fingerprint of shingles whose hashes come in parts."""
     votes, seen = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(text, width):
+    for hashes in parts:
         votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         seen += len(hashes)
     bits = np.packbits(votes * 2 > seen, bitorder="little")
@@ -220,7 +225,11 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, blocks: in
     group, or null if no row of it has one. Repeated rows are returned as often
     as they occur; an empty table gives an empty result; other columns are ignored.
     """
-    prints = settled(fingerprints(docs, width))
+    return groups_of(settled(fingerprints(docs, width)), radius, blocks, tile_rows, chunk_rows)
+
+
+def groups_of(prints: DataFrame, radius: int = 4, blocks: int | None = None, tile_rows: int = 2048, chunk_rows: int = 8192) -> DataFrame:
+    """``near_duplicates`` from fingerprints (doc_id, fp) that are there already; they are read twice, and so better settled."""
     by_fp = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
     roots = components(linked_pairs(by_fp.select("fp"), radius, blocks, tile_rows, chunk_rows))
     # Members of a component but for its root. A component may hold a third of all fingerprints, and a fingerprint a third of
@@ -241,7 +250,7 @@ def keep_representatives(docs: DataFrame, **parameters) -> DataFrame:
     """
     groups = near_duplicates(docs, **parameters)
     per_id = settled(groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("least")).filter("doc_id is not null and (n > 1 or least <> doc_id)"))
-    kept = docs.join(per_id.filter("least <> doc_id").select("doc_id"), "doc_id", "left_anti")
+    kept = without_ids(docs, per_id.filter("least <> doc_id"))
     if per_id.filter("n > 1 and least = doc_id").limit(1).count():
         kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
     return kept.select(*docs.columns)

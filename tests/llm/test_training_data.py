@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from presswork.llm import fingerprints, line_crf, line_dedup, mixing, packing, quality_rules, simhash, token_counts, token_files, tokens, toxicity
-from presswork.llm.common import ascii_lower, held_out, spread_join
+from presswork.llm.common import ascii_lower, held_out, member_test, spread_join, without_ids
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -753,6 +753,18 @@ def test_spread_join_deals_hot_keys(spark):
     assert max(per_task.values()) <= 2.5 * 6000 / 16
 
 
+def test_member_test_passes_all_members_and_few_others(spark):
+    ids = spark.range(0, 30_000, 3).withColumnRenamed("id", "doc_id")
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
+    for bits, most in ((27, 100), (15, 20_000)):
+        maybe = rows.filter(member_test(ids, bits=bits)(F.col("doc_id")))
+        assert maybe.join(ids, "doc_id", "left_semi").count() == 10_000 and maybe.count() <= 10_000 + most
+    odd_ids = rows.unionByName(spark.createDataFrame([(None, "x"), (-7, "y")], "doc_id long, text string"))
+    left = without_ids(odd_ids, ids)
+    assert left.columns == odd_ids.columns and left.count() == 20_002 and left.filter("doc_id % 3 = 0").count() == 0
+    assert without_ids(odd_ids, ids.limit(0)).count() == 30_002
+
+
 def test_simhash_odd_rows(odd, nothing):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)

@@ -11,7 +11,7 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswork.llm import line_dedup, mixing, packing, quality_rules, shingle_dedup, simhash
+from presswork.llm import line_dedup, mixing, packing, quality_rules, shingle_dedup
 from presswork.llm.common import checkpoint_dir, read_documents
 
 
@@ -33,8 +33,8 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: SimHash over five words first, then five-word Jaccard of 0.8 or more."""
-    return shingle_dedup.keep_unlike(simhash.keep_representatives(docs, width=5), similarity=0.8, width=5)
+    """One document of each group of near copies: SimHash groups over five words, and of what these leave five-word Jaccard of 0.8 or more."""
+    return shingle_dedup.keep_one_of_each(docs, similarity=0.8, width=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

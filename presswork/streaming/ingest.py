@@ -72,7 +72,8 @@ def recent_titles(items: DataFrame, keep: int = 500) -> DataFrame:
 
 def insert_unlike(path: str, window: int = 500, threshold: float = 0.9) -> Callable[[DataFrame, int], None]:
     """A sink for items (id, link, title, ...) that keeps ingest's rules over its table: no link twice, and no title like one of
-    the ``window`` newest of the whole table, in any source, or like an earlier one of its batch.
+    the ``window`` newest of the whole table, in any source, or like an earlier one of its batch (of a batch of more items,
+    of its ``window`` newest: ``files_per_batch`` of ``stream_of`` keeps batches small).
 
     A batch that runs twice finds its own rows in the table and adds nothing.
     """

@@ -110,6 +110,7 @@ class Ranges:
         # Parts of the ids up to and including each bound: those of the bound itself, then those below it.
         parts = np.append(self.own + 1, 1)
         self.before = np.concatenate((np.cumsum(parts[::-1])[::-1][1:], [0]))
+        self.total = int(parts.sum())
 
     def part(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.ids, ids, side="left")
@@ -149,7 +150,8 @@ def with_next(docs: DataFrame, ranges: int | None = None, part_bytes: int = 16 <
     own = keyed.select(part_of("doc_id", "hash").alias("part"), "doc_id", "text", "hash", F.lit(0).alias("guest"))
     guests = head.select(F.col("to").alias("part"), "doc_id", "text", "hash", F.lit(1).alias("guest"))
     both = own.unionByName(guests)
-    return both.repartition(max(1, n // 4), F.col("part")).sortWithinPartitions("part", "guest", F.col("doc_id").desc(), "hash")
+    # Four neighbouring parts a task, by number: a hash of the part would heap some tasks up and leave others empty.
+    return both.repartitionById(-(-bounds.total // 4), (F.col("part") / 4).cast("int")).sortWithinPartitions("part", "guest", F.col("doc_id").desc(), "hash")
 
 
 def fingerprint_pairs(docs: DataFrame, size: int = 64, k: int = 16, s: int = 6) -> DataFrame:

@@ -4,8 +4,11 @@ Candidates share a band of ``rows`` minima of random permutations (MinHash) of
 their shingle sets. A pair of similarity j has no common band with probability
 (1 - j^rows)^bands: 3 in a million at 0.8 with the defaults, and less above.
 Inside a bucket all pairs are held against each other by their shingle sets,
-except those already joined over others; large buckets are cut into chunks, and
-each pair of chunks is a task of its own.
+except those already joined over others. In a large bucket every document is
+first held against the bucket's smallest one, which joins most of a group of near
+copies in a linear number of comparisons; only documents that this leaves apart
+are then held against all of the bucket, in chunks, and each pair of chunks is a
+task of its own.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import id_back, id_key, member_test, mixed, settled, text_of, without_ids
+from presswork.llm.common import id_back, id_key, member_test, mixed, settled, spread_join, text_of, without_ids
 from presswork.llm.simhash import SEED, components, fingerprint_of, groups_of, shingle_hashes
 
 
@@ -65,6 +68,12 @@ def linked_sets(sets: list[np.ndarray], side: np.ndarray | None, similarity: flo
     return group
 
 
+def _alike(x: bytes, y: bytes, similarity: float) -> bool:
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= similarity * (len(a) + len(b) - common)
+
+
 def signatures(docs: DataFrame, width: int = 5, bands: int = 24, rows: int = 4) -> DataFrame:
     """(doc_id, fp, bands) of every row: the SimHash fingerprint and the bands' keys, from one pass over the words. Texts without a word have no bands."""
 
@@ -93,23 +102,52 @@ def links(docs: DataFrame, banded: DataFrame, similarity: float = 0.8, width: in
             yield pd.DataFrame({"doc_id": b["doc_id"], "hashes": [shingle_set(t, width).tobytes() for t in b["text"].tolist()]})
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        side = None if key[1] == key[2] else pdf["own"].to_numpy() == key[1]
         ids = pdf["doc_id"].to_numpy()
-        to = ids[linked_sets([np.frombuffer(x, np.uint64) for x in pdf["hashes"]], side, similarity)]
+        to = ids[linked_sets([np.frombuffer(x, np.uint64) for x in pdf["hashes"]], None, similarity)]
+        moved = ids != to
+        return pd.DataFrame({"a": ids[moved], "b": to[moved]})
+
+    def compare_sides(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["doc_id"].to_numpy()
+        to = ids[linked_sets([np.frombuffer(x, np.uint64) for x in pdf["hashes"]], pdf["own"].to_numpy() == 0, similarity)]
         moved = ids != to
         return pd.DataFrame({"a": ids[moved], "b": to[moved]})
 
     buckets = banded.select("doc_id", F.explode("bands").alias("bucket"))
     found = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("who")).filter("n > 1")
     # Buckets with the same documents are compared once.
-    once = found.groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / chunk_rows).cast("int").alias("chunks"))
-    members = settled(buckets.join(once, "bucket"))
+    once = found.groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket", "n", F.ceil(F.col("n") / chunk_rows).cast("int").alias("chunks"))
+    members = settled(spread_join(buckets, settled(once), "bucket"))
     wanted = member_test(members)
     sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter(wanted(F.col("doc_id"))).mapInPandas(sets_of, "doc_id long, hashes binary")
-    own = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-    dealt = own.select("bucket", "doc_id", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    dealt = dealt.select("bucket", "doc_id", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    return dealt.join(sets, "doc_id").groupBy("bucket", "lo", "hi").applyInPandas(compare, "a long, b long")
+    small = members.filter("chunks = 1").select("bucket", "doc_id", F.lit(0).alias("own"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+    edges = small.join(sets, "doc_id").groupBy("bucket", "lo", "hi").applyInPandas(compare, "a long, b long")
+    large = members.filter("chunks > 1")
+    if not large.limit(1).count():
+        return edges
+    held = settled(large.join(sets, "doc_id"))
+    centres = held.groupBy("bucket").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    middle = settled(held.join(centres, ["bucket", "doc_id"]).select("bucket", F.col("doc_id").alias("centre"), "n", F.col("hashes").alias("core")))
+
+    def against_centre(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"bucket": b["bucket"], "doc_id": b["doc_id"], "centre": b["centre"], "alike": [_alike(x, y, similarity) for x, y in zip(b["hashes"], b["core"])]})
+
+    star = spread_join(held.select("bucket", "doc_id", "hashes"), middle, "bucket").select("bucket", "doc_id", "hashes", "centre", "core")
+    told = settled(star.mapInPandas(against_centre, "bucket long, doc_id long, centre long, alike boolean"))
+    edges = edges.unionByName(told.filter("alike and doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")))
+    # Documents apart from their centre meet all others of the bucket: theirs are the "lo" chunks, those of all the "hi" chunks.
+    apart = told.filter("not alike").select("bucket", "doc_id")
+    if not apart.limit(1).count():
+        return edges
+    sizes = large.groupBy("bucket").agg(F.first("chunks").alias("chunks"), F.count("*").alias("n"))
+    parts = settled(apart.groupBy("bucket").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("parts")).join(sizes, "bucket"))
+    cut = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    over = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = spread_join(apart, parts, "bucket").select("bucket", "doc_id", F.lit(0).alias("own"), cut(F.col("parts")).alias("lo"), over(F.col("chunks")).alias("hi"))
+    right = spread_join(large.select("bucket", "doc_id"), parts, "bucket").select("bucket", "doc_id", F.lit(1).alias("own"), over(F.col("parts")).alias("lo"), cut(F.col("chunks")).alias("hi"))
+    pairs = left.unionByName(right).join(held.select("bucket", "doc_id", "hashes"), ["bucket", "doc_id"])
+    return edges.unionByName(pairs.groupBy("bucket", "lo", "hi").applyInPandas(compare_sides, "a long, b long"))
 
 
 def keep_unlike(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = 24, rows: int = 4, chunk_rows: int = 512) -> DataFrame:

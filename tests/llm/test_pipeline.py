@@ -139,3 +139,26 @@ def test_near_copies_of_five_words(spark):
     assert kept >= {10 * n + 5 for n in range(40)}
     small = shingle_dedup.keep_unlike(docs, chunk_rows=2)
     assert {r["doc_id"] for r in small.collect()} == kept
+
+
+def test_large_buckets_lose_no_link(spark):
+    """One group in which near copies drift away from the first: chains of links, equal to all pairs, with the star and the chunks in play."""
+    import random
+
+    from presswork.llm import shingle_dedup
+
+    draw, rows = random.Random(4), []
+    words = [f"w{draw.randrange(9000)}" for _ in range(300)]
+    for n in range(120):
+        if n % 3 == 0:  # the text that the next ones are like moves on
+            words = list(words)
+            for at in draw.sample(range(0, 290, 10), 4):
+                words[at + 5] = f"new{n}x{at}"
+        copy = list(words)
+        copy[draw.randrange(300)] = f"own{n}"
+        rows.append((n, " ".join(copy)))
+    sets = {i: {" ".join(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    expected = least_of_groups(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for chunk_rows in (512, 16, 3):
+        assert sorted(r["doc_id"] for r in shingle_dedup.keep_unlike(docs, chunk_rows=chunk_rows).select("doc_id").collect()) == expected

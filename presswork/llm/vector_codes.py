@@ -65,23 +65,22 @@ def scaled(vectors: pa.Array, scale: int) -> tuple[np.ndarray, list[np.ndarray]]
     return keep, [x[a:b] for a, b in zip(bounds[keep].tolist(), bounds[keep + 1].tolist())]
 
 
-def _by_part(x: np.ndarray, parts: int) -> np.ndarray:
+def _by_part(rows: list[np.ndarray], dims: int, parts: int) -> np.ndarray:
     """Rows as integers by part: rows x parts x width. The last components of the last part may be zeros that are put there."""
-    rows, dims = x.shape
     width = -(-dims // parts)
-    whole = np.zeros((rows, parts * width))
-    whole[:, :dims] = x
+    whole = np.zeros((len(rows), parts * width))
+    whole[:, :dims] = np.array(rows).reshape(len(rows), dims)
     # Squared distances of all parts must fit in a long.
     if np.abs(whole).max(initial=0) >= 2.0 ** ((61 - max(1, dims).bit_length()) // 2):
         raise ValueError("components too large: errors would not fit in a long")
-    return whole.astype(np.int64).reshape(rows, parts, width)
+    return whole.astype(np.int64).reshape(len(rows), parts, width)
 
 
 def _matrix(vectors: pa.Array, scale: int, dims: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows of ``dims`` components that are kept, their integers by part)."""
     keep, rows = scaled(vectors, scale)
     fits = np.array([len(r) == dims for r in rows], bool)
-    return keep[fits], _by_part(np.array([r for r in rows if len(r) == dims]).reshape(-1, dims), parts)
+    return keep[fits], _by_part([r for r in rows if len(r) == dims], dims, parts)
 
 
 def _first_vectors(rows: DataFrame, scale: int, entries: int) -> list[np.ndarray]:
@@ -169,7 +168,7 @@ def compress(vectors: DataFrame, scale: int = 1024, parts: int = 4, entries: int
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector"), F.col("label"))
     first = _first_vectors(rows, scale, entries)
     dims = len(first[0]) if first else 0
-    books = _by_part(np.array([v for v in first if len(v) == dims]).reshape(-1, dims), parts).transpose(1, 0, 2)
+    books = _by_part([v for v in first if len(v) == dims], dims, parts).transpose(1, 0, 2)
     if first:
         books = _rounds(rows, books, scale, dims, rounds)
     digest = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()

@@ -45,7 +45,35 @@ FROM b LEFT JOIN near ON near.doc_id = b.doc_id
 """
 
 
+def _vector_codes(rounds: int = 4) -> str:
+    """Codebooks as rows (p, e, c), one set for each round; distances are exact sums of whole doubles."""
+
+    def nearest(books: str) -> str:
+        far = "list_dot_product(b.c, b.c) - 2 * list_dot_product(x.v, b.c)"
+        return f"SELECT x.rn, x.p, arg_min(b.e, struct_pack(d := {far}, e := b.e)) AS e, min({far}) + list_dot_product(any_value(x.v), any_value(x.v)) AS d FROM x JOIN {books} b USING (p) GROUP BY x.rn, x.p"
+
+    def improved(n: int) -> str:
+        return f"""a{n} AS MATERIALIZED ({nearest(f"b{n}")}),
+m{n} AS (SELECT p, e, list(s ORDER BY i) AS c FROM (SELECT a.p, a.e, u.i, floor(sum(u.y) / count(*)) AS s FROM a{n} a JOIN u USING (rn, p) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+b{n + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{n} b LEFT JOIN m{n} m USING (p, e))"""
+
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, v) AS rn, * FROM (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+x AS MATERIALIZED (SELECT rn, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS v FROM k, range(4) r(p)),
+u AS MATERIALIZED (SELECT rn, p, unnest(v) AS y, generate_subscripts(v, 1) AS i FROM x),
+b0 AS MATERIALIZED (SELECT p, rn - 1 AS e, v AS c FROM x WHERE rn <= 256),
+{", ".join(improved(n) for n in range(rounds))},
+f AS ({nearest(f"b{rounds}")}),
+o AS (SELECT rn, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d) AS error FROM f GROUP BY rn),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda y: y::bigint), ','), ',' ORDER BY p, e)) AS digest FROM b{rounds})
+SELECT vec_id, code, CAST(error AS BIGINT) AS error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256 FROM o JOIN k USING (rn), h
+"""
+
+
 ORACLES = {
+    "op12_vector_codes": _vector_codes(),
     "op4_divergence_rules": _divergence_rules(),
     "op10_line_dedup": r"""
 WITH line AS (

@@ -79,18 +79,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, parts: int = 1000) -> DataFrame:
-    """The inner join of ``left`` with ``right``, which has one row for each ``key`` and the number of its left rows in column ``n``.
+def one_row_an_id(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(turn, y, text) for the ids of ``chosen`` (doc_id, turn, y), a bounded frame with one row an id: of several documents of an id
+    the one whose text has the least hash. Tasks hand on one row an id at most, so an id that stands in many rows costs no more."""
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("turn", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], parts: int = 1000) -> DataFrame:
+    """The inner join of ``left`` with ``right``, which has one row for each ``key`` (a column, or several) and the number of its left rows in column ``n``.
 
     Keys with more than a ``parts``-th of all left rows, at most ``parts`` of them and so broadcast, are dealt over salts in
     proportion, in which their right row is repeated: no task gets more than about that part of the rows by one key. ``n`` goes.
     """
     total = right.agg(F.sum("n")).first()[0] or 0
     most = max(1, -(-total // parts))
-    salts = right.select(key, F.ceil(F.col("n") / most).cast("int").alias("__salts")).filter("__salts > 1")
-    dealt = left.join(F.broadcast(salts), key, "left").withColumn("__salt", F.when(F.col("__salts").isNull(), 0).otherwise(F.monotonically_increasing_id() % F.col("__salts")).cast("int"))
+    keys = [key] if isinstance(key, str) else key
+    salts = right.select(*keys, F.ceil(F.col("n") / most).cast("int").alias("__salts")).filter("__salts > 1")
+    dealt = left.join(F.broadcast(salts), keys, "left").withColumn("__salt", F.when(F.col("__salts").isNull(), 0).otherwise(F.monotonically_increasing_id() % F.col("__salts")).cast("int"))
     repeated = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / most).cast("int") - 1))))
-    return dealt.drop("__salts").join(repeated.drop("n"), [key, "__salt"]).drop("__salt")
+    return dealt.drop("__salts").join(repeated.drop("n"), [*keys, "__salt"]).drop("__salt")
 
 
 def member_test(ids: DataFrame, col: str = "doc_id", bits: int = 27) -> Callable[[Column], Column]:

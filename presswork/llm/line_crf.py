@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import byte_slices, held_out, id_back, id_key, text_of
+from presswork.llm.common import byte_slices, held_out, id_back, id_key, one_row_an_id, text_of
 
 _SLICE = 1 << 20
 #: Classes of UTF-8 bytes: lower, upper, digit, blank, mark of a sentence, shouting, symbol, other ASCII, above ASCII.
@@ -170,21 +170,22 @@ def train_crf(rows: list[tuple[np.ndarray, int]], epochs: int = 8, rate: float =
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, **parameters) -> np.ndarray:
     """The model learnt from at most ``max_rows`` labelled documents outside the held-out fold, those of the smallest hashes of doc_id.
 
-    Every document of the sample serves with all its lines, as one chain. One task streams them, in the order of
-    the hashes (rows of one id: fewer lines first, then by their features); only the weights reach the driver.
-    Null labels don't count; an id with several labels takes the greatest.
+    Every document of the sample serves with all its lines, as one chain. One task gathers their features, ``max_rows`` rows at
+    most, and goes through them in the order of the hashes; only the weights reach the driver. Of several rows of one id the
+    one whose text has the least hash serves. Null labels and null ids don't count; an id with several labels takes the
+    greatest. Without labelled rows all weights are zero.
     """
     chosen = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.max("quality").cast("int").alias("y")).withColumn("turn", F.xxhash64("doc_id")).orderBy("turn").limit(max_rows)
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("turn", "y", "text")
+    rows = one_row_an_id(docs, chosen)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"turn": b["turn"], "y": b["y"], "f": [own_features([t])[0].astype("<f4").tobytes() for t in b["text"].tolist()]})
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = sorted((turn, y, len(f), f) for b in batches for turn, y, f in zip(b["turn"].tolist(), b["y"].tolist(), b["f"].tolist()))
-        model = train_crf([(np.frombuffer(f, "<f4").reshape(-1, OWN), y) for _, y, _, f in found], **parameters)
+        found = sorted((turn, y, f) for b in batches for turn, y, f in zip(b["turn"].tolist(), b["y"].tolist(), b["f"].tolist()))
+        model = train_crf([(np.frombuffer(f, "<f4").reshape(-1, OWN), y) for _, y, f in found], **parameters)
         yield pd.DataFrame({"at": np.arange(MODEL), "weight": model})
 
     learnt = rows.mapInPandas(features, "turn long, y int, f binary").repartition(1).mapInPandas(learn, "at long, weight double").toPandas()

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import SPACE_CHARS, ascii_lower, id_key, settled, text_of
+from presswork.llm.common import SPACE_CHARS, ascii_lower, id_key, settled, spread_join, text_of
 
 
 def long_lines(text: Column, min_chars: int) -> Column:
@@ -20,7 +20,7 @@ def long_lines(text: Column, min_chars: int) -> Column:
     return F.filter(F.transform(keys, lambda k, i: F.struct(i.alias("pos"), k.alias("key"))), lambda x: F.char_length(x["key"]) >= min_chars)
 
 
-def shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, salts: int = 16) -> DataFrame:
+def shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(row_id, row_hash, drop array<int>): the positions of the lines that each document loses.
 
     Only hashes are shuffled, and each document's hashes are made distinct before that.
@@ -33,12 +33,10 @@ def shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, salts:
     hashed = found.select("row_id", "row_hash", "x.pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2"))
     # Numbers only, and settled: they are read twice, and made from the texts once.
     lines = settled(hashed)
-    per_doc = lines.groupBy("h1", "h2", "row_id").agg(F.lit(1).alias("one"))
-    common = per_doc.groupBy("h1", "h2").agg(F.count("one").alias("n_docs"), F.max("row_id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
-    # A line in very many documents is one key: its rows are dealt over the salts, and the common hashes, few, stand once in each.
-    salted = lines.withColumn("salt", F.pmod(F.xxhash64("row_id", "row_hash"), F.lit(salts)).cast("int"))
-    spread = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    lost = salted.join(spread, ["h1", "h2", "salt"]).filter("row_id <> keeper")
+    per_doc = lines.groupBy("h1", "h2", "row_id").agg(F.count("*").alias("lines"))
+    common = per_doc.groupBy("h1", "h2").agg(F.sum("lines").alias("n"), F.count("*").alias("n_docs"), F.max("row_id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
+    # A line in very many documents is one key: its rows are dealt over as many tasks as its share of all shared lines asks for.
+    lost = spread_join(lines, settled(common.select("h1", "h2", "n", "keeper")), ["h1", "h2"]).filter("row_id <> keeper")
     return lost.groupBy("row_id", "row_hash").agg(F.collect_set("pos").alias("drop"))
 
 

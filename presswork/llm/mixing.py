@@ -140,7 +140,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     return ranked.select("source", "source_size", target.cast("double").alias("target"))
 
 
-_UNIT = ["doc_id", "source", "size", "source_size", "target", "whole", "draw", "p"]
+_UNIT = ["row", "doc_id", "source", "size", "source_size", "target", "whole", "draw", "p"]
 
 
 #: So many of a group's documents move last: in a shard they stay open for the next round, in the end all selections of them are tried.
@@ -168,16 +168,29 @@ def _fly(last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return fly
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, shard_docs: int = 1024, broadcast_sources: int = 50_000) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for every row of ``docs``.
+def _split_heavy(units: DataFrame, shard_docs: int) -> DataFrame:
+    """``units`` whose shards of more than four times ``shard_docs`` rows, as many rows of one id and size make, are dealt over shards of their own by row."""
+    heavy = settled(units.groupBy("source", "shard").agg(F.count("*").alias("__n")).filter(F.col("__n") > 4 * shard_docs).select(F.col("source").alias("__source"), F.col("shard").alias("__shard"), F.ceil(F.col("__n") / shard_docs).alias("__parts")))
+    if heavy.isEmpty():
+        return units
+    met = units.join(heavy, units["source"].eqNullSafe(heavy["__source"]) & (units["shard"] == heavy["__shard"]), "left")
+    part = F.pmod(F.xxhash64("row"), F.col("__parts"))
+    return met.withColumn("shard", F.when(F.col("__parts").isNull(), F.col("shard")).otherwise(F.xxhash64("shard", part))).select(*units.columns)
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, shard_docs: int = 1024, broadcast_sources: int = 50_000, row: str | None = None) -> DataFrame:
+    """(row, doc_id, source, size, source_size, target, copies, taken) for every row of ``docs``.
 
     ``size`` is the number of ASCII-white-space-separated words (null text: 0); ``copies`` is how often
     the mix takes the document (0 up to ``cap``), ``taken`` = copies * size. Documents without words are
     taken ``floor(rate)`` times or once more like any other. A null source is a source of its own, the
     last. Repeated rows and rows with a null id are units of their own. An empty table gives an empty
-    result. Draws come from a hash of the id and size, so reruns agree.
+    result. Draws come from a hash of the id and size, so reruns agree. ``row`` names a column of whole numbers that tells the
+    rows apart, which the result carries; without it rows are numbered here. Only where rows of one id and size (null ids,
+    repeated rows) fill a shard several times over does it decide which of these equals go where.
     """
-    sized = settled(docs.select(id_key().alias("doc_id"), "source", word_count(text_of()).cast("long").alias("size")))
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    sized = settled(docs.select(number.alias("row"), id_key().alias("doc_id"), "source", word_count(text_of()).cast("long").alias("size")))
     # (source, size) sums are made on the map side first, so that a hot source costs one row a task.
     stats = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     stats = settled(stats)
@@ -187,14 +200,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     units = sized.join(F.broadcast(side) if n_sources <= broadcast_sources else side, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     units = units.withColumns({"whole": F.floor(rate + F.lit(EPS)), "draw": F.pmod(F.xxhash64("doc_id", "size", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))})
     units = units.withColumn("p", F.greatest(F.lit(0.0), rate - F.col("whole")))
-    schema = "doc_id long, source string, size long, source_size long, target double, whole long, draw double, p double"
+    schema = "row long, doc_id long, source string, size long, source_size long, target double, whole long, draw double, p double"
     done, shards = [], max(1, -(-n_docs // shard_docs))
     level = 0
     while True:
         last = shards == 1
 
         shard = F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), F.lit(shards))
-        flown = units.withColumn("shard", shard).groupBy("source", "shard").applyInPandas(_fly(last), schema)
+        dealt = units.withColumn("shard", shard)
+        if level == 0 and not last:
+            dealt = _split_heavy(dealt, shard_docs)
+        flown = dealt.groupBy("source", "shard").applyInPandas(_fly(last), schema)
         if last:
             done.append(flown)
             break
@@ -205,17 +221,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     for more in done[1:]:
         out = out.unionByName(more)
     copies = (F.col("whole") + F.round("p")).cast("long")
-    return out.select(id_back().alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("row", id_back().alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as its copies say; the columns stay as they are.
 
-    Where an id occurs in several rows, their copies are summed and then dealt as evenly as they go.
+    Rows are numbered and settled first, so every row has its own part of the plan: null and repeated ids and equal rows
+    too. Null texts have no words and null sources are a source, as in ``mix``. An empty table gives an empty result.
     """
-    plan = mix(docs, **parameters).groupBy("doc_id").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    plan = plan.select(F.col("doc_id").alias("__id"), (F.col("__copies") / F.col("__rows")).alias("__each"), "__rows")
-    taken = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")))
-    several = F.floor("__each") + F.when(F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 20)) < (F.col("__each") - F.floor("__each")) * (1 << 20), 1).otherwise(0)
-    times = F.when(F.col("__rows") == 1, F.col("__each")).otherwise(several).cast("int")
-    return taken.withColumn("__n", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    numbered = settled(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*docs.columns).alias("__doc")))
+    plan = mix(numbered.select("__row", "__doc.doc_id", "__doc.source", "__doc.text"), row="__row", **parameters)
+    taken = numbered.join(plan.filter("copies > 0").select(F.col("row").alias("__row"), F.col("copies").cast("int").alias("__copies")), "__row")
+    return taken.select("__doc", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select("__doc.*")

@@ -88,15 +88,19 @@ class FrameReader:
         return [self.frame(int(k)) for k in np.flatnonzero(self.names == name)]
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, files: int | None = None, level: int = 3) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, files: int | None = None, level: int = 3, file_bytes: int = 128 << 20) -> DataFrame:
     """Writes the ids of all documents in ascending doc_id order and returns the manifest: (part, path, n_docs, n_tokens).
 
     ``folder`` is a URI that every executor reaches. A task writes its file under a name of its own
-    attempt and renames it when it is whole, so a lost or repeated task leaves one whole file.
+    attempt and renames it when it is whole, so a lost or repeated task leaves one whole file. The number of files
+    follows the bytes of the texts (``file_bytes`` each; the session's shuffle partitions at least), unless ``files`` says it,
+    so that neither a task nor a file's index grows with the corpus. Null texts are empty and have the end id alone; null ids
+    come first; rows of one id stand in the order of a hash of their text, and may lie in several files. An empty table
+    writes no file and has an empty manifest.
     """
     spark = docs.sparkSession
     rows = docs.select(id_key().alias("doc_id"), text_of().alias("text"))
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // file_bytes))
     ordered = rows.repartitionByRange(n, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,7 +136,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_4
 def read_token_files(manifest: DataFrame, folder: str, wanted: list[int] | None = None, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) of the files' documents, or of the ``wanted`` ids only.
 
-    ``start`` counts the ids of all documents before; sums run over the manifest's rows, one a file.
+    ``start`` counts the ids of all documents before; sums run over the manifest's rows, one a file. A null id is read back as
+    null; an empty manifest gives an empty result. A task has some thousand documents of a file at a time.
     """
     before = F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")
     listed = manifest.select("part", "path", before.alias("base"))
@@ -148,10 +153,11 @@ def read_token_files(manifest: DataFrame, folder: str, wanted: list[int] | None
                     starts = base + np.cumsum(counts) - counts
                     names = reader.names.tolist()
                     keep = range(len(names)) if wanted is None else np.flatnonzero(np.isin(reader.names, wanted)).tolist()
-                    found = [(names[k], int(starts[k]), int(counts[k]), zlib.crc32(ids.tobytes()), *([ids.astype(np.int64)] if with_ids else [])) for k in keep for ids in (reader.frame(k),)]
-                yield pd.DataFrame(found, columns=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
+                    for at in range(0, len(keep), 1000):
+                        found = [(names[k], int(starts[k]), int(counts[k]), zlib.crc32(ids.tobytes()), *([ids.astype(np.int64)] if with_ids else [])) for k in keep[at : at + 1000] for ids in (reader.frame(k),)]
+                        yield pd.DataFrame(found, columns=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
-    spread = listed.repartition(max(1, min(2000, manifest.count())), "part")
+    spread = listed.repartition(max(1, min(20_000, manifest.count())), "part")
     return spread.mapInPandas(run, schema).withColumn("doc_id", id_back())
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import byte_slices, held_out, id_back, id_key, mixed, powers, text_of
+from presswork.llm.common import byte_slices, held_out, id_back, id_key, mixed, one_row_an_id, powers, text_of
 
 BITS = 22
 _SLICE = 1 << 20
@@ -88,12 +88,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, **parameters
     """(bias, places, weights) learnt from at most ``max_rows`` labelled documents outside the held-out fold.
 
     The rows are those of the smallest hashes of doc_id, so a larger bound only adds rows. One task
-    streams them, in that order (rows of one id: fewer places first, then by their bytes); ids with a null label don't
-    count and an id that has several takes the greatest.
+    gathers their places, ``max_rows`` rows at most, and goes through them in that order. Of several rows of one id the one
+    whose text has the least hash serves; null labels and null ids don't count and an id that has several labels takes the
+    greatest. Without labelled rows every score is that of the first bias.
     """
     chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")).withColumn("turn", F.xxhash64("doc_id")).orderBy("turn").limit(max_rows)
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("turn", "y", "text")
+    rows = one_row_an_id(docs, chosen)
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -101,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, **parameters
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [r for b in batches for r in zip(b["turn"].tolist(), b["y"].tolist(), b["at"])]
-        rows.sort(key=lambda r: (r[0], r[1], len(r[2]), np.asarray(r[2]).tobytes()))
+        rows.sort(key=lambda r: r[0])
         bias, at, weight = train_ftrl([(r[2], r[1]) for r in rows], **parameters)
         yield pd.DataFrame({"at": np.concatenate(([-1], at)), "weight": np.concatenate(([bias], weight))})
 

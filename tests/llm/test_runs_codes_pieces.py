@@ -18,7 +18,9 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 
-from presswork.llm import oracles, periodic_runs, piece_merges, queries, vector_codes
+from pyspark.sql import functions as F
+
+from presswork.llm import common, line_crf, line_dedup, mixing, oracles, periodic_runs, piece_merges, queries, token_files, toxicity, vector_codes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -281,3 +283,74 @@ def test_pieces_of_odd_rows(spark, odd, nothing, library):
     assert piece_merges.decode(piece_merges.encode(nothing)).collect() == []
     nulls = piece_merges.decode(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")).collect()
     assert [(r["n_tokens"], r["text"]) for r in nulls] == [(0, ""), (0, "")]
+
+
+# What the other operators do with rows of one id
+
+
+def test_rows_that_reach_the_fit(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 7}") for i in range(500)] + [(2, "b"), (3, None), (None, "x")], "doc_id long, text string")
+    chosen = spark.createDataFrame([(1, 10, 0), (2, 20, 1), (3, 30, 0), (9, 40, 1)], "doc_id long, turn long, y int")
+    rows = common.one_row_an_id(docs, chosen).collect()
+    assert sorted((r["turn"], r["y"], r["text"]) for r in rows if r["turn"] != 10) == [(20, 1, "b"), (30, 0, "")]
+    assert len(rows) == 3
+    again = common.one_row_an_id(docs.orderBy(F.rand(1)), chosen).collect()
+    assert sorted(rows) == sorted(again)
+
+
+def test_hot_labelled_id(spark):
+    """An id that fills the table doesn't change what is learnt from the others."""
+    docs = spark.createDataFrame([(i, "good words of a quiet text " * 5 if i % 2 else "zz## $$ %% && junk") for i in range(60)], "doc_id long, text string")
+    hot = docs.union(docs.filter("doc_id = 1").withColumn("text", F.explode(F.array_repeat(F.col("text"), 3000))))
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert np.array_equal(line_crf.fit(hot, labels), line_crf.fit(docs, labels))
+    assert all(np.array_equal(a, b) for a, b in zip(toxicity.fit(hot, labels), toxicity.fit(docs, labels)))
+
+
+def words_by_source(rows) -> dict:
+    out: dict = {}
+    for r in rows:
+        out[r["source"]] = out.get(r["source"], 0) + len(WORD.findall(r["text"] or ""))
+    return out
+
+
+def test_written_words_are_the_plans(spark):
+    """Null ids, repeated ids, equal rows and null sources: every source's written words are those of the plan."""
+    rng = random.Random(3)
+    rows = [(None if i % 3 == 0 else i // 4, " ".join(["w"] * rng.randint(0, 60)) if i % 11 else None, rng.choice(["a", "b", None]), i % 5) for i in range(300)]
+    rows += [(7, "same words here", "a", 1)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies long").repartition(7)
+    plan: dict = {}
+    for r in mixing.mix(docs).collect():
+        plan[r["source"]] = plan.get(r["source"], 0) + r["taken"]
+    written = mixing.mixed_documents(docs)
+    assert written.columns == docs.columns
+    assert words_by_source(written.collect()) == {k: v for k, v in plan.items() if v}
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_heavy_shards_are_split(spark):
+    rows = [(None, "one two three", "a")] * 2000 + [(i, "one two", "b") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(docs, shard_docs=50).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 3 for r in found)
+    units = spark.range(1000).select(F.col("id").alias("row"), F.lit("a").alias("source"), F.when(F.col("id") < 900, 1).otherwise(2).alias("shard"))
+    split = mixing._split_heavy(units, 50).groupBy("source", "shard").count()
+    assert split.agg(F.max("count")).first()[0] <= 150 and split.agg(F.sum("count")).first()[0] == 1000
+
+
+def test_several_files_for_one_id(spark, tmp_path):
+    docs = spark.createDataFrame([(i % 3 if i % 5 else None, f"text number {i}") for i in range(200)], "doc_id long, text string")
+    manifest = token_files.write_token_files(docs, f"file://{tmp_path}", file_bytes=300)
+    assert manifest.count() > 5
+    rows = token_files.read_token_files(manifest, f"file://{tmp_path}").orderBy("start").collect()
+    assert len(rows) == 200 and [r["doc_id"] for r in rows] == sorted((r["doc_id"] for r in rows), key=lambda i: (i is not None, i or 0))
+    assert [r["start"] for r in rows] == np.cumsum([0, *(r["n_tokens"] for r in rows)])[:-1].tolist()
+
+
+def test_a_line_in_most_documents(spark):
+    line = "this very line stands in most of the documents of the table"
+    docs = spark.createDataFrame([(i, f"{line}\nown line of the document number {i} and no other\n{line.upper()} ") for i in range(3000)], "doc_id long, text string")
+    got = line_dedup.drop_shared_lines(docs, min_docs=5)
+    assert got.filter("doc_id < 2999").agg(F.min("n_dropped"), F.max("n_dropped")).first() == (2, 2)
+    assert got.filter("doc_id = 2999").first()["n_dropped"] == 0

@@ -1,6 +1,6 @@
 """DuckDB SQL for the training-data operators that SQL can express."""
 
-from presswork.llm.quality_rules import CLASSES, COMMON_WORDS, WORDS
+from presswork.llm.quality_rules import CLASSES, COMMON_WORDS, NO_LANGUAGE, WORDS
 
 
 def _divergence_rules(max_classes: float = 0.22, max_common: float = 0.36, max_sum: float = 0.5, min_chars: int = 300, min_words: int = 60, trim_classes: float = 0.2, trim_common: float = 0.32) -> str:
@@ -10,6 +10,11 @@ def _divergence_rules(max_classes: float = 0.22, max_common: float = 0.36, max_s
     other = " - ".join(["length(text)", *[f"c_{n}" for n in CLASSES]])
     langs = ", ".join(f"'{x}'" for x in COMMON_WORDS)
     words = ", ".join(f"('{w}')" for w in WORDS)
+    none = ", ".join(f"'{x}'" for x in NO_LANGUAGE)
+    letters = r"length(regexp_replace(regexp_replace(text, '[^\p{L}\p{M}]', '', 'g'), '\p{Latin}', '', 'g'))"
+    code = "lower(regexp_extract(coalesce(b.lang, ''), '^[A-Za-z]*'))"
+    foreign = f"(length(text) > c_space AND 2 * strlen(text) > 3 * length(text) AND 2 * {letters} >= length(text) - c_space)"
+    without_reference = f"({foreign} OR ({code} NOT IN ({none}) AND {code} NOT IN (SELECT lang FROM r1)))"
 
     def reference(name: str, extra: str) -> str:
         return f"""{name} AS (SELECT r.lang, h.kind, h.bin, sum(h.n) / sum(sum(h.n)) OVER (PARTITION BY r.lang, h.kind) AS q
@@ -40,7 +45,7 @@ sound AS (SELECT doc_id, lang FROM b WHERE NOT base_failed AND n_words >= 60 AND
 near AS (SELECT doc_id, arg_min(dc, dc + dw) AS dc, arg_min(dw, dc + dw) AS dw FROM d1 GROUP BY doc_id)
 SELECT b.doc_id, n_words, CAST(length(text) - c_space AS BIGINT) AS word_chars, CAST(c_symbol AS BIGINT) AS n_symbols,
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(length(text) - c_space >= {min_chars} AND dc > {max_classes}, false) AND NOT coalesce(n_words >= {min_words} AND (dw > {max_common} OR dc + dw > {max_sum}), false) AS kept
+  NOT base_failed AND ({without_reference} OR NOT coalesce(length(text) - c_space >= {min_chars} AND dc > {max_classes}, false) AND NOT coalesce(n_words >= {min_words} AND (dw > {max_common} OR dc + dw > {max_sum}), false)) AS kept
 FROM b LEFT JOIN near ON near.doc_id = b.doc_id
 """
 

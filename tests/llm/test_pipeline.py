@@ -98,7 +98,8 @@ def test_oracles(spark, sf):
     from presswork.llm import oracles, queries
 
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    for table in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf}/{table}.parquet')")
     for name, sql in oracles.ORACLES.items():
         df = queries.QUERIES[name](spark, sf)
         found = db.execute(sql)
@@ -107,6 +108,27 @@ def test_oracles(spark, sf):
         assert sorted(map(repr, (tuple(r[c] for c in order) for r in df.collect()))) == sorted(map(repr, found.fetchall()))
 
 
+def test_rules_of_other_languages_in_sql(spark, sf, tmp_path):
+    """Languages without a reference and other scripts, which the tables lack, are judged alike in both engines."""
+    import duckdb
+
+    from presswork.llm import oracles, queries
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    finnish = "tämä on pitkä suomenkielinen lause joka ei sisällä tavallisia sanoja muista kielistä lainkaan " * 12
+    rows = [(-1, finnish, "fi"), (-2, finnish, "en"), (-3, finnish, None), (-4, "это длинное предложение на другом языке " * 20, "en"), (-5, "这是 一句 中文 话 " * 60, "und"), (-6, finnish.upper(), "XX"), (-7, finnish, "en-GB"), (-8, None, "fi"), (-9, finnish, "de")]
+    both = docs.union(spark.createDataFrame([(i, t and " ".join(f"{w}{k}" if k % 5 == 0 else w for k, w in enumerate(t.split())), x) for i, t, x in rows], docs.schema))
+    both.write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    found = db.execute(oracles.ORACLES["op4_divergence_rules"])
+    order = [d[0] for d in found.description]
+    got = [tuple(r[c] for c in order) for r in queries.op4_divergence_rules(spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, found.fetchall()))
+    kept = {r[order.index("doc_id")]: r[order.index("kept")] for r in got if r[order.index("doc_id")] < 0}
+    assert kept[-1] and not kept[-2] and not kept[-3] and kept[-4] and not kept[-8]
+
+
 def test_near_copies_of_five_words(spark):
     """Planted copies of similarity 0.8 to 0.95 go, those below stay; small chunks find the same."""
     import random

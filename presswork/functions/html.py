@@ -91,7 +91,8 @@ def article_text(html: Column, min_chars: int = 200, max_chars: int = 40_000) ->
 
 
 #: Attributes that hold an image's address, in order, and addresses of images that are no content.
-SOURCES = ("src", "data-src", "data-original", "data-lazy-src", "data-echo")
+SOURCES = ("src", "data-src", "data-original", "data-lazy-src")
+LAZY_SOURCES = (*SOURCES, "data-echo")
 NOISE = r"(?i)(pixel|spacer|blank|placeholder|emoji|gravatar|avatar|badge|logo|icon|ads?[-_/]|doubleclick|scorecardresearch)"
 #: Words in an address, a class or an id, and whole names of files, by which icons and furniture are known.
 ICON_TOKENS = (
@@ -111,18 +112,28 @@ def attribute(tag: Column, name: str) -> Column:
 
 
 def widest_of(srcset: Column) -> Column:
-    """The candidate with the greatest width of a srcset."""
-    parts = F.transform(F.split(srcset, ","), T.trimmed)
-    weigh = F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.struct(F.coalesce(F.expr("cast(0 as double)") + F.regexp_extract(p, r"\s([0-9.]+)[wx]$", 1).try_cast("double"), F.lit(0.0)).alias("w"), F.split_part(p, F.lit(" "), F.lit(1)).alias("url")))
-    return F.coalesce(F.array_max(weigh)["url"], F.lit(""))
+    """The candidate of greatest weight of a srcset: its width, or a thousand times its density; without either 0. Of equals the first."""
+    parts = F.filter(F.transform(F.split(srcset, ","), T.trimmed), lambda p: p != "")
 
+    def weighed(p: Column, i: Column) -> Column:
+        second = F.lower(F.get(F.split(p, T.BLANK + "+"), F.lit(1)))
+        width = F.regexp_extract(second, "^([0-9]+)w$", 1).try_cast("double")
+        density = F.floor(F.regexp_extract(second, r"^([0-9]*\.?[0-9]+|[0-9]+\.)x$", 1).try_cast("double") * 1000).cast("double")
+        return F.struct(F.coalesce(width, density, F.lit(0.0)).alias("w"), (-i).alias("at"), F.get(F.split(p, T.BLANK + "+"), F.lit(0)).alias("url"))
 
-def images(html: Column, limit: int = 6) -> Column:
-    """Addresses of a page's images in order: first filled source attribute, else the widest of srcset; without noise and repeats."""
+    return F.coalesce(F.array_max(F.transform(parts, weighed))["url"], F.lit(""))
+
+
+def images(html: Column, base_url: Column | None = None, limit: int = 6) -> Column:
+    """Addresses of a page's images in order: first filled source attribute, else the widest of srcset or data-srcset, entities
+    decoded, made absolute where there is a base; without data addresses, repeats and noise."""
     tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<img\b[^>]*>"), F.lit(0))
-    url = lambda tag: T.first_nonempty(*[attribute(tag, a) for a in SOURCES], widest_of(attribute(tag, "srcset")))
-    found = F.filter(F.transform(tags, url), lambda u: (u != "") & ~u.rlike("(?i)^data:") & ~u.rlike(NOISE))
-    return F.slice(F.array_distinct(found), 1, limit)
+    srcset = lambda tag: T.first_nonempty(attribute(tag, "srcset"), attribute(tag, "data-srcset"))
+    url = lambda tag: T.trimmed(T.unescape_common(T.first_nonempty(*[attribute(tag, a) for a in SOURCES], widest_of(srcset(tag)))))
+    found = F.filter(F.transform(tags, url), lambda u: (u != "") & ~F.startswith(u, F.lit("data:")))
+    if base_url is not None:
+        found = F.transform(found, lambda u: T.joined_url(base_url, u))
+    return F.slice(F.filter(F.array_distinct(found), lambda u: ~u.rlike(NOISE)), 1, limit)
 
 
 def junk_image(url: Column, css_class: Column, css_id: Column, width: Column) -> Column:
@@ -137,9 +148,12 @@ def junk_image(url: Column, css_class: Column, css_id: Column, width: Column) ->
 
 
 def image_address(tag: Column) -> Column:
-    """The address of an ``<img>`` tag with its entities decoded; null for icons, placeholders and tags without one."""
-    url = T.unescape_common(T.first_nonempty(*[attribute(tag, a) for a in SOURCES], widest_of(attribute(tag, "srcset"))))
-    return T.bound(url, lambda u: F.when(~junk_image(u, attribute(tag, "class"), attribute(tag, "id"), attribute(tag, "width")), u))
+    """The first filled address of an ``<img>`` tag, in the tag's own order, with its entities decoded; null for icons, placeholders and tags without one."""
+    pattern = rf"""(?is)\b(?:{"|".join(LAZY_SOURCES)})\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)"""
+    values = F.transform(F.regexp_extract_all(tag, F.lit(pattern), F.lit(0)), lambda a: T.trimmed(F.regexp_replace(a, r"""(?is)^[\w-]+\s*=\s*["']?|["']$""", "")))
+    url = T.unescape_common(F.coalesce(F.get(F.filter(values, lambda v: v != ""), F.lit(0)), F.lit("")))
+    declared = F.least(*[F.when(w.rlike("^[0-9]+$"), w.try_cast("long")) for w in (attribute(tag, "width"), attribute(tag, "data-width"))])
+    return T.bound(url, lambda u: F.when(~junk_image(u, attribute(tag, "class"), attribute(tag, "id"), declared.cast("string")), u))
 
 
 def document(html: Column, min_chars: int = 200, max_chars: int = 40_000, most: int = 12) -> Column:
@@ -184,17 +198,19 @@ def best_part(html: Column, min_chars: int = 200) -> Column:
     return T.bound(ranked, lambda b: F.when(F.coalesce(b["n"] >= min_chars, F.lit(False)), b["h"]).when(text_length(paragraph_texts(html)) > F.coalesce(b["n"], F.lit(0)), html).otherwise(F.coalesce(b["h"], html)))
 
 
-def image_candidates(html: Column) -> Column:
-    """Addresses of images by their order: those of the body first, then the ones that meta and link tags name; each once."""
+def image_candidates(html: Column, base_url: Column | None = None) -> Column:
+    """Addresses of images by their order: those of the body first, then the ones that meta and link tags name, absolute where
+    there is a base; each once. Of the meta tags only those that hold an address count, not an image's width, height or text."""
     html = F.coalesce(html, F.lit(""))
     own = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<img\b[^>]*>"), F.lit(0)), image_address)
     named = F.concat(
-        F.regexp_extract_all(html, F.lit(r"""(?is)<meta\b[^>]*(?:property|name)\s*=\s*["'](?:og:image|twitter:image)[^"']*["'][^>]*>"""), F.lit(0)),
-        F.regexp_extract_all(html, F.lit(r"""(?is)<link\b[^>]*rel\s*=\s*["']image_src["'][^>]*>"""), F.lit(0)),
+        F.regexp_extract_all(html, F.lit(r"""(?is)<meta\b[^>]*(?:property|name)\s*=\s*["'](?:og:image(?::secure_url|:url)?|twitter:image(?::src)?)["'][^>]*>"""), F.lit(0)),
+        F.regexp_extract_all(html, F.lit(r"""(?is)<link\b[^>]*rel\s*=\s*["'][^"']*image_src[^"']*["'][^>]*>"""), F.lit(0)),
     )
     nothing = F.lit(None).cast("string")
     url = lambda tag: T.bound(T.unescape_common(T.first_nonempty(attribute(tag, "content"), attribute(tag, "href"))), lambda u: F.when(~junk_image(u, nothing, nothing, nothing), u))
-    return F.array_distinct(F.array_compact(F.concat(own, F.transform(named, url))))
+    found = F.array_compact(F.concat(own, F.transform(named, url)))
+    return F.array_distinct(found if base_url is None else F.transform(found, lambda u: T.joined_url(base_url, u)))
 
 
 def headings(blocks: Column) -> Column:

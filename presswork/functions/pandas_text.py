@@ -11,7 +11,7 @@ from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructType
 
 STRING = StringType()
 SIZE = StructType().add("width", IntegerType()).add("height", IntegerType())
@@ -48,21 +48,39 @@ def decoded(raw: pd.Series) -> pd.Series:
     return raw.map(one, na_action="ignore")
 
 
+def host_of(value: str | None) -> str:
+    try:
+        return (urlsplit(value or "").hostname or "").strip()
+    except ValueError:
+        return ""
+
+
 def blocked_address(value: str | None) -> str:
-    """Why an address must not be fetched ('' if it may): no host, local names, or addresses that are not public. Names are not resolved."""
+    """Why an address must not be fetched ('' if it may): malformed, no host, or an address of the machine's own services
+    (link-local or unspecified). Loopback and private hosts may be fetched, as feeds come from local bridges too; names are not resolved."""
     try:
-        host = urlsplit(value or "").hostname or ""
+        urlsplit(value or "")
     except ValueError:
         return "malformed"
+    host = host_of(value)
     if not host:
         return "no host"
-    if host == "localhost" or host.endswith((".localhost", ".internal", ".local")):
-        return "local name"
     try:
         ip = ipaddress.ip_address(host)
     except ValueError:
         return ""
-    return "" if ip.is_global else "not public"
+    return "link-local" if ip.is_link_local or ip.is_unspecified else ""
+
+
+def is_internal_address(value: str | None) -> bool:
+    """The strict rule, for callers that fetch for others: no host, local names, or an address that is not public."""
+    host = host_of(value)
+    if not host or host == "localhost" or host.endswith((".localhost", ".internal", ".local")):
+        return True
+    try:
+        return not ipaddress.ip_address(host).is_global
+    except ValueError:
+        return False
 
 
 @F.pandas_udf(STRING)
@@ -70,6 +88,11 @@ def blocked_reason(url: pd.Series) -> pd.Series:
     return url.map(blocked_address)
 
 
+@F.pandas_udf(BooleanType())
+def is_internal_host(url: pd.Series) -> pd.Series:
+    return url.map(is_internal_address)
+
+
 def _segments(data: bytes) -> Iterator[tuple[int, bytes]]:
     """(code, payload) of a JPEG file's marker segments up to its image data.
 

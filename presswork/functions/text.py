@@ -287,7 +287,7 @@ def story_words(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
     latin = F.array_except(F.array_distinct(F.regexp_extract_all(low, F.lit(STORY_WORD), F.lit(0))), F.array(*map(F.lit, STOPWORDS)))
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(low) - 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(2)))
-    return F.when(low.rlike(r"[぀-ヿ㐀-䶿一-鿿豈-﫿]"), F.array_union(latin, pairs)).otherwise(latin)
+    return F.when(low.rlike(CJK), F.array_union(latin, pairs)).otherwise(latin)
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -308,6 +308,35 @@ def url_host(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), F.substring_index(F.substr(url, F.locate("://", url) + 3), "/", 1)).otherwise("")
 
 
+def joined_url(base: Column, url: Column) -> Column:
+    """``url`` as a page at ``base`` (an address with a host) means it: absolute, of the same scheme, host or folder; dot segments are resolved."""
+    whole = r"^([A-Za-z][A-Za-z0-9+.-]*):(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+    part = lambda k: F.regexp_extract(base, whole, k)
+    path, rest = F.regexp_extract(url, "^[^?#]*", 0), F.regexp_extract(url, "[?#].*$", 0)
+
+    def step(done: Column, x: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(x == "..", up).when(x == ".", done).otherwise(F.array_append(done, x))
+
+    def resolved(p: Column) -> Column:
+        pieces = F.split(p, "/", -1)
+        last = F.element_at(pieces, -1)
+        # Empty pieces inside the path go, the one before the first slash and the one behind the last stay.
+        inner = F.filter(pieces, lambda x, i: (i == 0) | (x != "") | (i == F.size(pieces) - 1))
+        done = F.aggregate(inner, F.array().cast("array<string>"), step)
+        return F.array_join(F.when(last.isin(".", ".."), F.array_append(done, F.lit(""))).otherwise(done), "/")
+
+    folder = F.concat(F.when(part(3) == "", "/").otherwise(F.regexp_replace(part(3), "[^/]*$", "")), path)
+    inside = F.concat(part(1), F.lit(":"), part(2), bound(F.when(F.startswith(path, F.lit("/")), path).otherwise(folder), resolved), rest)
+    return (
+        F.when((url == "") | (F.coalesce(base, F.lit("")) == ""), F.when(url == "", base).otherwise(url))
+        .when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), url)
+        .when(F.startswith(url, F.lit("//")), F.concat(part(1), F.lit(":"), url))
+        .when(path == "", F.concat(part(1), F.lit(":"), part(2), part(3), F.when(F.startswith(url, F.lit("#")), part(4)).otherwise(""), url))
+        .otherwise(inside)
+    )
+
+
 def safe_link(raw: Column) -> Column:
     """The trimmed link if its scheme is http or https, else ''."""
     t = trimmed(F.coalesce(raw, F.lit("")))

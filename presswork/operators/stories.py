@@ -10,10 +10,14 @@ from presswork.operators.settling import settled
 from presswork.operators.visibility import latest_first, ts, visible
 
 
+#: Articles that may be merged: what a reader can open. A draft or a row that waits must not hide one of these.
+MERGEABLE_STATUS = ("processed", "failed")
+
+
 def candidates(articles: DataFrame, now: str, days: int = 7, newest: int = 40) -> DataFrame:
-    """The newest visible, relevant articles of the pair window, ids that point to no local fixture."""
+    """The newest visible, relevant articles of the pair window in a status that may be merged, whose links point to no local fixture."""
     recent = F.col("published_at") >= ts(now) - F.expr(f"INTERVAL {days} DAY")
-    return articles.filter(visible() & (F.col("relevance") == 1) & recent & ~F.lower("link").startswith("http://localhost")).orderBy(*latest_first()).limit(newest)
+    return articles.filter(visible() & (F.col("relevance") == 1) & F.col("status").isin(*MERGEABLE_STATUS) & recent & ~F.lower("link").startswith("http://localhost")).orderBy(*latest_first()).limit(newest)
 
 
 def story_title() -> Column:
@@ -28,21 +32,54 @@ def title_classes(articles: DataFrame) -> DataFrame:
     return sets.join(least, "words").select("id", "class_id", "words")
 
 
-def title_pairs(articles: DataFrame, min_overlap: float = 0.25) -> DataFrame:
+def _ranked_words(sets: DataFrame, most_ranked: int) -> DataFrame:
+    """(id, n, words) with words as structs (n_titles, word), the rarest first, in one order for all titles.
+
+    Only the ``most_ranked`` most frequent words are counted out, and broadcast; the others, which are rarer than these, come
+    before them with 0 titles, in the order of the words themselves.
+    """
+    single = sets.select("id", F.explode("words").alias("word"))
+    ranked = single.groupBy("word").agg(F.count("*").alias("n_titles")).filter("n_titles > 1").orderBy(F.desc("n_titles"), "word").limit(most_ranked)
+    counted = single.join(F.broadcast(ranked), "word", "left").select("id", F.struct(F.coalesce("n_titles", F.lit(0)).alias("n_titles"), "word").alias("w"))
+    return counted.groupBy("id").agg(F.sort_array(F.collect_list("w")).alias("words")).select("id", F.size("words").alias("n"), "words")
+
+
+def title_pairs(articles: DataFrame, min_overlap: float = 0.25, frequent: int = 1000, most_ranked: int = 100_000) -> DataFrame:
     """(a, b, shared, title_overlap) with a < b of all pairs of title classes that share two words or more, and ``min_overlap`` of the smaller title's.
 
-    a and b are class ids, so many copies of one title are one row here; ``title_classes`` says who is in a class. Titles meet
-    under every two words that they have in common, not under single ones, so that a common word brings no pairs together that
-    don't count. Two titles with k common words meet k (k - 1) / 2 times, which tells k without looking at the words again.
+    a and b are class ids, so many copies of one title are one row here; ``title_classes`` says who is in a class.
+
+    A set-similarity join by prefixes. Words have one order for all titles, the rarest first. A title of n words must share
+    k = max(2, ceil(min_overlap n)) with every larger partner, so the rarest common word is among its first n - k + 1, and
+    has k - 1 words or more behind it in both titles. The words that most titles share stand last, and are no keys of long
+    titles. A word of more than ``frequent`` titles is a key only together with one of the words behind it, the second rarest
+    common word: of the smaller title only those before its last k - 2. So a title has about a row for each of its words, more
+    only for pairs of frequent ones; what meets is compared once by the whole sets.
     """
-    sets = articles.select("id", F.sort_array(T.story_words(story_title())).alias("words")).groupBy("words").agg(F.min("id").alias("id"))
-    twos = F.flatten(F.transform("words", lambda w, i: F.transform(F.slice("words", i + 2, F.size("words")), lambda v: F.concat(w, F.lit(" "), v))))
-    keyed = sets.select("id", F.size("words").alias("n"), F.explode(twos).alias("two"))
-    left, right = keyed.select("two", F.col("id").alias("a"), F.col("n").alias("na")), keyed.select("two", F.col("id").alias("b"), F.col("n").alias("nb"))
-    met = left.join(right, "two").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("met"), F.min(F.least("na", "nb")).alias("least"))
-    shared = F.round((1 + F.sqrt(1 + 8 * F.col("met"))) / 2).cast("int")
-    pairs = met.withColumn("shared", shared).withColumn("title_overlap", F.col("shared") / F.col("least"))
-    return pairs.filter(F.col("title_overlap") >= min_overlap).select("a", "b", "shared", "title_overlap")
+    sets = articles.select("id", F.sort_array(T.story_words(story_title())).alias("words")).filter(F.size("words") >= 2).groupBy("words").agg(F.min("id").alias("id"))
+    ranked = settled(_ranked_words(sets, most_ranked))
+    needed = lambda n: F.greatest(F.lit(2), F.ceil(n * min_overlap - 1e-9).cast("int"))
+
+    def keys(first: Column, second: Column) -> Column:
+        """(key, at) for the first ``first`` words; frequent ones with each later word up to the ``second``-th."""
+
+        def of(w: Column, i: Column) -> Column:
+            later = F.slice("words", i + 2, F.greatest(second - i - 1, F.lit(0)))
+            alone = F.array(F.struct(w["word"].alias("key"), i.alias("at")))
+            return F.when(w["n_titles"] <= frequent, alone).otherwise(F.transform(later, lambda v: F.struct(F.concat_ws(" ", w["word"], v["word"]).alias("key"), i.alias("at"))))
+
+        return F.flatten(F.transform(F.slice("words", F.lit(1), first), of))
+
+    n, k = F.col("n"), needed(F.col("n"))
+    small = ranked.select(F.col("id").alias("x"), n.alias("nx"), k.alias("k"), F.explode(keys(n - k + 1, n - k + 2)).alias("e")).select("x", "nx", "k", "e.key", (F.col("nx") - F.col("e.at")).alias("left_x"))
+    large = ranked.select(F.col("id").alias("y"), n.alias("ny"), F.explode(keys(n - 1, n)).alias("e")).select("y", "ny", "e.key", (F.col("ny") - F.col("e.at")).alias("left_y"))
+    order = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    met = small.join(large, "key").filter(order & (F.col("left_x") >= F.col("k")) & (F.col("left_y") >= F.col("k"))).select("x", "y").distinct()
+    words = ranked.select("id", F.transform("words", lambda w: w["word"]).alias("words"))
+    both = met.join(words.select(F.col("id").alias("x"), F.col("words").alias("u")), "x").join(words.select(F.col("id").alias("y"), F.col("words").alias("v")), "y")
+    pairs = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.size(F.array_intersect("u", "v")).alias("shared"), F.least(F.size("u"), F.size("v")).alias("least"))
+    pairs = pairs.withColumn("title_overlap", F.col("shared") / F.col("least"))
+    return pairs.filter((F.col("shared") >= 2) & (F.col("title_overlap") >= min_overlap)).select("a", "b", "shared", "title_overlap")
 
 
 def article_pairs(candidates: DataFrame, min_overlap: float = 0.25, most: int = 1000) -> DataFrame:
@@ -57,30 +94,31 @@ def article_pairs(candidates: DataFrame, min_overlap: float = 0.25, most: int =
 
 
 def ranked_pairs(articles: DataFrame, top: int = 8, body_chars: int = 4000) -> DataFrame:
-    """The most suspicious pairs: title overlap and a tenth of the bodies' overlap."""
+    """The most suspicious pairs, a < b: title overlap and a tenth of the bodies' overlap; of equals those whose newer article is newer, then whose older one is."""
     pairs = article_pairs(articles.filter("duplicate_of is null"))
-    body = articles.select("id", T.story_words(F.substring(T.strip_html(F.col("content_full")), 1, body_chars)).alias("w"))
-    scored = pairs.join(body.select(F.col("id").alias("a"), F.col("w").alias("x")), "a").join(body.select(F.col("id").alias("b"), F.col("w").alias("y")), "b")
-    return scored.withColumn("score", F.col("title_overlap") + T.overlap(F.col("x"), F.col("y")) / 10).orderBy(F.desc("score"), "a", "b").limit(top).select("a", "b", "title_overlap", "score")
+    body = articles.select("id", F.struct(F.unix_micros(F.col("published_at").cast("timestamp")).alias("at"), "id").alias("age"), T.story_words(F.substring(T.strip_html(F.col("content_full")), 1, body_chars)).alias("w"))
+    scored = pairs.join(body.select(F.col("id").alias("a"), F.col("w").alias("x"), F.col("age").alias("p")), "a").join(body.select(F.col("id").alias("b"), F.col("w").alias("y"), F.col("age").alias("q")), "b")
+    return scored.withColumn("score", F.col("title_overlap") + T.overlap(F.col("x"), F.col("y")) / 10).orderBy(F.desc("score"), F.greatest("p", "q").desc(), F.least("p", "q").desc()).limit(top).select("a", "b", "title_overlap", "score")
 
 
 def merge(articles: DataFrame, same_story, top: int = 8) -> DataFrame:
     """(id, duplicate_of) of the articles that a merge links to their primary.
 
     ``same_story(a, b)`` judges a pair of ids. At most ``top`` pairs come to the driver, in order; a pair with an
-    article that is linked already is passed over. The primary is the one with a Chinese body, then with the longer body, then the earlier one.
+    article that is linked already is passed over. The primary is the one with a Chinese body, then with the longer body, then the
+    earlier one, then the one of the greater id. A primary may be linked to another one later: ``primary_of`` follows such chains.
     """
     body = F.struct((T.trimmed(F.coalesce("content_zh", F.lit(""))) != "").alias("zh"), F.char_length(F.coalesce("content_full", F.lit(""))).alias("chars"))
     rows = articles.select("id", body.alias("n"), F.unix_micros(F.col("published_at").cast("timestamp")).alias("at"))
     pairs = ranked_pairs(articles, top).join(rows.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ta")), "a").join(rows.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("tb")), "b")
     linked: dict[int, int] = {}
-    for p in sorted(pairs.collect(), key=lambda r: (-r["score"], r["a"], r["b"])):
+    newer = lambda r: sorted([(r["ta"], r["a"]), (r["tb"], r["b"])], reverse=True)
+    for p in sorted(sorted(pairs.collect(), key=newer, reverse=True), key=lambda r: -r["score"]):
         if p["a"] in linked or p["b"] in linked or not same_story(p["a"], p["b"]):
             continue
-        first = (*p["na"], -p["ta"]) >= (*p["nb"], -p["tb"])
+        first = (*p["na"], -p["ta"]) > (*p["nb"], -p["tb"])
         keep, lose = (p["a"], p["b"]) if first else (p["b"], p["a"])
-        if lose not in linked.values():
-            linked[lose] = keep
+        linked[lose] = keep
     return articles.sparkSession.createDataFrame(list(linked.items()) or [], "id long, duplicate_of long")
 
 

@@ -411,8 +411,8 @@ def page_article_text(spark, sf):
 
 @query(long_sql.page_images(), raw=True)
 def page_images(spark, sf):
-    marked = F.concat("html", F.lit("<img class='a' data-src='/p/"), "page_id", F.lit(".jpg'><img srcset='/s.png 100w, /l.png 800w'><img src='/logo.png'>"))
-    return table(spark, sf, "pages").select("page_id", F.array_join(H.images(marked), " ").alias("images"))
+    marked = F.concat("html", F.replace(F.lit(long_sql.IMAGES), F.lit("%s"), F.col("page_id").cast("string")))
+    return table(spark, sf, "pages").select("page_id", F.array_join(H.images(marked, F.col("url"), limit=9), " ").alias("images"))
 
 
 # Ingest and rules
@@ -486,10 +486,10 @@ def run_report(spark, sf):
     return ingest.run_report(settled_run(spark, sf), sources(spark, sf).unionByName(extra))
 
 
-@query("""SELECT id, url FROM (SELECT id, name AS url FROM s WHERE id < 10 UNION ALL SELECT id + 100, name FROM s WHERE id >= 5 AND name NOT IN (SELECT name FROM s WHERE id < 10))""")
+@query("""SELECT id, url FROM (SELECT id, name AS url FROM s WHERE id % 2 = 0 UNION ALL SELECT id + 1000000, name FROM s WHERE id % 3 > 0 AND name NOT IN (SELECT name FROM s WHERE id % 2 = 0))""")
 def seed_sources(spark, sf):
     s = sources(spark, sf).select("id", F.col("name").alias("url"))
-    return ingest.seed(s.filter("id >= 5").withColumn("id", F.col("id") + 100), s.filter("id < 10"))
+    return ingest.seed(s.filter("id % 3 > 0").withColumn("id", F.col("id") + 1_000_000), s.filter("id % 2 = 0"))
 
 
 BLOCK, STAR = [(1, "license"), (2, "moron"), (3, "第1")], [(10, "the"), (11, "tion"), (12, "and"), (13, "三件事")]

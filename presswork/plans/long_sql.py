@@ -182,10 +182,10 @@ STORY_TITLE = "coalesce(nullif(title_zh, ''), nullif(title, ''), '')"
 
 def merge_candidates() -> str:
     over = lambda x, y: f"CASE WHEN least(len({x}), len({y})) > 0 THEN len(list_intersect({x}, {y})) / least(len({x}), len({y})) ELSE 0 END"
-    return f"""WITH c AS (SELECT * FROM vis WHERE relevance = 1 AND published_at >= timestamp '2024-01-31' - INTERVAL 30 DAY ORDER BY published_at DESC, id DESC LIMIT 40),
-w AS (SELECT id, {story_words(STORY_TITLE)} AS t, {story_words(f"substr({strip_html('content_full')}, 1, 4000)")} AS b FROM c),
-p AS (SELECT x.id AS a, y.id AS b, {over('x.t', 'y.t')} AS title_overlap, {over('x.b', 'y.b')} AS body_overlap FROM w x JOIN w y ON x.id < y.id WHERE len(list_intersect(x.t, y.t)) >= 2)
-SELECT a, b, title_overlap, title_overlap + body_overlap / 10 AS score FROM p WHERE title_overlap >= 0.25 ORDER BY score DESC, a, b LIMIT 8"""
+    return f"""WITH c AS (SELECT * FROM vis WHERE relevance = 1 AND status IN ('processed', 'failed') AND published_at >= timestamp '2024-01-31' - INTERVAL 30 DAY ORDER BY published_at DESC, id DESC LIMIT 40),
+w AS (SELECT id, published_at AS at, {story_words(STORY_TITLE)} AS t, {story_words(f"substr({strip_html('content_full')}, 1, 4000)")} AS b FROM c),
+p AS (SELECT x.id AS a, y.id AS b, {over('x.t', 'y.t')} AS title_overlap, {over('x.b', 'y.b')} AS body_overlap, greatest((x.at, x.id), (y.at, y.id)) AS newer, least((x.at, x.id), (y.at, y.id)) AS older FROM w x JOIN w y ON x.id < y.id WHERE len(list_intersect(x.t, y.t)) >= 2)
+SELECT a, b, title_overlap, title_overlap + body_overlap / 10 AS score FROM p WHERE title_overlap >= 0.25 ORDER BY score DESC, newer DESC, older DESC LIMIT 8"""
 
 
 def telegraphic(x: str) -> str:
@@ -200,14 +200,28 @@ def attribute(tag: str, name: str) -> str:
     return trimmed("concat(" + ", ".join(f"regexp_extract({tag}, {pattern}, {k})" for k in (1, 2, 3)) + ")")
 
 
+#: What the pages' own HTML lacks: every way in which an image names its address, ties and noise.
+IMAGES = (
+    """<img class='a' data-src='/p/%s.jpg?a=1&amp;b=2'><img srcset='/s.png 100w, /l.png 800w'><img src='/logo.png'><img srcset='/b.jpg, /a.jpg'>"""
+    """<img srcset='/w300.jpg 300w, /x2.jpg 2x'><img data-srcset='/d1.jpg 1.5x, /d2.jpg 1400w'><img src='data:x'><img src='/s.png 1'><img src="" data-original=/bare.jpg>"""
+    """<img srcset='/bad.jpg 9z, /good.jpg 1w'><img src='https://cdn.example.com/abs.jpg'><img src='/b.jpg'>"""
+)
+
+
 def page_images() -> str:
-    parts = f"list_filter(list_transform(string_split({attribute('t', 'srcset')}, ','), lambda p: {trimmed('p')}), lambda p: p <> '')"
-    widest = rf"coalesce(list_max(list_transform({parts}, lambda p: struct_pack(w := coalesce(try_cast(regexp_extract(p, '\s([0-9.]+)[wx]$', 1) AS double), 0), url := split_part(p, ' ', 1)))).url, '')"
+    parts = f"list_filter(list_transform(string_split(coalesce(nullif({attribute('t', 'srcset')}, ''), {attribute('t', 'data-srcset')}), ','), lambda p: {trimmed('p')}), lambda p: p <> '')"
+    second = r"lower(string_split_regex(p, '\s+')[2])"
+    weight = rf"coalesce(try_cast(regexp_extract({second}, '^([0-9]+)w$', 1) AS double), floor(try_cast(regexp_extract({second}, '^([0-9]*\.?[0-9]+|[0-9]+\.)x$', 1) AS double) * 1000), 0)"
+    widest = rf"coalesce(list_max(list_transform({parts}, lambda p, i: struct_pack(w := {weight}, at := -i, url := string_split_regex(p, '\s+')[1]))).url, '')"
     url = filled(*[attribute("t", a) for a in H.SOURCES], widest)
-    return rf"""WITH m AS (SELECT page_id, html || '<img class=''a'' data-src=''/p/' || page_id || '.jpg''><img srcset=''/s.png 100w, /l.png 800w''><img src=''/logo.png''>' AS html FROM pages),
-t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<img\b[^>]*>')) AS t, generate_subscripts(regexp_extract_all(html, '(?is)<img\b[^>]*>'), 1) AS pos FROM m),
-u AS (SELECT page_id, pos, {url} AS url FROM t),
-f AS (SELECT page_id, url, min(pos) AS pos FROM u WHERE url <> '' AND NOT regexp_matches(url, '(?i)^data:') AND NOT regexp_matches(url, {quoted(H.NOISE)}) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY min(pos)) <= 6)
+    for name, char in T.ENTITIES.items():
+        url = f"replace({url}, '{name}', {quoted(char)})"
+    origin = "regexp_extract(url, '^[a-z]+://[^/]+')"
+    return rf"""WITH m AS (SELECT page_id, {origin} AS origin, html || replace({quoted(IMAGES)}, '%s', page_id::varchar) AS html FROM pages),
+t AS (SELECT page_id, origin, unnest(regexp_extract_all(html, '(?is)<img\b[^>]*>')) AS t, generate_subscripts(regexp_extract_all(html, '(?is)<img\b[^>]*>'), 1) AS pos FROM m),
+r AS (SELECT page_id, origin, pos, {trimmed(url)} AS url FROM t),
+u AS (SELECT page_id, pos, CASE WHEN starts_with(url, '/') THEN origin || url ELSE url END AS url FROM r WHERE url <> '' AND NOT starts_with(url, 'data:')),
+f AS (SELECT page_id, url, min(pos) AS pos FROM u WHERE NOT regexp_matches(url, {quoted(H.NOISE)}) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY min(pos)) <= 9)
 SELECT page_id, coalesce(string_agg(url, ' ' ORDER BY pos), '') AS images FROM (SELECT page_id FROM pages) LEFT JOIN f USING (page_id) GROUP BY page_id"""
 
 

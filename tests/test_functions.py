@@ -59,7 +59,19 @@ def one(spark, value, body, kind="string"):
         (T.reading_minutes, "中" * 1000, 2),
         (P.unescape, "&eacute;&#8217;", "é’"),
         (P.casefolded, "Straße", "strasse"),
-        (P.blocked_reason, "http://169.254.169.254/x", "not public"),
+        (P.blocked_reason, "http://169.254.169.254/x", "link-local"),
+        (P.blocked_reason, "http://0.0.0.0/", "link-local"),
+        (P.blocked_reason, "http://[fe80::1]/", "link-local"),
+        (P.blocked_reason, "http://[oops/", "malformed"),
+        (P.blocked_reason, "http://127.0.0.1:8080/feed", ""),
+        (P.blocked_reason, "http://10.0.0.1/feed", ""),
+        (P.blocked_reason, "http://bridge.local/feed", ""),
+        (P.is_internal_host, "http://10.0.0.1/feed", True),
+        (P.is_internal_host, "http://localhost/", True),
+        (P.is_internal_host, "https://example.com/", False),
+        (H.images, "<img srcset='/a.jpg, /b.jpg'>", ["/a.jpg"]),
+        (H.images, "<img srcset='/w.jpg 300w, /x.jpg 2x'><img data-srcset='/d.jpg 1x'><img src='/q.jpg?a=1&amp;b=2'>", ["/x.jpg", "/d.jpg", "/q.jpg?a=1&b=2"]),
+        (lambda c: H.images(c, F.lit("https://x.org/a/b.html")), "<img src='../c.jpg'><img src='//y.org/d.jpg'>", ["https://x.org/c.jpg", "https://y.org/d.jpg"]),
         (P.blocked_reason, "https://example.com", ""),
         (P.blocked_reason, "http:///x", "no host"),
         (H.images, "<img src=/a.jpg><img data-src='/b.jpg'><img src='/logo.png'><img src='/a.jpg'><img srcset='/s.jpg 1x, /l.jpg 2x'>", ["/a.jpg", "/b.jpg", "/l.jpg"]),

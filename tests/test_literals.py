@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -13,6 +15,7 @@ from presswork.functions import pandas_text as P
 from presswork.functions import replies as R
 from presswork.functions import text as T
 from presswork.operators import audits, enrichment, ingest, lifecycle, reading, stories
+from presswork.operators.settling import settled
 from presswork.sources import feeds
 
 
@@ -158,6 +161,19 @@ def test_image_candidates(spark):
       <img src="/icon.png"><img src="/photo.jpg" width="640"><img src="/small.jpg" width="80"><img class="avatar" src="/me.jpg"><img src="/photo.jpg">"""
     assert one(spark, H.image_candidates, html) == ["/photo.jpg", "https://x/og.jpg?a=1&b=2", "/t.jpg", "/l.jpg"]
     assert one(spark, H.image_candidates, None) == []
+    meta = """<meta property="og:image:width" content="1200"><meta property="og:image:alt" content="A dog"><meta property="og:image:secure_url" content="/s.jpg"><meta name="twitter:image:src" content="/t.jpg">
+      <link rel="nofollow image_src" href="/l.jpg"><img data-echo="" data-original="/first.jpg" src="/second.jpg"><img data-width="20" src="/tiny.jpg">"""
+    assert one(spark, lambda c: H.image_candidates(c, F.lit("https://x.org/a")), meta) == ["https://x.org/first.jpg", "https://x.org/s.jpg", "https://x.org/t.jpg", "https://x.org/l.jpg"]
+
+
+def test_joined_urls(spark):
+    from urllib.parse import urljoin
+
+    bases = ["https://x.org/a/b.html", "http://x.org", "https://x.org/a/b/?q=1#f", "https://x.org:8080/a//c"]
+    urls = ["", "c.jpg", "/c.jpg", "//y.org/d", "../c.jpg", "../../../c", "./c/./d/../e", "?p=2", "#top", "https://z.org/../q", "mailto:a@b", "a/b/", "..", ".", "c?x=/../y", "中.jpg"]
+    rows = spark.createDataFrame([(b, u) for b in bases for u in urls], "b string, u string")
+    got = {(r["b"], r["u"]): r["j"] for r in rows.select("b", "u", T.joined_url(F.col("b"), F.col("u")).alias("j")).collect()}
+    assert got == {k: urljoin(*k) for k in got}
 
 
 def test_content_image(spark):
@@ -236,23 +252,44 @@ def test_title_fuzzy_query_equals_brute_force(spark, sf):
 
 
 def test_merge_equals_replay(spark, sf):
+    """The rule over plain rows: candidates, pairs, order and links are all made here again."""
     from presswork.plans.articles import NOW, articles
 
+    all_rows = articles(spark, sf).withColumns({"t": T.story_words(stories.story_title()), "w": T.story_words(F.substring(T.strip_html(F.col("content_full")), 1, 4000))}).collect()
+    since = dt.datetime.fromisoformat(NOW) - dt.timedelta(days=30)
+    rows = [r for r in all_rows if r["duplicate_of"] is None and r["deleted_at"] is None and r["relevance"] == 1 and r["status"] in ("processed", "failed") and r["published_at"] >= since]
+    rows = sorted(rows, key=lambda r: (r["published_at"], r["id"]), reverse=True)[:40]
+    over = lambda x, y: len(set(x) & set(y)) / min(len(x), len(y)) if x and y else 0.0
+    pairs = []
+    for n, a in enumerate(rows):
+        for b in rows[n + 1 :]:
+            if len(set(a["t"]) & set(b["t"])) >= 2 and over(a["t"], b["t"]) >= 0.25:
+                pairs.append((over(a["t"], b["t"]) + over(a["w"], b["w"]) / 10, a, b))
+    pairs.sort(key=lambda p: -p[0])
+    links: dict = {}
+    rank = lambda r: (bool((r["content_zh"] or "").strip()), len(r["content_full"] or ""), -r["published_at"].timestamp())
+    for _, a, b in pairs[:8]:
+        if a["id"] not in links and b["id"] not in links:
+            keep, lose = (a, b) if rank(a) >= rank(b) else (b, a)
+            links[lose["id"]] = keep["id"]
     frame = stories.candidates(articles(spark, sf), NOW, days=30)
-    rows = {r["id"]: r for r in frame.collect()}
-    pairs = sorted(stories.ranked_pairs(frame).collect(), key=lambda r: (-r["score"], r["a"], r["b"]))
-    links = {}
-    rank = lambda i: (bool((rows[i]["content_zh"] or "").strip()), len(rows[i]["content_full"] or ""), -rows[i]["published_at"].timestamp())
-    for p in pairs:
-        a, b = p["a"], p["b"]
-        if a in links or b in links:
-            continue
-        keep, lose = (a, b) if rank(a) >= rank(b) else (b, a)
-        if lose not in links.values():
-            links[lose] = keep
     assert {r["id"]: r["duplicate_of"] for r in stories.merge(frame, lambda a, b: True).collect()} == links
 
 
+def test_drafts_take_no_part_in_merging(spark):
+    from presswork.plans.articles import NOW
+
+    at = dt.datetime.fromisoformat(NOW)
+    row = lambda i, status, body: (i, "Rocket engine reaches orbit again today", None, None, body, at - dt.timedelta(hours=i), 1, status, None, None, "https://x.org")
+    schema = "id long, title string, title_zh string, content_zh string, content_full string, published_at timestamp_ntz, relevance int, status string, duplicate_of long, deleted_at timestamp_ntz, link string"
+    df = spark.createDataFrame([row(1, "processed", "short body"), row(2, "draft", "a much longer body than the other"), row(3, "failed", "x"), row(4, "pending", "longest of all the bodies in this table")], schema)
+    assert {tuple(r) for r in stories.merge(stories.candidates(df, NOW), lambda a, b: True).collect()} == {(3, 1)}
+    chain = spark.createDataFrame([row(1, "processed", "xx"), row(2, "processed", "xxx"), row(3, "processed", "x")], schema)
+    asked = []
+    links = {tuple(r) for r in stories.merge(chain, lambda a, b: not asked.append((a, b)) and (a, b) != (1, 3)).collect()}
+    assert links == {(1, 2), (3, 2)} and asked[0] == (1, 2)
+
+
 def test_title_pairs_equal_all_pairs(spark, sf):
     from presswork.plans.articles import articles
 
@@ -271,6 +308,31 @@ def test_title_pairs_equal_all_pairs(spark, sf):
         stories.article_pairs(rows, most=10)
 
 
+@pytest.mark.parametrize(("frequent", "most_ranked", "min_overlap"), [(1000, 100_000, 0.25), (3, 100_000, 0.25), (0, 5, 0.4), (8, 20, 0.6)])
+def test_title_pairs_of_all_kinds(spark, frequent, most_ranked, min_overlap):
+    """Short and long titles of few words, Latin and Chinese, against all pairs; every word may be a frequent one."""
+    rng = random.Random(7)
+    latin = [f"word{chr(97 + i)}" for i in range(26)]
+    titles = [" ".join(rng.choices(latin, weights=range(1, 27), k=rng.randint(1, 14))) for _ in range(120)]
+    titles += ["".join(rng.choice("新模型发布研究产品用户数据") for _ in range(rng.randint(2, 40))) for _ in range(60)]
+    titles += [rng.choice(latin) + " " + "".join(rng.choice("新模型发布") for _ in range(rng.randint(2, 9))) for _ in range(30)]
+    df = spark.createDataFrame([(i, None, t) for i, t in enumerate(titles)], "id long, title string, title_zh string")
+    sets = {}
+    for r in df.select("id", T.story_words(stories.story_title()).alias("w")).collect():
+        sets.setdefault(frozenset(r["w"]), r["id"])
+    expected = {(min(a, b), max(a, b), len(x & y)) for x, a in sets.items() for y, b in sets.items() if a < b and len(x & y) >= 2 and len(x & y) / min(len(x), len(y)) >= min_overlap}
+    got = stories.title_pairs(df, min_overlap, frequent, most_ranked).collect()
+    assert {(r["a"], r["b"], r["shared"]) for r in got} == expected and len(got) == len(expected)
+
+
+def test_a_shared_phrase_brings_no_pairs_together(spark):
+    """Long titles that share one phrase: rows grow with the words, and nothing meets."""
+    ids = spark.range(20_000)
+    chars = F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(53)), lambda k: F.decode(F.unhex(F.hex(F.pmod(F.xxhash64("id", k), F.lit(20000)) + 0x4E00)), "UTF-16BE")))
+    df = settled(ids.select("id", F.lit(None).cast("string").alias("title_zh"), F.concat(F.lit("发布全新模型"), chars).alias("title")))
+    assert stories.title_pairs(df).count() == 0
+
+
 def test_openings_behind_empty_blocks_and_anchors(spark):
     shared = "The same first paragraph of all."
     rows = [(n, 1, "\n\n" * 25 + shared + "\n\n" * 30 + f"Own text number {n} of it.", [(0, "a"), (2, "b")]) for n in range(3)] + [(9, 2, f"{shared}\n\nother source", [])]

@@ -34,13 +34,22 @@ def plain(value):
     return value
 
 
+#: Queries that SQL can't express, each with the test that holds it against a plain computation.
+BY_BRUTE_FORCE = {
+    "merge_stories": "test_merge_equals_replay",
+    "title_fuzzy_dedup": "test_title_fuzzy_query_equals_brute_force",
+}
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_sql(spark, sf, duck, name):
+    if name not in catalog.ORACLES:
+        tests = "".join(open(p, encoding="utf-8").read() for p in glob.glob(f"{os.path.dirname(__file__)}/*.py"))
+        assert f"def {BY_BRUTE_FORCE[name]}(" in tests
+        return
     df = catalog.QUERIES[name](spark, sf)
     columns = sorted(df.columns)
     rows = [tuple(plain(r[c]) for c in columns) for r in df.collect()]
-    if name not in catalog.ORACLES:
-        return
     found = duck.execute(catalog.ORACLES[name])
     order = [d[0] for d in found.description]
     assert sorted(order) == columns
@@ -81,9 +90,18 @@ def test_chains(spark):
     assert {r["id"]: r["primary_id"] for r in stories.primary_of(a).collect()} == {2: 1, 3: 1, 4: None, 5: None, 6: None, 7: None, 9: None}
 
 
-def test_merge_never_chains(spark, sf):
-    links = stories.merge(articles(spark, sf), lambda a, b: True).collect()
-    assert not {r["id"] for r in links} & {r["duplicate_of"] for r in links}
+def test_merge_links_each_article_once(spark, sf):
+    """A primary may be linked on to another by a later pair, as in the rule; every link leads to an end that is not linked."""
+    links = {}
+    for r in stories.merge(articles(spark, sf), lambda a, b: True).collect():
+        assert r["id"] not in links
+        links[r["id"]] = r["duplicate_of"]
+    for start in links:
+        seen, at = set(), start
+        while at in links:
+            assert at not in seen
+            seen.add(at)
+            at = links[at]
 
 
 def test_fuzzy_titles(spark):

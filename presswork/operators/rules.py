@@ -4,66 +4,150 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from presswork.functions.keywords import BOUNDED, first_rules, folded_column
+from presswork.operators.settling import settled
 from presswork.operators.visibility import ts
 
 
 def rule_pattern(keyword: Column) -> Column:
     """A case-blind regular expression: Latin keywords between non-alphanumerics, others anywhere."""
     quoted = F.concat(F.lit(r"\Q"), F.btrim(keyword), F.lit(r"\E"))
-    latin = F.btrim(keyword).rlike(r"^[\x20-\x7E]+$")
-    return F.when(latin, F.concat(F.lit(r"(?i)(?<![A-Za-z0-9])"), quoted, F.lit("(?![A-Za-z0-9])"))).otherwise(F.concat(F.lit("(?i)"), quoted))
+    bounded = F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9])"), quoted, F.lit("(?![A-Za-z0-9])"))
+    return F.when(F.btrim(keyword).rlike(BOUNDED), bounded).otherwise(F.concat(F.lit("(?iu)"), quoted))
 
 
 def matcher(keyword: str) -> str:
     """The same as a literal pattern."""
     word = re.escape(keyword.strip())
-    return rf"(?i)(?<![A-Za-z0-9]){word}(?![A-Za-z0-9])" if keyword.strip().isascii() else f"(?i){word}"
+    return rf"(?iu)(?<![A-Za-z0-9]){word}(?![A-Za-z0-9])" if re.match(BOUNDED, keyword.strip()) else f"(?iu){word}"
 
 
 def first_match(text: Column, rules: list[tuple[int, str]]) -> Column:
-    """The id of the first matching rule in the given order, else null. Rules are configuration: a list, folded into one expression."""
+    """The id of the first matching rule in the given order, else null, as one expression: for a handful of rules."""
     out = F.lit(None).cast("int")
     for rule_id, keyword in reversed(rules):
         out = F.when(text.rlike(matcher(keyword)), rule_id).otherwise(out)
     return out
 
 
-def load_rules(rules: DataFrame, kind: str, most: int = 10_000) -> list[tuple[int, str]]:
-    """The enabled rules of a kind in the order of their ids. Rules are configuration: more than ``most`` are an error, not data."""
-    rows = rules.filter((F.col("enabled") == 1) & (F.col("kind") == kind)).select("id", "keyword").orderBy("id").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rules of kind {kind}")
-    return [(r["id"], r["keyword"]) for r in rows]
+def load_rules(rules: DataFrame, kind: str) -> DataFrame:
+    """(id, keyword) of the enabled rules of a kind."""
+    return rules.filter((F.col("enabled") == 1) & (F.col("kind") == kind)).select("id", "keyword")
 
 
 SEARCHED = ("title", "title_zh", "title_en", "summary", "digest", "digest_zh", "content_full", "content_zh")
-
-
-def apply_rules(articles: DataFrame, block: list[tuple[int, str]], star: list[tuple[int, str]]) -> DataFrame:
-    """``articles`` with ``blocked_by`` and ``starred_by``: the first rule of each list that is in any text of the article, in
-    either language. Deleted and starred rows are left alone, and so are rows without a body; a blocked one is not starred."""
+KINDS = ("block", "star")
+#: A list of (id, keyword), or a frame of these two columns.
+Rules = list[tuple[int, str]] | DataFrame
+
+
+def _rule_table(spark: SparkSession, block: Rules, star: Rules) -> DataFrame:
+    """(id, kind, keyword) of both lists."""
+    frames = [r if isinstance(r, DataFrame) else spark.createDataFrame(r, "id long, keyword string") for r in (block, star)]
+    rows = [f.select(F.col("id").cast("long").alias("id"), F.lit(k).alias("kind"), "keyword") for f, k in zip(frames, KINDS)]
+    return rows[0].unionByName(rows[1])
+
+
+def text_keys(low: Column) -> Column:
+    """What a folded text can be found by: its runs of letters and digits, its other characters, and these with the one behind."""
+    runs = F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1))
+    other = r"[^a-z0-9 \n]"
+    return F.array_distinct(F.concat(runs, F.regexp_extract_all(low, F.lit(f"({other})"), F.lit(1)), F.regexp_extract_all(low, F.lit(f"(?=({other}[^\n]))"), F.lit(1))))
+
+
+def rule_key(word: Column, bounded: Column) -> Column:
+    """One of ``text_keys`` that every text with the folded keyword has: the longest run of a bounded one, else a character that is
+    no letter, digit or space, with the one behind where there is one."""
+    runs = F.regexp_extract_all(word, F.lit("([a-z0-9]+)"), F.lit(1))
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.char_length(r).alias("n"), r.alias("r"))))["r"]
+    pair = F.regexp_extract(word, r"[^a-z0-9 ][\s\S]", 0)
+    return F.when(bounded, longest).otherwise(F.coalesce(F.nullif(pair, F.lit("")), F.regexp_extract(word, "[^a-z0-9 ]", 0)))
+
+
+def matched_by_keys(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """(id, block, star) of the texts (id, text) in which a rule (id, kind, keyword) is, by a join: for more rules than fit a broadcast.
+
+    Texts and rules meet under the rule's key. Where the key is the whole keyword that settles it; other texts are read again,
+    once for each pair that met, against the keyword.
+    """
+    low = texts.select("id", folded_column(F.col("text")).alias("low")).filter("low <> ''")
+    bounded = F.btrim("keyword").rlike(BOUNDED).alias("bounded")
+    words = rules.select(F.col("id").alias("rule_id"), "kind", bounded, folded_column(F.btrim("keyword")).alias("word")).filter("word <> ''")
+    keyed = words.withColumn("key", rule_key(F.col("word"), F.col("bounded"))).groupBy("kind", "word", "bounded", "key").agg(F.min("rule_id").alias("rule_id"))
+    met = low.select("id", F.explode(text_keys(F.col("low"))).alias("key")).join(keyed, "key")
+    sure = (F.col("word") == F.col("key")) & F.col("bounded") & F.col("word").rlike("^[a-z0-9]+$")
+    maybe = met.filter(~sure).join(low, "id")
+    said = F.when(F.col("bounded"), F.rlike("low", rule_pattern(F.col("word")))).otherwise(F.contains("low", "word"))
+    hits = met.filter(sure).select("id", "kind", "rule_id").unionByName(maybe.filter(said).select("id", "kind", "rule_id"))
+    return hits.groupBy("id").agg(*[F.min(F.when(F.col("kind") == k, F.col("rule_id"))).alias(k) for k in KINDS])
+
+
+def apply_rules(articles: DataFrame, block: Rules, star: Rules, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """``articles`` with ``blocked_by``, ``starred_by`` (rule ids) and ``blocked_word``: the rule of the least id of each kind that is in
+    any text of the article, in either language. Deleted and starred rows are left alone, and so are rows without a body; a
+    blocked one is not starred. Blank keywords match nothing.
+
+    One pass with an automaton of all keywords, which goes to the executors while the keywords have ``broadcast_bytes``
+    together at most; with more of them texts and rules are joined under keys (``matched_by_keys``), but for the few keywords that
+    are Latin by an odd letter only (such as a long s), which have no key and stay with the automaton.
+    """
+    spark = articles.sparkSession
+    rules = _rule_table(spark, block, star).filter(F.col("id").isNotNull() & (F.btrim("keyword") != ""))
     text = F.concat_ws("\n", *[F.nullif(F.col(c), F.lit("")) for c in SEARCHED if c in articles.columns])
     open_ = F.col("deleted_at").isNull() & (F.col("starred") == 0) & F.col("content_full").isNotNull()
-    blocked = articles.withColumn("blocked_by", F.when(open_, first_match(text, block)))
-    return blocked.withColumn("starred_by", F.when(open_ & F.col("blocked_by").isNull(), first_match(text, star)))
+    size = rules.agg(F.sum(F.octet_length("keyword").cast("long"))).first()[0] or 0
+    odd = ~F.btrim("keyword").rlike(BOUNDED) & ~folded_column(F.btrim("keyword")).rlike("[^a-z0-9 ]")
+    found = [(r["id"], r["kind"], r["keyword"]) for r in (rules if size <= broadcast_bytes else rules.filter(odd)).collect()]
+    if size <= broadcast_bytes:
+        rows = articles.withColumn("__r", first_rules(spark, F.when(open_, text), found, KINDS))
+        words = {}
+        for rule_id, kind, keyword in found:
+            if kind == "block":
+                words.setdefault(rule_id, keyword)
+        word = _looked_up(spark, words)
+    else:
+        texts = articles.filter(open_).select("id", text.alias("text"))
+        hits = matched_by_keys(texts, rules.filter(~odd))
+        if found:
+            more = texts.select("id", first_rules(spark, F.col("text"), found, KINDS).alias("r")).select("id", "r.*")
+            hits = hits.unionByName(more).groupBy("id").agg(*[F.min(k).alias(k) for k in KINDS])
+        keywords = rules.filter("kind = 'block'").groupBy(F.col("id").alias("block")).agg(F.min("keyword").alias("word"))
+        hits = settled(hits.join(keywords, "block", "left").select("id", F.struct(*KINDS, "word").alias("__r")))
+        rows = articles.join(hits, "id", "left")
+        word = lambda _: F.col("__r.word")
+    blocked = F.col("__r.block")
+    out = rows.withColumns({"blocked_by": blocked, "starred_by": F.when(blocked.isNull(), F.col("__r.star"))})
+    return out.withColumn("blocked_word", word(F.col("blocked_by"))).drop("__r")
+
+
+def _looked_up(spark: SparkSession, words: dict[int, str]):
+    """A function from a column of rule ids to one of their keywords. A few are an expression, many a broadcast dictionary."""
+    if len(words) <= 50:
+        cases = F.lit(None).cast("string")
+        return lambda c: _cases(c, words, cases)
+    sent = spark.sparkContext.broadcast(words)
+    return F.pandas_udf(lambda ids: ids.map(sent.value.get, na_action="ignore").astype(object), "string")
+
+
+def _cases(column: Column, words: dict[int, str], out: Column) -> Column:
+    for rule_id, word in words.items():
+        out = F.when(column == rule_id, word).otherwise(out)
+    return out
 
 
-def carried_out(applied: DataFrame, block: list[tuple[int, str]], now: str, prefix: str = "blocked: ") -> DataFrame:
+def carried_out(applied: DataFrame, now: str, prefix: str = "blocked: ") -> DataFrame:
     """What the rules do to the articles: blocked ones go to the trash with the keyword as their reason, others get their star."""
-    keyword = F.lit(None).cast("string")
-    for rule_id, word in block:
-        keyword = F.when(F.col("blocked_by") == rule_id, word).otherwise(keyword)
     old = F.col("degraded_reason") if "degraded_reason" in applied.columns else F.lit(None).cast("string")
     hit = F.col("blocked_by").isNotNull()
     effects = {
         "deleted_at": F.when(hit, ts(now)).otherwise(F.col("deleted_at")),
-        "degraded_reason": F.when(hit, F.substring(F.concat(F.lit(prefix), keyword), 1, 300)).otherwise(old),
+        "degraded_reason": F.when(hit, F.substring(F.concat(F.lit(prefix), F.col("blocked_word")), 1, 300)).otherwise(old),
         "starred": F.when(F.col("starred_by").isNotNull(), 1).otherwise(F.col("starred")),
     }
-    return applied.withColumns(effects).drop("blocked_by", "starred_by")
+    return applied.withColumns(effects).drop("blocked_by", "starred_by", "blocked_word")
 
 
 def counted(rules: DataFrame, applied: DataFrame) -> DataFrame:

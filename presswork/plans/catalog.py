@@ -515,7 +515,7 @@ def keyword_rules(spark, sf):
   CASE WHEN starred_by IS NOT NULL THEN 1 ELSE starred END AS starred FROM z""")
 def rule_effects(spark, sf):
     applied = rules.apply_rules(articles(spark, sf), BLOCK, STAR)
-    return rules.carried_out(applied, BLOCK, NOW).select("id", "deleted_at", "degraded_reason", "starred")
+    return rules.carried_out(applied, NOW).select("id", "deleted_at", "degraded_reason", "starred")
 
 
 @query(RULES_SQL + "SELECT r AS rule_id, count(*) AS hits FROM (SELECT unnest([blocked_by, starred_by]) AS r FROM z) WHERE r IS NOT NULL GROUP BY r")
@@ -543,7 +543,38 @@ def rule_hits_added(spark, sf):
 
 @query("SELECT s_suppkey AS id, s_name AS keyword FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 4 <> 0", raw=True)
 def loaded_rules(spark, sf):
-    return spark.createDataFrame(rules.load_rules(rule_table(spark, sf), "star"), "id long, keyword string")
+    return rules.load_rules(rule_table(spark, sf), "star")
+
+
+TABLE_RULES_SQL = """WITH r AS (SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS keyword, CASE WHEN p_partkey % 5 = 0 THEN 'block' ELSE 'star' END AS kind FROM part
+  UNION ALL SELECT 1000000 + d.doc_id, lower(split_part(text, ' ', 1)), 'star' FROM documents d WHERE doc_id % 9 = 0 AND regexp_matches(split_part(text, ' ', 1), '^[A-Za-z]+$')
+  UNION ALL SELECT 2000000 + d.doc_id, split_part(split_part(text, chr(10), 1), ' ', 2), 'block' FROM documents d WHERE doc_id % 50 = 0 AND regexp_matches(split_part(split_part(text, chr(10), 1), ' ', 2), '^[A-Za-z]{9,}$')),
+k AS (SELECT kind, lower(keyword) AS word, min(id) AS id FROM r GROUP BY 1, 2),
+w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(concat_ws(chr(10), nullif(title, ''), nullif(title_zh, ''), nullif(summary, ''), nullif(digest, ''), nullif(digest_zh, ''), nullif(content_full, ''), nullif(content_zh, ''))), '[a-z0-9]+')) AS word FROM a WHERE deleted_at IS NULL AND starred = 0 AND content_full IS NOT NULL),
+h AS (SELECT w.id, min(k.id) FILTER (WHERE kind = 'block') AS b, min(k.id) FILTER (WHERE kind = 'star') AS s FROM w JOIN k USING (word) GROUP BY w.id)
+SELECT a.id, h.b AS blocked_by, CASE WHEN h.b IS NULL THEN h.s END AS starred_by FROM a LEFT JOIN h ON h.id = a.id"""
+
+
+def many_rules(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Rules as data: words of part names and of the documents' own texts, more of them with more rows."""
+    docs, word = table(spark, sf, "documents"), lambda k: F.split_part(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), F.lit(" "), F.lit(k))
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("keyword"))
+    own = docs.select("doc_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("keyword")).filter("doc_id % 9 = 0").filter(F.col("keyword").rlike("^[A-Za-z]+$"))
+    second = docs.filter("doc_id % 50 = 0").select("doc_id", word(2).alias("keyword")).filter(F.col("keyword").rlike("^[A-Za-z]{9,}$"))
+    block = parts.filter("id % 5 = 0").unionByName(second.select((F.col("doc_id") + 2_000_000).alias("id"), "keyword"))
+    return block, parts.filter("id % 5 <> 0").unionByName(own.select((F.col("doc_id") + 1_000_000).alias("id"), F.lower("keyword").alias("keyword")))
+
+
+@query(TABLE_RULES_SQL)
+def keyword_rules_of_tables(spark, sf):
+    """Some hundred rules and more from tables, in one pass over the texts."""
+    return rules.apply_rules(articles(spark, sf), *many_rules(spark, sf)).select("id", "blocked_by", "starred_by")
+
+
+@query(TABLE_RULES_SQL)
+def keyword_rules_by_join(spark, sf):
+    """The same where the rules are too many for a broadcast."""
+    return rules.apply_rules(articles(spark, sf), *many_rules(spark, sf), broadcast_bytes=0).select("id", "blocked_by", "starred_by")
 
 
 @query(RULE_TABLE_SQL.rstrip() + """, m AS (SELECT count_if(deleted_at IS NOT NULL) AS blocked_articles, count_if(starred = 1 AND deleted_at IS NULL) AS starred_articles FROM a)

@@ -11,10 +11,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from presswork.functions import html as H
+from presswork.functions import keywords
 from presswork.functions import pandas_text as P
 from presswork.functions import replies as R
 from presswork.functions import text as T
-from presswork.operators import audits, enrichment, ingest, lifecycle, reading, stories
+from presswork.operators import audits, enrichment, ingest, lifecycle, reading, rules, stories
 from presswork.operators.settling import settled
 from presswork.sources import feeds
 
@@ -251,6 +252,46 @@ def test_title_fuzzy_query_equals_brute_force(spark, sf):
     assert {r["id"]: r["known_id"] for r in QUERIES["title_fuzzy_dedup"](spark, sf).collect()} == expected
 
 
+WORDS = ["muse", "Muse 2", "c++", "GPT-4o", ".net", "#ai", "a.b", "模型", "第1", "GPT模型", "x型", "é", "Straße", "K", "σας", "s", "ı", "the", "新", "a b", "&", "1", "_x"]
+
+
+def random_rules(rng):
+    return [(i, "".join([rng.choice(["", " "]), rng.choice(WORDS), rng.choice(["", " ", "", " " + rng.choice(WORDS)])])) for i in rng.sample(range(1000), rng.randint(0, 12))]
+
+
+def test_keywords_equal_the_expression(spark):
+    """The automaton and the join give what one pattern a rule gives: Latin, Chinese, punctuation, case and its odd letters."""
+    rng = random.Random(8)
+    text = lambda: "".join(rng.choice([*WORDS, " ", "\n", "museum", "MUSE", "Gpt-4O", "É", "\u212a", "ſ", "x", ".NET", "ΣΑΣ"]) + rng.choice(["", " ", "-", "2"]) for _ in range(rng.randint(0, 12)))
+    texts = [(i, text()) for i in range(300)] + [(300, None), (301, "")]
+    df = settled(spark.createDataFrame(texts, "id long, content_full string").withColumns({"deleted_at": F.lit(None).cast("string"), "starred": F.lit(0)}))
+    for _ in range(6):
+        block, star = sorted(random_rules(rng)), sorted(random_rules(rng))
+        b = rules.first_match(F.col("content_full"), block)
+        expected = {r["id"]: (r["b"], r["s"]) for r in df.select("id", b.alias("b"), F.when(b.isNull(), rules.first_match(F.col("content_full"), star)).alias("s")).collect()}
+        for limit in (1 << 20, 0):
+            got = rules.apply_rules(df, block[::-1], star, broadcast_bytes=limit).collect()
+            assert {r["id"]: (r["blocked_by"], r["starred_by"]) for r in got} == expected
+            assert all(r["blocked_word"] == dict(block).get(r["blocked_by"]) for r in got)
+
+
+def test_many_rules_cost_no_more():
+    import time
+
+    text = "some words of a text that is searched " * 500
+    few, many = (keywords.Matcher(tuple((i, "block", f"keyword{i}x") for i in range(n)), ("block", "star")) for n in (10, 200_000))
+
+    def took(m):
+        began = time.perf_counter()
+        for _ in range(20):
+            assert m.first(text) == [None, None]
+        return time.perf_counter() - began
+
+    took(few)
+    assert took(many) < 20 * took(few)
+    assert keywords.Matcher(((1, "block", " "),), ("block", "star")).first("a b") == [None, None]
+
+
 def test_merge_equals_replay(spark, sf):
     """The rule over plain rows: candidates, pairs, order and links are all made here again."""
     from presswork.plans.articles import NOW, articles

@@ -137,22 +137,33 @@ def duplicates_of(articles: DataFrame) -> DataFrame:
     return children.join(articles.select(F.col("id").alias("primary_id")), "primary_id").select("primary_id", "id", "title")
 
 
-def primary_of(articles: DataFrame, max_hops: int = 16) -> DataFrame:
+def primary_of(articles: DataFrame) -> DataFrame:
     """(id, primary_id) of the linked articles: the end of the chain of links, null if a hop is missing, deleted or in a circle.
 
-    Pointer doubling: n rounds of one join follow chains of 2^n links.
+    The first join finds what every link points at: an end, nothing, or another link. Pointer doubling follows: in each round
+    the links that are open yet take over their target's target, so n rounds follow chains of 2^n links. A round reads the
+    links of the round before twice and settles them; when so many rounds are done that every chain has ended, what is
+    open still runs in circles.
     """
-    nodes = articles.select("id", "duplicate_of", F.col("deleted_at").isNotNull().alias("gone"))
-    state = nodes.select("id", F.coalesce("duplicate_of", "id").alias("at"), F.col("duplicate_of").isNull().alias("over"), (F.col("duplicate_of").isNull() & F.col("gone")).alias("bad"))
-    hops = 1
-    while hops < max_hops:
-        nxt = state.select(F.col("id").alias("n"), F.col("at").alias("n_at"), F.col("over").alias("n_over"), F.col("bad").alias("n_bad")).join(nodes.select(F.col("id").alias("n"), F.col("gone").alias("n_gone")), "n")
-        step = state.join(nxt, F.col("at") == F.col("n"), "left")
-        dead = ~F.col("over") & (F.col("n").isNull() | F.col("n_bad") | F.coalesce("n_gone", F.lit(True)))
-        state = step.select("id", F.when(F.col("over"), F.col("at")).otherwise(F.coalesce("n_at", "at")).alias("at"), (F.col("over") | F.coalesce("n_over", F.lit(False))).alias("over"), (F.col("bad") | dead).alias("bad"))
-        hops *= 2
-    linked = nodes.filter("duplicate_of is not null").select("id")
-    return state.join(linked, "id").select("id", F.when(F.col("over") & ~F.col("bad"), F.col("at")).alias("primary_id"))
+    nodes = articles.select(F.col("id").alias("n"), F.col("duplicate_of").alias("n_at"), F.col("deleted_at").isNotNull().alias("n_gone"))
+    links = articles.filter("duplicate_of is not null").select("id", F.col("duplicate_of").alias("at"))
+    dead = F.coalesce("n_gone", F.lit(True))
+    met = links.join(nodes, F.col("at") == F.col("n"), "left")
+    state = settled(met.select("id", "at", dead.alias("dead"), (dead | F.col("n_at").isNull()).alias("over")))
+    left = state.filter("not over").count()
+    for _ in range(left.bit_length() + 1):
+        if not left:
+            break
+        state = settled(_one_round(state))
+        left = state.filter("not over").count()
+    return state.select("id", F.when(F.col("over") & ~F.col("dead"), F.col("at")).alias("primary_id"))
+
+
+def _one_round(state: DataFrame) -> DataFrame:
+    """Open links (id, at, dead, over) with their target's state. Those that are over meet nothing: their key is no link's id, another for each."""
+    theirs = state.select(F.col("id").cast("string").alias("key"), F.col("at").alias("t_at"), F.col("dead").alias("t_dead"), F.col("over").alias("t_over"))
+    own = state.withColumn("key", F.when(F.col("over"), F.concat(F.lit("over "), F.col("id").cast("string"))).otherwise(F.col("at").cast("string")))
+    return own.join(theirs, "key", "left").select("id", F.coalesce("t_at", "at").alias("at"), F.coalesce("t_dead", "dead").alias("dead"), F.coalesce("t_over", "over").alias("over"))
 
 
 def shared_openings(articles: DataFrame, min_group: int = 3, min_chars: int = 20) -> DataFrame:

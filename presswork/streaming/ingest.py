@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswork.functions import text as T
-from presswork.operators.ingest import title_duplicates
+from presswork.operators.ordered import Ring, kept_in_order
 from presswork.operators.settling import settled
 from presswork.operators.visibility import ts
 
@@ -70,22 +71,56 @@ def recent_titles(items: DataFrame, keep: int = 500) -> DataFrame:
     return rows.groupBy("source_id").applyInPandasWithState(run, "source_id int, id long, title string, repeated boolean", "known array<string>", "append", "NoTimeout")
 
 
+def unlike_by_key(items: DataFrame, key: str = "source_id", window: int = 500, threshold: float = 0.9, idle: timedelta = timedelta(days=30)) -> DataFrame:
+    """(key, id, title, like) of a stream of items: ``like`` is the newest kept title of the key that an item equals or resembles, null if it is kept.
+
+    What counts is what was kept before an item in the order of ids, over all batches: each key's state is its ``window`` newest
+    kept titles, which a restart from the checkpoint finds again, and a timer ends the state of a key without items for
+    ``idle``. The items of a key in one batch are one task's, so ``files_per_batch`` of ``stream_of`` bounds them.
+    """
+    rows = items.select(F.col(key).cast("string").alias("key"), F.col("id").cast("long").alias("id"), "title", F.coalesce(T.normalize_title(F.col("title")), F.lit("")).alias("t"))
+    run = kept_titles(window, threshold, int(idle.total_seconds() * 1000))
+    return rows.groupBy("key").applyInPandasWithState(run, "key string, id long, title string, like long", "ids array<long>, titles array<string>", "append", "ProcessingTimeTimeout")
+
+
+def kept_titles(window: int, threshold: float, idle_ms: int) -> Callable:
+    """The step of ``unlike_by_key`` for one key: its ring goes on over the batch's items, or ends with its timer."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        ring = Ring(window, threshold, list(zip(*state.get)) if state.exists else [])
+        batch = pd.concat(list(batches)).sort_values("id", kind="stable")
+        likes = []
+        for i, title in zip(batch["id"].tolist(), batch["t"].tolist()):
+            like = ring.like(title)
+            likes.append(like)
+            if like is None:
+                ring.add(i, title)
+        state.update(([i for i, _ in ring.titles], [t for _, t in ring.titles]))
+        state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({"key": batch["key"].tolist(), "id": batch["id"].tolist(), "title": batch["title"].tolist(), "like": pd.array(likes, "Int64")})
+
+    return run
+
+
 def insert_unlike(path: str, window: int = 500, threshold: float = 0.9) -> Callable[[DataFrame, int], None]:
-    """A sink for items (id, link, title, ...) that keeps ingest's rules over its table: no link twice, and no title like one of
-    the ``window`` newest of the whole table, in any source, or like an earlier one of its batch (of a batch of more items,
-    of its ``window`` newest: ``files_per_batch`` of ``stream_of`` keeps batches small).
+    """A sink for items (id, link, title, ...) that keeps ingest's rules over its table, in the order of ids: an item goes if its
+    link is in the table or was kept before it, or if its title is like one of the ``window`` newest titles that were kept
+    before it, in any source. Like an item that went itself it may be. Ids grow from batch to batch.
 
-    A batch that runs twice finds its own rows in the table and adds nothing.
+    A batch that runs twice is decided by what was there before it, as the first time, and adds only what its table lacks.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = table_of(spark, path, batch.schema)
-        first = batch.groupBy("link").agg(F.min("id").alias("id")).join(known.select("link"), "link", "left_anti").select("id")
-        new = settled(batch.join(first, "id", "left_semi"))
-        like = title_duplicates(new.select("id", "title"), known.select("id", "title"), threshold, window).select("id")
-        own = title_duplicates(new.select("id", "title"), new.select("id", "title"), threshold, window).filter("known_id < id").select("id")
-        new.join(like.union(own).distinct(), "id", "left_anti").write.mode("append").parquet(path)
+        rows = settled(batch)
+        start = rows.agg(F.min("id")).first()[0]
+        if start is None:
+            return
+        table = table_of(batch.sparkSession, path, batch.schema)
+        kept = kept_in_order(rows, table.filter(F.col("id") < start).select("id", "link", "title"), window, threshold)
+        settled(kept.join(table.select("id"), "id", "left_anti")).write.mode("append").parquet(path)
 
     return write
 
@@ -100,11 +135,18 @@ def table_of(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def run_available(rows: DataFrame, sink: Callable[[DataFrame, int], None] | str, checkpoint: str, mode: str = "append") -> None:
-    """Runs the stream over all there is: into a memory table by name, or through ``foreachBatch``. The checkpoint makes a rerun go on where it stopped."""
+def run_available(rows: DataFrame, sink: Callable[[DataFrame, int], None] | str, checkpoint: str, mode: str = "append", timers: bool = False) -> None:
+    """Runs the stream over all there is: into a memory table by name, or through ``foreachBatch``. The checkpoint makes a rerun go on where it stopped.
+
+    With ``timers`` (state that ends by the clock) there are no batches without rows, which would go on for ever waiting for them.
+    """
+    conf, name = rows.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, "false" if timers else before)
     writer = rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     writer = writer.format("memory").queryName(sink) if isinstance(sink, str) else writer.foreachBatch(sink)
     query = writer.start()
+    conf.set(name, before)
     query.awaitTermination()
     if query.exception():
         raise query.exception()

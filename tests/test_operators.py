@@ -90,6 +90,23 @@ def test_chains(spark):
     assert {r["id"]: r["primary_id"] for r in stories.primary_of(a).collect()} == {2: 1, 3: 1, 4: None, 5: None, 6: None, 7: None, 9: None}
 
 
+def test_long_chains_and_circles(spark, monkeypatch):
+    """10,000 links in log rounds, a long circle with a tail, a chain that ends in a deleted article; a round reads the links twice."""
+    n, rounds = 10_000, []
+    chain = [(i, i - 1 if i else None, None) for i in range(n + 1)]
+    circle = [(20_000 + i, 20_000 + (i + 1) % 500, None) for i in range(500)] + [(30_000, 20_003, None), (30_001, 30_000, None)]
+    trash = [(40_000, None, NOW)] + [(40_000 + i, 40_000 + i - 1, None) for i in range(1, 40)]
+    hot = [(50_000 + i, 0, None) for i in range(3000)]
+    a = spark.createDataFrame(chain + circle + trash + hot, "id long, duplicate_of long, deleted_at string")
+    one_round = stories._one_round
+    monkeypatch.setattr(stories, "_one_round", lambda s: rounds.append(one_round(s)) or rounds[-1])
+    got = {r["id"]: r["primary_id"] for r in stories.primary_of(a).collect()}
+    assert got == {i: 0 for i in range(1, n + 1)} | {50_000 + i: 0 for i in range(3000)} | {i: None for i, _, _ in circle} | {40_000 + i: None for i in range(1, 40)}
+    assert len(rounds) <= 16
+    plan = rounds[0]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Scan ExistingRDD") == 2
+
+
 def test_merge_links_each_article_once(spark, sf):
     """A primary may be linked on to another by a later pair, as in the rule; every link leads to an end that is not linked."""
     links = {}

@@ -813,6 +813,14 @@ def stream_daily_counts(spark, sf):
     return jobs.daily_counts(spark, sf)
 
 
+@query("""WITH d AS (SELECT date_trunc('day', ts) AS d, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT strftime(d, '%Y-%m-%d') AS day, event_type, n FROM d WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""", raw=True)
+def stream_final_days(spark, sf):
+    from presswork.streaming import jobs
+
+    return jobs.final_days(spark, sf)
+
+
 @query("""SELECT link, min(id) AS id FROM (SELECT id, 'https://x.example.com/' || (id // 4)::varchar AS link FROM a) GROUP BY link""")
 def stream_first_links(spark, sf):
     from presswork.streaming import jobs

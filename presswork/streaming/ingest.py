@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
@@ -41,7 +42,9 @@ def first_by_link(items: DataFrame, lateness: str = "14 days", at: str = "publis
 
 
 def daily_counts(events: DataFrame, at: str = "ts", key: str = "event_type", lateness: str = "2 days") -> DataFrame:
-    """Tumbling days: (day, key, n)."""
+    """Tumbling days: (day, key, n). In update mode the rolling report, a row for each count that a batch changed (``replace_days``
+    keeps them); in append mode each day once, when it is final: when the newest time is ``lateness`` past its end. In both the
+    state is that of the days not yet final, however long the stream runs."""
     rows = events.withColumn(at, F.col(at).cast("timestamp"))
     days = rows.withWatermark(at, lateness).groupBy(F.window(at, "1 day").alias("w"), key).agg(F.count("*").alias("n"))
     return days.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), key, "n")
@@ -125,6 +128,25 @@ def insert_unlike(path: str, window: int = 500, threshold: float = 0.9) -> Calla
     return write
 
 
+def replace_days(path: str, keys: tuple[str, ...] = ("day", "event_type")) -> Callable[[DataFrame, int], None]:
+    """A sink for update mode: a table by day in which a batch's rows replace those of the same ``keys`` (the first is the day).
+
+    Only the days of the batch are read and written again. Rows hold whole counts and no increments, so a batch that runs twice changes nothing.
+    """
+    day = keys[0]
+
+    def write(batch: DataFrame, number: int) -> None:
+        new = settled(batch)
+        days = [r[0] for r in new.select(day).distinct().collect()]
+        if not days:
+            return
+        before = table_of(batch.sparkSession, path, batch.schema).select(*batch.columns).filter(F.col(day).cast("string").isin(days))
+        rows = settled(before.join(new.select(*keys), list(keys), "left_anti").unionByName(new))
+        rows.repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+    return write
+
+
 def table_of(spark: SparkSession, path: str, schema) -> DataFrame:
     """The table at ``path``, empty where there is none yet."""
     try:
@@ -135,10 +157,10 @@ def table_of(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def run_available(rows: DataFrame, sink: Callable[[DataFrame, int], None] | str, checkpoint: str, mode: str = "append", timers: bool = False) -> None:
+def run_available(rows: DataFrame, sink: Callable[[DataFrame, int], None] | str, checkpoint: str, mode: str = "append", timers: bool = False) -> list[dict]:
     """Runs the stream over all there is: into a memory table by name, or through ``foreachBatch``. The checkpoint makes a rerun go on where it stopped.
 
-    With ``timers`` (state that ends by the clock) there are no batches without rows, which would go on for ever waiting for them.
+    Returns the progress of its batches. With ``timers`` (state that ends by the clock) there are no batches without rows, which would go on for ever waiting for them.
     """
     conf, name = rows.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
     before = conf.get(name)
@@ -150,6 +172,7 @@ def run_available(rows: DataFrame, sink: Callable[[DataFrame, int], None] | str,
     query.awaitTermination()
     if query.exception():
         raise query.exception()
+    return [json.loads(p.json) for p in query.recentProgress]
 
 
 def insert_new(path: str) -> Callable[[DataFrame, int], None]:

@@ -17,14 +17,23 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/streams/{uuid4().hex}"
 
 
-def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete mode, so windows that the watermark has not closed yet count as well."""
-    folder, name = work_folder(spark), f"daily_{uuid4().hex}"
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A pattern, as a stream's plain path must be a folder and a table may be one file.
-    schema = table(spark, sf_dir, "events").schema
-    rows = ingest.daily_counts(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*"))
-    ingest.run_available(rows, name, folder, "complete")
-    return spark.table(name)
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+
+
+def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Update mode into a table by day, so days that the watermark has not closed yet count as well."""
+    folder = work_folder(spark)
+    ingest.run_available(ingest.daily_counts(_events(spark, sf_dir)), ingest.replace_days(f"{folder}/days"), f"{folder}/checkpoint", "update")
+    return ingest.table_of(spark, f"{folder}/days", "day string, event_type string, n long").select(F.col("day").cast("string").alias("day"), "event_type", "n")
+
+
+def final_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append mode: the days behind the watermark, each written once."""
+    folder = work_folder(spark)
+    ingest.run_available(ingest.daily_counts(_events(spark, sf_dir)), lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/days/batch={n}"), f"{folder}/checkpoint", "append")
+    return ingest.table_of(spark, f"{folder}/days", "day string, event_type string, n long").select("day", "event_type", "n")
 
 
 def first_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,3 +60,26 @@ def test_titles_like_recent_ones_of_any_source_are_left_out(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         ingest.run_available(stream, ingest.insert_unlike(str(tmp_path / "out")), str(tmp_path / "state"))
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 6]
+
+
+def test_rolling_days_in_update_mode(spark, tmp_path):
+    """Sixty days in twelve files: the state stays that of the open days, batches that run twice change nothing, and the end equals the batch query."""
+    times = spark.range(6000).selectExpr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 864) as ts", "concat('k', id % 3) as event_type")
+    for n in range(12):  # files arrive in the order of their times
+        times.filter((F.dayofyear("ts") - 1).between(5 * n, 5 * n + 4)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    calls, sink = [], ingest.replace_days(str(tmp_path / "days"))
+
+    def twice(batch, number):
+        calls.append(number)
+        sink(batch, number)
+        sink(batch, number)
+
+    stream = lambda: ingest.daily_counts(ingest.stream_of(spark, str(tmp_path / "in"), times.schema, 1))
+    progress = ingest.run_available(stream(), twice, str(tmp_path / "a"), "update")
+    expected = {tuple(r) for r in times.groupBy(F.date_format("ts", "yyyy-MM-dd"), "event_type").count().collect()}
+    assert {(str(r["day"]), r["event_type"], r["n"]) for r in spark.read.parquet(str(tmp_path / "days")).collect()} == expected
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in progress]
+    assert len(calls) >= 12 and max(states) <= 3 * 16 < 3 * 60
+    rows = []
+    ingest.run_available(stream(), lambda b, n: rows.extend(map(tuple, b.collect())), str(tmp_path / "b"), "append")
+    assert len(rows) == len(set(rows)) and set(rows) == {r for r in expected if r[0] <= "2024-02-26"}

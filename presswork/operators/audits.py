@@ -172,10 +172,10 @@ def pipeline_note(articles: DataFrame, date: str | None = None) -> DataFrame:
     return c.select("pending", "failed", note.alias("note"))
 
 
-def date_labels(now: str, days: int) -> DataFrame:
-    """(date, label, weekday, quote): month and day as read aloud, Monday = 0, and the place of the day's quote among seven."""
+def date_labels(days: DataFrame) -> DataFrame:
+    """(date, label, weekday, quote) of a frame of days (a calendar, say): month and day as read aloud, Monday = 0, and the place of the day's quote among seven."""
     quote = (F.date_diff("day", F.lit("0001-01-01").cast("date")) + 1) % 7
-    return calendar(now, days).select(F.date_format("day", "yyyy-MM-dd").alias("date"), F.concat(F.month("day").cast("string"), F.lit("/"), F.day("day").cast("string")).alias("label"), F.weekday("day").alias("weekday"), quote.alias("quote"))
+    return days.select(F.date_format("day", "yyyy-MM-dd").alias("date"), F.concat(F.month("day").cast("string"), F.lit("/"), F.day("day").cast("string")).alias("label"), F.weekday("day").alias("weekday"), quote.alias("quote"))
 
 
 def weather_advice(temperature: Column, rain: Column, wind: Column, code: Column) -> Column:

@@ -774,13 +774,21 @@ def usage_newest(spark, sf):
 # Model replies
 
 
-REPLIES = ["yes 85", "Sure! Here it is: yes 70.", "no 95", "85 yes", "yes 2024 coverage 60", "Yes. Confidence: 0.9", "irrelevant", "nothing", "yes 1,200 words 55", "是 77"]
+#: What a model may answer, {n} being a number, and what that says: relevant, and whether the number is the score.
+REPLIES = [
+    ("yes {n}", True, True), ("Sure! Here it is: yes {n}.", True, False), ("no {n}", False, False), ("{n} yes", True, True), ("yes 2024 coverage {n}", True, True),
+    ("Yes. Confidence: 0.9", True, False), ("irrelevant", False, False), ("nothing", False, False), ("yes 1,200 words {n}", True, True), ("是 {n}", True, True),
+]
 
 
-@query("SELECT * FROM (VALUES ('yes 85', true, 85), ('Sure! Here it is: yes 70.', true, NULL), ('no 95', false, NULL), ('85 yes', true, 85), ('yes 2024 coverage 60', true, 60), ('Yes. Confidence: 0.9', true, NULL), ('irrelevant', false, NULL), ('nothing', false, NULL), ('yes 1,200 words 55', true, 55), ('是 77', true, 77)) t(reply, relevant, score)", raw=True)
+@query(f"""SELECT doc_id AS id, replace(reply, '{{n}}', (10 + doc_id % 90)::varchar) AS reply, relevant, CASE WHEN scored THEN (10 + doc_id % 90)::int END AS score FROM documents
+JOIN (VALUES {", ".join(f"({k}, '{r}', {yes}, {scored})" for k, (r, yes, scored) in enumerate(REPLIES))}) v(k, reply, relevant, scored) ON k = doc_id % {len(REPLIES)}""", raw=True)
 def parse_relevance_cases(spark, sf):
-    rows = spark.createDataFrame([(r,) for r in REPLIES], "reply string").withColumn("p", R.parse_relevance(F.col("reply")))
-    return rows.select("reply", "p.relevant", "p.score")
+    """Every document gets one of the replies, with a number of its own; the SQL knows what each of them says."""
+    patterns = F.broadcast(spark.createDataFrame([(k, r) for k, (r, _, _) in enumerate(REPLIES)], "k int, reply string"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % len(REPLIES)).alias("k")).join(patterns, "k")
+    reply = F.replace("reply", F.lit("{n}"), (10 + F.col("id") % 90).cast("string"))
+    return docs.select("id", reply.alias("reply")).withColumn("p", R.parse_relevance(F.col("reply"))).select("id", "reply", "p.relevant", "p.score")
 
 
 @query(rf"""WITH x AS (SELECT id, content_full || CASE WHEN id % 2 = 0 THEN chr(10) || '  ' || chr(10) || chr(10) || ' end ' ELSE chr(10) || chr(10) || ' ' END AS t FROM a)

@@ -1,4 +1,5 @@
-"""Queries over literal rows that the tables don't have: Chinese and mixed texts, replies of models, payloads. Both engines read the same rows."""
+"""Queries over texts that the tables don't have: Chinese and mixed texts, replies of models, payloads. Every document has one of a
+list of patterns, half of them with words of its own behind it, so that these tables grow with the documents; both engines make the same rows."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ from presswork.functions import replies as R
 from presswork.functions import text as T
 from presswork.operators import ingest
 from presswork.plans import long_sql as L
-from presswork.plans.articles import articles
+from presswork.plans.articles import articles, table
 from presswork.plans.catalog import query
 
 TEXTS = [
@@ -58,12 +59,21 @@ PAYLOADS = [
 ]
 
 
-def rows(spark, values: list) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(values)), "n int, x string")
+#: Both engines' expression of a document's text: the pattern x of its number, as it is or before the document's own words.
+MADE = "case when x is null then null when floor(doc_id / {n}) % 2 = 0 then x else concat(x, ' ', substr(coalesce(text, ''), 1, 60)) end"
+PAID = "replace(replace(x, '10', cast(doc_id % 1013 as {text})), '7', cast(doc_id % 89 as {text}))"
 
 
-def rows_sql(values: list) -> str:
-    return "x AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, {'NULL::varchar' if v is None else L.quoted(v)})" for n, v in enumerate(values)) + ") v(n, x))"
+def rows(spark, sf: str, values: list, made: str = MADE) -> DataFrame:
+    """(n, x) of every document, n its id. The patterns are a short list."""
+    patterns = F.broadcast(spark.createDataFrame(list(enumerate(values)), "k int, x string"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % len(values)).alias("k"))
+    return docs.join(patterns, "k").select(F.col("doc_id").alias("n"), F.expr(made.format(n=len(values), text="string")).alias("x"))
+
+
+def rows_sql(values: list, made: str = MADE) -> str:
+    listed = ", ".join(f"({n}, {'NULL::varchar' if v is None else L.quoted(v)})" for n, v in enumerate(values))
+    return f"x AS (SELECT doc_id AS n, {made.format(n=len(values), text='varchar')} AS x FROM documents JOIN (VALUES {listed}) v(k, x) ON k = doc_id % {len(values)})"
 
 
 TRIMMED = L.trimmed("coalesce(x, '')")
@@ -74,7 +84,7 @@ MINUTES = "greatest(1, round_even(length(regexp_replace(coalesce(x, ''), '[^一-
   {L.ratio(TRIMMED)} >= 0.4 AND NOT {L.untranslated(TRIMMED)} AS usable, {L.ratio(TRIMMED)} >= 0.3 AS usable_loosely, {MINUTES} AS minutes FROM x""", raw=True)
 def language_of_texts(spark, sf):
     x = F.col("x")
-    return rows(spark, TEXTS).select(
+    return rows(spark, sf, TEXTS).select(
         "n", T.looks_english(x).alias("english"), T.is_chinese(x).alias("chinese"), F.round(T.chinese_ratio(x), 6).alias("share"), T.has_untranslated_sentence(F.coalesce(x, F.lit(""))).alias("untranslated"),
         T.looks_telegraphic(x).alias("telegraphic"), T.chinese_usable(x).alias("usable"), T.chinese_usable(x, strict=False).alias("usable_loosely"), T.reading_minutes(x).alias("minutes"),
     )
@@ -86,7 +96,7 @@ def language_of_texts(spark, sf):
   array_to_string(list_filter(list_transform(string_split_regex(coalesce(x, ''), '[,，、;；]'), lambda v: {L.trimmed('v')}), lambda v: v <> '')[1:5], '|') AS tags FROM x""", raw=True)
 def forms_of_texts(spark, sf):
     x = F.col("x")
-    return rows(spark, TEXTS).select(
+    return rows(spark, sf, TEXTS).select(
         "n", T.normalize_title(x).alias("title_key"), F.array_join(F.sort_array(T.story_words(x)), "|").alias("words"), T.truncate(x, 12).alias("short"), T.strip_markdown(x).alias("plain"),
         T.redacted(F.coalesce(x, F.lit(""))).alias("masked"), F.array_join(T.split_tags(x), "|").alias("tags"),
     )
@@ -95,7 +105,7 @@ def forms_of_texts(spark, sf):
 @query(f"""WITH {rows_sql(TEXTS)}, {L.digests("SELECT n AS id, 'long' AS kind, 108 AS lim, x FROM x UNION ALL SELECT n, 'short', 30, x FROM x UNION ALL SELECT n, 'body', 216, x FROM x")}
 SELECT id AS n, kind, b AS digest FROM brief""", raw=True)
 def digests_of_texts(spark, sf):
-    each = [rows(spark, TEXTS).select("n", F.lit(kind).alias("kind"), T.brief_digest(F.col("x"), limit).alias("digest")) for kind, limit in (("long", 108), ("short", 30), ("body", 216))]
+    each = [rows(spark, sf, TEXTS).select("n", F.lit(kind).alias("kind"), T.brief_digest(F.col("x"), limit).alias("digest")) for kind, limit in (("long", 108), ("short", 30), ("body", 216))]
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
@@ -109,7 +119,7 @@ SELECT n, nullif({L.trimmed(f"regexp_replace(trim(ls[1], {QUOTES}), '^[#*\\-—
   regexp_matches(lower(substr(regexp_replace(coalesce(x, ''), '^[\\s\\-•*#]+', ''), 1, 8)), '^(yes|y|是|同一)') AS same FROM t""", raw=True)
 def readings_of_replies(spark, sf):
     x = F.col("x")
-    read = rows(spark, REPLIES).select("n", R.parse_title(x).alias("title"), R.parse_translate(x).alias("t"), R.split_digest(x).alias("d"), R.same_story(x).alias("same"))
+    read = rows(spark, sf, REPLIES).select("n", R.parse_title(x).alias("title"), R.parse_translate(x).alias("t"), R.split_digest(x).alias("d"), R.same_story(x).alias("same"))
     return read.select("n", "title", F.col("t.title").alias("translated_title"), F.col("t.digest").alias("translated_digest"), F.col("d.zh").alias("zh"), F.col("d.en").alias("en"), "same")
 
 
@@ -117,12 +127,12 @@ def _count(*paths: str) -> str:
     return "greatest(0, coalesce(" + ", ".join(f"try_cast(json_extract_string(j, '{p}') AS bigint)" for p in paths) + ", 0))"
 
 
-@query(f"""WITH {rows_sql(PAYLOADS)}, j AS (SELECT n, CASE WHEN json_valid(x) THEN x ELSE '{{}}' END AS j FROM x),
+@query(f"""WITH {rows_sql(PAYLOADS, PAID)}, j AS (SELECT n, CASE WHEN json_valid(x) THEN x ELSE '{{}}' END AS j FROM x),
 u AS (SELECT n, {_count('$.input_tokens', '$.prompt_tokens')} AS input, {_count('$.output_tokens', '$.completion_tokens')} AS output, {_count('$.input_tokens_details.cached_tokens', '$.prompt_tokens_details.cached_tokens', '$.cache_read_input_tokens')} AS cached,
   {_count('$.output_tokens_details.reasoning_tokens', '$.completion_tokens_details.reasoning_tokens')} AS reasoning, {_count('$.total_tokens')} AS given FROM j)
 SELECT n, input, output, cached, reasoning, coalesce(nullif(given, 0), input + output + greatest(0, reasoning - output)) AS total FROM u""", raw=True)
 def usage_of_payloads(spark, sf):
-    return rows(spark, PAYLOADS).select("n", R.parse_usage(F.col("x")).alias("u")).select("n", "u.*")
+    return rows(spark, sf, PAYLOADS, PAID).select("n", R.parse_usage(F.col("x")).alias("u")).select("n", "u.*")
 
 
 NATIVE = "CASE WHEN source_id % 3 = 0 THEN concat('中文正文，说的是第', id, '件事。', substr(content_full, 1, 40)) ELSE content_full END"

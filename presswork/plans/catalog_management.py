@@ -78,10 +78,10 @@ def pipeline_note(spark, sf):
     return audits.pipeline_note(articles(spark, sf))
 
 
-@query("""WITH d AS (SELECT unnest(generate_series(date '2024-01-22', date '2024-01-31', INTERVAL 1 DAY))::date AS day)
+@query("""WITH d AS (SELECT DISTINCT o_orderdate::date AS day FROM orders)
 SELECT strftime(day, '%Y-%m-%d') AS date, month(day)::varchar || '/' || day(day)::varchar AS label, (isodow(day) - 1)::int AS weekday, ((day - date '0001-01-01') + 1)::int % 7 AS quote FROM d""", raw=True)
 def date_labels(spark, sf):
-    return audits.date_labels(NOW, 10)
+    return audits.date_labels(table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct())
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN t >= 30 THEN 'hot' WHEN t >= 25 THEN 'warm' WHEN t >= 18 THEN 'mild' WHEN t >= 10 THEN 'cool' WHEN t >= 0 THEN 'cold' ELSE 'freezing' END AS clothing, r >= 50 AS umbrella,

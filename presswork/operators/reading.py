@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswork.functions import text as T
+from presswork.operators.settling import settled
 from presswork.operators.visibility import between, in_day, latest_first, reportable, ts, with_source
 
 
@@ -96,15 +97,38 @@ def listed(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
 
 def by_id(rows: DataFrame, number: int, size: int) -> DataFrame:
     """One page of a management list: the newest ids first; numbers beyond the ends are clamped."""
-    pages = max(1, -(-rows.count() // size))
-    return rows.orderBy(F.desc("id")).offset((min(max(1, number), pages) - 1) * size).limit(size)
+    return _page(rows, ["id"], number, size)
 
 
 def page(rows: DataFrame, number: int, size: int) -> DataFrame:
     """One page in canonical order; numbers beyond the ends are clamped."""
-    total = rows.count()
-    pages = max(1, -(-total // size))
-    return rows.orderBy(*latest_first()).offset((min(max(1, number), pages) - 1) * size).limit(size)
+    return _page(rows, ["published_at", "id"], number, size)
+
+
+def _page(rows: DataFrame, keys: list[str], number: int, size: int, near: int = 10_000) -> DataFrame:
+    """One page of ``rows`` (``id`` is unique) by the greatest ``keys``, null ones last.
+
+    Pages that end within the first ``near`` rows are the head of a partial sort. For a deeper one only the keys are sorted, over
+    range partitions; the partitions' numbers of rows tell in which of them the page lies, and at which places. No task sorts
+    or skips more than its partition, and whole rows are read for the page's ids alone.
+    """
+    order = [F.col(k).desc() for k in keys]
+    if number * size <= near:
+        total = rows.count()
+        last = max(1, -(-total // size))
+        return rows.orderBy(*order).offset((min(max(1, number), last) - 1) * size).limit(size)
+    sorted_keys = settled(rows.select(*keys).orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    counts = sorted(tuple(r) for r in sorted_keys.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    total = sum(n for _, n in counts)
+    start = (min(number, max(1, -(-total // size))) - 1) * size
+    inside, before = F.lit(False), 0
+    for p, n in counts:
+        first, end = max(start - before, 0), min(start + size - before, n)
+        if first < end:
+            inside = inside | F.col("__at").between((p << 33) + first, (p << 33) + end - 1)
+        before += n
+    return rows.join(F.broadcast(sorted_keys.filter(inside).select("id")), "id", "left_semi").orderBy(*order)  # a page of ids
 
 
 def page_window(current: int, pages: int, near: int = 2) -> list[int | None]:
@@ -126,11 +150,15 @@ def related(articles: DataFrame, article_id: int, recent: int = 120, top: int =
     return scored.filter("affinity > 0").orderBy(F.desc("affinity"), *latest_first()).limit(top).select("id", "affinity", "category", "tags")
 
 
-def homepage_date(articles: DataFrame, now: str, days: int = 14) -> DataFrame:
-    """Today if it has reportable articles, else the newest such day of the last ``days``, else today."""
+def homepage_date(articles: DataFrame, reports: DataFrame, now: str, newest: int = 14) -> DataFrame:
+    """Today if it has reportable articles, else the newest of the ``newest`` last reports (date) whose day has some, else today.
+
+    Reports count, not days: after a pause the last report with content may be weeks old.
+    """
     today = ts(now).cast("date")
-    window = articles.filter(reportable() & (F.col("published_at") >= today - F.expr(f"INTERVAL {days} DAY")) & (F.col("published_at") < today + F.expr("INTERVAL 1 DAY")))
-    return window.agg(F.max(F.to_date("published_at")).alias("d")).select(F.date_format(F.coalesce("d", today), "yyyy-MM-dd").alias("date"))
+    days = reports.select(F.to_date("date").alias("day")).distinct().orderBy(F.desc("day")).limit(newest).unionByName(reports.sparkSession.range(1).select(today.alias("day"))).distinct()
+    shown = articles.filter(reportable() & (F.col("published_at") < today + F.expr("INTERVAL 1 DAY"))).select(F.to_date("published_at").alias("day")).join(F.broadcast(days), "day")  # 15 days
+    return shown.agg(F.max("day").alias("d")).select(F.date_format(F.coalesce("d", today), "yyyy-MM-dd").alias("date"))
 
 
 def topic_list(topics: Column) -> Column:
@@ -275,3 +303,51 @@ def by_date(rows: DataFrame) -> DataFrame:
     """``rows`` with the number of rows of their day, the newest day first and the newest row in it."""
     counts = rows.groupBy("date_key").agg(F.count("*").alias("items"))
     return rows.join(counts, "date_key").orderBy(F.desc("date_key"), *latest_first()).select("id", "date_key", "items")
+
+
+ENTRY = "array<struct<place: int, id: long, title: string, brief: string, source: string, category: string, published: string, link: string, starred: boolean>>"
+ISSUE = f"struct<title: string, sections: array<struct<no: int, name: string, text: string, entries: {ENTRY}>>>"
+
+
+def _entry_text() -> Column:
+    head = F.concat(F.col("place").cast("string"), F.lit(". "), _mark(), "title")
+    return F.concat_ws("\n", head, "brief", F.concat(F.lit("—— "), F.concat_ws(" · ", "source", F.nullif("category", F.lit("")), F.nullif("published", F.lit("")))))
+
+
+def brief_issue(items: DataFrame, date: str, title: str) -> DataFrame:
+    """(date, content_json, text, markdown, section_count, article_count): the issue of a day as it is now, one row, for ``write_by_date``.
+
+    ``content_json`` holds the sections with their items and their own texts, so what is configured or edited later can't
+    change an issue. Without items it is an issue without sections. A brief is bounded by its TOP-N.
+    """
+    items = settled(items)  # a few rows, which three documents are made of
+    rows = numbered(items)
+    entry = F.struct(F.col("place").cast("int").alias("place"), "id", "title", "brief", "source", "category", "published", "link", (F.col("starred") == 1).alias("starred"))
+    in_order = F.sort_array(F.collect_list(F.struct("place", entry.alias("entry"), _entry_text().alias("text"))))
+    each = rows.groupBy(F.col("no").cast("int").alias("no"), F.col("section").alias("name")).agg(in_order.alias("e"))
+    each = each.select("no", "name", F.array_join(F.transform("e", lambda x: x["text"]), "\n\n").alias("text"), F.transform("e", lambda x: x["entry"]).alias("entries"))
+    whole = each.agg(F.sort_array(F.collect_list(F.struct("no", "name", "text", "entries"))).alias("sections"), F.coalesce(F.sum(F.size("entries")), F.lit(0)).cast("long").alias("article_count"))
+    made = whole.select(F.lit(date).alias("date"), F.to_json(F.struct(F.lit(title).alias("title"), "sections")).alias("content_json"), F.size("sections").cast("long").alias("section_count"), "article_count")
+    return made.crossJoin(brief_text(items, title)).crossJoin(brief_markdown(items, title).withColumnRenamed("text", "markdown"))  # one row each
+
+
+def issues_view(issues: DataFrame, default_title: str = "Brief") -> DataFrame:
+    """(date, title, sections, text, markdown, section_count, article_count) of stored issues. What is no JSON has no sections; sections
+    of old issues without a text get it from their items."""
+    parsed = F.from_json("content_json", ISSUE)
+    line = lambda e: F.concat_ws("\n", F.concat(e["place"].cast("string"), F.lit(". "), F.when(e["starred"], "★ ").otherwise(""), e["title"]), e["brief"], F.concat(F.lit("—— "), F.concat_ws(" · ", e["source"], F.nullif(e["category"], F.lit("")), F.nullif(e["published"], F.lit("")))))
+    text = lambda s: T.first_nonempty(s["text"], F.array_join(F.transform(s["entries"], line), "\n\n"))
+    sections = F.transform(F.coalesce("p.sections", F.array().cast(ISSUE[ISSUE.index("array") : -1])), lambda s: F.struct(s["no"].alias("no"), s["name"].alias("name"), text(s).alias("text"), s["entries"].alias("entries")))
+    title = T.first_nonempty(F.col("p.title"), F.concat(F.lit(f"{default_title} · "), F.col("date").cast("string")))
+    return issues.withColumn("p", parsed).select(F.col("date").cast("string").alias("date"), title.alias("title"), sections.alias("sections"), "text", "markdown", "section_count", "article_count")
+
+
+def rss_channel(items: DataFrame, title: str, link: str, description: str, zone: str = "+0800", no_tags: str = "no tags", degraded: str = " (degraded)") -> DataFrame:
+    """One row: a channel with the items of a day in their order, each titled with its tags, for ``write_rss``. Without items it is an empty channel."""
+    date = F.concat(F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(f" {zone}"))
+    name = F.concat("title", F.lit(" ("), F.when(F.col("tags").isin("", "(no tags)"), no_tags).otherwise(F.col("tags")), F.lit(")"))
+    summary = F.substring(F.concat("summary", F.when(F.col("degraded"), degraded).otherwise("")), 1, 600)
+    guid = F.struct(F.lit("false").alias("_isPermaLink"), F.col("link").alias("_VALUE"))
+    item = F.struct("rank", F.struct(name.alias("title"), "link", guid.alias("guid"), summary.alias("description"), date.alias("pubDate")).alias("item"))
+    rows = items.agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["item"]).alias("item"))
+    return rows.select(F.lit(title).alias("title"), F.lit(link).alias("link"), F.lit(description).alias("description"), "item")

@@ -14,18 +14,23 @@ def charged() -> Column:
 
 def _sums() -> list[Column]:
     tokens = [F.coalesce(F.sum(f"{n}_tokens"), F.lit(0)).cast("long").alias(f"{n}_tokens") for n in ("input", "output", "cached", "reasoning", "total")]
-    return [F.count("*").alias("calls"), F.count_if("ok").alias("ok_calls"), F.count_if(~F.col("ok")).alias("failed_calls"), *tokens, F.sum(charged()).cast("long").alias("charged")]
+    return [F.count("*").alias("calls"), F.count_if("ok").alias("ok_calls"), F.count_if(~F.col("ok")).alias("failed_calls"), *tokens, F.coalesce(F.sum(charged()), F.lit(0)).cast("long").alias("charged")]
 
 
 def by_day(log: DataFrame, days: int = 14) -> DataFrame:
     """The last ``days`` days that have calls, with sums and the cache's hit rate."""
     out = log.groupBy(F.date_format("at", "yyyy-MM-dd").alias("day")).agg(*_sums())
-    rate = F.when(F.col("input_tokens") > 0, F.bround(F.col("cached_tokens") / F.col("input_tokens") * 100, 1)).otherwise(0.0)
-    return out.withColumn("cache_pct", rate).orderBy(F.desc("day")).limit(days)
+    return with_cache_share(out).orderBy(F.desc("day")).limit(days)
 
 
 def totals(log: DataFrame) -> DataFrame:
-    return log.agg(*_sums())
+    """One row: the sums of all days with the cache's hit rate, in percent of the input; 0 without input."""
+    return with_cache_share(log.agg(*_sums()))
+
+
+def with_cache_share(sums: DataFrame) -> DataFrame:
+    rate = F.when(F.col("input_tokens") > 0, F.bround(F.col("cached_tokens") / F.col("input_tokens") * 100, 1)).otherwise(0.0)
+    return sums.withColumn("cache_pct", rate)
 
 
 def newest(log: DataFrame, top: int = 20) -> DataFrame:

@@ -232,9 +232,19 @@ def related_articles(spark, sf):
     return reading.related(articles(spark, sf), 30)
 
 
-@query("""SELECT strftime(coalesce(max(published_at)::date, date '2024-01-31'), '%Y-%m-%d') AS date FROM rep WHERE published_at >= timestamp '2024-01-17' AND published_at < timestamp '2024-02-01'""")
+@query("""WITH d AS (SELECT DISTINCT published_at::date - 9 AS day FROM a WHERE id % 5 = 0 ORDER BY day DESC LIMIT 14)
+SELECT strftime(coalesce(max(published_at)::date, date '2024-01-31'), '%Y-%m-%d') AS date FROM rep WHERE published_at < timestamp '2024-02-01' AND (published_at::date IN (SELECT day FROM d) OR published_at::date = date '2024-01-31')""")
 def homepage_date(spark, sf):
-    return reading.homepage_date(articles(spark, sf), NOW)
+    """The reports lag nine days behind, so that the newest one with articles is not yesterday's."""
+    a = articles(spark, sf)
+    reports = a.filter("id % 5 = 0").select(F.date_sub(F.to_date("published_at"), 9).alias("date"))
+    return reading.homepage_date(a, reports, NOW)
+
+
+@query("SELECT id, title FROM rep ORDER BY published_at DESC, id DESC LIMIT 7 OFFSET (SELECT 7 * greatest(0, least(1499, (count(*) - 1) // 7)) FROM rep)")
+def deep_page(spark, sf):
+    """Page 1,500 of 7 rows, or the last: found by counts of sorted partitions."""
+    return reading.page(articles(spark, sf).filter(reportable()), 1500, 7).select("id", "title")
 
 
 @query("""WITH p AS (SELECT * FROM rep WHERE published_at >= timestamp '2024-01-31' - INTERVAL 7 DAY AND published_at <= timestamp '2024-01-31' ORDER BY published_at DESC, id DESC LIMIT 400)
@@ -285,6 +295,30 @@ def brief_items(spark, sf):
     return section_items(spark, sf).select("section", "rank", "id", "title", "brief", "source", "category", "starred", "link", "published")
 
 
+@query(ITEMS_SQL + "SELECT '2024-01-31' AS date, no::int AS no, section AS name, place::int AS place, id, title, brief, (SELECT count(*) FROM i) AS article_count, (SELECT count(DISTINCT no) FROM i) AS section_count FROM i")
+def brief_issues(spark, sf):
+    """The day's issue written, read back and taken apart."""
+    from presswork.sources import feeds
+    from presswork.streaming import jobs
+
+    folder = jobs.work_folder(spark)
+    feeds.write_by_date(reading.brief_issue(section_items(spark, sf), "2024-01-31", "Today"), folder)
+    seen = reading.issues_view(spark.read.parquet(folder)).select("date", "article_count", "section_count", F.explode("sections").alias("s"))
+    rows = seen.select("date", "article_count", "section_count", "s.no", "s.name", F.explode("s.entries").alias("e"))
+    return rows.select("date", "no", "name", "e.place", "e.id", "e.title", "e.brief", "article_count", "section_count")
+
+
+@query(f"""WITH d AS ({long_sql.DAY}) SELECT title || ' (' || tags || ')' AS title, link, substr(summary || CASE WHEN degraded THEN ' (degraded)' ELSE '' END, 1, 600) AS content, published_at FROM d""")
+def rss_document(spark, sf):
+    """The day's feed written as XML and read again by the feed reader."""
+    from presswork.sources import feeds
+    from presswork.streaming import jobs
+
+    folder = jobs.work_folder(spark)
+    feeds.write_rss(reading.rss_channel(daily_report(spark, sf), "Daily", "https://news.example.com/", "The report of a day"), folder)
+    return feeds.read_feeds(spark, folder).withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+
+
 def _document(entry: str) -> str:
     return f", e AS (SELECT no, section, string_agg({entry}, chr(10) || chr(10) ORDER BY place) AS body FROM i GROUP BY no, section) SELECT '# Today' || chr(10) || chr(10) || string_agg(CASE WHEN (SELECT count(*) FROM e) > 1 THEN '## ' || section || chr(10) || chr(10) ELSE '' END || body, chr(10) || chr(10) ORDER BY no) || chr(10) AS text FROM e"
 
@@ -766,6 +800,12 @@ def usage_by_day(spark, sf):
     return usage.by_day(usage_log(spark, sf))
 
 
+@query(USAGE_SQL + """SELECT count(*) AS calls, count_if(ok) AS ok_calls, count_if(NOT ok) AS failed_calls, sum(i)::bigint AS input_tokens, sum(o)::bigint AS output_tokens, sum(c)::bigint AS cached_tokens, sum(r)::bigint AS reasoning_tokens,
+  sum(t)::bigint AS total_tokens, sum(i - least(c, i) + o + greatest(0, r - o))::bigint AS charged, round_even(sum(c) / sum(i) * 100, 1) AS cache_pct FROM u""", raw=True)
+def usage_totals(spark, sf):
+    return usage.totals(usage_log(spark, sf))
+
+
 @query(USAGE_SQL + "SELECT seq, \"at\", ok FROM u ORDER BY \"at\" DESC, seq DESC LIMIT 20", raw=True)
 def usage_newest(spark, sf):
     return usage.newest(usage_log(spark, sf)).select("seq", "at", "ok")

@@ -57,6 +57,11 @@ def write_by_date(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
+def write_rss(channel: DataFrame, path: str) -> None:
+    """A channel (one row of ``rss_channel``) as an RSS 2.0 document; ``read_feeds`` reads it."""
+    channel.coalesce(1).write.mode("overwrite").format("xml").option("rootTag", 'rss version="2.0"').option("rowTag", "channel").option("declaration", 'version="1.0" encoding="UTF-8"').save(path)
+
+
 def image_name(url: Column, head: Column) -> Column:
     """sha1 of the address and an extension by the file's first bytes."""
     h = F.hex(F.substring(head, 1, 12))

@@ -600,3 +600,43 @@ def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
     cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None), conf=SimpleNamespace(get=lambda *_: None))
     with pytest.raises(ValueError):
         shared_folder(cluster)
+
+
+def test_issues_keep_what_they_were(spark, tmp_path):
+    """An issue is read as it was written, whatever comes later; old and broken ones get what they lack."""
+    schema = "no int, section string, rank int, id long, title string, brief string, source string, category string, starred int, link string, published string"
+    rows = [(0, "First", 1, 7, "A <b> & \"q\"", "Text。", "src", "model", 1, "https://x/7", "2024-01-01 10:00"), (0, "First", 3, 8, "B", "Other.", "src", "", 0, "https://x/8", ""), (2, "Third", 1, 7, "A", "Text。", "src", None, 1, "https://x/7", "")]
+    path = str(tmp_path / "issues")
+    for date, kept in (("2024-01-01", rows), ("2024-01-02", rows[:1]), ("2024-01-03", [])):
+        feeds.write_by_date(reading.brief_issue(spark.createDataFrame(kept, schema), date, f"Today {date}"), path)
+    feeds.write_by_date(reading.brief_issue(spark.createDataFrame(rows[1:2], schema), "2024-01-02", "Again"), path)  # the same day is replaced
+    got = {r["date"]: r for r in reading.issues_view(spark.read.parquet(path)).collect()}
+    assert [len(got[d]["sections"]) for d in sorted(got)] == [2, 1, 0] and got["2024-01-03"]["article_count"] == 0
+    one_, third = got["2024-01-01"]["sections"]
+    assert (one_["name"], [e["id"] for e in one_["entries"]], [e["place"] for e in one_["entries"]], third["entries"][0]["category"]) == ("First", [7, 8], [1, 2], None)
+    assert one_["entries"][0]["title"] == 'A <b> & "q"' and one_["text"].startswith("1. ★ A <b>") and got["2024-01-02"]["title"] == "Again"
+    old = spark.createDataFrame([("2023-01-01", "{not json"), ("2023-01-02", '{"sections": [{"no": 0, "name": "n", "entries": [{"place": 1, "title": "T", "brief": "b", "source": "s", "category": "", "published": "", "starred": false}]}]}')], "date string, content_json string")
+    seen = reading.issues_view(old.selectExpr("*", "'' as text", "'' as markdown", "0L as section_count", "0L as article_count")).orderBy("date").collect()
+    assert seen[0]["title"] == "Brief · 2023-01-01" and seen[0]["sections"] == [] and seen[1]["sections"][0]["text"] == "1. T\nb\n—— s"
+
+
+def test_rss_document(spark, tmp_path):
+    items = spark.createDataFrame([(1, "A & <b>", "https://x/1?a=1&b=2", "sum", "t1, t2", True), (2, "B", "https://x/2", "x" * 700, "(no tags)", False)], "rank int, title string, link string, summary string, tags string, degraded boolean")
+    rows = items.withColumn("published_at", F.lit("2024-01-15 08:00:00").cast("timestamp_ntz"))
+    feeds.write_rss(reading.rss_channel(rows, "Daily & more", "https://news/", "d"), str(tmp_path / "rss"))
+    text = next((tmp_path / "rss").glob("part-*")).read_text(encoding="utf-8")
+    assert text.startswith('<?xml version="1.0" encoding="UTF-8"?>') and '<rss version="2.0">' in text and "Daily &amp; more" in text and '<guid isPermaLink="false">https://x/2</guid>' in text
+    back = feeds.read_feeds(spark, str(tmp_path / "rss")).orderBy("link").collect()
+    assert [(r["title"], r["link"], len(r["content"])) for r in back] == [("A & <b> (t1, t2)", "https://x/1?a=1&b=2", 14), ("B (no tags)", "https://x/2", 600)]
+    feeds.write_rss(reading.rss_channel(rows.limit(0), "Empty", "https://news/", "d"), str(tmp_path / "none"))
+    assert feeds.read_feeds(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_deep_pages_equal_plain_ones(spark):
+    rows = settled(spark.range(5000).select("id", F.when(F.col("id") % 50 != 0, F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, (id * 37) % 900)")).alias("published_at")))
+    plain_ = [r["id"] for r in rows.orderBy(F.desc("published_at"), F.desc("id")).collect()]
+    for number in (1, 2, 333, 499, 500, 501, 9999):
+        at = (min(number, 500) - 1) * 10
+        assert [r["id"] for r in reading._page(rows, ["published_at", "id"], number, 10, near=0).collect()] == plain_[at : at + 10]
+    assert reading._page(rows.limit(0), ["id"], 3, 10, near=0).count() == 0
+    assert [r["id"] for r in reading.by_id(rows, 3, 4).collect()] == [4991, 4990, 4989, 4988]

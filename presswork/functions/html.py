@@ -223,12 +223,46 @@ def contents(blocks: Column, most: int = 12) -> Column:
     return F.slice(F.transform(F.filter(headings(blocks), lambda b: b["heading"]), lambda b: b["text"]), 1, most)
 
 
+def sections_of(blocks: Column) -> Column:
+    """Blocks (text, heading) folded into sections, array<struct<start, blocks>>: a section is a heading with what follows it, and
+    what stands before the first heading. ``start`` is the number of its first block."""
+    starts = F.filter(F.transform(blocks, lambda b, i: F.when(b["heading"] | (i == 0), i)), lambda i: i.isNotNull())
+    ends = lambda s: F.transform(s, lambda _, k: F.coalesce(F.get(s, k + 1), F.size(blocks)))
+    return T.bound(starts, lambda s: F.zip_with(s, ends(s), lambda x, y: F.struct(x.alias("start"), F.slice(blocks, x + 1, y - x).alias("blocks"))))
+
+
+def paired_sections(left: Column, right: Column, left_slots: Column | None = None, right_slots: Column | None = None) -> Column:
+    """Sections of two versions side by side: array<struct<left, right[, left_slots, right_slots]>> of blocks (text, heading).
+
+    The versions pair by section where these begin at the same blocks in both; else all is one pair, so that nothing of either
+    is lost. Without blocks on a side there are no pairs. Slots (``image_slots``: one more than there are blocks) are cut at the
+    same places, the last section taking the one behind the text.
+    """
+    slots = left_slots is not None and right_slots is not None
+
+    def side(s: Column, k: Column, own: Column, blocks: Column) -> Column:
+        after = F.coalesce(F.get(s, k + 1)["start"], F.size(blocks) + 1)
+        return F.slice(own, F.get(s, k)["start"] + 1, after - F.get(s, k)["start"])
+
+    def fields(a: Column, b: Column, x: Column | None, y: Column | None) -> Column:
+        return F.struct(a.alias("left"), b.alias("right"), *([x.alias("left_slots"), y.alias("right_slots")] if slots else []))
+
+    def paired(p: Column) -> Column:
+        same = F.transform(p["a"], lambda s: s["start"]) == F.transform(p["b"], lambda s: s["start"])
+        each = F.transform(F.sequence(F.lit(0), F.size(p["a"]) - 1), lambda k: fields(F.get(p["a"], k)["blocks"], F.get(p["b"], k)["blocks"], side(p["a"], k, left_slots, left) if slots else None, side(p["b"], k, right_slots, right) if slots else None))
+        return F.when(same, each).otherwise(F.array(fields(left, right, left_slots, right_slots)))
+
+    some = (F.size(left) > 0) & (F.size(right) > 0)
+    both = T.bound(F.struct(sections_of(left).alias("a"), sections_of(right).alias("b")), paired)
+    return F.when(some, both).otherwise(F.slice(F.array(fields(left, right, left_slots, right_slots)), 1, 0))
+
+
 def section_pairs(left: Column, right: Column) -> Column:
-    """Blocks of two versions side by side where their patterns of headings agree, else all in one pair."""
-    same = F.transform(headings(left), lambda b: b["heading"]) == F.transform(headings(right), lambda b: b["heading"])
+    """Blocks of text of two versions side by side where they agree block by block on what is a heading, else by sections (``paired_sections``) as texts."""
+    agree = F.transform(headings(left), lambda b: b["heading"]) == F.transform(headings(right), lambda b: b["heading"])
+    text = lambda blocks: F.array_join(F.transform(blocks, lambda b: b["text"]), "\n\n")
     zipped = F.zip_with(left, right, lambda a, b: F.struct(a.alias("left"), b.alias("right")))
-    whole = F.array(F.struct(F.array_join(left, "\n\n").alias("left"), F.array_join(right, "\n\n").alias("right")))
-    return F.when(same, zipped).otherwise(whole)
+    return F.when(agree, zipped).otherwise(F.transform(paired_sections(headings(left), headings(right)), lambda p: F.struct(text(p["left"]).alias("left"), text(p["right"]).alias("right"))))
 
 
 def shift_anchors(anchors: Column, removed: Column) -> Column:

@@ -9,7 +9,7 @@ from presswork.functions import html as H
 from presswork.functions import replies as R
 from presswork.functions import text as T
 from presswork.operators import audits, reading
-from presswork.operators.visibility import reportable
+from presswork.operators.visibility import latest_first, reportable
 from presswork.plans import long_sql
 from presswork.plans.articles import NOW, articles, sources, table
 from presswork.plans.catalog import RULE_TABLE_SQL, STORED_SQL, daily_report, query, rule_table, stored
@@ -68,6 +68,55 @@ def content_queue(spark, sf):
     return audits.backfill_queue(stored(spark, sf), F.char_length("content_full") < 600).select("id", "process_attempts")
 
 
+#: What backfills mark, derived from ids in either engine.
+MARKS = {
+    "body_sections": "case id % 3 when 0 then '[]' end",
+    "body_sections_zh": "case id % 4 when 0 then '[]' end",
+    "image_urls": "case id % 5 when 1 then '[]' when 2 then concat('[\"/rel.jpg\", \"https://cdn.example.com/', id, '.jpg\"]') when 3 then '[\"/only.jpg\"]' when 4 then concat('[\"https://cdn.example.com/', id, '.jpg\"]') end",
+    "media_map": "case when id % 7 = 0 then concat('{\"https://cdn.example.com/', id, '.jpg\": \"/img/x.jpg\"}') when id % 7 = 1 then 'no json' end",
+    "body_images": "case id % 6 when 1 then '[]' when 2 then '[{\"i\": 0, \"url\": \"u\", \"local\": \"/img/x.jpg\"}]' when 3 then '[{\"i\": 0, \"url\": \"u\"}]' end",
+    "i18n_attempts": "cast(id % 7 as int)",
+}
+NEWEST, OPEN = "ORDER BY published_at DESC, id DESC", "link NOT LIKE 'http://localhost%'"
+
+
+def _queue(name: str, where: str, limit: int, first: str = "") -> str:
+    """One queue in SQL: its rows by order, numbered."""
+    order = f"ORDER BY {first} published_at DESC, id DESC"
+    return f"SELECT '{name}' AS queue, id, row_number() OVER ({order})::int AS place FROM (SELECT * FROM q WHERE {where} AND {OPEN} {order} LIMIT {limit})"
+
+
+BRIEF_DIGEST = long_sql.strip_markdown(long_sql.filled("digest_zh", "digest"))
+COVER = "list_filter(cast(json_extract(image_urls, '$') AS varchar[]), lambda u: starts_with(u, 'http'))[1]"
+
+
+@query(f"""WITH q AS (SELECT *, {", ".join(f"{sql} AS {name}" for name, sql in MARKS.items())} FROM a),
+b AS (SELECT * FROM q WHERE brief_zh IS NULL AND relevance = 1 {NEWEST} LIMIT 60), c AS (SELECT *, {COVER} AS cover FROM (SELECT * FROM q WHERE image_urls IS NOT NULL AND image_urls <> '[]' {NEWEST} LIMIT 150))
+{_queue("translate", "(digest_zh IS NULL OR title_zh IS NULL OR content_zh IS NULL) AND (relevance = 1 OR (relevance = 0 AND title_zh IS NULL)) AND content_full IS NOT NULL AND i18n_attempts < 5", 20, "i18n_attempts,")}
+UNION ALL {_queue("sections", "(body_sections_zh IS NULL OR body_sections IS NULL) AND coalesce(content_zh, '') <> '' AND relevance = 1", 15)}
+UNION ALL SELECT 'brief', id, row_number() OVER ({NEWEST})::int FROM (SELECT * FROM b WHERE {BRIEF_DIGEST} <> '' AND {long_sql.letters(BRIEF_DIGEST, '一-鿿')} > 0 {NEWEST} LIMIT 20)
+UNION ALL {_queue("image", "image_urls IS NULL AND relevance = 1", 20)}
+UNION ALL SELECT 'cover', id, row_number() OVER ({NEWEST})::int FROM (SELECT * FROM c WHERE cover IS NOT NULL AND NOT coalesce(contains(media_map, '"' || cover || '"'), false) {NEWEST} LIMIT 50)
+UNION ALL {_queue("body_fresh", "body_images IS NULL AND coalesce(content_full, '') <> '' AND relevance = 1", 20)}
+UNION ALL {_queue("body_remote", "body_images IS NOT NULL AND body_images <> '[]' AND NOT contains(body_images, chr(34) || 'local' || chr(34))", 20)}""")
+def backfill_queues(spark, sf):
+    """The rows of all queues in their order."""
+    from pyspark.sql import Window
+
+    from presswork.operators import queues
+
+    a = articles(spark, sf).withColumns({name: F.expr(sql) for name, sql in MARKS.items()})
+    body = queues.without_body_images(a)
+    found = {"translate": queues.to_translate(a), "sections": queues.without_sections(a), "brief": queues.without_brief(a), "image": queues.without_image(a), "cover": queues.covers_to_store(a), "body_fresh": body.filter("fresh"), "body_remote": body.filter("not fresh")}
+    out = None
+    for name, rows in found.items():
+        order = [*([F.col("i18n_attempts")] if name == "translate" else []), *latest_first()]
+        # A queue has some dozens of rows.
+        one = rows.select(F.lit(name).alias("queue"), "id", F.row_number().over(Window.orderBy(*order)).alias("place"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("SELECT count(*) AS n, CASE WHEN count(*) = 0 THEN 'no articles in the window' ELSE 'no article matched' END AS hint FROM rep WHERE published_at >= timestamp '2024-01-28'")
 def empty_hint(spark, sf):
     return audits.empty_hint(articles(spark, sf), NOW, 3)

@@ -640,3 +640,19 @@ def test_deep_pages_equal_plain_ones(spark):
         assert [r["id"] for r in reading._page(rows, ["published_at", "id"], number, 10, near=0).collect()] == plain_[at : at + 10]
     assert reading._page(rows.limit(0), ["id"], 3, 10, near=0).count() == 0
     assert [r["id"] for r in reading.by_id(rows, 3, 4).collect()] == [4991, 4990, 4989, 4988]
+
+
+def test_paired_sections(spark):
+    """Sections pair where they begin at the same blocks; else all is one pair; image slots are cut along."""
+    block = "array<struct<text: string, heading: boolean>>"
+    b = lambda *xs: [(x, x.isupper()) for x in xs]
+    slots = lambda blocks, name: [[f"{name}{k}"] for k in range(len(blocks) + 1)]
+    cases = [(b("a", "H", "b", "c", "K", "d"), b("x", "I", "y", "z", "L", "w")), (b("H", "b", "c"), b("I", "y")), (b("a", "H", "b"), b("I", "y", "z")), (b("H", "b"), []), ([], []), (b("a"), b("x")), (b("H", "K"), b("I", "L"))]
+    rows = spark.createDataFrame([(n, x, y, slots(x, "l"), slots(y, "r")) for n, (x, y) in enumerate(cases)], f"n int, l {block}, r {block}, ls array<array<string>>, rs array<array<string>>")
+    got = {r["n"]: r["p"] for r in rows.select("n", H.paired_sections(F.col("l"), F.col("r"), F.col("ls"), F.col("rs")).alias("p")).collect()}
+    texts = lambda p: [("".join(x["text"] for x in s["left"]), "".join(x["text"] for x in s["right"])) for s in p]
+    assert [texts(got[n]) for n in range(7)] == [[("a", "x"), ("Hbc", "Iyz"), ("Kd", "Lw")], [("Hbc", "Iy")], [("aHb", "Iyz")], [], [], [("a", "x")], [("H", "I"), ("K", "L")]]
+    assert [[x[0] for x in s["left_slots"]] for s in got[0]] == [["l0"], ["l1", "l2", "l3"], ["l4", "l5", "l6"]]
+    assert [x[0] for x in got[1][0]["right_slots"]] == ["r0", "r1", "r2"] and [x[0] for x in got[6][1]["left_slots"]] == ["l1", "l2"]
+    bare = rows.select(H.paired_sections(F.col("l"), F.col("r")).alias("p")).first()["p"]
+    assert len(bare) == 3 and "left_slots" not in bare[0].asDict()

@@ -520,6 +520,17 @@ def run_report(spark, sf):
     return ingest.run_report(settled_run(spark, sf), sources(spark, sf).unionByName(extra))
 
 
+@query(ORACLES["run_report"], raw=True)
+def run_report_observed(spark, sf):
+    """The same report from what was observed while the rows were written."""
+    from presswork.streaming import jobs
+
+    extra = spark.createDataFrame([(9999, "silent")], "id int, name string")
+    rows, seen = ingest.observed_outcomes(settled_run(spark, sf))
+    rows.write.parquet(jobs.work_folder(spark))
+    return ingest.observed_report(seen, sources(spark, sf).unionByName(extra))
+
+
 @query("""SELECT id, url FROM (SELECT id, name AS url FROM s WHERE id % 2 = 0 UNION ALL SELECT id + 1000000, name FROM s WHERE id % 3 > 0 AND name NOT IN (SELECT name FROM s WHERE id % 2 = 0))""")
 def seed_sources(spark, sf):
     s = sources(spark, sf).select("id", F.col("name").alias("url"))

@@ -217,6 +217,17 @@ def page_contents(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.array_join(H.contents(blocks), "|").alias("contents"))
 
 
+@query(long_sql.page_sections(), raw=True)
+def page_sections(spark, sf):
+    """A page's sections beside those of a version of it: the same, without its first block, or with another end."""
+    page = table(spark, sf, "pages").select("page_id", H.block_texts(H.without_furniture(F.col("html")), 2).alias("l"))
+    other = F.when(F.col("page_id") % 3 == 0, F.col("l")).when(F.col("page_id") % 3 == 1, F.slice("l", 2, F.greatest(F.size("l"), F.lit(1))))
+    both = page.withColumn("r", other.otherwise(F.concat(F.slice("l", F.lit(1), F.greatest(F.size("l") - 1, F.lit(0))), F.array(F.lit("And one more sentence stands at the end.")))))
+    made = both.select("page_id", H.headings(F.col("l")).alias("l"), H.headings(F.col("r")).alias("r")).select("page_id", H.sections_of(F.col("l")).alias("s"), H.paired_sections(F.col("l"), F.col("r")).alias("p"))
+    first = F.coalesce(F.size(F.get("p", F.lit(0))["right"]), F.lit(0))
+    return made.select("page_id", F.array_join(F.transform("s", lambda x: x["start"].cast("string")), " ").alias("starts"), F.size("p").alias("pairs"), first.alias("first_right"))
+
+
 @query(f"SELECT conv_id, turn, ls[1] AS first_line, len(ls) AS n_lines FROM (SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda x: {long_sql.trimmed('x')}), lambda x: x <> '') AS ls FROM conversations WHERE role = 'assistant')", raw=True)
 def reply_first_lines(spark, sf):
     rows = table(spark, sf, "conversations").filter("role = 'assistant'").select("conv_id", "turn", R.lines_of(F.col("text")).alias("ls"))

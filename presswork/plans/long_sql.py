@@ -230,6 +230,17 @@ def page_contents() -> str:
     return f"SELECT page_id, array_to_string(({heads})[1:12], '|') AS contents FROM pages"
 
 
+def page_sections() -> str:
+    """Sections by the places of headings, of the page and of a version of it; pairs where the places agree."""
+    heading = "(length(b) BETWEEN 2 AND 30 AND NOT regexp_matches(b, '[。！？.!?,，;；:：]$') AND NOT regexp_matches(b, '^[0-9]'))"
+    starts = lambda x: f"list_filter(range(len({x})), lambda i: i = 0 OR list_transform({x}, lambda b: {heading})[i + 1])"
+    return f"""WITH b AS (SELECT page_id, {block_texts(clean_page(), 2)} AS l FROM pages),
+v AS (SELECT *, CASE page_id % 3 WHEN 0 THEN l WHEN 1 THEN l[2:] ELSE list_concat(l[1:greatest(len(l) - 1, 0)], ['And one more sentence stands at the end.']) END AS r FROM b),
+s AS (SELECT *, {starts('l')} AS sl, {starts('r')} AS sr FROM v)
+SELECT page_id, array_to_string(sl, ' ') AS starts, (CASE WHEN len(l) = 0 OR len(r) = 0 THEN 0 WHEN sl = sr THEN len(sl) ELSE 1 END)::int AS pairs,
+  (CASE WHEN len(l) = 0 OR len(r) = 0 THEN 0 WHEN sl = sr AND len(sr) > 1 THEN sr[2] - sr[1] ELSE len(r) END)::int AS first_right FROM s"""
+
+
 def reply_halves() -> str:
     parts = r"list_filter(string_split(regexp_replace(text, '([.!?。！？])\s*', '\1' || chr(1), 'g'), chr(1)), lambda p: p <> '')"
     return rf"""WITH p AS (SELECT conv_id, turn, text, {parts} AS ps FROM conversations),

@@ -144,6 +144,22 @@ def test_settled_items(spark):
     assert ingest.settle_kept(items.limit(0), known).count() == 0
 
 
+def test_observed_counts(spark, tmp_path):
+    """One scan writes the rows and counts them; more sources than the histogram has bins for are an error, not a guess."""
+    rows = spark.range(5000).selectExpr("cast(id % 97 as int) as source_id", f"element_at(array({', '.join(repr(o) for o in ingest.OUTCOMES)}), cast(1 + id % 7 as int)) as outcome")
+    rows.write.parquet(str(tmp_path / "in"))
+    stored, known = spark.read.parquet(str(tmp_path / "in")), spark.range(100).selectExpr("cast(id as int) as id")
+    out, seen = ingest.observed_outcomes(stored, "many")
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    out.write.parquet(str(tmp_path / "out"))
+    assert seen.get["rows"] == 5000
+    assert sorted(map(tuple, ingest.observed_report(seen, known).collect())) == sorted(map(tuple, ingest.run_report(stored, known).collect()))
+    few, seen = ingest.observed_outcomes(stored, "few", most=20)
+    few.write.format("noop").mode("overwrite").save()
+    with pytest.raises(ValueError):
+        ingest.observed_report(seen, known, most=20)
+
+
 def test_day_is_ranked_by_minutes(spark, sf):
     rows = spark.range(5000).selectExpr("id", "timestamp_ntz'2024-01-15 00:00:00' + make_dt_interval(0, 0, 0, (id * 37) % 86400) as published_at")
     got = [r["id"] for r in reading.ranked_in_day(rows).orderBy("rank").collect()]

@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 from presswork.functions import text as T
 
-#: The words by which a reply says yes or no.
-VERDICT = r"\b(yes|no|y|n|true|false|relevant|irrelevant)\b|(不相关|是|否|相关)"
+#: The words by which a reply says yes or no, those that say no, a number that may be the score, and one before the word.
+VERDICT = r"\b(?:yes|no|y|n|true|false|relevant|irrelevant)\b|不相关|是|否|相关"
 NEGATIVE = ("no", "n", "false", "irrelevant", "否", "不相关")
+SCORE = r"(?<![\d.,])(\d{1,4})(?![\d.,])"
+SCORE_AHEAD = r"(?i)^\s*(\d{1,3})\s*(?:yes|no|y|n|是|否)\b"
+#: The names that services give their counts of tokens.
+INPUT, OUTPUT, TOTAL = ("$.input_tokens", "$.prompt_tokens"), ("$.output_tokens", "$.completion_tokens"), ("$.total_tokens",)
+CACHED = ("$.input_tokens_details.cached_tokens", "$.prompt_tokens_details.cached_tokens", "$.cache_read_input_tokens")
+REASONING = ("$.output_tokens_details.reasoning_tokens", "$.completion_tokens_details.reasoning_tokens")
 
 
 def parse_relevance(reply: Column) -> Column:
@@ -21,9 +27,9 @@ def parse_relevance(reply: Column) -> Column:
     found = word != ""
     relevant = F.when(found, ~word.isin(*NEGATIVE)).otherwise(low.rlike("^(yes|y|是|相关|true)"))
     rest = F.substr(t, F.regexp_instr(low, F.lit(VERDICT)) + F.char_length(word))
-    numbers = F.transform(F.regexp_extract_all(rest, F.lit(r"(?<![\d.,])(\d{1,4})(?![\d.,])"), F.lit(1)), lambda n: n.cast("int"))
+    numbers = F.transform(F.regexp_extract_all(rest, F.lit(SCORE), F.lit(1)), lambda n: n.cast("int"))
     behind = F.get(F.filter(numbers, lambda n: n <= 100), F.lit(0))
-    ahead = F.regexp_extract(t, r"(?i)^\s*(\d{1,3})\s*(?:yes|no|y|n|是|否)\b", 1).try_cast("int")
+    ahead = F.regexp_extract(t, SCORE_AHEAD, 1).try_cast("int")
     score = F.coalesce(F.when(found, behind), F.when(ahead <= 100, ahead))
     return F.struct(relevant.alias("relevant"), F.when(relevant | ~found, score).alias("score"))
 
@@ -116,8 +122,8 @@ def section_side(sections: Column, chinese: bool) -> Column:
 
 def parse_translations(reply: Column, expected: Column) -> Column:
     """The strings of {"t": [...]} if there are exactly ``expected``, none blank and none telegraphic; else null."""
-    found = F.get(F.from_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0), "t array<string>")["t"], F.lit(0)).isNotNull()
     t = F.from_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0), "t array<string>")["t"]
+    found = F.get(t, F.lit(0)).isNotNull()
     good = (F.size(t) == expected) & F.forall(t, lambda s: F.coalesce(T.trimmed(s) != "", F.lit(False)) & ~T.looks_telegraphic(s))
     return F.when(found & good, t)
 
@@ -131,10 +137,8 @@ def same_story(reply: Column) -> Column:
 def parse_usage(payload: Column) -> Column:
     """struct of token counts under the names that different services give them; the total is summed where it is missing."""
     pick = lambda *paths: F.greatest(F.coalesce(*[F.get_json_object(payload, p).try_cast("long") for p in paths], F.lit(0)), F.lit(0))
-    i, o = pick("$.input_tokens", "$.prompt_tokens"), pick("$.output_tokens", "$.completion_tokens")
-    c = pick("$.input_tokens_details.cached_tokens", "$.prompt_tokens_details.cached_tokens", "$.cache_read_input_tokens")
-    r = pick("$.output_tokens_details.reasoning_tokens", "$.completion_tokens_details.reasoning_tokens")
-    total = F.coalesce(F.nullif(pick("$.total_tokens"), F.lit(0)), i + o + F.greatest(F.lit(0), r - o))
+    i, o, c, r = pick(*INPUT), pick(*OUTPUT), pick(*CACHED), pick(*REASONING)
+    total = F.coalesce(F.nullif(pick(*TOTAL), F.lit(0)), i + o + F.greatest(F.lit(0), r - o))
     return F.struct(i.alias("input"), o.alias("output"), c.alias("cached"), r.alias("reasoning"), total.alias("total"))
 
 

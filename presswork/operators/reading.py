@@ -299,6 +299,14 @@ def api_articles(articles: DataFrame) -> DataFrame:
     return articles.filter(reportable()).select(*[F.col(c) if c in articles.columns else F.lit(None).cast("string").alias(c) for c in (*API_FIELDS, "title_en", "digest_en")])
 
 
+def article_details(articles: DataFrame, sources: DataFrame, placeholder: str = "(translation in preparation)", unknown: str = "unknown") -> DataFrame:
+    """(id, source_name, digest_brief, topics_list): what the detail view of an article has beside the fields of the list. Hidden articles
+    have one too. ``digest_brief`` is the brief as it would be sent, or the placeholder; the first three topics."""
+    topics = F.coalesce(F.from_json("topics", "array<string>"), F.array().cast("array<string>"))
+    rows = with_source(articles, sources, unknown)
+    return rows.select("id", F.col("source").alias("source_name"), brief_of_row(placeholder).alias("digest_brief"), F.slice(topics, 1, 3).alias("topics_list"))
+
+
 def by_date(rows: DataFrame) -> DataFrame:
     """``rows`` with the number of rows of their day, the newest day first and the newest row in it."""
     counts = rows.groupBy("date_key").agg(F.count("*").alias("items"))

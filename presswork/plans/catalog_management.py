@@ -178,6 +178,12 @@ def newest_per_source(spark, sf):
     return audits.newest_per_group(articles(spark, sf).filter(reportable()), "source_id").select("id", "source_id", "title")
 
 
+@query(f"""WITH {long_sql.brief_texts("a")} SELECT a.id, coalesce(s.name, 'unknown') AS source_name, CASE WHEN said.brief <> '' OR {long_sql.trimmed(long_sql.filled('a.title_zh', 'a.title'))} = '' THEN said.brief ELSE '(translation in preparation)' END AS digest_brief,
+  coalesce(array_to_string((cast(json_extract(topics, '$') AS varchar[]))[1:3], '|'), '') AS topics_list FROM a JOIN said ON said.id = a.id LEFT JOIN s ON s.id = a.source_id""")
+def article_details(spark, sf):
+    return reading.article_details(articles(spark, sf), sources(spark, sf)).withColumn("topics_list", F.array_join("topics_list", "|"))
+
+
 @query(f"SELECT {', '.join(reading.API_FIELDS)}, NULL::varchar AS title_en, NULL::varchar AS digest_en FROM rep")
 def api_articles(spark, sf):
     return reading.api_articles(articles(spark, sf))

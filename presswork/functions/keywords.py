@@ -42,7 +42,7 @@ class Matcher:
         found: dict[str, dict] = {}
         self.least = [None] * len(kinds)
         for rule_id, kind, keyword in rules:
-            word, k = folded(keyword.strip()), kinds.index(kind)
+            word, k = folded((keyword or "").strip()), kinds.index(kind)
             if not word:
                 continue
             bounded = bool(re.match(BOUNDED, keyword.strip()))

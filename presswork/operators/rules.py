@@ -95,32 +95,44 @@ def apply_rules(articles: DataFrame, block: Rules, star: Rules, broadcast_bytes:
     are Latin by an odd letter only (such as a long s), which have no key and stay with the automaton.
     """
     spark = articles.sparkSession
-    rules = _rule_table(spark, block, star).filter(F.col("id").isNotNull() & (F.btrim("keyword") != ""))
+    rules = None
+    if not (isinstance(block, list) and isinstance(star, list)):
+        rules = _rule_table(spark, block, star).filter(F.col("id").isNotNull() & (F.btrim("keyword") != ""))
     text = F.concat_ws("\n", *[F.nullif(F.col(c), F.lit("")) for c in SEARCHED if c in articles.columns])
     open_ = F.col("deleted_at").isNull() & (F.col("starred") == 0) & F.col("content_full").isNotNull()
-    size = rules.agg(F.sum(F.octet_length("keyword").cast("long"))).first()[0] or 0
+    size = 0 if rules is None else rules.agg(F.sum(F.octet_length("keyword").cast("long"))).first()[0] or 0
+    if rules is None and broadcast_bytes > 0:  # lists are in the driver's memory already
+        found = [(i, kind, keyword) for kind, listed in zip(KINDS, (block, star)) for i, keyword in listed]
+        return _with_first(articles, F.when(open_, text), found)
+    rules = _rule_table(spark, block, star).filter(F.col("id").isNotNull() & (F.btrim("keyword") != "")) if rules is None else rules
     odd = ~F.btrim("keyword").rlike(BOUNDED) & ~folded_column(F.btrim("keyword")).rlike("[^a-z0-9 ]")
     found = [(r["id"], r["kind"], r["keyword"]) for r in (rules if size <= broadcast_bytes else rules.filter(odd)).collect()]
     if size <= broadcast_bytes:
-        rows = articles.withColumn("__r", first_rules(spark, F.when(open_, text), found, KINDS))
-        words = {}
-        for rule_id, kind, keyword in found:
-            if kind == "block":
-                words.setdefault(rule_id, keyword)
-        word = _looked_up(spark, words)
-    else:
-        texts = articles.filter(open_).select("id", text.alias("text"))
-        hits = matched_by_keys(texts, rules.filter(~odd))
-        if found:
-            more = texts.select("id", first_rules(spark, F.col("text"), found, KINDS).alias("r")).select("id", "r.*")
-            hits = hits.unionByName(more).groupBy("id").agg(*[F.min(k).alias(k) for k in KINDS])
-        keywords = rules.filter("kind = 'block'").groupBy(F.col("id").alias("block")).agg(F.min("keyword").alias("word"))
-        hits = settled(hits.join(keywords, "block", "left").select("id", F.struct(*KINDS, "word").alias("__r")))
-        rows = articles.join(hits, "id", "left")
-        word = lambda _: F.col("__r.word")
+        return _with_first(articles, F.when(open_, text), found)
+    texts = articles.filter(open_).select("id", text.alias("text"))
+    hits = matched_by_keys(texts, rules.filter(~odd))
+    if found:
+        more = texts.select("id", first_rules(spark, F.col("text"), found, KINDS).alias("r")).select("id", "r.*")
+        hits = hits.unionByName(more).groupBy("id").agg(*[F.min(k).alias(k) for k in KINDS])
+    keywords = rules.filter("kind = 'block'").groupBy(F.col("id").alias("block")).agg(F.min("keyword").alias("word"))
+    hits = settled(hits.join(keywords, "block", "left").select("id", F.struct(*KINDS, "word").alias("__r")))
+    return _read_off(articles.join(hits, "id", "left"), F.col("__r.word"))
+
+
+def _read_off(rows: DataFrame, word: Column) -> DataFrame:
     blocked = F.col("__r.block")
-    out = rows.withColumns({"blocked_by": blocked, "starred_by": F.when(blocked.isNull(), F.col("__r.star"))})
-    return out.withColumn("blocked_word", word(F.col("blocked_by"))).drop("__r")
+    return rows.withColumns({"blocked_by": blocked, "starred_by": F.when(blocked.isNull(), F.col("__r.star")), "blocked_word": word}).drop("__r")
+
+
+def _with_first(articles: DataFrame, text: Column, rules: list[tuple[int, str, str]]) -> DataFrame:
+    """``apply_rules`` by the automaton."""
+    spark = articles.sparkSession
+    words: dict[int, str] = {}
+    for rule_id, kind, keyword in rules:
+        if kind == "block":
+            words.setdefault(rule_id, keyword)
+    rows = articles.withColumn("__r", first_rules(spark, text, rules, KINDS))
+    return _read_off(rows, _looked_up(spark, words)(F.col("__r.block")))
 
 
 def _looked_up(spark: SparkSession, words: dict[int, str]):

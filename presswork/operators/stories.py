@@ -56,7 +56,7 @@ def title_pairs(articles: DataFrame, min_overlap: float = 0.25, frequent: int =
     common word: of the smaller title only those before its last k - 2. So a title has about a row for each of its words, more
     only for pairs of frequent ones; what meets is compared once by the whole sets.
     """
-    sets = articles.select("id", F.sort_array(T.story_words(story_title())).alias("words")).filter(F.size("words") >= 2).groupBy("words").agg(F.min("id").alias("id"))
+    sets = settled(articles.select("id", F.sort_array(T.story_words(story_title())).alias("words")).filter(F.size("words") >= 2).groupBy("words").agg(F.min("id").alias("id")))
     ranked = settled(_ranked_words(sets, most_ranked))
     needed = lambda n: F.greatest(F.lit(2), F.ceil(n * min_overlap - 1e-9).cast("int"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from presswork.functions.html import document
-from presswork.functions.pandas_text import blocked_address, decoded, image_size
+from presswork.functions.pandas_text import blocked_address, decoded, image_size, is_internal_address
 
 ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "link", "pubDate", "description", "content:encoded")])
 ENTRY = T.StructType([*[T.StructField(n, T.StringType()) for n in ("title", "published", "updated", "summary", "content")], T.StructField("link", T.ArrayType(T.StructType([T.StructField("_href", T.StringType())])))])
@@ -86,7 +86,7 @@ def fetched(rows: DataFrame, fetch: Callable[[str], bytes | None], url: str = "u
     schema = T.StructType([*rows.schema.fields, T.StructField("body", T.BinaryType()), T.StructField("tries", T.IntegerType()), T.StructField("error", T.StringType())])
 
     def one(address: str | None) -> tuple[bytes | None, int, str | None]:
-        why = blocked_address(address) if blocked else ""
+        why = (blocked_address(address) or ("not public" if is_internal_address(address) else "")) if blocked else ""
         if why:
             return None, 0, why
         error = None

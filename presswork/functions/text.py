@@ -284,10 +284,14 @@ STORY_WORD, CJK = r"[a-z][a-z0-9']{3,}", r"[぀-ヿ㐀-䶿一-鿿豈-﫿]"
 
 def story_words(text: Column) -> Column:
     """Latin words of four characters or more without stop words; where there is CJK, also every pair of neighbouring characters."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    latin = F.array_except(F.array_distinct(F.regexp_extract_all(low, F.lit(STORY_WORD), F.lit(0))), F.array(*map(F.lit, STOPWORDS)))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(low) - 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(2)))
-    return F.when(low.rlike(CJK), F.array_union(latin, pairs)).otherwise(latin)
+
+    def words(low: Column) -> Column:
+        latin = F.array_except(F.array_distinct(F.regexp_extract_all(low, F.lit(STORY_WORD), F.lit(0))), F.array(*map(F.lit, STOPWORDS)))
+        # One pass over the text: substrings by their number would each be counted from its beginning.
+        pairs = F.when(F.char_length(low) < 2, F.array(low)).otherwise(F.regexp_extract_all(low, F.lit("(?s)(?=(..))."), F.lit(1)))
+        return F.when(low.rlike(CJK), F.array_union(latin, pairs)).otherwise(latin)
+
+    return bound(F.lower(F.coalesce(text, F.lit(""))), words)
 
 
 def overlap(a: Column, b: Column) -> Column:

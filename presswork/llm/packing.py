@@ -20,10 +20,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import id_back, id_key, settled, text_of
+from presswork.llm.common import byte_slices, id_back, id_key, settled, text_of
 from presswork.llm.tokens import encoder
 
 
@@ -34,21 +36,25 @@ def token_pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
     """
     schema = "doc_id long, row long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end = encoder(tokenizer).ids, np.array([end_id], "<u4")
         for b in batches:
-            rows = []
-            for doc_id, row, text in zip(b["doc_id"].tolist(), b["row"].tolist(), b["text"].tolist()):
-                ids = np.concatenate((ids_of(text), end))
-                head = len(ids) % length or length
-                bounds = [0, *range(min(head, len(ids)), len(ids) + 1, length)]
-                for n, (x, y) in enumerate(zip(bounds, bounds[1:])):
-                    cut = ids[x:y]
-                    rows.append((doc_id, row, n, x, y - x, zlib.crc32(cut.tobytes()), *([cut.astype(np.int32)] if with_ids else [])))
-            yield pd.DataFrame(rows, columns=["doc_id", "row", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
-
+            # A batch may have thousands of long texts; only a slice of them is in Python's own strings at a time.
+            for first, last in byte_slices(pc.binary_length(b.column("text")).to_pylist(), 2_000_000):
+                part, rows = b.slice(first, last - first), []
+                for doc_id, row, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "row", "text"))):
+                    ids = np.concatenate((ids_of(text), end))
+                    head = len(ids) % length or length
+                    bounds = [0, *range(min(head, len(ids)), len(ids) + 1, length)]
+                    for n, (x, y) in enumerate(zip(bounds, bounds[1:])):
+                        cut = ids[x:y]
+                        rows.append((doc_id, row, n, x, y - x, zlib.crc32(cut.tobytes()), *([cut.astype(np.int32)] if with_ids else [])))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), fields.types)]
+                yield pa.RecordBatch.from_arrays(columns, schema=fields)
+
+    fields = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids)
     keyed = docs.select(id_key().alias("doc_id"), F.xxhash64(text_of(), F.monotonically_increasing_id()).alias("row"), text_of().alias("text"))
-    return keyed.mapInPandas(run, schema)
+    return keyed.mapInArrow(run, schema)
 
 
 #: How much tokens, documents and attention cost count in choosing a sequence. Where only tokens bind, as with the default

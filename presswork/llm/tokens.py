@@ -50,21 +50,32 @@ _CHAR_BYTES = {256 + n: chr(b) for n, b in enumerate(_HIDDEN)}
 
 
 class _Known(dict):
-    """Pre-token to the bytes of its ids; a new one is made when first asked for."""
+    """Pre-token to the bytes of its ids; a new one is made when first asked for.
 
-    def __init__(self, make) -> None:
-        self.make = make
+    When there are more than ``most``, ``turn`` lays them aside: those that are asked for again come back, the others go at the next turn.
+    """
+
+    def __init__(self, make, most: int) -> None:
+        self.make, self.most, self.before = make, most, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.make(piece)
-        self[piece] = raw = struct.pack(f"<{len(ids)}I", *ids)
+        raw = self.before.pop(piece, None)
+        if raw is None:
+            ids = self.make(piece)
+            raw = struct.pack(f"<{len(ids)}I", *ids)
+        self[piece] = raw
         return raw
 
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.before = dict(self)
+            self.clear()
+
 
 class PieceEncoder:
     """Ids of texts as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` gives them."""
 
-    def __init__(self, path: str, cache: int = 600_000) -> None:
+    def __init__(self, path: str, cache: int = 200_000) -> None:
         spec = json.load(open(path, encoding="utf-8"))
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
@@ -80,8 +91,7 @@ class PieceEncoder:
             self.lower, pattern = None, "(?!)"  # unknown: the library makes all
         self.find = plain_pattern(pattern).findall
         self._tokenize = self.library.model.tokenize
-        self.known = _Known(self.piece_ids)
-        self.cache = cache
+        self.known = _Known(self.piece_ids, cache)
 
     def pieces(self, text: str) -> list[str] | None:
         """The text's pre-tokens; None where they don't make its ids: for special strings and unknown kinds of vocabularies."""
@@ -108,8 +118,7 @@ class PieceEncoder:
         pieces = self.pieces(text)
         if pieces is None:
             return self._library_ids(text)
-        if len(self.known) > self.cache:
-            self.known.clear()
+        self.known.turn()
         return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), dtype="<u4")
 
 

@@ -829,3 +829,30 @@ def test_line_dedup_of_very_many_lines(spark):
 def test_line_dedup_nothing_and_columns(odd, nothing):
     assert line_dedup.drop_shared_lines(nothing).count() == 0
     assert line_dedup.drop_shared_lines(odd).columns == [*odd.columns, "n_lines", "n_dropped"]
+
+
+def test_encoding_keeps_few_pretokens(tmp_path):
+    """Pre-tokens that come once go again, those in use stay, and ids are the library's across every turn."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from presswork.llm.tokens import PieceEncoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, library = PieceEncoder(path, cache=50), Tokenizer.from_file(path)
+    for n in range(60):
+        text = "the same words " + " ".join(f"own{n}x{k}q" for k in range(20))
+        assert enc.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(enc.known) + len(enc.known.before) <= 2 * (50 + 80)
+        assert n == 0 or " same" in enc.known
+    assert enc.ids("").tolist() == []
+
+
+def test_pieces_of_a_batch_of_long_texts_come_in_slices(spark):
+    """Pieces leave a batch slice by slice, so that its texts are never all in Python's strings; null and empty texts stay whole."""
+    from presswork.llm.packing import token_pieces
+
+    docs = spark.createDataFrame([(n, "word " * 300_000) for n in range(5)] + [(5, None), (6, "")], "doc_id long, text string").coalesce(1)
+    got = token_pieces(docs, length=2048, with_ids=True).groupBy("doc_id").agg(F.sum("length").alias("n"), F.sum(F.size("ids")).alias("m"), F.count("*").alias("pieces")).collect()
+    assert {r["doc_id"]: r["n"] for r in got} == {**dict.fromkeys(range(5), got[0]["n"] if got[0]["doc_id"] < 5 else max(r["n"] for r in got)), 5: 1, 6: 1}
+    assert all(r["n"] == r["m"] and r["pieces"] == -(-r["n"] // 2048) for r in got)

@@ -51,6 +51,17 @@ def _rule_table(spark: SparkSession, block: Rules, star: Rules) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
+def _least_rules(rules: DataFrame) -> DataFrame:
+    """One rule (id, kind, keyword) for each keyword and kind, the one of the least id: no other of these can be the first in a text."""
+    least = rules.groupBy("kind", F.btrim("keyword").alias("__word")).agg(F.min(F.struct("id", "keyword")).alias("__r"))
+    return least.select("__r.id", "kind", "__r.keyword")
+
+
+def _automaton_bytes(rules: DataFrame) -> int:
+    """About what an automaton of these keywords takes in a Python process: nodes by characters, and objects for each keyword."""
+    return rules.agg(F.sum(64 * F.octet_length("keyword").cast("long") + 1024)).first()[0] or 0
+
+
 def text_keys(low: Column) -> Column:
     """What a folded text can be found by: its runs of letters and digits, its other characters, and these with the one behind."""
     runs = F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1))
@@ -90,21 +101,18 @@ def apply_rules(articles: DataFrame, block: Rules, star: Rules, broadcast_bytes:
     any text of the article, in either language. Deleted and starred rows are left alone, and so are rows without a body; a
     blocked one is not starred. Blank keywords match nothing.
 
-    One pass with an automaton of all keywords, which goes to the executors while the keywords have ``broadcast_bytes``
-    together at most; with more of them texts and rules are joined under keys (``matched_by_keys``), but for the few keywords that
+    Of rules with one keyword only the first goes on. One pass with an automaton of all keywords, which goes to the executors while
+    it takes about ``broadcast_bytes`` in a process at most; with more of them texts and rules are joined under keys (``matched_by_keys``), but for the few keywords that
     are Latin by an odd letter only (such as a long s), which have no key and stay with the automaton.
     """
     spark = articles.sparkSession
-    rules = None
-    if not (isinstance(block, list) and isinstance(star, list)):
-        rules = _rule_table(spark, block, star).filter(F.col("id").isNotNull() & (F.btrim("keyword") != ""))
     text = F.concat_ws("\n", *[F.nullif(F.col(c), F.lit("")) for c in SEARCHED if c in articles.columns])
     open_ = F.col("deleted_at").isNull() & (F.col("starred") == 0) & F.col("content_full").isNotNull()
-    size = 0 if rules is None else rules.agg(F.sum(F.octet_length("keyword").cast("long"))).first()[0] or 0
-    if rules is None and broadcast_bytes > 0:  # lists are in the driver's memory already
+    if isinstance(block, list) and isinstance(star, list) and broadcast_bytes > 0:  # lists are in the driver's memory already
         found = [(i, kind, keyword) for kind, listed in zip(KINDS, (block, star)) for i, keyword in listed]
         return _with_first(articles, F.when(open_, text), found)
-    rules = _rule_table(spark, block, star).filter(F.col("id").isNotNull() & (F.btrim("keyword") != "")) if rules is None else rules
+    rules = settled(_least_rules(_rule_table(spark, block, star).filter(F.col("id").isNotNull() & (F.btrim("keyword") != ""))))
+    size = _automaton_bytes(rules)
     odd = ~F.btrim("keyword").rlike(BOUNDED) & ~folded_column(F.btrim("keyword")).rlike("[^a-z0-9 ]")
     found = [(r["id"], r["kind"], r["keyword"]) for r in (rules if size <= broadcast_bytes else rules.filter(odd)).collect()]
     if size <= broadcast_bytes:

@@ -62,9 +62,11 @@ def _automaton_bytes(rules: DataFrame) -> int:
     return rules.agg(F.sum(64 * F.octet_length("keyword").cast("long") + 1024)).first()[0] or 0
 
 
-def text_keys(low: Column) -> Column:
-    """What a folded text can be found by: its runs of letters and digits, its other characters, and these with the one behind."""
+def text_keys(low: Column, others: bool = True) -> Column:
+    """What a folded text can be found by: its runs of letters and digits, and with ``others`` its other characters, and these with the one behind."""
     runs = F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1))
+    if not others:
+        return F.array_distinct(runs)
     other = r"[^a-z0-9 \n]"
     return F.array_distinct(F.concat(runs, F.regexp_extract_all(low, F.lit(f"({other})"), F.lit(1)), F.regexp_extract_all(low, F.lit(f"(?=({other}[^\n]))"), F.lit(1))))
 
@@ -87,12 +89,15 @@ def matched_by_keys(texts: DataFrame, rules: DataFrame) -> DataFrame:
     low = texts.select("id", folded_column(F.col("text")).alias("low")).filter("low <> ''")
     bounded = F.btrim("keyword").rlike(BOUNDED).alias("bounded")
     words = rules.select(F.col("id").alias("rule_id"), "kind", bounded, folded_column(F.btrim("keyword")).alias("word")).filter("word <> ''")
-    keyed = words.withColumn("key", rule_key(F.col("word"), F.col("bounded"))).groupBy("kind", "word", "bounded", "key").agg(F.min("rule_id").alias("rule_id"))
-    met = low.select("id", F.explode(text_keys(F.col("low"))).alias("key")).join(keyed, "key")
+    keyed = settled(words.withColumn("key", rule_key(F.col("word"), F.col("bounded"))).groupBy("kind", "word", "bounded", "key").agg(F.min("rule_id").alias("rule_id")))
     sure = (F.col("word") == F.col("key")) & F.col("bounded") & F.col("word").rlike("^[a-z0-9]+$")
-    maybe = met.filter(~sure).join(low, "id")
-    said = F.when(F.col("bounded"), F.rlike("low", rule_pattern(F.col("word")))).otherwise(F.contains("low", "word"))
-    hits = met.filter(sure).select("id", "kind", "rule_id").unionByName(maybe.filter(said).select("id", "kind", "rule_id"))
+    # Keys of other characters, and the second reading, are only made where there are rules for them.
+    others, unsure = keyed.agg(F.max(~F.col("bounded")), F.max(~sure)).first()
+    met = low.select("id", F.explode(text_keys(F.col("low"), bool(others))).alias("key")).join(keyed, "key")
+    hits = met.filter(sure).select("id", "kind", "rule_id")
+    if unsure:
+        said = F.when(F.col("bounded"), F.rlike("low", rule_pattern(F.col("word")))).otherwise(F.contains("low", "word"))
+        hits = hits.unionByName(met.filter(~sure).join(low, "id").filter(said).select("id", "kind", "rule_id"))
     return hits.groupBy("id").agg(*[F.min(F.when(F.col("kind") == k, F.col("rule_id"))).alias(k) for k in KINDS])
 
 

@@ -54,32 +54,35 @@ def title_pairs(articles: DataFrame, min_overlap: float = 0.25, frequent: int =
     has k - 1 words or more behind it in both titles. The words that most titles share stand last, and are no keys of long
     titles. A word of more than ``frequent`` titles is a key only together with one of the words behind it, the second rarest
     common word: of the smaller title only those before its last k - 2. So a title has about a row for each of its words, more
-    only for pairs of frequent ones; what meets is compared once by the whole sets.
+    only for pairs of frequent ones. Each row takes its title's words along: what meets is compared by the whole sets at once, and counts at
+    the key of the pair's rarest common words only, so that no pair is shuffled.
     """
     sets = settled(articles.select("id", F.sort_array(T.story_words(story_title())).alias("words")).filter(F.size("words") >= 2).groupBy("words").agg(F.min("id").alias("id")))
     ranked = settled(_ranked_words(sets, most_ranked))
+    key = lambda a, b: F.struct(a.alias("a"), b.alias("b")).alias("key")
     needed = lambda n: F.greatest(F.lit(2), F.ceil(n * min_overlap - 1e-9).cast("int"))
 
     def keys(first: Column, second: Column) -> Column:
-        """(key, at) for the first ``first`` words; frequent ones with each later word up to the ``second``-th."""
+        """(key, at) for the first ``first`` words; frequent ones with each later word up to the ``second``-th. A key is (word, '') or both words."""
 
         def of(w: Column, i: Column) -> Column:
             later = F.slice("words", i + 2, F.greatest(second - i - 1, F.lit(0)))
-            alone = F.array(F.struct(w["word"].alias("key"), i.alias("at")))
-            return F.when(w["n_titles"] <= frequent, alone).otherwise(F.transform(later, lambda v: F.struct(F.concat_ws(" ", w["word"], v["word"]).alias("key"), i.alias("at"))))
+            alone = F.array(F.struct(key(w["word"], F.lit("")), i.alias("at")))
+            return F.when(w["n_titles"] <= frequent, alone).otherwise(F.transform(later, lambda v: F.struct(key(w["word"], v["word"]), i.alias("at"))))
 
         return F.flatten(F.transform(F.slice("words", F.lit(1), first), of))
 
     n, k = F.col("n"), needed(F.col("n"))
-    small = ranked.select(F.col("id").alias("x"), n.alias("nx"), k.alias("k"), F.explode(keys(n - k + 1, n - k + 2)).alias("e")).select("x", "nx", "k", "e.key", (F.col("nx") - F.col("e.at")).alias("left_x"))
-    large = ranked.select(F.col("id").alias("y"), n.alias("ny"), F.explode(keys(n - 1, n)).alias("e")).select("y", "ny", "e.key", (F.col("ny") - F.col("e.at")).alias("left_y"))
+    plain = F.transform("words", lambda w: w["word"])
+    small = ranked.select(F.col("id").alias("x"), n.alias("nx"), k.alias("k"), plain.alias("u"), F.explode(keys(n - k + 1, n - k + 2)).alias("e")).select("x", "nx", "k", "u", "e.key", (F.col("nx") - F.col("e.at")).alias("left_x"))
+    large = ranked.select(F.col("id").alias("y"), n.alias("ny"), plain.alias("v"), F.explode(keys(n - 1, n)).alias("e")).select("y", "ny", "v", "e.key", (F.col("ny") - F.col("e.at")).alias("left_y"))
     order = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
-    met = small.join(large, "key").filter(order & (F.col("left_x") >= F.col("k")) & (F.col("left_y") >= F.col("k"))).select("x", "y").distinct()
-    words = ranked.select("id", F.transform("words", lambda w: w["word"]).alias("words"))
-    both = met.join(words.select(F.col("id").alias("x"), F.col("words").alias("u")), "x").join(words.select(F.col("id").alias("y"), F.col("words").alias("v")), "y")
-    pairs = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.size(F.array_intersect("u", "v")).alias("shared"), F.least(F.size("u"), F.size("v")).alias("least"))
-    pairs = pairs.withColumn("title_overlap", F.col("shared") / F.col("least"))
-    return pairs.filter((F.col("shared") >= 2) & (F.col("title_overlap") >= min_overlap)).select("a", "b", "shared", "title_overlap")
+    met = small.join(large, "key").filter(order & (F.col("left_x") >= F.col("k")) & (F.col("left_y") >= F.col("k")))
+    # Common words keep the order of all words, so only the key of the rarest ones is theirs.
+    both = met.select("x", "y", "nx", "key", F.array_intersect("u", "v").alias("common")).withColumn("shared", F.size("common"))
+    theirs = (F.get("common", F.lit(0)) == F.col("key.a")) & ((F.col("key.b") == "") | (F.get("common", F.lit(1)) == F.col("key.b")))
+    pairs = both.filter((F.col("shared") >= 2) & theirs).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared", (F.col("shared") / F.col("nx")).alias("title_overlap"))
+    return pairs.filter(F.col("title_overlap") >= min_overlap)
 
 
 def article_pairs(candidates: DataFrame, min_overlap: float = 0.25, most: int = 1000) -> DataFrame:

@@ -37,13 +37,13 @@ def token_pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
     schema = "doc_id long, row long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = encoder(tokenizer).ids, np.array([end_id], "<u4")
+        ids_of, end = encoder(tokenizer).ids_of, np.array([end_id], "<u4")
         for b in batches:
             # A batch may have thousands of long texts; only a slice of them is in Python's own strings at a time.
             for first, last in byte_slices(pc.binary_length(b.column("text")).to_pylist(), 2_000_000):
                 part, rows = b.slice(first, last - first), []
-                for doc_id, row, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "row", "text"))):
-                    ids = np.concatenate((ids_of(text), end))
+                for doc_id, row, ids in zip(*(part.column(c).to_pylist() for c in ("doc_id", "row")), ids_of(part.column("text").to_pylist())):
+                    ids = np.concatenate((ids, end))
                     head = len(ids) % length or length
                     bounds = [0, *range(min(head, len(ids)), len(ids) + 1, length)]
                     for n, (x, y) in enumerate(zip(bounds, bounds[1:])):

@@ -113,12 +113,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_4
         store, base = fs.FileSystem.from_uri(folder)
         path = f"{base}/part-{part:06d}.zst"
         store.create_dir(base)
-        ids_of, end = encoder(tokenizer).ids, np.array([end_id], "<u4")
+        ids_of, end = encoder(tokenizer).ids_of, np.array([end_id], "<u4")
 
         def documents() -> Iterator[tuple[int, np.ndarray]]:
             for b in itertools.chain([first], batches):
-                for doc_id, text in zip(b["doc_id"].tolist(), b["text"].tolist()):
-                    yield doc_id, np.concatenate((ids_of(text), end))
+                for doc_id, ids in zip(b["doc_id"].tolist(), ids_of(b["text"].tolist())):
+                    yield doc_id, np.concatenate((ids, end))
 
         own = f"{base}/.part-{part:06d}-{task.taskAttemptId()}"
         with store.open_output_stream(own) as out:

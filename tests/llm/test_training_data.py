@@ -848,6 +848,36 @@ def test_encoding_keeps_few_pretokens(tmp_path):
     assert enc.ids("").tolist() == []
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_new_pretokens_of_texts_are_made_at_once(name):
+    """New pre-tokens of a slice of texts are made one time and together, after all its texts are cut; ids are the library's."""
+    import public_tokenizers
+
+    from presswork.llm.tokens import PieceEncoder
+
+    enc, calls, cut = PieceEncoder(public_tokenizers.path(name), cache=30), [], []
+    make, pieces = enc.known.make, enc.pieces
+    enc.known.make = lambda piece: calls.append((piece, len(cut))) or make(piece)
+    enc.pieces = lambda text: cut.append(text) or pieces(text)
+    texts = ["same words, it's new 12", "", "漢字 new words", "a <|endoftext|> b", "other it's 12 same words..."] * 2
+    for slice_chars, at in ((10_000, {10}), (1, set(range(11)))):
+        calls.clear(), cut.clear(), enc.known.clear(), enc.known.before.clear()
+        got = [ids.tolist() for ids in enc.ids_of(texts, slice_chars)]
+        assert got == [enc.library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len({p for p, _ in calls}) == len(calls) > 8 and {n for _, n in calls} <= at
+    assert list(enc.ids_of([])) == []
+    enc.known.make = lambda piece: [][0] if piece.strip() == "fails" else make(piece)
+    with pytest.raises(IndexError):
+        enc.ids("unseen fails later")
+    assert enc.ids("unseen later").tolist() == enc.library.encode("unseen later", add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(text=st.text(alphabet="aé'sTtrevmld 1\n\t.!#²½_İ€", max_size=40))
+def test_words_are_cut_as_the_pattern_says(text):
+    assert tokens.word_finder()(text.lower()) == tokens.plain_pattern(tokens._WORD_LEVEL).findall(text.lower())
+
+
 def test_pieces_of_a_batch_of_long_texts_come_in_slices(spark):
     """Pieces leave a batch slice by slice, so that its texts are never all in Python's strings; null and empty texts stay whole."""
     from presswork.llm.packing import token_pieces

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswork.functions import text as T
@@ -32,16 +34,32 @@ def title_classes(articles: DataFrame) -> DataFrame:
     return sets.join(least, "words").select("id", "class_id", "words")
 
 
+#: The most frequent words have a bit each, in so many longs; the others share the bits of a signature.
+HOT_LONGS, SIGNATURE_LONGS = 4, 2
+
+
 def _ranked_words(sets: DataFrame, most_ranked: int) -> DataFrame:
-    """(id, n, words) with words as structs (n_titles, word), the rarest first, in one order for all titles.
+    """(id, n, words, hot, rest, signature): words of two titles or more as structs (n_titles, code, bit), the rarest first, in one order for all titles.
 
-    Only the ``most_ranked`` most frequent words are counted out, and broadcast; the others, which are rarer than these, come
-    before them with 0 titles, in the order of the words themselves.
+    n counts all words of the title. Codes are whole numbers, one a word. The most frequent words are the last ones and have a bit, the
+    rarest of them the lowest: hot holds a title's bits, and rest the codes of its other words (bit -1), whose hashes mark the signature.
+    The ``most_ranked`` most frequent words get their counts by broadcast, the others, of which none is in many titles, by a shuffled join.
     """
-    single = sets.select("id", F.explode("words").alias("word"))
-    ranked = single.groupBy("word").agg(F.count("*").alias("n_titles")).filter("n_titles > 1").orderBy(F.desc("n_titles"), "word").limit(most_ranked)
-    counted = single.join(F.broadcast(ranked), "word", "left").select("id", F.struct(F.coalesce("n_titles", F.lit(0)).alias("n_titles"), "word").alias("w"))
-    return counted.groupBy("id").agg(F.sort_array(F.collect_list("w")).alias("words")).select("id", F.size("words").alias("n"), "words")
+    single = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
+    counted = settled(single.groupBy("word").agg(F.count("*").alias("n_titles")).filter("n_titles > 1").withColumn("code", F.monotonically_increasing_id()))
+    falling = [F.desc("n_titles"), F.desc("code")]
+    top = counted.orderBy(*falling).limit(most_ranked)
+    bit = F.greatest(64 * HOT_LONGS - F.row_number().over(Window.orderBy(*falling)), F.lit(-1))
+    met = single.join(F.broadcast(settled(top.withColumn("bit", bit))), "word", "left")
+    others = met.filter("code is null").select("id", "n", "word").join(counted, "word").withColumn("bit", F.lit(-1))
+    known = met.filter("code is not null").unionByName(others).withColumn("mark", F.pmod(F.xxhash64("code"), F.lit(64 * SIGNATURE_LONGS)).cast("int"))
+    # A shift counts modulo 64.
+    flag = lambda name, k: F.when(F.floor(F.col(name) / 64) == k, F.expr(f"shiftleft(1L, {name})")).otherwise(F.lit(0).cast("long"))
+    hot = [F.bit_or(flag("bit", k)).alias(f"hot{k}") for k in range(HOT_LONGS)]
+    signature = [F.bit_or(F.when(F.col("bit") < 0, flag("mark", k)).otherwise(F.lit(0).cast("long"))).alias(f"signature{k}") for k in range(SIGNATURE_LONGS)]
+    titles = known.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("n_titles", "code", "bit"))).alias("words"), *hot, *signature)
+    rest = F.transform(F.filter("words", lambda w: w["bit"] < 0), lambda w: w["code"])
+    return titles.withColumn("rest", rest)
 
 
 def title_pairs(articles: DataFrame, min_overlap: float = 0.25, frequent: int = 1000, most_ranked: int = 100_000) -> DataFrame:
@@ -49,39 +67,70 @@ def title_pairs(articles: DataFrame, min_overlap: float = 0.25, frequent: int =
 
     a and b are class ids, so many copies of one title are one row here; ``title_classes`` says who is in a class.
 
-    A set-similarity join by prefixes. Words have one order for all titles, the rarest first. A title of n words must share
-    k = max(2, ceil(min_overlap n)) with every larger partner, so the rarest common word is among its first n - k + 1, and
-    has k - 1 words or more behind it in both titles. The words that most titles share stand last, and are no keys of long
-    titles. A word of more than ``frequent`` titles is a key only together with one of the words behind it, the second rarest
-    common word: of the smaller title only those before its last k - 2. So a title has about a row for each of its words, more
-    only for pairs of frequent ones. Each row takes its title's words along: what meets is compared by the whole sets at once, and counts at
-    the key of the pair's rarest common words only, so that no pair is shuffled.
+    A set-similarity join by prefixes. Words have one order for all titles, the rarest first; those of one title only are left out.
+    A title of n words, m of them in other titles too, must share k = max(2, ceil(min_overlap n)) with every larger partner, so the rarest
+    common word is among its first m - k + 1, and has k - 1 words or more behind it in both titles. The words that most titles share stand
+    last, and are no keys of long titles. A word of more than ``frequent`` titles is a key only together with one of the words behind it,
+    the second rarest common word: of the smaller title only those before its last k - 2. So a title has about a row for each of its words,
+    more only for pairs of frequent ones. What meets is compared at once, and counts at the key of the pair's rarest common words only, so
+    that no pair is shuffled.
+
+    There can be as many pairs as the square of the titles, so little is done for one. The most frequent words, which bring most pairs
+    together, are counted as common bits. Signatures bound the number of other common words from above, and their codes are looked at only
+    where this bound leaves the pair or its key open.
     """
     sets = settled(articles.select("id", F.sort_array(T.story_words(story_title())).alias("words")).filter(F.size("words") >= 2).groupBy("words").agg(F.min("id").alias("id")))
     ranked = settled(_ranked_words(sets, most_ranked))
-    key = lambda a, b: F.struct(a.alias("a"), b.alias("b")).alias("key")
+    none = F.struct(F.lit(0).cast("long").alias("n_titles"), F.lit(-1).cast("long").alias("code"), F.lit(-1).alias("bit"))
     needed = lambda n: F.greatest(F.lit(2), F.ceil(n * min_overlap - 1e-9).cast("int"))
+    hot, signature = range(HOT_LONGS), range(SIGNATURE_LONGS)
 
     def keys(first: Column, second: Column) -> Column:
-        """(key, at) for the first ``first`` words; frequent ones with each later word up to the ``second``-th. A key is (word, '') or both words."""
+        """(a, b, at) for the first ``first`` words a; frequent ones with each later word b up to the ``second``-th, others without (b has the code -1)."""
 
         def of(w: Column, i: Column) -> Column:
             later = F.slice("words", i + 2, F.greatest(second - i - 1, F.lit(0)))
-            alone = F.array(F.struct(key(w["word"], F.lit("")), i.alias("at")))
-            return F.when(w["n_titles"] <= frequent, alone).otherwise(F.transform(later, lambda v: F.struct(key(w["word"], v["word"]), i.alias("at"))))
-
-        return F.flatten(F.transform(F.slice("words", F.lit(1), first), of))
-
-    n, k = F.col("n"), needed(F.col("n"))
-    plain = F.transform("words", lambda w: w["word"])
-    small = ranked.select(F.col("id").alias("x"), n.alias("nx"), k.alias("k"), plain.alias("u"), F.explode(keys(n - k + 1, n - k + 2)).alias("e")).select("x", "nx", "k", "u", "e.key", (F.col("nx") - F.col("e.at")).alias("left_x"))
-    large = ranked.select(F.col("id").alias("y"), n.alias("ny"), plain.alias("v"), F.explode(keys(n - 1, n)).alias("e")).select("y", "ny", "v", "e.key", (F.col("ny") - F.col("e.at")).alias("left_y"))
+            row = lambda v: F.struct(w.alias("a"), v.alias("b"), i.alias("at"))
+            return F.when(w["n_titles"] <= frequent, F.array(row(none))).otherwise(F.transform(later, row))
+
+        return F.explode(F.flatten(F.transform(F.slice("words", F.lit(1), F.greatest(first, F.lit(0))), of))).alias("e")
+
+    m, k = F.size("words"), needed(F.col("n"))
+    of_key = [F.col("e.a.code").alias("key_a"), F.col("e.b.code").alias("key_b")]
+    small = ranked.select("*", m.alias("m"), k.alias("k"), keys(m - k + 1, m - k + 2)).filter(m - F.col("e.at") >= k)
+    # The rest words among the key's, -1 where its last word is one, as other rest words may follow then.
+    bit_a, bit_b, lone = F.col("e.a.bit"), F.col("e.b.bit"), F.col("e.b.code") == -1
+    last = F.when(lone, bit_a).otherwise(bit_b)
+    small = small.withColumn("last", last).withColumn("of_rest", F.when(last < 0, -1).when(lone | (bit_a >= 0), 0).otherwise(1))
+
+    def before(j: int) -> Column:
+        """The title's bits below the key's last word but its first: words that make another key of the pair where they are common too."""
+        below = F.when(F.col("last") >= 64 * (j + 1), F.lit(-1).cast("long")).when(F.col("last") <= 64 * j, F.lit(0).cast("long")).otherwise(F.expr("~shiftleft(-1L, last)"))
+        first = F.when((bit_a >= 64 * j) & (bit_a < 64 * (j + 1)), F.expr("shiftleft(1L, e.a.bit)")).otherwise(F.lit(0).cast("long"))
+        # Never null, and known to be so: a test for nulls in front would make the method too long to be compiled.
+        return F.coalesce(F.col(f"hot{j}").bitwiseAND(below).bitwiseAND(F.bitwise_not(first)), F.lit(0).cast("long")).alias(f"before{j}")
+
+    unmarked = F.size("rest") - sum((F.bit_count(f"signature{j}") for j in signature), F.lit(0))
+    small = small.select(*of_key, F.col("id").alias("x"), F.col("n").alias("nx"), "k", "of_rest", unmarked.alias("unmarked"), F.col("rest").alias("u"), *[before(j) for j in hot], *[F.col(f"hot{j}").alias(f"xh{j}") for j in hot], *[F.col(f"signature{j}").alias(f"xs{j}") for j in signature])
+    large = ranked.select("*", keys(m - 1, m)).select(*of_key, F.col("id").alias("y"), F.col("n").alias("ny"), (m - F.col("e.at")).alias("left_y"), F.col("rest").alias("v"), *[F.col(f"hot{j}").alias(f"yh{j}") for j in hot], *[F.col(f"signature{j}").alias(f"ys{j}") for j in signature])
+
+    both = lambda p, q, over: [F.col(f"{p}{j}").bitwiseAND(F.col(f"{q}{j}")) for j in over]
+    n_hot = sum((F.bit_count(b) for b in both("xh", "yh", hot)), F.lit(0))
+    n_marks = sum((F.bit_count(b) for b in both("xs", "ys", signature)), F.lit(0))
+    at_most = F.when(n_marks == 0, 0).otherwise(n_marks + F.col("unmarked"))
     order = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
-    met = small.join(large, "key").filter(order & (F.col("left_x") >= F.col("k")) & (F.col("left_y") >= F.col("k")))
-    # Common words keep the order of all words, so only the key of the rarest ones is theirs.
-    both = met.select("x", "y", "nx", "key", F.array_intersect("u", "v").alias("common")).withColumn("shared", F.size("common"))
-    theirs = (F.get("common", F.lit(0)) == F.col("key.a")) & ((F.col("key.b") == "") | (F.get("common", F.lit(1)) == F.col("key.b")))
-    pairs = both.filter((F.col("shared") >= 2) & theirs).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared", (F.col("shared") / F.col("nx")).alias("title_overlap"))
+    first_hot = reduce(lambda p, q: p & q, [b == 0 for b in both("before", "yh", hot)])
+    enough = n_hot + F.when(F.col("of_rest") >= 0, F.col("of_rest")).otherwise(at_most) >= F.col("k")
+    met = small.join(large, ["key_a", "key_b"]).filter(order & (F.col("left_y") >= F.col("k")) & first_hot & enough)
+    # As an exploded column the common codes are made once a pair, for the conditions and the result.
+    settled_by_marks = (F.col("of_rest") >= 0) & (at_most <= F.col("of_rest"))
+    common = F.when(settled_by_marks, F.array().cast("array<bigint>")).otherwise(F.array_intersect("u", "v"))
+    found = met.select("x", "y", "nx", "k", "key_a", "key_b", "of_rest", n_hot.alias("n_hot"), settled_by_marks.alias("sure"), F.explode(F.array(common)).alias("common"))
+    n_rest = F.when(F.col("sure"), F.col("of_rest")).otherwise(F.size("common"))
+    rarest = (F.get("common", F.lit(0)) == F.col("key_a")) & ((F.col("key_b") == -1) | (F.get("common", F.lit(1)) == F.col("key_b")))
+    theirs = F.when(F.col("of_rest") >= 0, n_rest == F.col("of_rest")).otherwise(F.coalesce(rarest, F.lit(False)))
+    shared = F.col("n_hot") + n_rest
+    pairs = found.filter(theirs & (shared >= F.col("k"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), shared.alias("shared"), (shared / F.col("nx")).alias("title_overlap"))
     return pairs.filter(F.col("title_overlap") >= min_overlap)
 
 
